@@ -42,3 +42,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) WHERE len(w) >= 5
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+df AS (SELECT g, count(*) AS c FROM s GROUP BY g),
+-- of n shingles, rarest first, the first n - ceil(0.75 n) + 1 must meet those of any linked document
+pre AS (SELECT doc_id, g FROM (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r FROM s JOIN df USING (g) JOIN n USING (doc_id)) WHERE r <= n - (75 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM pre a JOIN pre b USING (g) WHERE a.doc_id < b.doc_id),
+pair AS (SELECT x, y, count(*) AS c FROM cand JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND b.g = a.g GROUP BY x, y),
+e AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT b.y, r.m FROM reach r JOIN both_ways b ON b.x = r.doc_id WHERE r.m < b.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(m) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
+URL_FILTER = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, pre, v)),
+best AS (
+  SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(v, length(h || pre)) AS v
+  FROM q JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN len(list_intersect(string_split(host, '.'), ['casino-win', 'cheap-pills', 'free-bets', 'spam-farm', 'ads-track', 'adult-x'])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN best USING (page_id)
+"""
