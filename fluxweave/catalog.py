@@ -1,4 +1,570 @@
-"""Registered queries of the remap engine, each with its SQL."""
+"""Registered queries of the remap engine, each with its SQL where SQL can express it.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Grids come from lineitem, intervals from events, swarms from customer and supplier; results are rounded to six
+decimals because sums of doubles depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import kernels
+from .operators import gradient, interpolate, intersect, materials, momentum, particles, repair, search, swept
+from .plans import oracle as q
+from .plans.remap import Options, Remapper, mesh_swarm_mesh, remap, swarm_remap
+from .sources import meshes, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+N, M = 16, 12
+OFFSET = ((0.2, 0.2), (1.2, 1.2))
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c: Column) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def _rounded(df: DataFrame, *values: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    return df.select(*keys, *[_r(F.col(v)).alias(v) for v in values])
+
+
+def _source(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
+    return tables.lineitem_grid(spark, sf_dir, n)
+
+
+def _target(spark: SparkSession, box=((0, 0), (1, 1))) -> DataFrame:
+    return meshes.box_mesh(spark, list(box[0]), list(box[1]), [M, M])
+
+
+def _near(mesh: DataFrame, n: int, kind: str = "node") -> DataFrame:
+    return meshes.box_adjacency(mesh, [n, n], kind)
+
+
+S, T, W = q.source(N), q.grid("t", M), q.weights()
+T_OFF = q.grid("t", M, *OFFSET)
+
+
+# ---- sources ----
+
+
+@query(f"WITH {S} SELECT id, ix::BIGINT AS ix, iy::BIGINT AS iy, {q.r('vol')} AS vol, {q.r('cx')} AS cx, {q.r('cy')} AS cy, edge AS is_boundary, qty, price FROM s")
+def mesh_with_fields(spark, sf_dir):
+    return _rounded(_source(spark, sf_dir), "vol", "cx", "cy", keys=("id", "ix", "iy", "is_boundary", "qty", "price"))
+
+
+@query(f"WITH {T} SELECT id, {q.r('CASE WHEN sqrt(cx*cx + cy*cy) < 0.7::DOUBLE THEN 100.0 ELSE 9 * pow(cx, 2) + 1600 * pow(cy, 2) END')} AS f FROM t")
+def analytic_field(spark, sf_dir):
+    return _rounded(meshes.with_field(_target(spark), "f", "if (sqrt(x*x + y*y) < 0.7) 100; else 9*x^2 + 1600*y^2;", 2), "f")
+
+
+@query(f"""WITH {q.grid("s", N)} SELECT c.id, n.id AS nbr FROM s c JOIN s n ON abs(n.ix - c.ix) <= 1 AND abs(n.iy - c.iy) <= 1 AND n.id <> c.id""")
+def node_adjacency(spark, sf_dir):
+    return _near(meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), N)
+
+
+@query(f"""WITH {q.grid("s", N)} SELECT c.id, n.id AS nbr FROM s c JOIN s n ON abs(n.ix - c.ix) + abs(n.iy - c.iy) = 1""")
+def face_adjacency(spark, sf_dir):
+    return _near(meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), N, "face")
+
+
+# ---- search ----
+
+_COUNT = "SELECT tgt_id, count(*) AS n, sum(src_id)::BIGINT AS total FROM p GROUP BY tgt_id"
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("tgt_id").agg(F.count("*").alias("n"), F.sum("src_id").alias("total"))
+
+
+def _meets(op: str) -> str:
+    return f"p AS (SELECT t.id AS tgt_id, s.id AS src_id FROM t JOIN s ON greatest(t.xlo, s.xlo) {op} least(t.xhi, s.xhi) AND greatest(t.ylo, s.ylo) {op} least(t.yhi, s.yhi))"
+
+
+@query(f"WITH {q.grid('s', 16)}, {q.grid('t', 8)}, {_meets('<=')} {_COUNT}")
+def search_boxes_closed(spark, sf_dir):
+    return _counted(search.box_pairs(meshes.box_mesh(spark, [0, 0], [1, 1], [8, 8]), meshes.box_mesh(spark, [0, 0], [1, 1], [16, 16]), 2))
+
+
+@query(f"WITH {q.grid('s', 16)}, {q.grid('t', 8)}, {_meets('<')} {_COUNT}")
+def search_boxes_strict(spark, sf_dir):
+    return _counted(search.box_pairs(meshes.box_mesh(spark, [0, 0], [1, 1], [8, 8]), meshes.box_mesh(spark, [0, 0], [1, 1], [16, 16]), 2, closed=False))
+
+
+@query(f"WITH {q.grid('s', 16)}, {q.grid('t', 8, *OFFSET)}, {_meets('<')} {_COUNT}")
+def search_direct_product(spark, sf_dir):
+    axis = [k / 16 for k in range(17)]
+    return _counted(search.direct_product_pairs(meshes.box_mesh(spark, [0.2, 0.2], [1.2, 1.2], [8, 8]), [axis, axis]))
+
+
+@query(f"WITH {q.customers(0.0)}, {q.grid('s', N)} SELECT cu.id AS point_id, s.id FROM cu JOIN s ON x BETWEEN xlo AND xhi AND y BETWEEN ylo AND yhi")
+def locate_points(spark, sf_dir):
+    return search.locate_points(tables.customer_swarm(spark, sf_dir, 0.0).select("id", "x", "y"), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2)
+
+
+def _near_points(side: str, op: str, k: str = "2") -> str:
+    return f"p AS (SELECT su.id AS tgt_id, cu.id AS src_id FROM su JOIN cu ON abs(su.x - cu.x) {op} {k} * {side}.h AND abs(su.y - cu.y) {op} {k} * {side}.h)"
+
+
+@query(f"WITH {q.customers(0.03125)}, {q.suppliers(0.0625)}, {_near_points('su', '<')} {_COUNT}")
+def search_points_gather(spark, sf_dir):
+    return _counted(search.point_pairs(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2))
+
+
+@query(f"WITH {q.customers(0.03125)}, {q.suppliers(0.0625)}, {_near_points('cu', '<')} {_COUNT}")
+def search_points_scatter(spark, sf_dir):
+    return _counted(search.point_pairs(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2, center="scatter"))
+
+
+@query(f"WITH {q.customers(0.03125)}, {q.suppliers(0.0625)}, {_near_points('su', '<=')} {_COUNT}")
+def search_points_bins(spark, sf_dir):
+    return _counted(search.point_pairs(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2, closed=True))
+
+
+# ---- intersect ----
+
+_WEIGHTS = f"WITH {q.grid('s', N)}, {T}, {W} SELECT tgt_id, src_id, round(m0, 11) AS m0, round(m1x, 11) AS m1x, round(m1y, 11) AS m1y FROM w WHERE m0 > 1e-12"
+
+
+def _shown(w: DataFrame) -> DataFrame:
+    return w.where("m0 > 1e-12").select("tgt_id", "src_id", *[F.round(c, 11).alias(c) for c in w.columns if c.startswith("m")])
+
+
+@query(_WEIGHTS)
+def intersect_boxes(spark, sf_dir):
+    return _shown(intersect.intersect_boxes(_target(spark), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2))
+
+
+@query(_WEIGHTS)
+def intersect_polygons(spark, sf_dir):
+    return _shown(intersect.intersect_polygons(meshes.box_rings(_target(spark)), meshes.box_rings(meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]))))
+
+
+@query(
+    f"""WITH {q.grid("s", 4)}, {q.grid("t", 3)}, {W}, z AS (SELECT a.k AS tk, b.k AS sk, greatest(a.k / 3::DOUBLE, b.k / 4::DOUBLE) AS lo, least((a.k + 1) / 3::DOUBLE, (b.k + 1) / 4::DOUBLE) AS hi
+    FROM (SELECT unnest(range(3)) AS k) a, (SELECT unnest(range(4)) AS k) b)
+    SELECT tgt_id + 9 * tk AS tgt_id, src_id + 16 * sk AS src_id, round(m0 * (hi - lo), 11) AS m0, round(m1x * (hi - lo), 11) AS m1x, round(m1y * (hi - lo), 11) AS m1y, round(m0 * (hi - lo) * (hi + lo) / 2, 11) AS m1z
+    FROM w, z WHERE hi - lo > 1e-9 AND m0 > 1e-12"""
+)
+def intersect_polyhedra(spark, sf_dir):
+    def solid(n):
+        m = meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [n, n, n])
+        p = F.array(*[F.struct(F.col("x" + a).alias("x"), F.col("y" + b).alias("y"), F.col("z" + c).alias("z")) for c in ("lo", "hi") for b in ("lo", "hi") for a in ("lo", "hi")])
+        facets = F.array(*[F.array(*[F.lit(k) for k in f]) for f in intersect.BOX_FACETS])
+        return m.withColumns({"points": p, "facets": facets})
+
+    return _shown(intersect.intersect_polyhedral_meshes(solid(3), solid(4)))
+
+
+@query(
+    f"""WITH {q.grid("s", N)}, {T}, x AS (SELECT t.id AS tgt_id, s.id AS src_id, greatest(t.xlo, s.xlo) AS a, least(t.xhi, s.xhi) AS b, greatest(t.ylo, s.ylo) AS c, least(t.yhi, s.yhi) AS d
+    FROM t JOIN s ON greatest(t.xlo, s.xlo) < least(t.xhi, s.xhi) AND greatest(t.ylo, s.ylo) < least(t.yhi, s.yhi))
+    SELECT tgt_id, src_id, round(2 * pi() * (b * b - a * a) / 2 * (d - c), 11) AS m0, round(2 * pi() * (pow(b, 3) - pow(a, 3)) / 3 * (d - c), 11) AS m1x, round(2 * pi() * (b * b - a * a) / 2 * (d * d - c * c) / 2, 11) AS m1y
+    FROM x WHERE 2 * pi() * (b * b - a * a) / 2 * (d - c) > 1e-12"""
+)
+def intersect_axisymmetric(spark, sf_dir):
+    return _shown(intersect.intersect_boxes(_target(spark), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2, system="cylindrical_axisymmetric"))
+
+
+@query(f"WITH {q.grid('s', N)}, {T}, {W} SELECT src_id, count(*) AS n, {q.r('sum(m0)')} AS covered FROM w WHERE m0 > 1e-12 GROUP BY src_id")
+def reverse_weights(spark, sf_dir):
+    w = intersect.intersect_boxes(_target(spark), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2).where("m0 > 1e-12")
+    back = intersect.reverse_weights(w)
+    return back.select("src_id", F.size("targets").cast("long").alias("n"), _r(F.aggregate("targets", F.lit(0.0), lambda s, x: s + x["m0"])).alias("covered"))
+
+
+# ---- gradients ----
+
+
+@query(f"WITH {S}, {q.gradients(['price', 'qty'], False)} SELECT id, {q.r('gx_price')} AS g_price_x, {q.r('gy_price')} AS g_price_y, {q.r('gx_qty')} AS g_qty_x, {q.r('gy_qty')} AS g_qty_y FROM g")
+def gradients_unlimited(spark, sf_dir):
+    s = _source(spark, sf_dir)
+    return _rounded(gradient.gradients(s, _near(s, N), ["price", "qty"], 2), "g_price_x", "g_price_y", "g_qty_x", "g_qty_y")
+
+
+@query(f"WITH {S}, {q.gradients(['price'], True)} SELECT id, {q.r('gx_price')} AS g_price_x, {q.r('gy_price')} AS g_price_y FROM g")
+def gradients_limited(spark, sf_dir):
+    s = _source(spark, sf_dir)
+    return _rounded(gradient.gradients(s, _near(s, N), ["price"], 2, limiter="barth_jespersen"), "g_price_x", "g_price_y")
+
+
+@query()
+def quadratic_fit(spark, sf_dir):
+    s = _source(spark, sf_dir)
+    return gradient.quadratic_fit(s, _near(s, N), "price", 2).select("id", F.transform("q", lambda v: F.round(v, 6)).alias("q"))
+
+
+# ---- interpolate ----
+
+
+@query(f"WITH {S}, {T}, {W}, {q.first_order(['price', 'qty'])} SELECT id, {q.r('price')} AS price, {q.r('qty')} AS qty FROM o")
+def remap_2d_order1(spark, sf_dir):
+    return _rounded(remap(_source(spark, sf_dir), _target(spark), ["price", "qty"], 2, options=Options(order=1, check_mismatch=False)), "price", "qty")
+
+
+def _order2(spark, sf_dir, limiter, fields, **more):
+    s = _source(spark, sf_dir)
+    return _rounded(remap(s, _target(spark), fields, 2, source_adjacency=_near(s, N), options=Options(limiter=limiter, check_mismatch=False), **more), *fields)
+
+
+@query(f"WITH {S}, {T}, {W}, {q.gradients(['price', 'qty'], False)}, {q.second_order(['price', 'qty'])} SELECT id, {q.r('price')} AS price, {q.r('qty')} AS qty FROM o")
+def remap_2d_order2(spark, sf_dir):
+    return _order2(spark, sf_dir, "nolimiter", ["price", "qty"])
+
+
+@query(f"WITH {S}, {T}, {W}, {q.gradients(['price', 'qty'], True)}, {q.second_order(['price', 'qty'])} SELECT id, {q.r('price')} AS price, {q.r('qty')} AS qty FROM o")
+def remap_2d_order2_limited(spark, sf_dir):
+    return _order2(spark, sf_dir, "barth_jespersen", ["price", "qty"])
+
+
+@query()
+def remap_2d_order3(spark, sf_dir):
+    s = _source(spark, sf_dir)
+    return _rounded(remap(s, _target(spark), ["price"], 2, source_adjacency=_near(s, N), options=Options(order=3, limiter="nolimiter", check_mismatch=False)), "price")
+
+
+@query(
+    """WITH d AS (SELECT floor(epoch_us(ts) / 86400000000)::BIGINT AS day, count(*)::DOUBLE AS n FROM events GROUP BY 1),
+    b AS (SELECT min(day) AS lo, max(day) + 1 AS hi FROM d),
+    t AS (SELECT k AS id, lo + 1.5::DOUBLE * k AS xlo, lo + 1.5::DOUBLE * (k + 1) AS xhi FROM b, LATERAL (SELECT unnest(range(ceil((hi - lo) / 1.5)::BIGINT)) AS k)),
+    v AS (SELECT t.id, sum(n * (least(xhi, day + 1.0) - greatest(xlo, day))) / sum(least(xhi, day + 1.0) - greatest(xlo, day)) AS n FROM t JOIN d ON greatest(xlo, day::DOUBLE) < least(xhi, day + 1.0::DOUBLE) GROUP BY t.id)
+    SELECT t.id, (round(coalesce(n, 0.0), 6) + 0.0) AS n FROM t LEFT JOIN v USING (id)"""
+)
+def remap_1d_events(spark, sf_dir):
+    days = tables.event_days(spark, sf_dir)
+    lo, hi = days.agg(F.min("xlo"), F.max("xhi")).first()
+    import math
+
+    k = math.ceil((hi - lo) / 1.5)
+    target = meshes.box_mesh(spark, [lo], [lo + 1.5 * k], [k])
+    return _rounded(remap(days, target, ["n"], 1, options=Options(order=1, check_mismatch=False)), "n")
+
+
+@query(
+    f"""WITH {q.grid("s", 8)}, {q.grid("t", 6)}, {q.weights()}, sz AS (SELECT unnest(range(8)) AS k), tz AS (SELECT unnest(range(6)) AS k),
+    z AS (SELECT tz.k AS tk, sz.k AS sk, least((tz.k + 1) / 6::DOUBLE, (sz.k + 1) / 8::DOUBLE) - greatest(tz.k / 6::DOUBLE, sz.k / 8::DOUBLE) AS h FROM tz, sz),
+    v AS (SELECT tgt_id + 36 * tk AS id, sum(((src_id * 7 + sk * 3) % 11) * m0 * h) / sum(m0 * h) AS f FROM w, z WHERE h > 1e-9 GROUP BY 1) SELECT id, {q.r("f")} AS f FROM v"""
+)
+def remap_3d_order1(spark, sf_dir):
+    s = meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [8, 8, 8])
+    s = s.withColumn("f", (((F.col("ix") + 8 * F.col("iy")) * 7 + F.col("iz") * 3) % 11).cast("double"))
+    return _rounded(remap(s, meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [6, 6, 6]), ["f"], 3, options=Options(order=1, check_mismatch=False)), "f")
+
+
+@query(
+    f"""WITH {S}, n0 AS (SELECT id, id % {N + 1} AS ix, id // {N + 1} AS iy FROM (SELECT unnest(range({(N + 1) ** 2})) AS id)),
+    ns AS (SELECT id, greatest(ix / {N}::DOUBLE - 0.5 / {N}, 0.0) AS xlo, least(ix / {N}::DOUBLE + 0.5 / {N}, 1.0) AS xhi, greatest(iy / {N}::DOUBLE - 0.5 / {N}, 0.0) AS ylo, least(iy / {N}::DOUBLE + 0.5 / {N}, 1.0) AS yhi, ((ix * 5 + iy * 3) % 17)::DOUBLE AS f FROM n0),
+    m0 AS (SELECT id, id % {M + 1} AS ix, id // {M + 1} AS iy FROM (SELECT unnest(range({(M + 1) ** 2})) AS id)),
+    nt AS (SELECT id, greatest(ix / {M}::DOUBLE - 0.5 / {M}, 0.0) AS xlo, least(ix / {M}::DOUBLE + 0.5 / {M}, 1.0) AS xhi, greatest(iy / {M}::DOUBLE - 0.5 / {M}, 0.0) AS ylo, least(iy / {M}::DOUBLE + 0.5 / {M}, 1.0) AS yhi FROM m0),
+    {q.weights(t="nt", s="ns")} SELECT tgt_id AS id, {q.r("sum(f * m0) / sum(m0)")} AS f FROM w JOIN ns ON ns.id = src_id GROUP BY tgt_id"""
+)
+def remap_nodes(spark, sf_dir):
+    s = meshes.node_mesh(spark, [0, 0], [1, 1], [N, N]).withColumn("f", ((F.col("ix") * 5 + F.col("iy") * 3) % 17).cast("double"))
+    return _rounded(remap(s, meshes.node_mesh(spark, [0, 0], [1, 1], [M, M]), ["f"], 2, ref="p", options=Options(order=1, check_mismatch=False)), "f")
+
+
+@query(f"WITH {S}, {T}, {W}, {q.first_order(['price', 'qty'])} SELECT id, [{q.r('price')}, {q.r('qty')}] AS both FROM o")
+def remap_array_field(spark, sf_dir):
+    s = _source(spark, sf_dir).withColumn("both", F.array("price", "qty"))
+    w = intersect.intersect_boxes(_target(spark), s, 2)
+    return interpolate.first_order(w, s, _target(spark), ["both"]).select("id", F.transform("both", lambda v: _r(v)).alias("both"))
+
+
+@query(
+    f"""WITH {S}, {T}, {W}, {q.first_order(["price"])}, e AS (SELECT abs(o.price - 20000 * t.cx) AS e, o.price AS p, 20000 * t.cx AS x, t.vol FROM o JOIN t USING (id))
+    SELECT {q.r("sum(e * vol)")} AS l1, {q.r("sqrt(sum(e * e * vol))")} AS l2, {q.r("max(e)")} AS linf, {q.r("sum(p * vol)")} AS total, {q.r("sum(x * vol)")} AS exact_total, {q.r("min(p)")} AS lowest, {q.r("max(p)")} AS highest FROM e"""
+)
+def error_norms(spark, sf_dir):
+    t = _target(spark)
+    got = remap(_source(spark, sf_dir), t, ["price"], 2, options=Options(order=1, check_mismatch=False)).join(t.select("id", "vol", "cx"), "id").withColumn("exact", 20000 * F.col("cx"))
+    out = interpolate.error_norms(got, "price", "exact")
+    return out.select(*[_r(F.col(c)).alias(c) for c in out.columns])
+
+
+@query(f"WITH {S}, {T}, {W}, {q.first_order(['price'])}, {q.weights('wb', 's', 't')}, {q.first_order(['price'], 'back', 'o', 'wb', 's')} SELECT id, {q.r('price')} AS price FROM back")
+def remap_there_and_back(spark, sf_dir):
+    s, t = _source(spark, sf_dir), _target(spark)
+    o = Options(order=1, check_mismatch=False)
+    there = remap(s, t, ["price"], 2, options=o).join(t, "id")
+    return _rounded(remap(there, s.drop("price"), ["price"], 2, options=o), "price")
+
+
+# ---- mismatch and repair ----
+
+
+@query(f"WITH {q.grid('s', N)}, {T_OFF}, {W} SELECT {q.r('(SELECT sum(vol) FROM s)')} AS source_volume, {q.r('(SELECT sum(vol) FROM t)')} AS target_volume, {q.r('sum(m0)')} AS overlap_volume, true AS mismatch FROM w")
+def check_mismatch(spark, sf_dir):
+    s, t = meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), _target(spark, OFFSET)
+    m = repair.check_mismatch(intersect.intersect_boxes(t, s, 2), s, t)
+    return spark.createDataFrame([(round(m.source_volume, 6), round(m.target_volume, 6), round(m.overlap_volume, 6), m.found)], "source_volume double, target_volume double, overlap_volume double, mismatch boolean")
+
+
+_COVER = "c AS (SELECT t.id, coalesce(sum(m0), 0.0) AS covered FROM t LEFT JOIN w ON tgt_id = t.id GROUP BY t.id)"
+_LAYERS = f"{_COVER}, far AS (SELECT e.id, min(greatest(abs(e.ix - n.ix), abs(e.iy - n.iy))) AS layer FROM t e JOIN c ON c.id = e.id AND covered < 2.220446049250313e-16, t n JOIN c cn ON cn.id = n.id AND cn.covered >= 2.220446049250313e-16 GROUP BY e.id)"
+
+
+@query(f"WITH {q.grid('s', N)}, {T_OFF}, {W}, {_LAYERS} SELECT c.id, {q.r('covered')} AS covered, coalesce(layer, 0)::INTEGER AS layer FROM c LEFT JOIN far USING (id)")
+def empty_layers(spark, sf_dir):
+    s, t = meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), _target(spark, OFFSET)
+    return _rounded(repair.empty_layers(t, intersect.intersect_boxes(t, s, 2), _near(t, M)), "covered", keys=("id", "layer"))
+
+
+def _repaired(spark, sf_dir, **options):
+    s, t = _source(spark, sf_dir), _target(spark, OFFSET)
+    return _rounded(remap(s, t, ["price"], 2, source_adjacency=_near(s, N), target_adjacency=_near(t, M), options=Options(order=1, **options)), "price")
+
+
+_FIRST = f"{S}, {T_OFF}, {W}, {q.first_order(['price'])}, {_COVER}"
+
+
+@query(f"WITH {_FIRST} SELECT id, {q.r('price')} AS price FROM o")
+def repair_constant(spark, sf_dir):
+    return _repaired(spark, sf_dir, partial="constant", empty="leave_empty")
+
+
+@query(f"WITH {_FIRST} SELECT o.id, {q.r('CASE WHEN covered >= 2.220446049250313e-16 AND abs(covered - vol) / vol > 2.220446049250313e-14 THEN price * covered / vol ELSE price END')} AS price FROM o JOIN c USING (id) JOIN t USING (id)")
+def repair_locally_conservative(spark, sf_dir):
+    return _repaired(spark, sf_dir, partial="locally_conservative", empty="leave_empty")
+
+
+def _extrapolated(layers: int) -> str:
+    out = [f"v0 AS (SELECT o.id, price, coalesce(layer, 0) AS layer, ix, iy FROM o JOIN t USING (id) LEFT JOIN far USING (id))"]
+    for k in range(1, layers + 1):
+        out.append(f"""v{k} AS (SELECT a.id, CASE WHEN a.layer = {k} THEN coalesce((SELECT avg(b.price) FROM v{k - 1} b WHERE b.layer < {k} AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND a.id <> b.id), 0.0) ELSE a.price END AS price, a.layer, a.ix, a.iy FROM v{k - 1} a)""")
+    return ", ".join(out)
+
+
+@query(f"WITH {S}, {T_OFF}, {W}, {q.first_order(['price'])}, {_LAYERS}, {_extrapolated(3)} SELECT id, {q.r('price')} AS price FROM v3")
+def repair_extrapolate(spark, sf_dir):
+    return _repaired(spark, sf_dir, partial="constant", empty="extrapolate")
+
+
+@query()
+def repair_globally_conservative(spark, sf_dir):
+    return _repaired(spark, sf_dir)
+
+
+@query()
+def repair_globally_conservative_covered_only(spark, sf_dir):
+    return _repaired(spark, sf_dir, empty="leave_empty")
+
+
+# ---- parts, materials, momentum ----
+
+_PARTS = f"{S}, {T}, sp AS (SELECT *, (cx < 0.5)::INTEGER AS part FROM s), tp AS (SELECT *, (cx < 0.5)::INTEGER AS part FROM t), {q.weights(t='tp', s='sp', extra='AND t.part = s.part')}, {q.first_order(['price'], s='sp')}"
+
+
+@query(f"WITH {_PARTS} SELECT id, {q.r('price')} AS price FROM o")
+def remap_parts(spark, sf_dir):
+    tag = lambda d: d.withColumn("part", (F.col("cx") < 0.5).cast("int"))
+    return _rounded(Remapper(tag(_source(spark, sf_dir)), tag(_target(spark)), 2, part="part", options=Options(order=1, check_mismatch=False)).interpolate(["price"]), "price")
+
+
+_MATS = f"""{q.grid("s", N)}, {q.lineitem_cells(N)}, {T}, {W},
+    lm AS (SELECT id, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS mat, l_extendedprice FROM li),
+    mc AS (SELECT a.id, mat, k / t::DOUBLE AS volfrac, price FROM (SELECT id, mat, count(*) AS k, floor(avg(l_extendedprice))::DOUBLE AS price FROM lm GROUP BY id, mat) a JOIN (SELECT id, count(*) AS t FROM lm GROUP BY id) b ON a.id = b.id),
+    wm AS (SELECT tgt_id, src_id, mat, m0 * volfrac AS m0, price FROM w JOIN mc ON mc.id = src_id)"""
+
+
+@query(f"WITH {_MATS} SELECT t.id, mat, {q.r('sum(m0) / any_value(vol)')} AS volfrac, {q.r('sum(price * m0) / sum(m0)')} AS price FROM wm JOIN t ON t.id = tgt_id GROUP BY t.id, mat HAVING sum(m0) > 2.220446049250313e-16")
+def remap_materials(spark, sf_dir):
+    mats = tables.material_cells(spark, sf_dir, N)
+    w = intersect.intersect_boxes(_target(spark), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2)
+    w = w.join(mats.select(F.col("id").alias("src_id"), "mat", "volfrac"), "src_id").withColumns({c: F.col(c) * F.col("volfrac") for c in ("m0", "m1x", "m1y")}).drop("volfrac")
+    return _rounded(materials.remap_materials(w, mats, _target(spark), ["price"], 2), "volfrac", "price", keys=("id", "mat"))
+
+
+@query()
+def interface_reconstruction(spark, sf_dir):
+    s = meshes.box_rings(meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]))
+    pieces = materials.reconstruct(s, tables.material_cells(spark, sf_dir, N).select("id", "mat", "volfrac"), _near(s, N))
+    return pieces.withColumn("m", intersect_area(F.col("ring"))).select("id", "mat", _r(F.col("m")).alias("area"))
+
+
+def intersect_area(ring: Column) -> Column:
+    from .functions.geometry import polygon_moments
+
+    return polygon_moments(ring)["m0"]
+
+
+_MOM = f"{S}, {T}, sm AS (SELECT *, (qty + 1) * vol AS mass, qty + 1 AS density, (qty + 1) * (price / 10000) AS px, (qty + 1) * (cx - cy) AS py FROM s), {q.weights(s='sm')}, {q.gradients(['density', 'px', 'py'], True, 'sm')}, {q.second_order(['density', 'px', 'py'], s='sm')}"
+
+
+@query(f"WITH {_MOM} SELECT id, {q.r('density')} AS density, {q.r('density * vol')} AS mass, {q.r('CASE WHEN density <> 0 THEN px / density ELSE 0.0 END')} AS ux, {q.r('CASE WHEN density <> 0 THEN py / density ELSE 0.0 END')} AS uy FROM o JOIN t USING (id)")
+def momentum_cell_centred(spark, sf_dir):
+    s = _source(spark, sf_dir).withColumns({"mass": (F.col("qty") + 1) * F.col("vol"), "ux": F.col("price") / 10000, "uy": F.col("cx") - F.col("cy")})
+    return _rounded(momentum.remap_cch(s, _target(spark), _near(s, N), 2), "density", "mass", "ux", "uy")
+
+
+@query()
+def momentum_staggered(spark, sf_dir):
+    s, t = _source(spark, sf_dir), _target(spark)
+    corners = momentum.box_corners(s, [N, N])
+    mass = corners.join(s.select("id", "qty"), "id").select("id", "node", ((F.col("qty") + 1) * F.col("vol")).alias("mass"))
+    nodes = meshes.box_nodes(spark, [0, 0], [1, 1], [N, N]).select(F.col("id").alias("node"), F.col("x").alias("ux"), (F.col("x") - F.col("y")).alias("uy"))
+    return _rounded(momentum.remap_sgh(s, mass, nodes, t, _near(s, N), _near(t, M), momentum.box_corners(t, [M, M]), 2), "mass", "ux", "uy", keys=("node",))
+
+
+# ---- swept regions ----
+
+_DX = 0.015625
+
+
+def _swept_sql(fields: str) -> str:
+    """All inner nodes move by (dx, dx / 2): every inner face sweeps a parallelogram (or less at the boundary)."""
+    return f"""{q.grid("s", N)}, nd AS (SELECT i, j, i / {N}::DOUBLE AS x, j / {N}::DOUBLE AS y, i / {N}::DOUBLE + CASE WHEN i > 0 AND i < {N} AND j > 0 AND j < {N} THEN {_DX} ELSE 0.0 END AS tx, j / {N}::DOUBLE + CASE WHEN i > 0 AND i < {N} AND j > 0 AND j < {N} THEN {_DX / 2} ELSE 0.0 END AS ty
+      FROM (SELECT unnest(range({N + 1})) AS i), (SELECT unnest(range({N + 1})) AS j)),
+    ed AS (SELECT id, CASE e WHEN 0 THEN CASE WHEN iy > 0 THEN id - {N} END WHEN 1 THEN CASE WHEN ix < {N - 1} THEN id + 1 END WHEN 2 THEN CASE WHEN iy < {N - 1} THEN id + {N} END ELSE CASE WHEN ix > 0 THEN id - 1 END END AS nbr,
+        ix + [0, 1, 1, 0][e + 1] AS ai, iy + [0, 0, 1, 1][e + 1] AS aj, ix + [1, 1, 0, 0][e + 1] AS bi, iy + [0, 1, 1, 0][e + 1] AS bj FROM s, (SELECT unnest(range(4)) AS e)),
+    sw AS (SELECT id, nbr, ((b.x * a.y - a.x * b.y) + (a.x * a.ty - a.tx * a.y) + (a.tx * b.ty - b.tx * a.ty) + (b.tx * b.y - b.x * b.ty)) / 2 AS m0
+      FROM ed JOIN nd a ON a.i = ai AND a.j = aj JOIN nd b ON b.i = bi AND b.j = bj WHERE nbr IS NOT NULL),
+    w AS (SELECT id AS tgt_id, id AS src_id, vol AS m0 FROM s UNION ALL SELECT id, CASE WHEN m0 > 0 THEN nbr ELSE id END, m0 FROM sw WHERE abs(m0) >= 2.220446049250313e-16) {fields}"""
+
+
+def _moved(spark) -> tuple[DataFrame, DataFrame]:
+    nodes = meshes.box_nodes(spark, [0, 0], [1, 1], [N, N])
+    moved = meshes.move_nodes(nodes, {"x": F.lit(_DX), "y": F.lit(_DX / 2)}, F.col("is_boundary"))
+    return meshes.rings_from_nodes(nodes, [N, N]), meshes.rings_from_nodes(moved, [N, N])
+
+
+@query(f"WITH {_swept_sql('')} SELECT tgt_id, src_id, count(*) AS n, {q.r('sum(m0)')} AS m0 FROM w GROUP BY tgt_id, src_id")
+def swept_weights(spark, sf_dir):
+    before, after = _moved(spark)
+    w = swept.swept_weights_2d(before, after, meshes_neighbour())
+    return w.groupBy("tgt_id", "src_id").agg(F.count("*").alias("n"), _r(F.sum("m0")).alias("m0"))
+
+
+def meshes_neighbour() -> Column:
+    return swept.box_edge_neighbours(N, N)
+
+
+@query(f"WITH {_swept_sql('')}, {q.lineitem_cells(N)}, sv AS (SELECT id, floor(avg(l_extendedprice))::DOUBLE AS price FROM li GROUP BY id) SELECT tgt_id AS id, {q.r('sum(coalesce(price, 0.0) * m0) / sum(m0)')} AS price FROM w LEFT JOIN sv ON sv.id = src_id GROUP BY tgt_id")
+def swept_remap(spark, sf_dir):
+    before, after = _moved(spark)
+    s = _source(spark, sf_dir)
+    w = swept.swept_weights_2d(before, after, meshes_neighbour())
+    return _rounded(Remapper(s, s.drop("price"), 2, weights=w, options=Options(order=1, check_mismatch=False)).interpolate(["price"]), "price")
+
+
+@query()
+def swept_vortex_steps(spark, sf_dir):
+    """Four steps of a periodic vortex; each remaps what the step before left."""
+    from .plans.storage import materialize
+
+    nodes, s = meshes.box_nodes(spark, [0, 0], [1, 1], [N, N]), _source(spark, sf_dir)
+    value = s.select("id", "price")
+    for k in range(4):
+        after = materialize(meshes.move_nodes(nodes, meshes.vortex(k * 0.01, 0.01), F.col("is_boundary")))
+        rings = meshes.polygon_mesh(meshes.rings_from_nodes(nodes, [N, N])).join(value, "id")
+        moved = meshes.polygon_mesh(meshes.rings_from_nodes(after, [N, N]))
+        w = swept.swept_weights_2d(rings.select("id", "ring"), moved.select("id", "ring"), meshes_neighbour())
+        value = materialize(Remapper(rings, moved, 2, weights=w, options=Options(order=1, check_mismatch=False)).interpolate(["price"]))
+        nodes = after
+    return _rounded(value, "price")
+
+
+# ---- particles ----
+
+_PAIRS = f"{q.customers(0.0625)}, {q.suppliers(0.0625)}, d AS (SELECT su.id AS tgt_id, cu.v, su.x - cu.x AS dx, su.y - cu.y AS dy, sqrt(pow((su.x - cu.x) / su.h, 2) + pow((su.y - cu.y) / su.h, 2)) AS k FROM su JOIN cu ON abs(su.x - cu.x) < 2 * su.h AND abs(su.y - cu.y) < 2 * su.h), pw AS (SELECT *, {q.b4('k')} AS w FROM d)"
+
+
+def _swarms(spark, sf_dir):
+    return tables.customer_swarm(spark, sf_dir, 0.0625), tables.supplier_swarm(spark, sf_dir, 0.0625)
+
+
+@query(f"WITH {_PAIRS} SELECT su.id, {q.r('coalesce(sum(w * pw.v), 0.0)')} AS v FROM su LEFT JOIN pw ON tgt_id = su.id GROUP BY su.id")
+def swarm_density(spark, sf_dir):
+    s, t = _swarms(spark, sf_dir)
+    return _rounded(swarm_remap(s, t, ["v"], 2, estimator="kernel_density"), "v")
+
+
+@query(f"WITH {_PAIRS} SELECT su.id, {q.r('coalesce(CASE WHEN sum(w) <> 0 THEN sum(w * pw.v) / sum(w) ELSE 0.0 END, 0.0)')} AS v FROM su LEFT JOIN pw ON tgt_id = su.id GROUP BY su.id")
+def swarm_unitary(spark, sf_dir):
+    s, t = _swarms(spark, sf_dir)
+    return _rounded(swarm_remap(s, t, ["v"], 2), "v")
+
+
+@query()
+def swarm_linear(spark, sf_dir):
+    s, t = _swarms(spark, sf_dir)
+    return _rounded(swarm_remap(s, t, ["v"], 2, basis="linear"), "v")
+
+
+@query()
+def swarm_quadratic_gradient(spark, sf_dir):
+    s, t = _swarms(spark, sf_dir)
+    return _rounded(swarm_remap(s, t, ["v"], 2, basis="quadratic", derivative=1), "v")
+
+
+@query(
+    f"""WITH {q.customers(0.0625)}, {q.suppliers(0.0625)}, d AS (SELECT su.id AS tgt_id, cu.v, abs((su.x - cu.x) / cu.h) AS a, abs((su.y - cu.y) / cu.h) AS b FROM su JOIN cu ON abs(su.x - cu.x) < 2 * cu.h AND abs(su.y - cu.y) < 2 * cu.h),
+    pw AS (SELECT *, (1 - a * a * 0.25::DOUBLE) * (1 - b * b * 0.25::DOUBLE) AS w FROM d)
+    SELECT su.id, {q.r("coalesce(CASE WHEN sum(w) <> 0 THEN sum(w * pw.v) / sum(w) ELSE 0.0 END, 0.0)")} AS v FROM su LEFT JOIN pw ON tgt_id = su.id GROUP BY su.id"""
+)
+def swarm_scatter_tensor(spark, sf_dir):
+    s, t = _swarms(spark, sf_dir)
+    return _rounded(swarm_remap(s, t, ["v"], 2, kernel="epanechnikov", geometry="tensor", center="scatter"), "v")
+
+
+@query(f"WITH {_PAIRS}, n AS (SELECT tgt_id, count(*) AS n FROM pw GROUP BY tgt_id) SELECT min(n) AS least, max(n) AS most, {q.r('avg(n)')} AS mean, {q.r('stddev_pop(n)')} AS deviation FROM n")
+def swarm_neighbours(spark, sf_dir):
+    s, t = _swarms(spark, sf_dir)
+    out = particles.neighbour_statistics(particles.pair_weights(t, s, 2))
+    return out.select("least", "most", _r(F.col("mean")).alias("mean"), _r(F.col("deviation")).alias("deviation"))
+
+
+@query(
+    f"""WITH {S}, {T}, hp AS (SELECT id, cx, cy, sqrt(pow(xhi - xlo, 2) + pow(yhi - ylo, 2)) / 2 * 1.25::DOUBLE * 2 AS h FROM t),
+    d AS (SELECT hp.id AS tgt_id, price, abs((hp.cx - s.cx) / h) AS a, abs((hp.cy - s.cy) / h) AS b FROM hp JOIN s ON abs(hp.cx - s.cx) < 2 * h AND abs(hp.cy - s.cy) < 2 * h),
+    pw AS (SELECT *, ({q.b4("a")}) * ({q.b4("b")}) AS w FROM d) SELECT t.id, {q.r("coalesce(sum(w * price) / sum(w), 0.0)")} AS price FROM t LEFT JOIN pw ON tgt_id = t.id GROUP BY t.id"""
+)
+def remap_through_particles(spark, sf_dir):
+    return _rounded(mesh_swarm_mesh(_source(spark, sf_dir), _target(spark), ["price"], 2), "price")
+
+
+
+@query()
+def swarm_faceted(spark, sf_dir):
+    """Cells as faceted particles of polynomial ramps, scattered to the target's centroids."""
+    s = _source(spark, sf_dir)
+    swarm = particles.facets_of_cells(s, particles.box_faces(s, [N, N]), 2, factor=1.0).join(s.select("id", "price"), "id")
+    t = _target(spark).select("id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return _rounded(swarm_remap(swarm, t, ["price"], 2, kernel="polyramp", geometry="faceted", center="scatter"), "price")
+
+
+@query()
+def swarm_volume_integral(spark, sf_dir):
+    """Integrals of the price over the target's cells, by linear regression and the integral operator."""
+    t, s = _target(spark), _source(spark, sf_dir)
+    vertices = F.array(*[F.array(F.col("x" + a), F.col("y" + b)) for a, b in (("lo", "lo"), ("hi", "lo"), ("hi", "hi"), ("lo", "hi"))])
+    domain = t.select("id", F.col("cx").alias("x"), F.col("cy").alias("y"), vertices.alias("vertices"))
+    swarm = s.select("id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0.1).alias("hx"), F.lit(0.1).alias("hy"), "price")
+    goal = domain.select("id", "x", "y", F.lit(0.1).alias("hx"), F.lit(0.1).alias("hy"))
+    return _rounded(swarm_remap(swarm, goal, ["price"], 2, basis="linear", estimator="operator_regression", operator=particles.integral_operator(domain, 2, "linear")), "price")
+
+
+def _kernel_sql() -> str:
+    a = "abs(x)"
+    return f"""WITH p AS (SELECT k AS id, k / 16::DOUBLE AS x FROM (SELECT unnest(range(-40, 41)) AS k))
+    SELECT id, {q.r(q.b4(a))} AS b4, {q.r(f"CASE WHEN {a} < 2 THEN 0.375::DOUBLE * (1 - x * x * 0.25::DOUBLE) ELSE 0.0 END")} AS epanechnikov, {q.r(f"CASE WHEN {a} <= 2 THEN 1.0 ELSE 0.0 END")} AS square,
+      {q.r("CASE WHEN x < 0 THEN 1.0 WHEN x <= 1 THEN (1.5::DOUBLE - x) / 1.5::DOUBLE WHEN x < 2 THEN (2 - 2 * x + 0.5::DOUBLE * x * x) / 1.5::DOUBLE ELSE 0.0 END")} AS polyramp, {q.r("CASE WHEN x <= 2 THEN 1.0 ELSE 0.0 END")} AS step FROM p"""
+
+
+@query(_kernel_sql())
+def kernel_values(spark, sf_dir):
+    p = spark.range(-40, 41).withColumn("x", F.col("id") / 16.0)
+    return p.select("id", *[_r(kernels.kernel(k, F.col("x"))).alias(k) for k in ("b4", "epanechnikov", "square", "polyramp", "step")])
