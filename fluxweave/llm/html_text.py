@@ -37,6 +37,7 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+SILENT = INLINE | {"script", "style", "template", "noscript"}  # no block of their own
 DROPPED = frozenset("script style noscript template iframe object embed svg canvas math form button select option textarea input label fieldset nav aside footer head title menu dialog audio video map datalist".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -87,9 +88,7 @@ class Page:
         self.nodes: list[Node] = []
         self.root = self.top = Node("#root", None, 0, False, 0)
         at, end = 0, len(source)
-        for m in TOKEN.finditer(source):
-            if m.start() < at:  # inside raw text that is already over
-                continue
+        while (m := TOKEN.search(source, at)) is not None:
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
@@ -137,7 +136,7 @@ class Page:
         dropped, content = _role(tag, raw, inside)
         if tag in INLINE and not dropped:
             return
-        if tag not in INLINE:
+        if tag not in SILENT:
             self.pieces.append(" ")
         self.top = Node(tag, self.top, len(self.pieces), dropped or self.top.dropped, content)
         if raw.endswith("/") and tag in ("svg", "path"):
@@ -152,7 +151,7 @@ class Page:
         n.child_hashes = []
         self.nodes.append(n)
         self.top = up
-        if n.tag not in INLINE:
+        if n.tag not in SILENT:
             self.pieces.append(" ")
 
     def _close(self, tag: str) -> None:

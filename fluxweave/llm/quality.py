@@ -89,8 +89,11 @@ def lines_above_limits(rows: DataFrame, text: Column, host: Column, min_docs: in
 def line_frequency(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 5, min_share: float = 0.01,
                    max_loss: float = 0.5, broadcast_rows: int = 200_000) -> DataFrame:
     """All rows and columns of ``docs`` with the base columns, lost_chars (word characters in lines above the limits),
-    clean_text (the text without those lines) and kept."""
-    rows = with_uid(docs)
+    clean_text (the text without those lines) and kept.
+
+    Input columns of these names are replaced; those that start with an underscore are left out.
+    """
+    rows = with_uid(docs.drop(*[c for c in docs.columns if c.startswith("_") or c in ("lost_chars", "clean_text")]))
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000null"))
     above = materialize(lines_above_limits(rows, text, host, min_docs, min_share))

@@ -1,0 +1,67 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from fluxweave.llm import pii
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return 12 <= len(d) <= 19 and sum(v if i % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for i, v in enumerate(d)) % 10 == 0
+
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", luhn),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= sum(c.isdigit() for c in m) <= 15),
+]
+
+
+def brute(t):
+    out = [(m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(PATTERNS) for m in re.finditer(p, t or "") if ok(m[0])]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+TEXTS = [
+    None, "", "no data", "a@b.c_d@e.f x@y z@w..q a.b+c%d@x-y.co.uk.", "\U0001f600 ü me@x.org 1.2.3.4.5.6.7.8 999.1.1.1 256.1.1.1 0001.02.3.255",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 or 4111111111111111 4 1 1 1", "+1 (743) 555-3824 +12 +1234567 +123456789012345 +1234567890123456 ++4 (0)20-7946 0958.",
+    "@@@ a@ @b.c +- 1..2 1.2.3 " * 3, "1 2 3 " * 6000, "9" * 30000, "x" * 50000 + "@a.b", "a@" + "b." * 9000 + "c", "1.1.1.1" * 3, "4111111111111111\n+1 555 666 7777\tq@r.st",
+    "99999999999999999999.1.1.1 5.5.5.99999999999999999999",
+]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.train(spark)
+
+
+def test_base_spans_against_brute_force(spark, model, corpus):
+    rows = list(enumerate(TEXTS + [r[1] for r in corpus]))
+    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), model)
+    for r in found.select("doc_id", "text", pii.joined(F.col("base")).alias("base"), F.sha2(pii.joined(F.col("base")), 256).alias("h"), pii.joined(F.col("found")).alias("found")).collect():
+        assert r.base == brute(r.text), (r.text or "")[:80]
+        assert r.h == hashlib.sha256(r.base.encode()).hexdigest()
+        assert not r.base or set(r.base.split(",")) <= set(r.found.split(","))
+
+
+def test_method_adds_loose_formats_and_leaves_decoys(spark, model):
+    rows = [
+        (0, "please call me at phone (212) 555-0187 today", "phone"), (1, "contact jane.doe (at) example (dot) com soon", "email"), (2, "my visa card 4111.1111.1111.1111 expires", "card"),
+        (3, "order no 123 456 7890 shipped", ""), (4, "part 4111.1111.1111.1112 in stock", ""), (5, "look at it. then go", ""), (6, "meet at noon", ""),
+    ]
+    got = {r.doc_id: {x.kind for x in r.found} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string, kind string"), model).collect()}
+    for i, _, kind in rows:
+        assert got[i] == ({kind} if kind else set()), rows[i]
+
+
+def test_redaction(spark, model):
+    df = spark.createDataFrame([(1, "x me@a.org, +1 555 666 7777 y"), (2, None), (3, "clean")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(df, model).collect()} == {1: "x [EMAIL], [PHONE] y", 2: None, 3: "clean"}
+
+
+def test_odd_inputs(model, clashing, empty):
+    assert pii.detect(empty, model).count() == 0
+    assert pii.detect(clashing, model).count() == clashing.count()
