@@ -95,7 +95,8 @@ class Cascade:
         return listed
 
 
-def listed_hosts(hosts: DataFrame, labels=LISTED_LABELS) -> Column:
+def listed_hosts(labels=LISTED_LABELS) -> Column:
+    """Whether a key (a host) carries a listed label."""
     found = F.lit(False)
     for label in labels:
         found = found | F.array_contains(F.split("key", r"\."), label)
@@ -107,7 +108,7 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, block_list: Da
     rows = parts(pages, url_col)
     keys = rows.select(F.col("host").alias("key")).where("key <> ''").distinct()
     if block_list is None:
-        universe = keys.withColumn("listed", listed_hosts(keys))
+        universe = keys.withColumn("listed", listed_hosts())
     else:
         universe = keys.join(block_list.select(F.col(block_list.columns[0]).alias("key")).distinct().withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     cascade = Cascade(materialize(universe), **options)
