@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, with_uid
+from .common import SPACES, materialize
 
 SEP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -93,16 +93,19 @@ def line_frequency(docs: DataFrame, *, text_col: str = "text", host_col: str = "
 
     Input columns of these names are replaced; those that start with an underscore are left out.
     """
-    rows = with_uid(docs.drop(*[c for c in docs.columns if c.startswith("_") or c in ("lost_chars", "clean_text")]))
+    rows = docs.drop(*[c for c in docs.columns if c.startswith("_") or c in ("lost_chars", "clean_text")])
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000null"))
     above = materialize(lines_above_limits(rows, text, host, min_docs, min_share))
     small = above.count() <= broadcast_rows
-    held = rows.select("_uid", host.alias("_host"), F.explode(_lines(text)).alias("_raw"))
-    held = held.select("_uid", "_host", _line_key(F.col("_raw")).alias("_line"), F.length(F.translate("_raw", SPACES, "")).alias("_chars"))
-    lost = held.join(F.broadcast(above) if small else above, ["_host", "_line"]).groupBy("_uid").agg(F.sum("_chars").alias("lost_chars"), F.collect_set("_line").alias("_cut"))
-    judged = base_columns(rows, text_col).join(lost, "_uid", "left")
+    # what a text loses depends on its host and itself only, so its copies share one row here
+    held = rows.select(host.alias("_host"), F.xxhash64(text).alias("_doc"), F.posexplode(_lines(text)).alias("_pos", "_raw"))
+    held = held.select("_host", "_doc", "_pos", _line_key(F.col("_raw")).alias("_line"), F.length(F.translate("_raw", SPACES, "")).alias("_chars"))
+    cut = held.join(F.broadcast(above) if small else above, ["_host", "_line"]).dropDuplicates(["_host", "_doc", "_pos"])
+    lost = cut.groupBy("_host", "_doc").agg(F.sum("_chars").alias("lost_chars"), F.collect_set("_line").alias("_cut"))
+    keyed = rows.withColumns({"_host": host, "_doc": F.xxhash64(text)})
+    judged = base_columns(keyed, text_col).join(lost, ["_host", "_doc"], "left")
     judged = judged.withColumn("lost_chars", F.coalesce("lost_chars", F.lit(0)).cast("long"))
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: (F.btrim(x, F.lit(SPACES)) == "") | ~F.array_contains("_cut", _line_key(x))), "\n")
     judged = judged.withColumn("clean_text", F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(left))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_loss * F.col("word_chars"))).drop("_uid", "_cut")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_loss * F.col("word_chars"))).drop("_host", "_doc", "_cut")

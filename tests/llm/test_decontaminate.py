@@ -44,7 +44,7 @@ def test_against_brute_force(spark, docs, corpus):
     want = brute(rows, items)
     assert run(df, bench) == want
     assert run(df, bench, block_bytes=40) == want  # several blocks
-    assert sum(r[5] for r in want) >= 4
+    assert sum(r[5] for r in want) >= 3
 
 
 def test_removal(spark, corpus):
