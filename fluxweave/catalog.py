@@ -137,21 +137,22 @@ def search_points_bins(spark, sf_dir):
 
 # ---- intersect ----
 
-_WEIGHTS = f"WITH {q.grid('s', N)}, {T}, {W} SELECT tgt_id, src_id, round(m0, 11) AS m0, round(m1x, 11) AS m1x, round(m1y, 11) AS m1y FROM w WHERE m0 > 1e-12"
+#: These moments are multiples of 2**-13 / 27: thirteen digits hold the dyadic ones exactly, so none is a tie.
+_WEIGHTS = f"WITH {q.grid('s', N)}, {T}, {W} SELECT tgt_id, src_id, round(m0, 13) AS m0, round(m1x, 13) AS m1x, round(m1y, 13) AS m1y FROM w WHERE m0 > 1e-12"
 
 
-def _shown(w: DataFrame) -> DataFrame:
-    return w.where("m0 > 1e-12").select("tgt_id", "src_id", *[F.round(c, 11).alias(c) for c in w.columns if c.startswith("m")])
+def _shown(w: DataFrame, digits: int = 11) -> DataFrame:
+    return w.where("m0 > 1e-12").select("tgt_id", "src_id", *[F.round(c, digits).alias(c) for c in w.columns if c.startswith("m")])
 
 
 @query(_WEIGHTS)
 def intersect_boxes(spark, sf_dir):
-    return _shown(intersect.intersect_boxes(_target(spark), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2))
+    return _shown(intersect.intersect_boxes(_target(spark), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2), 13)
 
 
 @query(_WEIGHTS)
 def intersect_polygons(spark, sf_dir):
-    return _shown(intersect.intersect_polygons(meshes.box_rings(_target(spark)), meshes.box_rings(meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]))))
+    return _shown(intersect.intersect_polygons(meshes.box_rings(_target(spark)), meshes.box_rings(meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]))), 13)
 
 
 @query(
@@ -380,12 +381,13 @@ _MATS = f"""{q.grid("s", N)}, {q.lineitem_cells(N)}, {T}, {W},
     wm AS (SELECT tgt_id, src_id, mat, m0 * volfrac AS m0, price FROM w JOIN mc ON mc.id = src_id)"""
 
 
-@query(f"WITH {_MATS} SELECT t.id, mat, {q.r('sum(m0) / any_value(vol)')} AS volfrac, {q.r('sum(price * m0) / sum(m0)')} AS price FROM wm JOIN t ON t.id = tgt_id GROUP BY t.id, mat HAVING sum(m0) > 2.220446049250313e-16")
+@query(f"WITH {_MATS} SELECT t.id, mat, round(sum(m0) / any_value(vol), 10) AS volfrac, {q.r('sum(price * m0) / sum(m0)')} AS price FROM wm JOIN t ON t.id = tgt_id GROUP BY t.id, mat HAVING sum(m0) > 2.220446049250313e-16")
 def remap_materials(spark, sf_dir):
     mats = tables.material_cells(spark, sf_dir, N)
     w = intersect.intersect_boxes(_target(spark), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2)
     w = w.join(mats.select(F.col("id").alias("src_id"), "mat", "volfrac"), "src_id").withColumns({c: F.col(c) * F.col("volfrac") for c in ("m0", "m1x", "m1y")}).drop("volfrac")
-    return _rounded(materials.remap_materials(w, mats, _target(spark), ["price"], 2), "volfrac", "price", keys=("id", "mat"))
+    got = materials.remap_materials(w, mats, _target(spark), ["price"], 2)
+    return got.select("id", "mat", F.round("volfrac", 10).alias("volfrac"), _r(F.col("price")).alias("price"))
 
 
 @query()
