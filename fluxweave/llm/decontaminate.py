@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import with_uid
+from .common import map_arrow, with_uid
 
 WINDOW = 13
 MIN_SHARE = 20  # contaminated: at least one word in twenty is hit
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
         return run
 
-    parts = [rows.mapInArrow(found(s), f"{head}, {runs}, items array<string>") for s in sets]
+    parts = [rows.transform(map_arrow, found(s), f"{head}, {runs}, items array<string>") for s in sets]
     all_hits = parts[0]
     if len(parts) > 1:  # the blocks of a large benchmark meet by row; rows without a hit carry empty arrays
         for p in parts[1:]:
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
                 ["_uid", "_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_runs"],
             )
 
-    return all_hits.mapInArrow(judge, f"_uid long, {head.split(', ')[1]}, {REPORT}, {runs}").withColumnRenamed("_id", id_col)
+    return all_hits.transform(map_arrow, judge, f"_uid long, {head.split(', ')[1]}, {REPORT}, {runs}").withColumnRenamed("_id", id_col)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", text_col: str = "text", item_col: str = "item_id",
@@ -195,7 +195,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", te
 
         return run
 
-    return docs.mapInArrow(kept(sets), schema)
+    return docs.transform(map_arrow, kept(sets), schema)
 
 
 def _lead(raw: bytes) -> int:

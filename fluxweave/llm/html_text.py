@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?
@@ -231,7 +231,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["_host", "digest"])
 
     per_host = rows.groupBy("_host").agg(F.count("*").alias("_n"))
-    seen = rows.select("_host", "_html").mapInArrow(subtrees, "_host string, digest long").groupBy("_host", "digest").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_pages)
+    seen = rows.select("_host", "_html").transform(map_arrow, subtrees, "_host string, digest long").groupBy("_host", "digest").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_pages)
     found = materialize(seen.join(per_host, "_host").where(F.col("_c") >= min_share * F.col("_n")).select("_host", "digest"))
     few = found.count() <= broadcast_rows
     templates = found.groupBy("_host").agg(F.collect_list("digest").alias("_cut"))
@@ -243,4 +243,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["_id", "_url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return met.mapInArrow(texts, f"_id {kind}, _url string, text string, n_chars long").withColumnsRenamed({"_id": id_col, "_url": url_col})
+    return met.transform(map_arrow, texts, f"_id {kind}, _url string, text string, n_chars long").withColumnsRenamed({"_id": id_col, "_url": url_col})

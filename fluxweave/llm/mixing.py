@@ -8,7 +8,7 @@ few numbers, preconditioned by the Gram matrix of the posteriors.  A document's
 and the list of steps, so no state is kept per document.
 
 Default targets flatten the domains' expected shares (to the power ``flatten``), with a total at which the most
-over-represented domain keeps its tokens: rates then repeat the rarer domains and drop nothing.
+over-represented domain keeps its tokens and rates of at least 1: they repeat the rarer domains and drop nothing.
 
 Defined results: null and empty texts have no tokens, the prior as posteriors and a rate that touches no total; null
 domains are not learned from; without labelled rows there is one domain and all rates are 1; repeated rows count each.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import materialize
+from .common import map_arrow, materialize
 
 BUCKETS = 1 << 14
 
@@ -36,6 +36,7 @@ class Model:
     log_prior: np.ndarray
     log_word: np.ndarray  # [bucket, domain]
     evidence: float
+    floor: float = 0.0  # the least rate
     steps: list[np.ndarray] = field(default_factory=list)
 
     def posteriors(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,7 @@ class Model:
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
         for s in self.steps:
-            r = np.maximum(0.0, r - p @ s)
+            r = np.maximum(self.floor, r - p @ s)
         return r
 
 
@@ -77,7 +78,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[d, b])], ["domain", "bucket", "n"])
 
     counts = np.zeros((BUCKETS, len(domains)))
-    got = train.mapInArrow(count, "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most domains * BUCKETS rows
+    got = train.transform(map_arrow, count, "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most domains * BUCKETS rows
     counts[got["bucket"].to_numpy(), got["domain"].to_numpy()] = got["n"].to_numpy()
     back = counts.sum(1, keepdims=True) + 0.5
     smooth = counts + 200.0 * back / back.sum()
@@ -94,13 +95,17 @@ def memberships(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
                 n, p = model.posteriors(w)
                 yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], ["n", "p"])
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "n long, p array<double>")
+    return docs.select(F.col(text_col).alias("_text")).transform(map_arrow, run, "n long, p array<double>")
 
 
 def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | None = None, total: float | None = None, flatten: float = 0.7, max_steps: int = 30,
               tolerance: float = 1e-6) -> Model:
-    """The model with the steps that bring the expected domain totals to the targets (shares by domain, times total)."""
+    """The model with the steps that bring the expected domain totals to the targets (shares by domain, times total).
+
+    Without a total, the most over-represented domain keeps its tokens and no rate is under 1, so no document goes.
+    """
     k = len(model.domains)
+    model.floor = 1.0 if total is None else 0.0
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, gram = np.zeros(k), np.zeros((k, k))
@@ -114,7 +119,7 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
     def gathered() -> tuple[np.ndarray, np.ndarray]:
         each = F.posexplode("v").alias("i", "x")
         v = np.zeros(k + k * k)
-        for r in members.mapInArrow(sums, "v array<double>").select(each).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        for r in members.transform(map_arrow, sums, "v array<double>").select(each).groupBy("i").agg(F.sum("x").alias("x")).collect():
             v[r.i] = r.x
         return v[:k], v[k:].reshape(k, k)
 
@@ -131,10 +136,13 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
         total = max(reached[i] / share[i] for i in range(k) if share[i] > 0)
     goal = share * total
     inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k))
+    last = np.inf
     for _ in range(max_steps):
         miss = reached - goal
-        if np.abs(miss).max() <= tolerance * total:
+        now = np.abs(miss).max()
+        if now <= tolerance * total or now > 0.95 * last:  # there, or as near as the bound on the rates lets it come
             break
+        last = now
         model.steps.append(inverse @ miss)
         reached, _ = gathered()
     return model
@@ -153,7 +161,7 @@ def mix(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(w.row0, size), pa.array(n.astype(np.int64)), pa.array(list(np.round(p, 9)), pa.list_(pa.float64())), pa.array(np.round(r, 9)), pa.array(copies)], ["_id", "n_tokens", "posteriors", "rate", "copies"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _draw(id_col, text_col))
-    return rows.mapInArrow(run, f"_id {head}, n_tokens long, posteriors array<double>, rate double, copies long").withColumnRenamed("_id", id_col)
+    return rows.transform(map_arrow, run, f"_id {head}, n_tokens long, posteriors array<double>, rate double, copies long").withColumnRenamed("_id", id_col)
 
 
 def _draw(id_col: str, text_col: str):
@@ -175,4 +183,4 @@ def resample(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             for i in range(0, len(times), 500):  # a row at most max(times) times, in small batches
                 yield out.take(pa.array(np.repeat(np.arange(i, min(i + 500, len(times))), times[i : i + 500])))
 
-    return docs.select("*", _draw(id_col, text_col)).mapInArrow(run, docs.schema)
+    return docs.select("*", _draw(id_col, text_col)).transform(map_arrow, run, docs.schema)

@@ -94,12 +94,16 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def words(column: pa.Array, separators: np.ndarray, chunk_bytes: int = 1 << 20) -> Iterator[Words]:
+def words(column: pa.Array, separators: np.ndarray, chunk_bytes: int = 1 << 19) -> Iterator[Words]:
     """Lower-cased (A-Z) words of a string column, in chunks of whole rows; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = column.fill_null("")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import crc_mod, materialize
+from .common import crc_mod, map_arrow, materialize
 
 PREFIXES = (4, 5, 6)
 KINDS = (0, *PREFIXES)
@@ -157,7 +157,7 @@ def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, max_lexico
                     docs_ = np.bincount(where, minlength=len(got))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), kind, np.int32)), pa.array(got.astype(np.int64)), pa.array(docs_.astype(np.int64)), pa.array(toxic.astype(np.int64))], ["kind", "key", "n", "n1"])
 
-    counts = train.mapInArrow(count, "kind int, key long, n long, n1 long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+    counts = train.transform(map_arrow, count, "kind int, key long, n long, n1 long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     a1, a0 = prior * pi, prior * (1 - pi)
     y1, y0 = F.col("n1") + F.lit(a1), F.col("n") - F.col("n1") + F.lit(a0)
     counts = counts.withColumn("z", (F.log(y1 / y0) - math.log(pi / (1 - pi))) / F.sqrt(1 / y1 + 1 / y0))
@@ -180,7 +180,7 @@ def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, max_lexico
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(total[c, e])], ["y", "entry", "n"])
 
     got = np.zeros((2, m + 1))
-    for r in train.mapInArrow(tokens, "y int, entry int, n long").groupBy("y", "entry").agg(F.sum("n").alias("n")).collect():
+    for r in train.transform(map_arrow, tokens, "y int, entry int, n long").groupBy("y", "entry").agg(F.sum("n").alias("n")).collect():
         got[r.y, r.entry] = r.n
     share = got.sum(0) / max(got.sum(), 1)
     smooth = (got + prior * share) / (got.sum(1, keepdims=True) + prior)
@@ -197,7 +197,7 @@ def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, max_lexico
                     n.append(words)
             yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["y", "n", "s"])
 
-    scored = materialize(train.mapInArrow(sums, "y int, n long, s array<double>"))
+    scored = materialize(train.transform(map_arrow, sums, "y int, n long, s array<double>"))
     clean = scored.where("y <> 1 and n > 0").agg(F.count("*").alias("c"), F.sum(F.col("n") * F.exp(-F.coalesce(F.array_max("s"), F.lit(0.0)))).alias("v")).first()
     model.k = clean.c / clean.v if clean.c else 1.0
 
@@ -206,7 +206,7 @@ def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, max_lexico
             x = [round(min(model.statistic(s, n), 200.0), 1) for s, n in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.float64())], ["y", "x"])
 
-    histogram = scored.mapInArrow(stats, "y int, x double").groupBy("x").agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("n1")).orderBy("x").collect()
+    histogram = scored.transform(map_arrow, stats, "y int, x double").groupBy("x").agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("n1")).orderBy("x").collect()
     model.slope, model.shift = _logistic(np.array([r.x for r in histogram]), np.array([r.n for r in histogram], float), np.array([r.n1 for r in histogram], float))
     return model
 
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(p, pa.float64()), pa.array([len(x) for x in where], pa.int64()), pa.array(where, kind)], ["_id", "score", "n_passages", "passages"])
 
     head = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {head}, {REPORT}").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).transform(map_arrow, run, f"_id {head}, {REPORT}").withColumnRenamed("_id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -258,4 +258,4 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
             keep = [m.probability(m.statistic([x[2] for x in found], n)) < threshold for w in K.words(batch.column(text_col), K.NOT_ALNUM) for _, n, found in m.of(w)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)
