@@ -8,10 +8,10 @@ has an empty set and no links).  Equal sets are one node from the start, so copi
    rarest first, ties by hash.  Any sketch error only shifts the order, never a result.
 2. ``postings``: the prefixes that two sets of the wanted similarity must share, as (token, node, size, position); a
    task sends a set once however many copies it reads; tokens of a single node go.
-3. Links are found in two rounds.  First each token's nodes are held against a few of its own nodes (hubs), which is
-   linear in the postings, and the links found are joined into components.  Then every remaining pair that shares a
-   prefix token across components is tried, so no link that could join two components is lost, and no group of near
-   copies is ever expanded into all its pairs.
+3. Links are found in rounds.  In the first ones each token's nodes are held against a few of its own nodes (hubs),
+   which is linear in the postings, and the links found are joined into components.  In the last one every remaining
+   pair that shares a prefix token across components is tried, so no link that could join two components is lost, and
+   no group of near copies is ever expanded into all its pairs.
 4. ``verify``: pairs pass an exact bound from the bitmaps; then the global order is cut into fragments of equal mass,
    partial overlaps are counted for each fragment on its own and summed per pair.
 
@@ -30,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import materialize
+from .common import map_arrow, materialize
 
 WORDS = 5
 PERCENT = 75
 CELLS_LOG2 = 22
 BLOCK = 1 << 16
-BITMAP = 1024
+BITMAP = 256
 FRAGMENTS = 8
-HUBS = 8
+#: Hubs a group of near copies meets in each of the linear rounds.
+HUBS = (1, 4)
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,9 +60,20 @@ def node_of(s: np.ndarray) -> int:
     return int(K.mix(np.append(K.mix(s), np.uint64(len(s)))).sum().astype(np.int64))
 
 
-def _bitmap(s: np.ndarray) -> list[int]:
-    parity = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of hash buckets, a power of two of them and at least one a shingle: sets that differ in k shingles differ
+    in at most k parities."""
+    size = max(BITMAP, 1 << max(len(s) - 1, 0).bit_length())
+    parity = np.bincount((s >> np.uint64(40)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differ(a: str, b: str):
+    """Parities in which two bitmaps differ, the longer one folded to half; 0 where they are too unlike in length."""
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2 + 1).cast("int"), (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    count = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    x, y = F.col(a), F.col(b)
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) == 2 * F.size(y), count(half(x), y)).when(F.size(y) == 2 * F.size(x), count(x, half(y))).otherwise(F.lit(0).cast("long"))
 
 
 def _cells(s: np.ndarray) -> np.ndarray:
@@ -82,9 +94,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Dat
         def flush() -> None:
             nonlocal held
             if waiting:
-                got = np.bincount(np.concatenate(waiting), minlength=1 << CELLS_LOG2)
-                np.minimum(got + local, 255, out=got)
-                local[:] = got
+                cells, got = np.unique(np.concatenate(waiting), return_counts=True)
+                local[cells] = np.minimum(local[cells] + got, 255)
                 waiting.clear()
                 held = 0
 
@@ -97,7 +108,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Dat
                 bits.append(_bitmap(s))
                 waiting.append(_cells(s))
                 held += len(s)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     flush()
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -121,9 +132,9 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Dat
         for b, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.log2(np.maximum(c, 1)).astype(np.uint8).tobytes()], pa.binary()), pa.array([int(c.sum())], pa.int64())], ["block", "level", "mass"])
 
-    made = materialize(rows.mapInArrow(scan, schema))
+    made = materialize(rows.transform(map_arrow, scan, schema))
     order = np.zeros(1 << CELLS_LOG2, np.uint8)
-    for r in made.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add_up, "block int, level binary, mass long").toLocalIterator():
+    for r in made.where("block is not null").select("block", "counts").repartition("block").transform(map_arrow, add_up, "block int, level binary, mass long").toLocalIterator():
         order[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.level, np.uint8)
     return made.where("block is null").select("_id", "node", "n", "bits"), order
 
@@ -147,7 +158,7 @@ def postings(docs: DataFrame, text_col: str, order, size: int, percent: int) ->
                 k = _prefix(len(s), percent)
                 first = np.lexsort((s, level[_cells(s)]))[:k]
                 out.append((s[first].astype(np.int64), node, len(s), k))
-                if len(out) >= 2000:
+                if len(out) >= 500:
                     yield pack(out)
                     out = []
             yield pack(out)
@@ -191,8 +202,8 @@ def postings(docs: DataFrame, text_col: str, order, size: int, percent: int) ->
             last, sent = tuple(tab.column(i)[-1].as_py() for i in range(4)), bool(as_before[-1])
 
     schema = "token long, node long, n int, pos int"
-    sent = docs.select(F.col(text_col).alias("_text")).mapInArrow(emit, schema)
-    return sent.repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared, schema)
+    sent = docs.select(F.col(text_col).alias("_text")).transform(map_arrow, emit, schema)
+    return sent.repartition("token").sortWithinPartitions("token", "node").transform(map_arrow, shared, schema)
 
 
 def _fits(a: str, b: str, percent: int):
@@ -209,24 +220,31 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def hub_pairs(shared: DataFrame, percent: int, hubs: int) -> DataFrame:
-    """Each token's nodes against the hub of their size class and of the next one.
+def open_postings(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The postings with their components, without the tokens whose nodes are all in one component already."""
+    if labels is None:
+        return shared.withColumn("comp", F.col("node"))
+    posted = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_tokens = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return materialize(posted.join(open_tokens, "token", "left_semi"))
+
+
+def hub_pairs(posted: DataFrame, percent: int, hubs: int) -> DataFrame:
+    """Each token's nodes against the hub of their size class and of the next one, where the components differ.
 
     The hub depends on the token modulo ``hubs``, so a group of near copies meets up to that many different hubs.
     """
-    row = F.struct("node", "n", "pos")
+    row = F.struct("node", "n", "pos", "comp")
     # sets of the wanted similarity are in one class of sizes or in neighbouring ones
-    posted = shared.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
-    hub = posted.groupBy("token", "cls").agg(F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(hubs))).alias("rank"), row.alias("y"))).alias("hub")).select("token", "cls", F.col("hub.y").alias("y"))
-    near = posted.select("token", row.alias("x"), F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"))
-    return _ordered(near.join(hub, ["token", "cls"]).select("x", "y")).where(_fits("a", "b", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    posted = posted.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    hub = posted.groupBy("token", "cls").agg(F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(hubs)), F.lit(hubs)).alias("rank"), row.alias("y"))).alias("hub")).select("token", "cls", F.col("hub.y").alias("y"))
+    hub = hub.select("token", "y", F.explode(F.array("cls", F.col("cls") - 1)).alias("cls"))  # hubs are fewer than postings
+    met = posted.select("token", "cls", row.alias("x")).join(hub, ["token", "cls"]).where(F.col("x.comp") != F.col("y.comp")).select("x", "y")
+    return _ordered(met).where(_fits("a", "b", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
-def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def rest_pairs(posted: DataFrame, percent: int) -> DataFrame:
     """Every pair across components that shares a prefix token."""
-    posted = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_tokens = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    posted = materialize(posted.join(open_tokens, "token", "left_semi"))
     row = F.struct("node", "n", "pos", "comp")
     x, y = posted.select("token", row.alias("x")), posted.select("token", row.alias("y"))
     met = x.join(y, "token").where((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
@@ -237,10 +255,11 @@ def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def verify(docs: DataFrame, prof: DataFrame, pairs: DataFrame, order, id_col: str, text_col: str, size: int, percent: int, fragments: int,
            broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) whose sets have the wanted similarity."""
-    nodes = prof.groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    sig = materialize(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    few = lambda d: F.broadcast(d) if d.count() <= broadcast_rows else d
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sig = materialize(prof.join(few(needed), "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     of = lambda k: sig.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    differ = _differ("bitsa", "bitsb")
     most = (100 - percent) * (F.col("na") + F.col("nb"))  # set difference at the wanted similarity, times (100 + percent)
     left = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * differ <= most).select("a", "b", "na", "nb"))
 
@@ -266,9 +285,8 @@ def verify(docs: DataFrame, prof: DataFrame, pairs: DataFrame, order, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], ["node", "frag", "seg"])
 
     wanted = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sig.select("node", "_id"), "node").select("_id").distinct())
-    few = wanted.count() <= broadcast_rows
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted) if few else wanted, "_id", "left_semi")
-    seg = materialize(texts.mapInArrow(segments, "node long, frag int, seg array<long>").dropDuplicates(["node", "frag"]))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(few(wanted), "_id", "left_semi")
+    seg = texts.transform(map_arrow, segments, "node long, frag int, seg array<long>").dropDuplicates(["node", "frag"])  # one exchange serves both joins
     cells = left.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
     of = lambda k: seg.select(F.col("node").alias(k), "frag", F.col("seg").alias(f"seg{k}"))
     part = cells.join(of("a"), ["a", "frag"]).join(of("b"), ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sega", "segb")).alias("common"))
@@ -305,20 +323,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS,
-         hubs: int = HUBS, broadcast_rows: int = 2_000_000) -> DataFrame:
+         hubs: tuple[int, ...] = HUBS, broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row per document: id, n_shingles and component_id, the smallest id reachable by links."""
     prof, level = profile(docs, id_col, text_col, size)
     order = docs.sparkSession.sparkContext.broadcast(level)
     shared = materialize(postings(docs, text_col, order, size, percent))
     args = (order, id_col, text_col, size, percent, fragments, broadcast_rows)
-    tried = materialize(hub_pairs(shared, percent, hubs))
-    links = materialize(verify(docs, prof, tried, *args))
-    labels = components(links)
-    rest = materialize(rest_pairs(shared, labels, percent).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = materialize(verify(docs, prof, rest, *args))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    labels, links, tried = None, None, None
+    for step in (*hubs, None):
+        posted = open_postings(shared, labels)
+        pairs = hub_pairs(posted, percent, step) if step else rest_pairs(posted, percent)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if labels is not None and pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = materialize(verify(docs, prof, pairs, *args))
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
     labels = materialize(labels)
     owned = prof.where("n > 0").select("_id", "n", "node").join(labels, "node", "left").select("_id", "n", F.coalesce("comp", "node").alias("comp"))
     least = owned.groupBy("comp").agg(F.min("_id").alias("component_id"))
