@@ -1,15 +1,19 @@
-"""LM scoring by a class-based bigram model whose classes an exchange clustering finds.
+"""LM scoring by a class-based bigram model whose classes cover every counted word.
 
-Counts come from all training documents.  A word type is a word of at least ``type_share`` of all tokens (so there are
-at most 1/type_share of them) or, for all other words, one of ``SUFFIXES`` endings; the end of a text is a type too.
-The type-bigram table therefore has a proven bound whatever the corpus size.  Exchange clustering moves one type at a
-time to the class that most raises the class-bigram likelihood.
+Counts come from all training documents, and every word of them is a type with a class of its own.  Exchange
+clustering finds the classes from the most frequent words (those of at least ``type_share`` of all tokens, at most
+1/type_share of them, with one of ``SUFFIXES`` endings in the place of each other word): it moves one type at a time
+to the class that most raises the class-bigram likelihood.  Each other word then goes to the class that is likeliest
+by its own counts of the classes before and after it, which are gathered for all words in one shuffle.  The class
+bigrams are counted anew with the classes of all words.  Only words that no training document holds are known by
+their ending alone.
 
-P(word | history) = P(class | previous class) * P(type | class) * P(word | type), each smoothed and summing to one over
-the known words plus one unknown word for each ending.
+P(word | history) = P(class | previous class) * P(word | class), each smoothed and summing to one over the known words
+plus one unknown word for each ending.
 
-Scale: words of at least ``head_share`` of the tokens (at most 1/head_share of them) are looked up from a broadcast
-table; the counts of all rarer words meet their documents in one shuffle join, whose keys are rare by construction.
+Scale: the table of words and classes stays distributed and grows with the input.  Words of at least ``head_share`` of
+the tokens (at most 1/head_share of them) are looked up from a broadcast copy; the classes and counts of all rarer
+words meet their documents in one shuffle join, whose keys are rare by construction.
 
 Defined results: null and empty texts are one end token; null ids count as not held out; repeated rows are scored (and
 learned) one by one; without training rows every probability is uniform.
@@ -22,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,95 +136,171 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return cls
 
 
-class Model:
-    """All that a scan needs: the head words, the types' classes and the log10 probabilities."""
+def _look_up(w: K.Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and types: the place in the sorted known keys; len(known) is the end of a text, then come the endings."""
+    keys = word_keys(w)
+    suffix = len(known) + 1 + (keys & (SUFFIXES - 1))
+    if not len(known):
+        return keys, suffix
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return keys, np.where(known[at] == keys, at, suffix)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, end_count: int, type_min: float):
-        order = np.argsort(keys)
-        self.keys, self.counts, self.n, self.v = keys[order], counts[order], n, v
-        own = np.flatnonzero(self.counts >= type_min)
-        self.types = np.full(len(keys), -1, np.int64)
-        self.types[own] = np.arange(len(own))
-        self.end = len(own)
-        self.size = len(own) + 1 + SUFFIXES
-        self.end_count = end_count
-
-    def look_up(self, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, types and head counts (-1: not a head word)."""
-        keys = word_keys(w)
-        suffix = self.size - SUFFIXES + (keys & (SUFFIXES - 1))
-        if not len(self.keys):
-            return keys, suffix, np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        head = self.keys[at] == keys
-        typed = head & (self.types[at] >= 0)
-        return keys, np.where(typed, self.types[at], suffix), np.where(head, self.counts[at], -1)
-
-    def chain(self, w: K.Words, types: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Types with the end of every text put in: previous type, type and row of every token."""
-        rows = w.row1 - w.row0
-        row = np.concatenate([K.row_of(w.off), np.arange(rows)])
-        order = np.argsort(row, kind="stable")
-        now = np.concatenate([types, np.full(rows, self.end)])[order]
-        row = row[order]
-        before = np.concatenate([[self.end], now[:-1]])
-        return before, now, row
-
-    def learn(self, bigrams: np.ndarray, suffix_n: np.ndarray, suffix_v: np.ndarray, classes: int, alpha: float) -> None:
-        self.cls = exchange(bigrams, classes)
-        k = int(self.cls.max()) + 1
-        count = bigrams.sum(0)
-        cc = np.zeros((k, k))
-        np.add.at(cc, (self.cls[:, None].repeat(self.size, 1), self.cls[None, :].repeat(self.size, 0)), bigrams)
-        of = np.bincount(self.cls, weights=count + 1, minlength=k)
-        self.step = np.log10((cc + alpha * of / of.sum()) / (cc.sum(1, keepdims=True) + alpha))
-        self.emit = np.log10((count + 1) / of[self.cls])
-        self.within = np.zeros(self.size)
-        self.within[self.size - SUFFIXES :] = -np.log10(suffix_n + suffix_v + 1)
 
+def _with_ends(w: K.Words, values: np.ndarray, end) -> np.ndarray:
+    """The values of all words with one more after the words of each row."""
+    out = np.full(len(values) + w.row1 - w.row0, end, values.dtype)
+    out[np.arange(len(values)) + K.row_of(w.off)] = values
+    return out
 
-def fit(train: DataFrame, vocab: DataFrame, *, classes: int = 64, type_share: float = 5e-4, head_share: float = 1e-6, alpha: float = 2.0) -> Model:
-    type_share = max(type_share, head_share)  # types are head words
-    total = vocab.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = total.n or 0, total.v
-    words = vocab.where(F.col("key") != int(END))
-    head = words.where(F.col("n") >= head_share * n).toArrow()  # at most 1 / head_share rows
-    ends = vocab.where(F.col("key") == int(END)).agg(F.sum("n")).first()[0] or 0
-    model = Model(head["key"].to_numpy(), head["n"].to_numpy(), n, v, ends, type_share * n)
-    shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+def _before(now: np.ndarray, end) -> np.ndarray:
+    """What precedes each token of whole texts, the last token of each being the end."""
+    return np.concatenate([[end], now[:-1]])[: len(now)]
+
+
+class Model:
+    """All that a scan needs: the head words, their classes, those of the endings and the log10 probabilities."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, cls: np.ndarray, end_cls: int, ending_cls: np.ndarray, of: np.ndarray, n: int, v: int, end_count: int):
+        order = np.argsort(keys)
+        self.keys, self.counts, self.n, self.v, self.end_count = keys[order], counts[order], n, v, end_count
+        self.types = np.arange(len(keys))
+        self.end = len(keys)
+        self.size = len(keys) + 1 + SUFFIXES
+        self.cls = np.concatenate([cls[order], [end_cls], ending_cls]).astype(np.int16)
+        self.of = of  # by class: the counts of its words and one more for each word and ending
+        self.emit = np.log10((np.concatenate([self.counts, [end_count], np.zeros(SUFFIXES)]) + 1) / of[self.cls])
+        self.within = np.zeros(self.size)  # an ending stands for one unknown word
+
+    def learn(self, sequences: DataFrame, alpha: float) -> None:
+        """The transitions between classes from the ``classes`` of all training texts."""
+        k, end = len(self.of), int(self.cls[self.end])
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * k, np.int64)
+            for batch in batches:
+                now = _sequence(batch.column("classes")).astype(np.int64)
+                total += np.bincount(_before(now, end) * k + now, minlength=k * k)
+            at = np.flatnonzero(total)
+            yield from _rows(at, total[at])
+
+        cc = np.zeros(k * k)
+        for r in sequences.select("classes").transform(map_arrow, pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # k * k rows at most
+            cc[r.key] = r.n
+        cc = cc.reshape(k, k)
+        self.step = np.log10((cc + alpha * self.of / self.of.sum()) / (cc.sum(1, keepdims=True) + alpha))
+
+
+def _sequence(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16)
+
+
+def _packed(classes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The classes of each row as bytes."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * np.int32(2)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(classes.astype(np.int16).tobytes())])
+
+
+def word_classes(train: DataFrame, vocab: DataFrame, n: int, classes: int, type_share: float, alpha: float) -> tuple[DataFrame, np.ndarray]:
+    """(key, n, cls) of every counted word, and the classes of the end and the endings."""
+    seeds = vocab.where((F.col("key") != int(END)) & (F.col("n") >= type_share * n)).toArrow()  # at most 1 / type_share rows
+    order = np.argsort(seeds["key"].to_numpy())
+    keys, counts = seeds["key"].to_numpy()[order], seeds["n"].to_numpy()[order]
+    end, size = len(keys), len(keys) + 1 + SUFFIXES
+    bc_keys = train.sparkSession.sparkContext.broadcast(keys)
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(batch):
             for w in K.words(batch.column("_text"), K.SPACE):
-                before, now, _ = m.chain(w, m.look_up(w)[1])
-                yield before * m.size + now
+                now = _with_ends(w, _look_up(w, bc_keys.value)[1], end)
+                yield _before(now, end) * size + now
 
-        for keys, c in _summed(batches, parts):
-            yield from _rows(keys, c)
+        for key, c in _summed(batches, parts):
+            yield from _rows(key, c)
 
     got = train.transform(map_arrow, pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
-    bigrams = np.zeros(model.size * model.size)
+    bigrams = np.zeros(size * size)
     bigrams[got["key"].to_numpy()] = got["n"].to_numpy()
-    rare = words.where(F.col("n") < type_share * n).groupBy(F.col("key").bitwiseAND(SUFFIXES - 1).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-    suffix_n, suffix_v = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
-    for r in rare.collect():  # SUFFIXES rows at most
-        suffix_n[r.s], suffix_v[r.s] = r.n, r.v
-    model.learn(bigrams.reshape(model.size, model.size), suffix_n, suffix_v, classes, alpha)
+    bigrams = bigrams.reshape(size, size)
+    cls = exchange(bigrams, classes)
+    k = int(cls.max()) + 1
+    member = np.zeros((size, k))
+    member[np.arange(size), cls] = 1
+    cc = member.T @ bigrams @ member
+    share = (cc.sum(0) + 1e-9) / (cc.sum(0) + 1e-9).sum()
+    gain = np.log((cc + alpha * share) / (cc.sum(1, keepdims=True) + alpha) / share)  # [class, next class]
+    gain = np.concatenate([gain, gain.T])  # [class before, or k + class after; own class]
+    shared = train.sparkSession.sparkContext.broadcast((keys, cls, gain))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each other word follows and precedes each class."""
+        held, size_held = [], 0
+        known, of, _ = shared.value
+
+        def flush():
+            words, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            pair, c = np.unique(np.concatenate([at * (2 * k) + x for x, at in zip([y[1] for y in held], np.split(at, np.cumsum([len(y[0]) for y in held])[:-1]), strict=True)]), return_counts=True)
+            for i in range(0, len(pair), 200_000):
+                p = pair[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(words[p // (2 * k)]), pa.array((p % (2 * k)).astype(np.int32)), pa.array(c[i : i + 200_000].astype(np.int64))], ["key", "code", "n"])
+
+        for batch in batches:
+            for w in K.words(batch.column("_text"), K.SPACE):
+                word, types = _look_up(w, known)
+                chain = of[_with_ends(w, types, end)]
+                at = (np.arange(len(types)) + K.row_of(w.off))[types > end]
+                word = word[types > end]
+                held += [(word, _before(chain, of[end])[at]), (word, k + chain[at + 1])]
+                size_held += 2 * len(word)
+                if size_held >= BUFFER // 2:
+                    yield from flush()
+                    held, size_held = [], 0
+        if size_held:
+            yield from flush()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, rows = batch.column("near"), batch.num_rows
+            at, flat = np.repeat(np.arange(rows), pc.list_value_length(near).to_numpy()), near.flatten()
+            count = np.zeros((rows, 2 * k))
+            count[at, flat.field("code").to_numpy()] = flat.field("n").to_numpy()
+            best = np.argmax(np.round(count @ shared.value[2], 6), 1) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(count[:, :k].sum(1).astype(np.int64)), pa.array(best.astype(np.int32))], ["key", "n", "cls"])
+
+    counted = train.transform(map_arrow, contexts, "key long, code int, n long").repartition("key").groupBy("key", "code").agg(F.sum("n").alias("n"))
+    rest = counted.groupBy("key").agg(F.collect_list(F.struct("code", "n")).alias("near")).transform(map_arrow, assign, "key long, n long, cls int")  # 2k codes a word at most
+    own = train.sparkSession.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64()), "cls": pa.array(cls[:end].astype(np.int32))}))
+    return materialize(rest.unionByName(own)), cls[end:]
+
+
+def _fit(train: DataFrame, vocab: DataFrame, classes: int, type_share: float, head_share: float, alpha: float) -> tuple[Model, DataFrame]:
+    """The model but for its transitions, and (key, n, cls) of the words that are not in its head."""
+    total = vocab.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n, v = total.n or 0, total.v
+    ends = vocab.where(F.col("key") == int(END)).agg(F.sum("n")).first()[0] or 0
+    known, (end_cls, *ending_cls) = word_classes(train, vocab, n, classes, type_share, alpha)
+    of = np.bincount([end_cls, *ending_cls], minlength=classes).astype(float)
+    of[end_cls] += ends
+    for r in known.groupBy("cls").agg(F.sum(F.col("n") + 1).alias("n")).collect():  # a row a class
+        of[r.cls] += r.n
+    of = of[: np.flatnonzero(of)[-1] + 1]
+    head = known.where(F.col("n") >= head_share * n).toArrow()  # at most 1 / head_share rows
+    model = Model(*(head[c].to_numpy() for c in ("key", "n", "cls")), end_cls, np.array(ending_cls), np.maximum(of, 1e-300), n, v, ends)
+    return model, known.where(F.col("n") < head_share * n)
+
+
+def fit(train: DataFrame, vocab: DataFrame, *, classes: int = 64, type_share: float = 5e-4, head_share: float = 1e-6, alpha: float = 2.0) -> Model:
+    model, rare = _fit(train, vocab, classes, type_share, head_share, alpha)
+    model.learn(class_sequences(train.select(F.lit(None).cast("long").alias("_id"), "_text", F.lit(False).alias("_held")), model, rare), alpha)
     return model
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held: Callable[[Column], Column] = held_out, classes: int = 64,
-          head_share: float = 1e-6) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held(F.col(id_col)).alias("_held"))
-    train = rows.where(~F.col("_held")).select("_text")
-    vocab = materialize(vocabulary(train))
-    model = fit(train, vocab, classes=classes, head_share=head_share)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    names = ["_uid", "key", "times", "_id", "_held", "n_tokens", "known", "base", "score"]
+def class_sequences(rows: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """_id, _held, n_tokens, known, base, emit (log10 of the words given their classes) and the classes of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    id_kind = rows.schema["_id"].dataType.simpleString()
+    names = ["_uid", "key", "pos", "_id", "_held", "n_tokens", "known", "base", "emit", "classes"]
+    k = len(model.of)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -227,42 +308,67 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
         for batch in batches:
             for w in K.words(batch.column("_text"), K.SPACE):
                 rows = w.row1 - w.row0
-                keys, types, counts = m.look_up(w)
-                before, now, chain_row = m.chain(w, types)
-                row, head = K.row_of(w.off), counts >= 0
-                model_log = np.bincount(chain_row, weights=m.step[m.cls[before], m.cls[now]] + m.emit[now] + m.within[now], minlength=rows)
-                log_count = np.where(head, np.log10(counts + 1.0, where=head, out=np.zeros(len(counts))), 0.0)
-                base = np.bincount(row, weights=log_count, minlength=rows) + math.log10(m.end_count + 1) - (w.counts + 1) * unit
-                # the count stays inside the type's ending, so only words without a type of their own carry it
-                pseudo = types >= m.size - SUFFIXES
-                model_log += np.bincount(row, weights=np.where(pseudo, log_count, 0.0), minlength=rows)
+                keys, types = _look_up(w, m.keys)
+                row, head = K.row_of(w.off), types < m.end
+                now = _with_ends(w, types, m.end)
+                length = w.counts.astype(np.int64) + 1
+                log_count = np.zeros(len(types))
+                log_count[head] = np.log10(m.counts[types[head]] + 1.0)
+                base = np.bincount(row, weights=log_count, minlength=rows) + math.log10(m.end_count + 1) - length * unit
+                emit = np.bincount(np.repeat(np.arange(rows), length), weights=np.where(now <= m.end, m.emit[now], 0.0), minlength=rows)
                 known = np.bincount(row, weights=head, minlength=rows).astype(np.int64) + (m.end_count > 0)
                 uid = batch.column("_uid").slice(w.row0, rows)
                 spread = K.mix(uid.to_numpy().astype(np.uint64)).astype(np.int64)  # a row's own sums travel under a key of their own
                 yield pa.RecordBatch.from_arrays(
-                    [uid, pa.array(spread), pa.array(np.zeros(rows, np.int64)), batch.column("_id").slice(w.row0, rows), batch.column("_held").slice(w.row0, rows),
-                     pa.array(w.counts.astype(np.int64) + 1), pa.array(known), pa.array(base), pa.array(model_log)], names)
-                tail = ~head
-                pair = np.stack([row[tail], keys[tail]], 1)
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                pair = pair[order]
-                new = np.ones(len(pair), bool)
-                new[1:] = (pair[1:] != pair[:-1]).any(1)
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(pair)))
-                k = len(first)
+                    [uid, pa.array(spread), pa.array(np.full(rows, -1, np.int64)), batch.column("_id").slice(w.row0, rows), batch.column("_held").slice(w.row0, rows),
+                     pa.array(length), pa.array(known), pa.array(base), pa.array(emit), _packed(m.cls[now], length)], names)
+                tail = np.flatnonzero(~head)
+                t = len(tail)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid.to_numpy()[pair[first, 0]]), pa.array(pair[first, 1]), pa.array(times.astype(np.int64)), pa.nulls(k, batch.column("_id").type), pa.nulls(k, pa.bool_()),
-                     pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], names)
+                    [pa.array(uid.to_numpy()[row[tail]]), pa.array(keys[tail]), pa.array((tail - w.off[row[tail]]).astype(np.int64)), pa.nulls(t, batch.column("_id").type), pa.nulls(t, pa.bool_()),
+                     pa.nulls(t, pa.int64()), pa.nulls(t, pa.int64()), pa.nulls(t, pa.float64()), pa.nulls(t, pa.float64()), pa.nulls(t, pa.binary())], names)
 
-    parts = with_uid(rows).transform(map_arrow, scan, f"_uid long, key long, times long, _id {id_kind}, _held boolean, n_tokens long, known long, base double, score double")
-    rare = vocab.where(F.col("n") < head_share * model.n)
+    parts = with_uid(rows).transform(map_arrow, scan, f"_uid long, key long, pos long, _id {id_kind}, _held boolean, n_tokens long, known long, base double, emit double, classes binary")
     met = parts.join(rare, "key", "left")
-    logs = F.sum(F.when(F.col("n").isNotNull(), F.col("times") * F.log10(F.col("n") + 1.0)).otherwise(0.0))
-    seen = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))
-    out = met.groupBy("_uid").agg(
-        F.max("_id").alias(id_col), F.max("_held").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + seen).cast("long").alias("n_known"),
-        (F.max("base") + logs).alias("base_score"), (F.max("score") + logs).alias("score"),
+    here = (F.col("pos") >= 0) & F.col("n").isNotNull()
+    logs, seen = F.sum(F.when(here, F.log10(F.col("n") + 1.0)).otherwise(0.0)), F.sum(F.when(here, 1).otherwise(0))
+    code = F.col("pos") * 65536 + F.coalesce(F.col("cls").cast("long"), k + F.col("key").bitwiseAND(SUFFIXES - 1))
+    whole = met.groupBy("_uid").agg(
+        F.max("_id").alias("_id"), F.max("_held").alias("_held"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + seen).alias("known"),
+        (F.max("base") + logs).alias("base"), (F.max("emit") + logs).alias("emit"), F.max("classes").alias("classes"), F.collect_list(F.when(F.col("pos") >= 0, code)).alias("_tail"),
     )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        of_code = np.concatenate([np.arange(k), m.cls[m.end + 1 :]])
+        for batch in batches:
+            length, tail = batch.column("n_tokens").to_numpy(), batch.column("_tail")
+            row, code = np.repeat(np.arange(batch.num_rows), pc.list_value_length(tail).to_numpy()), tail.flatten().to_numpy()
+            own, classes = of_code[code & 65535], _sequence(batch.column("classes")).copy()
+            classes[(np.cumsum(length) - length)[row] + (code >> 16)] = own
+            emit = batch.column("emit").to_numpy() + np.bincount(row, weights=-np.log10(m.of[own]), minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_held", "n_tokens", "known", "base")), pa.array(emit), _packed(classes, length)], ["_id", "_held", "n_tokens", "known", "base", "emit", "classes"])
+
+    return whole.drop("_uid").transform(map_arrow, fill, f"_id {id_kind}, _held boolean, n_tokens long, known long, base double, emit double, classes binary")
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held: Callable[[Column], Column] = held_out, classes: int = 64,
+          head_share: float = 1e-6) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held(F.col(id_col)).alias("_held"))
+    train = rows.where(~F.col("_held")).select("_text")
+    vocab = materialize(vocabulary(train))
+    model, rare = _fit(train, vocab, classes, 5e-4, head_share, 2.0)
+    made = materialize(class_sequences(rows, model, rare))
+    model.learn(made.where(~F.col("_held")), 2.0)
+    step, end, id_kind = model.step, int(model.cls[model.end]), docs.schema[id_col].dataType.simpleString()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            now, length = _sequence(batch.column("classes")), batch.column("n_tokens").to_numpy()
+            steps = np.bincount(np.repeat(np.arange(batch.num_rows), length), weights=step[_before(now, end), now], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_held", "n_tokens", "known", "base")), pa.array(batch.column("emit").to_numpy() + steps)], ["_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = made.transform(map_arrow, finish, f"_id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("_id", id_col)
     out = out.withColumn("train_tokens", F.lit(int(model.n)).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     return out.select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

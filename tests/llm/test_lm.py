@@ -80,3 +80,20 @@ def test_odd_inputs(spark, clashing, empty):
     alone = spark.createDataFrame([(None, None)], "doc_id long, text string")
     r = class_lm.score(alone).first()
     assert (r.n_tokens, r.held_out) == (1, False)
+
+
+def test_every_counted_word_gets_a_class_by_its_contexts(spark):
+    """Rare words of two kinds, whose endings say nothing, go to their kinds' classes; only unseen words are endings."""
+    rows = [(i, f"the n{i % 400}x barks the dog barks the cat barks we v{i % 400}x it we see it we like it") for i in range(1200)]
+    train = spark.createDataFrame(rows, "doc_id long, _text string").select("_text")
+    m = class_lm.fit(train, class_lm.vocabulary(train), classes=8, type_share=0.01)
+    kind = {}
+    for b in "nv":
+        w = next(class_lm.K.words(class_lm.pa.array([" ".join(f"{b}{k}x" for k in range(400))]), class_lm.K.SPACE))
+        keys = class_lm.word_keys(w)
+        at = np.searchsorted(m.keys, keys)
+        assert (m.keys[at] == keys).all()
+        assert (m.types[at] >= 0).all()
+        kind[b] = set(m.cls[m.types[at]].tolist())
+    assert len(kind["n"]) == len(kind["v"]) == 1
+    assert kind["n"] != kind["v"]
