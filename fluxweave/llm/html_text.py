@@ -2,9 +2,10 @@
 
 A tolerant one-pass parser keeps a stack of open block elements and hashes every element subtree bottom-up (tags and
 text).  Spark counts each (host, subtree) once a page; subtrees on at least ``min_pages`` pages and ``min_share`` of
-their host's pages are template and are deleted in a second scan.  Elements that name their role (navigation, forms,
-adverts, comments, ...) go without counting.  Inside the article only containers can be template, and never one that
-holds most of the article's text, so that copies of an article, or paragraphs that many articles share, stay.
+their host's pages are template and are deleted in a second scan, inside the article and outside it; all other text
+stays.  Elements that name their role (navigation, forms, adverts, comments, ...) go without counting.  Inside an
+<article>, paragraphs, headings and table parts are never template, nor is an element that holds most of the article's
+text, so that copies of an article, or paragraphs that many articles share, stay.
 
 Scale: counts are combined map-side; templates are few by construction (each takes ``min_share`` of its host's pages)
 and reach the pages by a join on the host that is broadcast under ``broadcast_rows`` and otherwise left to AQE.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +50,7 @@ ROLE_WORDS = frozenset(
     "disqus reply replies respond footer masthead toolbar pagination pager skip copyright".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr figcaption".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th tr figcaption".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 
 
@@ -186,27 +188,41 @@ class Page:
                 best = n
         return best
 
-    def removable(self, main: Node) -> Iterator[Node]:
-        """Elements that may be template: any with text, but in an article only containers without most of its text."""
+    def articles(self) -> list[Node]:
+        """The claimed content, in page order; nothing is kept or deleted for being outside it."""
+        main = self.content()
+        return [] if main is self.root else [main]
+
+    def removable(self) -> Iterator[Node]:
+        """Elements that may be template: any with text but those that hold an article; in an article (or a page without
+        one) none with most of its text, and in an article no paragraphs."""
+        articles = self.articles()
+        starts, above = [a.start for a in articles], set()
+        for n in articles:
+            while n is not None:
+                above.add(n)
+                n = n.parent
         for n in self.nodes:
-            if n.dropped or not n.size or n is main or n.tag in ("html", "body"):
+            if n.dropped or not n.size or n.tag in ("html", "body") or n in above:
+                continue
+            i = bisect_right(starts, n.start) - 1
+            within = articles[i] if i >= 0 and n.end <= articles[i].end else None
+            if within and within.content == 3 and n.tag in PARAGRAPHS:
                 continue
-            if main is not self.root and not (main.start <= n.start and n.end <= main.end):
-                continue  # outside the article nothing is kept anyway
-            if main.content == 3 and n.tag in PARAGRAPHS or 2 * n.size > main.size:
+            around = within or (None if articles else self.root)
+            if around and 2 * n.size > around.size:
                 continue
             yield n
 
     def text(self, templates: frozenset | set) -> str:
-        main = self.content()
-        cut = [(n.start, n.end) for n in self.removable(main) if n.digest in templates] if templates else []
-        out, at = [], main.start
+        cut = [(n.start, n.end) for n in self.removable() if n.digest in templates] if templates else []
+        out, at = [], 0
         for a, b in sorted(cut):
             if a > at:
                 out += self.pieces[at:a]
             out.append(" ")
             at = max(at, b)
-        out += self.pieces[at : main.end]
+        out += self.pieces[at:]
         return " ".join("".join(out).split())
 
 
@@ -225,7 +241,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             hosts, digests = [], []
             for host, source in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist(), strict=True):
                 page = Page(source or "")
-                own = {n.digest for n in page.removable(page.content())}
+                own = {n.digest for n in page.removable()}
                 digests += own
                 hosts += [host] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["_host", "digest"])

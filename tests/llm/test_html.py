@@ -54,3 +54,14 @@ def test_odd_inputs(spark):
     assert extract(pages.where("page_id < 0")).count() == 0
     twice = extract(pages.unionByName(pages)).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in twice] == [(1, "x", 1)] * 2
+
+
+def test_recurrence_decides_outside_the_article_and_in_its_lists(spark):
+    """Text outside the article stays unless it recurs, however long; a list item that recurs in articles goes."""
+    house = "<div class=x1>About this house " + "and its long story " * 30 + "</div>"
+    rows = [
+        (i, f"http://a.org/{i}", f"{house}<article><p>body number {i} of this site</p><ul><li>join us today</li><li>item {i}</li></ul></article><div>postscript {i}</div>")
+        for i in range(12)
+    ]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"body number {i} of this site item {i} postscript {i}" for i in range(12)}
