@@ -51,7 +51,6 @@ ROLE_WORDS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th tr figcaption".split())
-CONTENT_WORDS = frozenset("article content post entry story main".split())
 
 
 class Node:
@@ -68,7 +67,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, int]:
-    """(dropped by its role, how strongly it claims to be the content)"""
+    """(dropped by its role, how strongly it claims to be the content: 3 an article, 2 the main element)"""
     dropped, content = tag in DROPPED or (tag == "header" and not in_article), {"article": 3, "main": 2}.get(tag, 0)
     if raw and "=" in raw or "hidden" in raw:
         at = _attributes(raw)
@@ -78,7 +77,7 @@ def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, int]:
         if tag not in ("html", "body"):
             dropped = dropped or bool(names & ROLE_WORDS) or role in ROLES or bool(hidden) or ("header" in names and not in_article and tag not in PARAGRAPHS)
         if not content:
-            content = 3 if role == "article" else 2 if role == "main" else 1 if names & CONTENT_WORDS else 0
+            content = 3 if role == "article" else 2 if role == "main" else 0
     return dropped, content
 
 
@@ -180,18 +179,17 @@ class Page:
                 self._pop()
             self._pop()
 
-    def content(self) -> Node:
-        """The element that claims the article: the largest of the strongest claim."""
-        best = self.root
-        for n in self.nodes:
-            if not n.dropped and n.content and n.size and (n.content, n.size) > (best.content, best.size if best is not self.root else 0):
-                best = n
-        return best
-
     def articles(self) -> list[Node]:
-        """The claimed content, in page order; nothing is kept or deleted for being outside it."""
-        main = self.content()
-        return [] if main is self.root else [main]
+        """The outermost articles, or else the outermost main elements, in page order; nothing is kept or deleted for being
+        outside them."""
+        for claim in (3, 2):
+            found = []
+            for n in sorted((n for n in self.nodes if n.content == claim and n.size and not n.dropped), key=lambda n: (n.start, -n.end)):
+                if not found or n.start >= found[-1].end:
+                    found.append(n)
+            if found:
+                return found
+        return []
 
     def removable(self) -> Iterator[Node]:
         """Elements that may be template: any with text but those that hold an article; in an article (or a page without

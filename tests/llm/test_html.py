@@ -65,3 +65,16 @@ def test_recurrence_decides_outside_the_article_and_in_its_lists(spark):
     ]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {i: f"body number {i} of this site item {i} postscript {i}" for i in range(12)}
+
+
+def test_no_claim_loses_the_rest_of_the_page(spark):
+    """A title, a date or one of several articles that claims to be the content leaves the other text in place."""
+    pages = [
+        "<body><h1 class='post-title'>T</h1><div id='page'><p>long body of the page</p></div></body>",
+        "<body><p class='entry-date'>May</p><div><p>long body of the page</p></div></body>",
+        "<body><article><p>first part</p></article><article><p>the second part is longer</p></article><article><p>third</p></article></body>",
+    ]
+    assert [text(p) for p in pages] == ["T long body of the page", "May long body of the page", "first part the second part is longer third"]
+    rows = [(i, "http://a.org/", f"<article><p>shared words</p><div>a tail</div><p>long text of part one {i}</p></article><article><p>shared words</p><p>{'more ' * 30}{i}</p></article>") for i in range(9)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"shared words long text of part one {i} shared words {'more ' * 30}{i}" for i in range(9)}
