@@ -252,6 +252,17 @@ def rest_pairs(posted: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def every_pair(shared: DataFrame, percent: int, block: int = 2000) -> DataFrame:
+    """Every pair that shares a prefix token, whatever its component; a token of many nodes is dealt in blocks of them."""
+    row = F.struct("node", "n", "pos")
+    held = shared.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = shared.join(held, "token")
+    x = dealt.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), row.alias("x"))
+    y = dealt.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), row.alias("y"))
+    met = x.join(y, ["token", "block"]).where((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
+    return met.where(_fits("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def verify(docs: DataFrame, prof: DataFrame, pairs: DataFrame, order, id_col: str, text_col: str, size: int, percent: int, fragments: int,
            broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) whose sets have the wanted similarity."""
@@ -323,8 +334,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS,
-         hubs: tuple[int, ...] = HUBS, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row per document: id, n_shingles and component_id, the smallest id reachable by links."""
+         hubs: tuple[int, ...] = HUBS, broadcast_rows: int = 2_000_000, count_links: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles and component_id, the smallest id reachable by links.
+
+    With ``count_links`` also n_links, the number of other rows (copies too) that it is linked with; then the pairs inside
+    components are verified as well, whose number grows with the square of a group's different texts.
+    """
     prof, level = profile(docs, id_col, text_col, size)
     order = docs.sparkSession.sparkContext.broadcast(level)
     shared = materialize(postings(docs, text_col, order, size, percent))
@@ -341,11 +356,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     labels = materialize(labels)
-    owned = prof.where("n > 0").select("_id", "n", "node").join(labels, "node", "left").select("_id", "n", F.coalesce("comp", "node").alias("comp"))
+    owned = prof.where("n > 0").select("_id", "n", "node").join(labels, "node", "left").select("_id", "n", "node", F.coalesce("comp", "node").alias("comp"))
     least = owned.groupBy("comp").agg(F.min("_id").alias("component_id"))
-    linked = owned.join(least, "comp").select("_id", "n", "component_id")
+    linked = owned.join(least, "comp")
     empty = prof.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    return linked.unionByName(empty).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    columns = [F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"]
+    if not count_links:
+        return linked.select("_id", "n", "component_id").unionByName(empty).select(columns)
+    inner = materialize(every_pair(shared, percent).join(tried, ["a", "b"], "left_anti"))
+    links = materialize(links.unionByName(verify(docs, prof, inner, *args)))
+    rows = materialize(prof.where("n > 0 and _id is not null").groupBy("node").agg(F.count("*").alias("rows")))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(rows.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("others"))
+    met = linked.join(rows, "node", "left").join(others, "node", "left")
+    n_links = F.when(F.col("_id").isNull(), 0).otherwise(F.col("rows") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")
+    return met.select("_id", "n", "component_id", n_links).unionByName(empty.withColumn("n_links", F.lit(0).cast("long"))).select(*columns, "n_links")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", broadcast_rows: int = 2_000_000, **options) -> DataFrame:

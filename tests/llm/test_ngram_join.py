@@ -91,3 +91,23 @@ def test_shuffle_path_agrees(docs, corpus):
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).orderBy(F.rand(3))
     assert {r.comp for r in ngram_join.components(edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_no_link_inside_a_component_is_lost(spark, clashing, monkeypatch, block):
+    """Every row's number of links by comparing everything, in a large group of near copies too."""
+    every = ngram_join.every_pair
+    monkeypatch.setattr(ngram_join, "every_pair", lambda shared, percent: every(shared, percent, block))
+    rng, base = random.Random(5), [f"w{k}" for k in range(60)]
+    rows = [tuple(r) for r in clashing.select("doc_id", "text").collect()]
+    for i in range(40):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"y{rng.random()}"
+        rows.append((1000 + i, " ".join(w)))
+    sets = [(i, shingles(t)) for i, t in rows]
+    want = sorted(((i, sum(1 for k, (j, t) in enumerate(sets) if k != at and i is not None and j is not None and s and t and 100 * len(s & t) >= 75 * len(s | t))) for at, (i, s) in enumerate(sets)), key=repr)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_links) for r in ngram_join.join(df, count_links=True).collect()), key=repr)
+    assert got == want
+    assert run(df) == sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, count_links=True).collect()), key=repr)
