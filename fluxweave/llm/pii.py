@@ -40,7 +40,7 @@ LOOSE = {
     "phone": r"(?<![0-9+])(?:00[1-9][0-9\x20()./-]{7,18}[0-9]|\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5})(?![0-9])",
 }
 #: What a text must contain for any pattern of a kind to match; plain scans that spare most texts the patterns.
-GATE = {"email": r"@|(?i:[(\[{]\x20?at\x20?[)\]}]|\x20at\x20[A-Za-z0-9-]+(?:\.|\x20dot\x20))", "ip": r"[0-9A-Fa-f][:.)\]\x20]", "card": r"[0-9]", "phone": r"[0-9]"}
+GATE = {"email": r"@|(?i:[(\[{]\x20?at\x20?[)\]}]|\x20at\x20)", "ip": r"[0-9A-Fa-f][:.()\[\]\x20]", "card": r"[0-9]", "phone": r"[0-9]"}
 CONTEXT = {
     "email": r"(?i)(?:mail|contact|write|reach|kontakt|correo|courriel)",
     "ip": r"(?i)(?:\bip\b|host|server|address|login|addr|from)",

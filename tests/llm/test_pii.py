@@ -65,3 +65,25 @@ def test_redaction(spark, model):
 def test_odd_inputs(model, clashing, empty):
     assert pii.detect(empty, model).count() == 0
     assert pii.detect(clashing, model).count() == clashing.count()
+
+
+LOOSE_TEXTS = {
+    "email": [f"john{at}example{dot}com" for at in ("@", " @ ", "(at)", " [AT] ", "{ at }", " at ") for dot in (".", " . ", " dot ", "(dot)", " [dot] ", "{ DOT }")],
+    "ip": ["1[.]2[.]3[.]4", "1 (.) 2 (.) 3 (.) 4", "10 . 20 . 30 . 40", "1 .2 .3 .4", "a:b:c:d:e:f:1:2"],
+    "card": ["4111.1111.1111.1111", "3411_111111_11111"],
+    "phone": ["0044 20 7946 0958", "(212) 555-0187", "030/1234567"],
+}
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_every_loose_match_passes_its_gate(spark, kind):
+    rows = [(t,) for t in LOOSE_TEXTS[kind]]
+    got = spark.createDataFrame(rows, "t string").select("t", F.col("t").rlike(pii.LOOSE[kind]).alias("loose"), F.col("t").rlike(pii.GATE[kind]).alias("gate")).collect()
+    assert [r.t for r in got if not r.loose] == []
+    assert [r.t for r in got if not r.gate] == []
+
+
+def test_an_address_is_found_without_another_one_nearby(spark, model):
+    rows = [(0, "contact john at example (dot) com soon"), (1, "contact john at example (dot) com soon or me@x.org")]
+    got = {r.doc_id: {(x.start, x.end) for x in r.found if x.kind == "email"} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert (got[0] <= got[1]) and got[1] - got[0] == {(42, 50)}
