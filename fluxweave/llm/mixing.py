@@ -1,7 +1,8 @@
 """Soft-membership mixing of sources to target weights.
 
-A multinomial classifier over hashed words, learned from rows of the labelled table (about ``max_train`` of them,
-chosen by a hash of the id), predicts each document's domain posteriors; evidence is tempered to ``evidence`` words,
+The domains and their priors are those of all rows.  A multinomial classifier over hashed words, learned from rows of the
+labelled table (about ``max_train`` of them, chosen by a hash of the id, and at least about ``min_train`` of each domain
+that has them; a domain without labelled rows is learned from rows of its own), predicts each document's domain posteriors; evidence is tempered to ``evidence`` words,
 so long texts keep soft memberships.  Document rates r >= 0 then solve a least-squares fit of the expected domain
 totals sum(r * tokens * posterior) to the targets by projected gradient steps: each step is one distributed sum of a
 few numbers, preconditioned by the Gram matrix of the posteriors.  A document's rate follows from its own posteriors
@@ -16,6 +17,7 @@ domains are not learned from; without labelled rows there is one domain and all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,18 +57,33 @@ class Model:
         return r
 
 
+def _domains(docs: DataFrame, domain_col: str) -> DataFrame:
+    return docs.where(F.col(domain_col).isNotNull()).withColumn("_domain", F.col(domain_col).cast("string"))
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", max_train: int = 20_000,
-                   max_domains: int = 256, evidence: float = 32.0) -> Model:
-    ids = labels.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    share = min(1.0, max_train / max(ids.count(), 1))
-    ids = ids.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))  # about max_train rows: small enough to broadcast
-    train = materialize(docs.where(F.col(domain_col).isNotNull()).select(id_col, F.col(text_col).alias("_text"), F.col(domain_col).cast("string").alias("_domain")).join(F.broadcast(ids), id_col).select("_text", "_domain"))
-    sizes = {r._domain: r.n for r in train.groupBy("_domain").agg(F.count("*").alias("n")).limit(max_domains + 1).collect()}
+                   min_train: int = 200, max_domains: int = 256, evidence: float = 32.0) -> Model:
+    """The domains and their priors come from all rows; only the words of each domain are learned from a sample."""
+    sizes = {r._domain: r.n for r in _domains(docs, domain_col).groupBy("_domain").agg(F.count("*").alias("n")).limit(max_domains + 1).collect()}
     if len(sizes) > max_domains:
         raise ValueError(f"over {max_domains} domains")
-    if not sizes:
+    ids = labels.where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    own = _domains(docs, domain_col).select(id_col, "_domain").distinct()
+    labelled = materialize(own.join(ids, id_col))
+    seen = {r._domain: r.n for r in labelled.groupBy("_domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
+    if not seen:
         return Model(["all"], np.zeros(1), np.zeros((BUCKETS, 1)), evidence)
     domains = sorted(sizes)
+    # about max_train labelled rows and min_train of each domain; a domain without labelled rows lends min_train of its own
+    share = max_train / sum(seen.values())
+    part = {d: max(share, min_train / seen[d]) if d in seen else min_train / sizes[d] for d in domains}
+    cuts = docs.sparkSession.createDataFrame([(d, math.ceil(min(1.0, x) * 1_000_000), d in seen) for d, x in part.items()], "_domain string, _cut long, _seen boolean")
+    under = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.col("_cut")
+    chosen = labelled.join(F.broadcast(cuts), "_domain").where(under).select(id_col, "_domain")
+    if len(seen) < len(domains):
+        chosen = chosen.unionByName(own.where(F.col(id_col).isNotNull()).join(F.broadcast(cuts.where("not _seen")), "_domain").where(under).select(id_col, "_domain"))
+    texts = _domains(docs.select(id_col, F.col(text_col).alias("_text"), domain_col), domain_col)
+    train = materialize(texts.join(F.broadcast(chosen), [id_col, "_domain"]).select("_text", "_domain"))  # small enough to broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(domains), BUCKETS), np.int64)
@@ -82,7 +99,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     counts[got["bucket"].to_numpy(), got["domain"].to_numpy()] = got["n"].to_numpy()
     back = counts.sum(1, keepdims=True) + 0.5
     smooth = counts + 200.0 * back / back.sum()
-    prior = np.array([sizes[d] for d in domains], float)
+    prior = np.array([sizes[d] for d in domains], float)  # of all rows
     return Model(domains, np.log(prior / prior.sum()), np.log(smooth / smooth.sum(0)), evidence)
 
 
@@ -103,7 +120,11 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
     """The model with the steps that bring the expected domain totals to the targets (shares by domain, times total).
 
     Without a total, the most over-represented domain keeps its tokens and no rate is under 1, so no document goes.
+    A target without a domain is an error.
     """
+    absent = sorted(d for d, x in (targets or {}).items() if x > 0 and d not in model.domains)
+    if absent:
+        raise ValueError(f"targets without a domain: {', '.join(absent)}")
     k = len(model.domains)
     model.floor = 1.0 if total is None else 0.0
 

@@ -88,3 +88,24 @@ def test_odd_inputs(tables, clashing, empty):
     assert mixing.mix(empty, fitted(empty, labels)).count() == 0
     alone = fitted(clashing, labels.where("doc_id < 0"))
     assert {r.rate for r in mixing.mix(clashing, alone).collect()} == {1.0}
+
+
+def test_rare_domains_are_kept_whatever_the_sample(spark):
+    """The domains are those of all rows, not of the sample; each is learned from its own words."""
+    rows = [(i, f"en{i % 7} en{i % 5} common", "en") for i in range(4000)] + [(4000 + i, f"xx{i % 3} xx{i % 2} xx common", "xx") for i in range(8)]
+    rows += [(5000 + i, f"zz{i % 3} zz zz common", "zz") for i in range(8)]  # none of them is labelled
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = mixing.fit_classifier(docs, docs.where("lang <> 'zz'").select("doc_id"), max_train=40)
+    assert model.domains == ["en", "xx", "zz"]
+    assert np.exp(model.log_prior) == pytest.approx(np.array([4000, 8, 8]) / 4016)
+    near = {r.doc_id: r.posteriors for r in mixing.mix(docs.where("doc_id >= 3990"), model).collect()}
+    # the rarity of a domain stays in its prior, its words speak for it
+    lift = {i: np.log(p) - model.log_prior for i, p in near.items()}
+    assert {model.domains[int(np.argmax(lift[i]))] for i in range(3990, 4000)} == {"en"}
+    assert {model.domains[int(np.argmax(lift[i]))] for i in range(4000, 4008)} == {"xx"}
+    assert {model.domains[int(np.argmax(lift[i]))] for i in range(5000, 5008)} == {"zz"}
+
+
+def test_targets_need_a_domain(tables):
+    with pytest.raises(ValueError, match="xx"):
+        fitted(*tables, targets={"en": 1.0, "xx": 1.0}, total=100.0)
