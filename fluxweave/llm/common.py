@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="fluxweave-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where the session names none (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a local one only in local mode (tests), since the executors of a
+    cluster share no other folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="fluxweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _local_dir(context.applicationId)
     return named.rstrip("/")
 
 
@@ -37,7 +46,29 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fluxweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def side(df: DataFrame, most_rows: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """A table to join with: broadcast only after its rows and bytes were counted and found few."""
+    rows, held = getattr(df, "counted", (None, None))
+    if rows is None:
+        wide = [F.sum(F.octet_length(f.name)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+        rows, *lengths = df.agg(F.count("*"), *wide).first()
+        held = rows * 8 * len(df.columns) + sum(x or 0 for x in lengths)
+        df.counted = rows, held
+    return F.broadcast(df) if rows <= most_rows and held <= most_bytes else df
 
 
 def with_uid(df: DataFrame) -> DataFrame:

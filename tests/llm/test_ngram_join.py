@@ -88,8 +88,41 @@ def test_shuffle_path_agrees(docs, corpus):
     assert run(docs, broadcast_rows=-1) == brute([r[:2] for r in corpus])
 
 
+@pytest.mark.parametrize("hubs", [(1, 2, 3), ()])
+def test_dealt_tokens_and_distributed_rounds(spark, docs, corpus, hubs):
+    """Tokens held a few times are dealt over salts, and links are joined without the one-task path."""
+    assert run(docs, hubs=hubs, hot_log2=0, one_task=0) == brute([r[:2] for r in corpus])
+
+
+def test_partners_of_one_class_of_sizes_and_the_next(spark):
+    rng, rows = random.Random(6), []
+    for g in range(5):
+        base = [f"c{g}w{k}" for k in range(60)]
+        for n in range(40, 60):
+            rows.append((len(rows), " ".join(base[: n + rng.randint(0, 1)])))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_random_links(spark, one_task):
+    rng = random.Random(one_task)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)]
+    up = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.comp for r in ngram_join.components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).orderBy(F.rand(3))
+    assert {r.comp for r in ngram_join.components(edges, 0).collect()} == {0}
     assert {r.comp for r in ngram_join.components(edges).collect()} == {0}
 
 
