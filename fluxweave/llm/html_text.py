@@ -1,9 +1,10 @@
 """HTML extraction with site template removal.
 
 A tolerant one-pass parser keeps a stack of open block elements and hashes every element subtree bottom-up (tags and
-text).  Spark counts each (host, subtree) once a page; subtrees on at least ``min_pages`` pages and ``min_share`` of
-their host's pages are template and are deleted in a second scan, inside the article and outside it; all other text
-stays.  Elements that name their role (navigation, forms, adverts, comments, ...) go without counting.  Inside an
+text), menus, forms and adverts included.  Spark counts each (host, subtree) once a page; subtrees on at least
+``min_pages`` pages and ``min_share`` of their host's pages are template and are deleted in a second scan, inside the
+article and outside it.  What does not recur but names its role (navigation, forms, adverts, comments, ...) goes after
+that; all other text stays.  ``n_template`` and ``n_role`` say how many elements went for either reason.  Inside an
 <article>, paragraphs, headings and table parts are never template, nor is an element that holds most of the article's
 text, so that copies of an article, or paragraphs that many articles share, stay.
 
@@ -115,8 +116,6 @@ class Page:
         self.root.end = len(self.pieces)
 
     def _text(self, s: str) -> None:
-        if self.top.dropped:
-            return
         s = entities.unescape(s) if "&" in s else s
         self.pieces.append(s)
         n = len(s) - s.count(" ")
@@ -147,8 +146,11 @@ class Page:
         n, up = self.top, self.top.parent
         n.end = len(self.pieces)
         n.digest = xxhash.xxh64_intdigest("\x00".join([n.tag, *n.child_hashes])) - 2**63
-        up.child_hashes.append(f"{n.digest:x}")
-        up.size += n.size
+        if n.dropped and not up.dropped:  # what names its role is no part of what stands around it
+            up.child_hashes.append(f"<{n.tag}>")
+        else:
+            up.child_hashes.append(f"{n.digest:x}")
+            up.size += n.size
         n.child_hashes = []
         self.nodes.append(n)
         self.top = up
@@ -193,7 +195,7 @@ class Page:
 
     def removable(self) -> Iterator[Node]:
         """Elements that may be template: any with text but those that hold an article; in an article (or a page without
-        one) none with most of its text, and in an article no paragraphs."""
+        one) none with most of its text, and in an article no paragraphs, unless their role is named."""
         articles = self.articles()
         starts, above = [a.start for a in articles], set()
         for n in articles:
@@ -201,7 +203,10 @@ class Page:
                 above.add(n)
                 n = n.parent
         for n in self.nodes:
-            if n.dropped or not n.size or n.tag in ("html", "body") or n in above:
+            if not n.size or n.tag in ("html", "body") or n in above:
+                continue
+            if n.dropped:
+                yield n
                 continue
             i = bisect_right(starts, n.start) - 1
             within = articles[i] if i >= 0 and n.end <= articles[i].end else None
@@ -212,8 +217,20 @@ class Page:
                 continue
             yield n
 
+    def cuts(self, templates: frozenset | set) -> tuple[list[Node], list[Node]]:
+        """The outermost elements that recur, and then the other ones that name their role."""
+        cut = [n for n in self.removable() if n.digest in templates] if templates else []
+        outer, end = [], -1
+        for n in sorted(cut, key=lambda n: (n.start, -n.end)):
+            if n.end > end:
+                outer.append(n)
+                end = n.end
+        starts = [n.start for n in outer]
+        inside = lambda n: (i := bisect_right(starts, n.start) - 1) >= 0 and n.end <= outer[i].end
+        return outer, [n for n in self.nodes if n.dropped and not n.parent.dropped and n.size and not inside(n)]
+
     def text(self, templates: frozenset | set) -> str:
-        cut = [(n.start, n.end) for n in self.removable() if n.digest in templates] if templates else []
+        cut = [(n.start, n.end) for part in self.cuts(templates) for n in part]
         out, at = [], 0
         for a, b in sorted(cut):
             if a > at:
@@ -231,7 +248,7 @@ def _host(url):
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, min_share: float = 0.1,
             broadcast_rows: int = 200_000) -> DataFrame:
-    """id, url, text and n_chars of every page."""
+    """id, url, text, n_chars, n_template and n_role of every page."""
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), _host(F.col(url_col)).alias("_host"))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +270,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [Page(source or "").text(frozenset(cut or ())) for source, cut in zip(batch.column("_html").to_pylist(), batch.column("_cut").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["_id", "_url", "text", "n_chars"])
+            out, gone = [], []
+            for source, cut in zip(batch.column("_html").to_pylist(), batch.column("_cut").to_pylist(), strict=True):
+                page, templates = Page(source or ""), frozenset(cut or ())
+                out.append(page.text(templates))
+                gone.append([len(part) for part in page.cuts(templates)])
+            count = lambda k: pa.array([g[k] for g in gone], pa.int64())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), count(0), count(1)], ["_id", "_url", "text", "n_chars", "n_template", "n_role"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return met.transform(map_arrow, texts, f"_id {kind}, _url string, text string, n_chars long").withColumnsRenamed({"_id": id_col, "_url": url_col})
+    return met.transform(map_arrow, texts, f"_id {kind}, _url string, text string, n_chars long, n_template long, n_role long").withColumnsRenamed({"_id": id_col, "_url": url_col})

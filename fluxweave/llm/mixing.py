@@ -4,12 +4,16 @@ The domains and their priors are those of all rows.  A multinomial classifier ov
 labelled table (about ``max_train`` of them, chosen by a hash of the id, and at least about ``min_train`` of each domain
 that has them; a domain without labelled rows is learned from rows of its own), predicts each document's domain posteriors; evidence is tempered to ``evidence`` words,
 so long texts keep soft memberships.  Document rates r >= 0 then solve a least-squares fit of the expected domain
-totals sum(r * tokens * posterior) to the targets by projected gradient steps: each step is one distributed sum of a
-few numbers, preconditioned by the Gram matrix of the posteriors.  A document's rate follows from its own posteriors
-and the list of steps, so no state is kept per document.
+totals sum(r * tokens * posterior) to the targets by projected gradient steps.  The first step solves the problem
+without the bound; the others are accelerated projected gradient steps of the least squares (in the metric of the
+tokens, with the largest eigenvalue of the posteriors' Gram matrix as their Lipschitz constant, restarted where the
+distance grows), until the targets are met or no rate moves any more; ``converged`` and ``residual`` say how it ended.
+Each step is one distributed sum of a few numbers.  A document's rate follows from its own posteriors and the list of
+steps, so no state is kept per document.
 
-Default targets flatten the domains' expected shares (to the power ``flatten``), with a total at which the most
-over-represented domain keeps its tokens and rates of at least 1: they repeat the rarer domains and drop nothing.
+Default targets flatten the domains' expected shares (to the power ``flatten``).  With ``keep_all`` their total is the one
+at which the most over-represented domain keeps its tokens, and rates are at least 1: they repeat the rarer domains and
+drop nothing.  Without it the total stays that of the corpus, and rates are at least 0.
 
 Defined results: null and empty texts have no tokens, the prior as posteriors and a rate that touches no total; null
 domains are not learned from; without labelled rows there is one domain and all rates are 1; repeated rows count each.
@@ -39,7 +43,9 @@ class Model:
     log_word: np.ndarray  # [bucket, domain]
     evidence: float
     floor: float = 0.0  # the least rate
-    steps: list[np.ndarray] = field(default_factory=list)
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)  # what posteriors are multiplied with, and the momentum
+    converged: bool = True
+    residual: float = 0.0  # the largest distance to a target, of the total
 
     def posteriors(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
         """(words, posteriors) of each row."""
@@ -51,10 +57,14 @@ class Model:
         return w.counts, p / p.sum(1, keepdims=True)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
-        for s in self.steps:
-            r = np.maximum(self.floor, r - p @ s)
-        return r
+        return self.last_rates(p)[0]
+
+    def last_rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rates, and those of one step before."""
+        before = r = np.ones(len(p))
+        for s, momentum in self.steps:
+            r, before = np.maximum(self.floor, r + momentum * (r - before) - p @ s), r
+        return r, before
 
 
 def _domains(docs: DataFrame, domain_col: str) -> DataFrame:
@@ -115,57 +125,72 @@ def memberships(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("_text")).transform(map_arrow, run, "n long, p array<double>")
 
 
-def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | None = None, total: float | None = None, flatten: float = 0.7, max_steps: int = 30,
-              tolerance: float = 1e-6) -> Model:
+def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | None = None, total: float | None = None, flatten: float = 0.7, keep_all: bool = True,
+              max_steps: int = 60, tolerance: float = 1e-6) -> Model:
     """The model with the steps that bring the expected domain totals to the targets (shares by domain, times total).
 
-    Without a total, the most over-represented domain keeps its tokens and no rate is under 1, so no document goes.
-    A target without a domain is an error.
+    A given total sets rates of at least 0, as ``keep_all=False`` does.  A target without a domain is an error.
     """
     absent = sorted(d for d, x in (targets or {}).items() if x > 0 and d not in model.domains)
     if absent:
         raise ValueError(f"targets without a domain: {', '.join(absent)}")
     k = len(model.domains)
-    model.floor = 1.0 if total is None else 0.0
+    model.floor = 1.0 if keep_all and total is None else 0.0
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, gram = np.zeros(k), np.zeros((k, k))
+        reached, gram, moved = np.zeros(k), np.zeros((k, k)), 0.0
         for batch in batches:
             n = batch.column("n").to_numpy().astype(float)
             p = batch.column("p").flatten().to_numpy().reshape(len(n), k)
-            reached += (model.rates(p) * n) @ p
+            r, before = model.last_rates(p)
+            reached += (r * n) @ p
             gram += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([reached.tolist() + gram.ravel().tolist()], pa.list_(pa.float64()))], ["v"])
+            moved += float(n @ (r - before) ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array([[*reached, *gram.ravel(), moved]], pa.list_(pa.float64()))], ["v"])
 
-    def gathered() -> tuple[np.ndarray, np.ndarray]:
+    def gathered() -> tuple[np.ndarray, np.ndarray, float]:
         each = F.posexplode("v").alias("i", "x")
-        v = np.zeros(k + k * k)
+        v = np.zeros(k + k * k + 1)
         for r in members.transform(map_arrow, sums, "v array<double>").select(each).groupBy("i").agg(F.sum("x").alias("x")).collect():
             v[r.i] = r.x
-        return v[:k], v[k:].reshape(k, k)
+        return v[:k], v[k:-1].reshape(k, k), v[-1]
 
     model.steps = []
-    reached, gram = gathered()
+    reached, gram, _ = gathered()
     if reached.sum() <= 0:
         return model
+    tokens = reached.sum()
     if targets is None:
-        share = (reached / reached.sum()) ** flatten * (reached > 0)
+        share = (reached / tokens) ** flatten * (reached > 0)
     else:
         share = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
     share = share / share.sum()
     if total is None:
-        total = max(reached[i] / share[i] for i in range(k) if share[i] > 0)
+        total = max(reached[i] / share[i] for i in range(k) if share[i] > 0) if keep_all else tokens
     goal = share * total
-    inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k))
-    last = np.inf
-    for _ in range(max_steps):
-        miss = reached - goal
-        now = np.abs(miss).max()
-        if now <= tolerance * total or now > 0.95 * last:  # there, or as near as the bound on the rates lets it come
+    lipschitz = np.linalg.eigvalsh(gram)[-1]
+    model.steps.append((np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k)) @ (reached - goal), 0.0))
+    reached, _, _ = gathered()
+    before, pace, best = reached, 1.0, np.inf
+    for step in range(max_steps + 1):
+        distance = np.linalg.norm(reached - goal)
+        model.residual = float(np.abs(reached - goal).max() / total)
+        model.converged = model.residual <= tolerance
+        if model.converged or step == max_steps:
+            break
+        if distance > best:
+            pace, before = 1.0, reached
+        faster = (1 + math.sqrt(1 + 4 * pace**2)) / 2
+        momentum = (pace - 1) / faster
+        best, pace = distance, faster
+        ahead = reached + momentum * (reached - before)
+        model.steps.append(((ahead - goal) / lipschitz, momentum))
+        before = reached
+        reached, _, moved = gathered()
+        if moved <= tolerance**2 * tokens:  # as near as the bound on the rates lets it come
+            model.converged = True
+            model.residual = float(np.abs(reached - goal).max() / total)
             break
-        last = now
-        model.steps.append(inverse @ miss)
-        reached, _ = gathered()
     return model
 
 

@@ -31,14 +31,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def mixing_model(docs: DataFrame, labels: DataFrame) -> mixing.Model:
+def mixing_model(docs: DataFrame, labels: DataFrame, **options) -> mixing.Model:
     model = mixing.fit_classifier(docs, labels)
-    return mixing.fit_rates(materialize(mixing.memberships(docs, model, "text")), model)
+    return mixing.fit_rates(materialize(mixing.memberships(docs, model, "text")), model, **options)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, mixing_model(docs, table(spark, sf_dir, "labels")))
+    model = mixing_model(docs, table(spark, sf_dir, "labels"), keep_all=False)
+    return mixing.mix(docs, model).withColumns({"converged": F.lit(model.converged), "residual": F.lit(model.residual)})
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:

@@ -5,9 +5,12 @@ slot-to-shard map assigns whole slots to shards; rebalancing and growing edit th
 The map has ``slots`` rows whatever the data, so it is planned on the driver and broadcast.
 
 Law: ``bytes``.  Slots go, largest first, to the shard with the fewest bytes, so shard sizes differ by less than the
-largest slot; ``rebalance`` moves the fewest slots that bring the shards within a tolerance.
+largest slot; ``rebalance`` moves the fewest slots that bring the shards within a tolerance.  A slot that holds over
+1 / (HEAVY * shards) of all bytes in over FEW rows (rows of one id, or without one) is split: its rows are dealt over all slots, row by row,
+and the map names it.  At most HEAVY * shards slots are.
 
-Defined results: null text: size 1; null ids hash as the empty string; repeated rows share a slot and count each.
+Defined results: null text: size 1; null ids hash as the empty string; repeated rows share a slot, unless it is split,
+and count each; ties in a slot are numbered in any order; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ SLOTS = 4096
 SHARDS = 8
 #: Each slot's rows are numbered in this many parts.
 PARTS = 16
+#: Of the mean shard, the share that a slot may hold before it is split.
+HEAVY = 32
+#: A slot of at most so many rows is never split.
+FEW = 64
 
 
 @dataclass(frozen=True)
@@ -32,6 +39,7 @@ class SlotMap:
     version: int
     shards: int
     owner: tuple[int, ...]  # shard of each slot
+    split: tuple[int, ...] = ()  # slots whose rows are dealt over all slots
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(self.version, s, o) for s, o in enumerate(self.owner)], "version int, vslot int, shard int")
@@ -76,13 +84,29 @@ def rebalance(held: SlotMap, sizes: dict[int, int], shards: int | None = None, t
 
 
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """id, size, text_crc32, _part and vslot of every row, written once: all later steps read these few bytes a row."""
+    """id, size, text_crc32, _part, _deal and vslot of every row, written once: all later steps read these few bytes a row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(slots * PARTS)).cast("int")
-    rows = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), part.alias("_part"))
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots * PARTS)).cast("int")
+    rows = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), part.alias("_part"), deal.alias("_deal"))
     return materialize(rows.withColumn("vslot", F.floor(F.col("_part") / PARTS).cast("int")))
 
 
+def heavy_slots(rows: DataFrame, shards: int) -> tuple[int, ...]:
+    """Slots of many rows and bytes, at most HEAVY * shards of them."""
+    per = rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # one row a slot
+    limit = sum(r.b for r in per) / (HEAVY * shards)
+    return tuple(sorted(r.vslot for r in per if r.b > limit and r.n > FEW))
+
+
+def dealt(rows: DataFrame, split: tuple[int, ...]) -> DataFrame:
+    """The rows with those of split slots in slots of their own."""
+    if not split:
+        return rows
+    rows = rows.withColumn("_part", F.when(F.col("vslot").isin(list(split)), F.col("_deal")).otherwise(F.col("_part")))
+    return rows.withColumn("vslot", F.floor(F.col("_part") / PARTS).cast("int"))
+
+
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
     return {r.vslot: r.b for r in rows.groupBy("vslot").agg(F.sum("size").alias("b")).collect()}  # one row a slot
 
@@ -104,5 +128,7 @@ def assign(rows: DataFrame, slot_map: SlotMap, *, id_col: str = "doc_id") -> Dat
 
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, shards: int = SHARDS) -> tuple[DataFrame, SlotMap]:
     rows = digest(docs, id_col=id_col, text_col=text_col, slots=slots)
-    slot_map = build(slot_bytes(rows), slots, shards)
+    split = heavy_slots(rows, shards)
+    rows = dealt(rows, split)
+    slot_map = replace(build(slot_bytes(rows), slots, shards), split=split)
     return assign(rows, slot_map, id_col=id_col), slot_map

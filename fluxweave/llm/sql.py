@@ -14,7 +14,7 @@ ln AS (SELECT doc_id, host, hash(t) AS h, raw, lower(regexp_replace(trim(raw, ch
        FROM (SELECT doc_id, host, t, unnest(ls) AS raw FROM d)),
 df AS (SELECT host, line, count(DISTINCT h) AS c FROM ln GROUP BY host, line HAVING count(DISTINCT h) >= 5),
 hosts AS (SELECT host, count(DISTINCT hash(t)) AS n FROM d GROUP BY host),
-above AS (SELECT host, line FROM df JOIN hosts USING (host) WHERE c >= 0.01 * n),
+above AS (SELECT host, line FROM df JOIN hosts USING (host) WHERE c >= least(0.01 * n, 1000)),
 lost AS (SELECT doc_id, sum(length(regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g'))) AS n FROM ln JOIN above USING (host, line) GROUP BY doc_id),
 base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

@@ -4,14 +4,16 @@ Learning (labelled rows that are not held out; at most about ``max_train`` of th
 words and their 4 to 6 byte prefixes get Dirichlet-smoothed log-odds of occurring in toxic documents; those of at
 least ``min_z`` standard errors form the lexicon.  Each training token then belongs to its most significant entry or
 to the background, and the Dirichlet-smoothed token shares of toxic and clean documents give every entry, and the
-background, a log-likelihood ratio.  Since scores are log ratios, the extreme-value parameter lambda is 1, and K has a
-closed-form estimate from clean documents.
+background, a log-likelihood ratio.  Words of the background that training saw have ratios of their own, under a
+Dirichlet prior of the pooled shares with the weight of all tokens; those under the background's count as they are, the
+others as the background.  Since scores are log ratios, the extreme-value parameter lambda is 1, and K has a closed-form
+estimate from clean documents.
 
 Scoring: a linear scan finds every maximal segment of positive score (passages); each has the E-value K n exp(-S), and
 the best r segments of a document are aggregated by their sum statistic.  A logistic curve over -ln P, fitted on the
 training rows, gives the score.
 
-Everything is one vectorised scan of the texts; the model is a few thousand numbers at most (``max_lexicon``).
+Everything is one vectorised scan of the texts; the model holds at most the words of the training rows.
 
 Defined results: null and empty texts have no tokens and get the score of a text without a passage; labels that are
 null are not learned from; several labels of one id count as the largest; without both classes the score is the share
@@ -56,6 +58,8 @@ class Model:
     z: np.ndarray = field(default_factory=lambda: np.zeros(0))
     score: np.ndarray = field(default_factory=lambda: np.zeros(0))
     background: float = -0.01
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted keys of words under the background
+    below: np.ndarray = field(default_factory=lambda: np.zeros(0))  # their scores
     k: float = 1.0
     slope: float = 1.0
     shift: float = 0.0
@@ -76,28 +80,31 @@ class Model:
             best[hit[better]], best_z[hit[better]] = e[better], self.z[e[better]]
         return best
 
-    def passages(self, positions: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
-        """All maximal segments [start, end) in one linear scan; tokens between positions score the background."""
-        found: list[tuple[float, float, int, int]] = []  # sums before and after, start, end
-        total, before = 0.0, 0
-        for p, s in zip(positions.tolist(), scores.tolist(), strict=True):
-            total += self.background * (p - before)
-            before = p + 1
+    def passages(self, positions: np.ndarray, scores: np.ndarray, between: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+        """All maximal segments [start, end) in one linear scan; ``between``: what the tokens before each position and after
+        the last one score together (the background for each if not given).
+
+        Each segment knows the nearest earlier one that begins lower, so no search passes the same segment twice.
+        """
+        if between is None:
+            between = self.background * (np.diff(positions, prepend=-1) - 1)
+        found: list[tuple[float, float, int, int, int]] = []  # sums before and after, start, end, the last one that begins lower
+        total = 0.0
+        for p, s, gap in zip(positions.tolist(), scores.tolist(), between.tolist(), strict=True):
+            total += gap
             if s <= 0:
                 total += s
                 continue
-            left, right, start, end = total, total + s, p, p + 1
+            left, right, start, j = total, total + s, p, len(found) - 1
             total = right
-            while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][0] >= left:
-                    j -= 1
-                if j < 0 or found[j][1] >= right:
-                    break
-                left, start = found[j][0], found[j][2]
+            while j >= 0 and found[j][0] >= left:
+                j = found[j][4]
+            while j >= 0 and found[j][1] < right:
+                left, _, start, _, lower = found[j]
                 del found[j:]
-            found.append((left, right, start, end))
-        return [(a, b, r - lo) for lo, r, a, b in found]
+                j = lower
+            found.append((left, right, start, p + 1, j))
+        return [(a, b, r - lo) for lo, r, a, b, _ in found]
 
     def statistic(self, sums: list[float], n: int) -> float:
         """-ln P of the best sum statistic."""
@@ -114,9 +121,17 @@ class Model:
         entry = self.match(w)
         at = np.flatnonzero(entry >= 0)
         scores, bounds, n = self.score[entry[at]], np.searchsorted(at, w.off), w.counts
+        each = np.full(len(entry), self.background)
+        if len(self.words):
+            key = w.hash()
+            k = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
+            each = np.where(self.words[k] == key, self.below[k], each)
+        each[at] = 0.0
+        run = np.concatenate([[0.0], np.cumsum(each)])
+        before = run[at]  # the scores of all tokens before it but those of the lexicon
         for r in range(w.row1 - w.row0):
             a, b = bounds[r], bounds[r + 1]
-            yield w.row0 + r, int(n[r]), self.passages(at[a:b] - w.off[r], scores[a:b]) if a < b else []
+            yield w.row0 + r, int(n[r]), self.passages(at[a:b] - w.off[r], scores[a:b], np.diff(before[a:b], prepend=run[w.off[r]])) if a < b else []
 
     def probability(self, x: float) -> float:
         if self.constant is not None:
@@ -186,6 +201,24 @@ def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, max_lexico
     smooth = (got + prior * share) / (got.sum(1, keepdims=True) + prior)
     llr = np.log(np.maximum(smooth[1], 1e-300)) - np.log(np.maximum(smooth[0], 1e-300))
     model.score, model.background = llr[:m], min(float(llr[m]), -1e-6)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens of the background by word."""
+        for batch in batches:
+            y = (batch.column("_y").to_numpy() == 1).astype(np.int64)
+            for w in K.words(batch.column("_text"), K.NOT_ALNUM):
+                free = model.match(w) < 0
+                key, where = np.unique(w.hash()[free], return_inverse=True)
+                toxic = np.bincount(where, weights=y[w.row0 + K.row_of(w.off)[free]], minlength=len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.bincount(where, minlength=len(key))), pa.array(toxic.astype(np.int64))], ["key", "n", "n1"])
+
+    per_word = train.transform(map_arrow, others, "key long, n long, n1 long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()  # the words of the training rows
+    n, n1_ = per_word["n"].to_numpy().astype(float), per_word["n1"].to_numpy().astype(float)
+    size1, size0 = got[1].sum(), got[0].sum()
+    own = np.log((n1_ + n) / (2 * size1 + size0)) - np.log((2 * n - n1_) / (size1 + 2 * size0))
+    low = own < model.background
+    by = np.argsort(per_word["key"].to_numpy()[low].view(np.uint64))
+    model.words, model.below = per_word["key"].to_numpy()[low].view(np.uint64)[by], own[low][by]
     shared = spark.sparkContext.broadcast(model)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from fluxweave.llm.html_text import Page, extract
@@ -78,3 +80,32 @@ def test_no_claim_loses_the_rest_of_the_page(spark):
     rows = [(i, "http://a.org/", f"<article><p>shared words</p><div>a tail</div><p>long text of part one {i}</p></article><article><p>shared words</p><p>{'more ' * 30}{i}</p></article>") for i in range(9)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"shared words long text of part one {i} shared words {'more ' * 30}{i}" for i in range(9)}
+
+
+def test_subtrees_are_counted_wherever_they_stand(spark):
+    """Menus, forms and adverts that recur go as templates (in an article too), one-off ones by their role."""
+    rows = []
+    for i in range(10):
+        menu = "<nav><ul><li>Home</li><li>News</li></ul></nav>"
+        rows.append((i, f"http://a.org/{i}", f"<article>{menu}<p>story {i} of the day</p><div class=ad>once {i}</div></article><footer>all rights</footer><form>find <input></form>"))
+    got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(10):
+        assert (got[i].text, got[i].n_template, got[i].n_role) == (f"story {i} of the day", 3, 1)
+
+
+def test_counts_against_brute_force(spark):
+    """What recurs on a host is found by comparing all subtrees of all pages as text."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        blocks = [f"<div><span>block {rng.randrange(12)}</span></div>" for _ in range(4)]
+        rows.append((i, f"http://h{i % 3}.org/{i}", f"<body>{''.join(blocks)}<div>own words of page {i} and some more of them to read</div></body>"))
+    hosts = {}
+    for i, url, source in rows:
+        hosts.setdefault(url.split("/")[2], []).append({b for b in range(12) if f"block {b}<" in source})
+    often = {h: {b for b in range(12) if sum(b in x for x in pages) >= max(4, 0.1 * len(pages))} for h, pages in hosts.items()}
+    want = {}
+    for i, url, source in rows:
+        seen = [int(x.split("<")[0]) for x in source.split("block ")[1:]]
+        want[i] = " ".join([f"block {b}" for b in seen if b not in often[url.split("/")[2]]] + [f"own words of page {i} and some more of them to read"])
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want

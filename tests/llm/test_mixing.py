@@ -109,3 +109,29 @@ def test_rare_domains_are_kept_whatever_the_sample(spark):
 def test_targets_need_a_domain(tables):
     with pytest.raises(ValueError, match="xx"):
         fitted(*tables, targets={"en": 1.0, "xx": 1.0}, total=100.0)
+
+
+def test_rates_under_one_keep_the_corpus_total(tables):
+    """Without keep_all rarer domains grow and frequent ones shrink, to flattened shares of the same total."""
+    docs, labels = tables
+    model = fitted(docs, labels, keep_all=False)
+    rows = mixing.mix(docs, model).collect()
+    rate = np.array([r.rate for r in rows])
+    before, after = totals(rows, np.ones(len(rows))), totals(rows, rate)
+    assert model.converged
+    assert after.sum() == pytest.approx(before.sum(), rel=1e-3)
+    want = (before / before.sum()) ** 0.7
+    assert after / after.sum() == pytest.approx(want / want.sum(), rel=1e-2)
+    assert 0 <= rate.min() < 1 < rate.max()
+
+
+def test_targets_out_of_reach_end_at_the_bound(tables):
+    docs, labels = tables
+    model = fitted(docs, labels, targets={"fr": 1.0}, total=500.0, max_steps=400)
+    rows = mixing.mix(docs, model).collect()
+    p, n = np.array([r.posteriors for r in rows]), np.array([r.n_tokens for r in rows], float)
+    r, goal = np.array([x.rate for x in rows]), np.array([500.0 * (d == "fr") for d in model.domains])
+    slope = p @ (totals(rows, r) - goal)  # at the best rates no row with tokens could move: none up, and none down but from 0
+    free = (n > 0) & ((slope < 0) | (r > 0))
+    assert np.abs(slope[free] * n[free]).max() < 0.02 * 500 * n.max()
+    assert model.residual > 0

@@ -74,3 +74,19 @@ def test_nulls(spark):
     found, _ = sharding.shard(df)
     assert sorted(r["size"] for r in found.collect()) == [1, 1, 2]
     assert found.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_rows_of_one_id_or_without_one_are_spread(spark):
+    rows = [(None if i % 10 < 7 else i, "the same text") for i in range(3000)] + [(7, "t" * 20)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found, m = sharding.shard(df)
+    got = found.collect()
+    assert len(got) == len(rows)
+    assert len(m.split) == 2
+    load, at = defaultdict(int), defaultdict(list)
+    for r in got:
+        load[r.shard] += r["size"]
+        at[r.shard].append(r.slot)
+        assert m.owner[r.vslot] == r.shard
+    assert max(load.values()) <= 1.01 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in at.values())

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -84,3 +85,32 @@ def test_odd_inputs(spark, labelled, clashing, empty):
     assert {r.score for r in toxicity.score(docs, fit(docs, none)).collect()} == {0.0}
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
     assert toxicity.score(docs, fit(docs, odd)).count() == docs.count()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_long_texts_with_many_hits(seed):
+    """Every spaced hit of a very long text in linear time, and the same passages as a plain quadratic scan finds."""
+    rng, n = np.random.default_rng(seed), 100_000
+    at = np.flatnonzero(rng.random(4 * n) < 0.25)[:n]
+    scores, m = rng.uniform(0.1, [1.0, 2.0, 1.3, 5.0, 0.4][seed], len(at)), Model(background=[-0.3, -0.35, -0.2, -2.0, -0.05][seed])
+    began = time.perf_counter()
+    got = m.passages(at, scores)
+    assert time.perf_counter() - began < 5
+
+    def plain(k):
+        found, total, before = [], 0.0, 0
+        for p, s in zip(at[:k].tolist(), scores[:k].tolist(), strict=True):
+            total += m.background * (p - before)
+            left, total, before = total, total + s, p + 1
+            new = [left, total, p, p + 1]
+            while True:
+                j = max((i for i, x in enumerate(found) if x[0] < new[0]), default=-1)
+                if j < 0 or found[j][1] >= new[1]:
+                    break
+                new = [found[j][0], new[1], found[j][2], new[3]]
+                del found[j:]
+            found.append(new)
+        return [(a, b) for *_, a, b in found]
+
+    assert [(a, b) for a, b, _ in m.passages(at[:600], scores[:600])] == plain(600)
+    assert len(got) == len({a for a, *_ in got})
