@@ -30,8 +30,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains under their target weight repeat; none is dropped, since the default rates start at 1."""
-    return mixing.resample(docs, mixing_model(docs, table(spark, sf_dir, "labels")))
+    """Documents of domains under their target weight repeat; none is dropped, since rates start at 1."""
+    return mixing.resample(docs, mixing_model(docs, table(spark, sf_dir, "labels"), keep_all=True))
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
