@@ -1,10 +1,11 @@
 """PII by boosted trees over candidate spans, in DataFrame functions only.
 
 Base patterns give their spans outright.  High-recall generators propose further, overlapping spans in looser formats
-(bracketed addresses, national phone numbers, cards with unusual separators, full IPv6 ...).  Each candidate's format
-and context become a bit pattern; gradient-boosted trees of depth two over those bits score it, and a threshold per
-kind, calibrated for precision on held-out examples, selects it.  A selected span that meets a base span, or a better
-candidate, gives way.
+(bracketed addresses, national phone numbers, cards with unusual separators, IPv6 ...) and of further kinds: secrets
+(values assigned to a token, key or password, and keys of well-known forms) and ids (IBANs, social security numbers).
+Each candidate's format and context become a bit pattern; gradient-boosted trees of depth two over those bits score it,
+and a threshold per kind, calibrated for precision on held-out examples, selects it.  A selected span that meets a base
+span gives way unless it holds that span whole, and so it does to a better candidate that it meets.
 
 The trees are trained in the driver on ``examples()``, a fixed number of generated sentences with known spans, through
 the same DataFrame feature code; only a histogram of bit patterns (at most 2**len(BITS) rows, a few hundred in practice)
@@ -26,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret", "id")
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
@@ -35,20 +36,25 @@ BASE = {
 }
 LOOSE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[{]\x20?at\x20?[)\]}]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,4}",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\x20?[(\[]\.[)\]]\x20?[0-9]{1,3}){3}|[0-9]{1,3}(?:\x20\.\x20?[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?:\x20?[(\[]\.[)\]]\x20?[0-9]{1,3}){3}|[0-9]{1,3}(?:\x20\.\x20?[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{4}[._/][0-9]{6}[._/][0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[1-9][0-9\x20()./-]{7,18}[0-9]|\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5})(?![0-9])",
+    "secret": r"(?i)(?<=(?:token|secret|key|password|passwd|pwd|passphrase)[\x22']?\x20{0,2}[=:]\x20{0,2}[\x22']?)[A-Za-z0-9_+/.!$%-]{6,200}+=*|(?-i:\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abpr]-[A-Za-z0-9-]{10,80})\b)|\b[0-9a-f]{32,64}+\b",
+    "id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])",
 }
 #: What a text must contain for any pattern of a kind to match; plain scans that spare most texts the patterns.
-GATE = {"email": r"@|(?i:[(\[{]\x20?at\x20?[)\]}]|\x20at\x20)", "ip": r"[0-9A-Fa-f][:.()\[\]\x20]", "card": r"[0-9]", "phone": r"[0-9]"}
+GATE = {"email": r"@|(?i:[(\[{]\x20?at\x20?[)\]}]|\x20at\x20)", "ip": r"[0-9A-Fa-f][:.()\[\]\x20]", "card": r"[0-9]", "phone": r"[0-9]",
+        "secret": r"(?i)(?:token|secret|key|password|passwd|pwd|passphrase)[\x22']?\x20{0,2}[=:]|AKIA|gh[pousr]_|sk-|xox|[0-9a-f]{32}", "id": r"[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}"}
 CONTEXT = {
     "email": r"(?i)(?:mail|contact|write|reach|kontakt|correo|courriel)",
     "ip": r"(?i)(?:\bip\b|host|server|address|login|addr|from)",
     "card": r"(?i)(?:card|visa|master|credit|debit|amex|carte|karte|tarjeta|pay)",
     "phone": r"(?i)(?:phone|call|tel|mobile|fax|cell|dial|whatsapp|sms)",
+    "secret": r"(?i)(?:token|secret|key|passw|pwd|passphrase|auth|bearer|credential)",
+    "id": r"(?i)(?:iban|ssn|social|account|konto|cuenta|compte|bank)",
 }
 DECOY = r"(?i)(?:order|invoice|version|isbn|issn|serial|sku|part|model|ref|price|total|build|release|chapter|section|lot|batch|tracking)[\x20:#.]*(?:no\.?|number|id)?[\x20:#.]*$"
-BITS = ("email", "ip", "card", "phone", "luhn", "phone_digits", "octets", "context", "decoy", "glued", "issuer", "prefix", "spelled", "tld", "grouped", "v6")
+BITS = ("email", "ip", "card", "phone", "luhn", "phone_digits", "octets", "context", "decoy", "glued", "issuer", "prefix", "spelled", "tld", "grouped", "v6", "secret", "id", "hex", "mixed", "iban")
 
 
 def located(text: Column, pattern: str, kind: str) -> Column:
@@ -82,6 +88,15 @@ def _luhn(m: Column) -> Column:
     return F.when((n >= 12) & (n <= 19), total % 10 == 0).otherwise(F.lit(False))
 
 
+def _iban(m: Column) -> Column:
+    """Whether the check digits of an IBAN hold: letters count as 10 to 35, and the number leaves 1 by 97."""
+    s = F.regexp_replace(m, r"\x20", "")
+    turned = F.concat(F.substr(s, F.lit(5), F.length(s)), F.left(s, F.lit(4)))
+    code = lambda c: F.ascii(c) - F.when(F.ascii(c) >= 65, 55).otherwise(48)
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(F.when(code(c) >= 10, a * 100 + code(c)).otherwise(a * 10 + code(c)) % 97))
+    return m.rlike("^[A-Z]{2}[0-9]{2}") & (F.length(s) >= 15) & (rest == 1)
+
+
 def _octets(m: Column) -> Column:
     part = F.split(F.regexp_replace(m, r"[^0-9.]", ""), r"\.")
     return (F.size(part) == 4) & F.forall(part, lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.length(p) > 0) & (F.coalesce(F.right(p, F.lit(9)).cast("int"), F.lit(999)) <= 255))
@@ -93,7 +108,7 @@ def base_spans(text: Column) -> Column:
     gate = {"email": "@", "ip": ".", "card": None, "phone": "+"}
     none = F.array().cast("array<struct<start:int,end:int,kind:string,match:string>>")
     each = []
-    for kind in KINDS:
+    for kind in BASE:
         held = F.contains(text, F.lit(gate[kind])) if gate[kind] else F.lit(True)
         if kind != "email":
             held = held & text.rlike("[0-9]")
@@ -125,12 +140,13 @@ def _bits(text: Column, x: Column) -> Column:
     flag = {k: kind == k for k in KINDS} | {
         "luhn": _luhn(m), "phone_digits": F.length(_digits(m)).between(9, 15), "octets": _octets(m), "context": near, "decoy": before.rlike(DECOY), "glued": around.rlike(r"[\p{L}\p{N}_]"),
         "issuer": _digits(m).rlike("^[3-6]"), "prefix": m.rlike(r"^(?:\(|00|0)"), "spelled": m.rlike(r"(?i)[(\[{]\x20?(?:at|dot|\.)\x20?[)\]}]"),
-        "tld": m.rlike(r"(?i)(?:com|org|net|edu|gov|de|fr|es|io|info|co|uk|eu)$"), "grouped": m.rlike(r"^(?:\(?[0-9]{3}\)?[ ./-]{1,2}[0-9]{3}[ ./-][0-9]{4}|[0-9]{4}([ ._/-]{1,3})[0-9]{4}\1[0-9]{4}\1[0-9]{4})$"), "v6": m.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}"),
+        "tld": m.rlike(r"(?i)(?<![a-z])(?:com|org|net|edu|gov|de|fr|es|io|info|co|uk|eu)$"), "grouped": m.rlike(r"^(?:\(?[0-9]{3}\)?[ ./-]{1,2}[0-9]{3}[ ./-][0-9]{4}|[0-9]{4}([ ._/-]{1,3})[0-9]{4}\1[0-9]{4}\1[0-9]{4})$"), "v6": m.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}|^[0-9A-Fa-f]{3,4}:(?:[0-9A-Fa-f]{1,4}:)*:"),
+        "hex": m.rlike("(?i)^[0-9a-f]{16,}$"), "mixed": kind.isin("secret", "id") & m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) >= 12), "iban": F.when(kind == "id", _iban(m)).otherwise(F.lit(False)),
     }
     return sum((F.when(flag[b], F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(BITS)), F.lit(0))
 
 
-def examples(count: int = 3000, seed: int = 11) -> list[tuple[int, str, str, int, int]]:
+def examples(count: int = 4500, seed: int = 11) -> list[tuple[int, str, str, int, int]]:
     """(id, text, kind, start, end) of generated sentences; kind '' where nothing is personal."""
     rng = random.Random(seed)
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -141,31 +157,55 @@ def examples(count: int = 3000, seed: int = 11) -> list[tuple[int, str, str, int
         total = sum(int(c) if i % 2 else (2 * int(c) - 9 * (2 * int(c) > 9)) for i, c in enumerate(d))
         return d + str((10 - total % 10 + (0 if valid else rng.randint(1, 9))) % 10)
 
-    def made(kind: str, good: bool) -> str:
+    def iban(valid: bool) -> str:
+        country, account = rng.choice(["DE", "FR", "ES", "NL", "GB"]), num(18)
+        check = 98 - int(account + "".join(str(ord(c) - 55) for c in country) + "00") % 97
+        s = f"{country}{(check if valid else (check + rng.randint(1, 90)) % 97):02d}{account}"
+        return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rng.random() < 0.5 else s
+
+    def made(kind: str, good: bool) -> str | tuple[str, str]:
         if kind == "email":
             at, dot = rng.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" at ", " dot ")]) if good else rng.choice([(" at ", "."), (" at ", ". ")])
             return f"{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de']) if good else word()}"
         if kind == "ip":
             if good and rng.random() < 0.4:
-                return ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8))
+                if rng.random() < 0.5:
+                    return ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8))
+                return f"{rng.randint(4096, 65535):x}:{rng.randint(0, 65535):x}::{rng.randint(1, 65535):x}"
+            if not good and rng.random() < 0.2:
+                return f"{rng.randint(1, 9)}::{rng.randint(1, 9)}"
             return rng.choice(["[.]", "(.)"] if good else ["[.]", " ."]).join(str(rng.randint(0, 255) if good else rng.randint(0, 999)) for _ in range(4))
         if kind == "card":
             c, s = card(good), rng.choice([".", "/", "_", "  ", " - "])
             return s.join(c[i : i + 4] for i in range(0, 16, 4))
+        if kind == "secret":
+            name = rng.choice(["token = ", "api_key: ", "password=", "secret = '", "PASSWORD: ", "access_key=", "token: \""])
+            if good:
+                value = rng.choice([f"{rng.getrandbits(160):040x}", f"{rng.getrandbits(128):032x}", "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-") for _ in range(rng.randint(12, 40))) + "7x"])
+                return rng.choice([(name, value), (name, value), (name, value), ("", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))), ("", f"{rng.getrandbits(160):040x}")])
+            return rng.choice([(name, word() + word()), ("key: ", word() + "ing"), ("token = ", word() + "able"), ("password: ", "required"), ("key = ", word() + word())])
+        if kind == "id":
+            if good:
+                return rng.choice([iban(True), iban(True), f"{num(3)}-{num(2)}-{num(4)}"])
+            return rng.choice([iban(False), f"{rng.choice('ABKR')}{rng.choice('ABKR')}{num(2)} {num(4)} {num(4)}", "AB12CDEF3456"])
         if good:
             return rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"00{rng.randint(1, 9)}{num(1)} {num(3)} {num(6)}", f"0{num(3)}/{num(4)}{num(3)}", f"{num(3)}.{num(3)}.{num(4)}"])
         return rng.choice([f"{num(3)} {num(3)} {num(4)}", f"{num(3)}/{num(3)}/{num(4)}", f"0{num(2)} {num(3)} {num(4)}"])
 
-    words = {"email": ["mail", "contact"], "ip": ["server", "host"], "card": ["card", "visa"], "phone": ["call", "phone", "tel"]}
+    words = {"email": ["mail", "contact"], "ip": ["server", "host"], "card": ["card", "visa"], "phone": ["call", "phone", "tel"], "secret": ["use", "export"], "id": ["iban", "account", "ssn"]}
     decoys = ["order no", "serial", "part", "version", "ref", "invoice", "total"]
     out = []
     for i in range(count):
-        kind, good = KINDS[i % 4], rng.random() < 0.5
+        kind, good = KINDS[i % len(KINDS)], rng.random() < 0.5
         if good:
             lead = rng.choice(words[kind]) if rng.random() < 0.7 or kind in ("phone",) else word()
         else:
             lead = rng.choice(decoys) if rng.random() < 0.6 else word()
+            if kind == "id" and rng.random() < 0.5:  # a word before it makes no wrong number right
+                lead = rng.choice(words[kind])
         span, start = made(kind, good), f"{word()} {word()} {lead} "
+        if isinstance(span, tuple):  # what leads to a secret is no part of it
+            start, span = start + span[0], span[1]
         out.append((i, f"{start}{span} {word()}", kind if good else "", len(start), len(start) + len(span)))
     return out
 
@@ -190,7 +230,7 @@ class Model:
         return chosen
 
 
-def boost(rows: list[tuple[int, int, int]], rounds: int = 24, rate: float = 0.3) -> tuple[float, list]:
+def boost(rows: list[tuple[int, int, int]], rounds: int = 40, rate: float = 0.3) -> tuple[float, list]:
     """Second-order boosting of depth-two trees over (bits, negatives, positives)."""
     pos, neg = sum(r[2] for r in rows) + 1, sum(r[1] for r in rows) + 1
     shift, trees, total = math.log(pos / neg), [], {}
@@ -239,7 +279,7 @@ def _train(spark: SparkSession, precision: float) -> Model:
     rows = spark.createDataFrame(examples(), "i int, text string, kind string, start int, end int")
     found = rows.select("i", F.col("kind").alias("gold"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(candidates(F.col("text"))).alias("c"))
     right = (F.col("c.kind") == F.col("gold")) & (F.col("c.start") < F.col("e")) & (F.col("c.end") > F.col("s"))
-    counted = found.groupBy((F.col("i") % 3 == 0).alias("test"), F.col("c.kind").alias("kind"), F.col("c.bits").alias("bits")).agg(F.sum((~right).cast("long")).alias("n"), F.sum(right.cast("long")).alias("p"))
+    counted = found.groupBy((F.floor(F.col("i") / len(KINDS)) % 3 == 0).alias("test"), F.col("c.kind").alias("kind"), F.col("c.bits").alias("bits")).agg(F.sum((~right).cast("long")).alias("n"), F.sum(right.cast("long")).alias("p"))
     got = sorted(map(tuple, counted.collect()))  # a row a bit pattern
     shift, trees = boost([(b, n, p) for test, _, b, n, p in got if not test])
     threshold = {}
@@ -258,7 +298,8 @@ def detect(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFram
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumn("_t", text).withColumn("base", base_spans(F.col("_t"))).withColumn("_c", candidates(F.col("_t")))
     meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    picked = F.filter("_c", lambda x: model.select(x) & ~F.exists("base", lambda b: meets(x, b)))
+    holds = lambda x, b: (x["start"] <= b["start"]) & (b["end"] <= x["end"]) & (x["end"] - x["start"] > b["end"] - b["start"])
+    picked = F.filter("_c", lambda x: model.select(x) & ~F.exists("base", lambda b: meets(x, b) & ~(x["kind"].isin("secret", "id") & holds(x, b))))
     d = d.withColumn("_p", F.transform(picked, lambda x: F.struct(model.score(x["bits"]).alias("score"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     better = lambda y, x: (y["score"] > x["score"]) | ((y["score"] == x["score"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["end"] > x["end"]))))
     kept = F.filter("_p", lambda x: ~F.exists("_p", lambda y: meets(x, y) & better(y, x)))

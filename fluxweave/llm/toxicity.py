@@ -5,7 +5,7 @@ words and their 4 to 6 byte prefixes get Dirichlet-smoothed log-odds of occurrin
 least ``min_z`` standard errors form the lexicon.  Each training token then belongs to its most significant entry or
 to the background, and the Dirichlet-smoothed token shares of toxic and clean documents give every entry, and the
 background, a log-likelihood ratio.  Words of the background that training saw have ratios of their own, under a
-Dirichlet prior of the pooled shares with the weight of all tokens; those under the background's count as they are, the
+Dirichlet prior of the pooled shares with ``weight`` times the tokens there are; those under the background's count as they are, the
 others as the background.  Since scores are log ratios, the extreme-value parameter lambda is 1, and K has a closed-form
 estimate from clean documents.
 
@@ -151,7 +151,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return materialize(docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(known), id_col).select("_text", "_y"))
 
 
-def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, max_lexicon: int = 20_000) -> Model:
+def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, weight: float = 4.0, max_lexicon: int = 20_000) -> Model:
     spark = train.sparkSession
     sizes = {r._y: r.n for r in train.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1 = sum(v for y, v in sizes.items() if y == 1)
@@ -214,8 +214,9 @@ def fit(train: DataFrame, *, min_z: float = 4.0, prior: float = 10.0, max_lexico
 
     per_word = train.transform(map_arrow, others, "key long, n long, n1 long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()  # the words of the training rows
     n, n1_ = per_word["n"].to_numpy().astype(float), per_word["n1"].to_numpy().astype(float)
-    size1, size0 = got[1].sum(), got[0].sum()
-    own = np.log((n1_ + n) / (2 * size1 + size0)) - np.log((2 * n - n1_) / (size1 + 2 * size0))
+    size0, size1 = got.sum(1)
+    size = size0 + size1
+    own = np.log((n1_ + weight * n) / (size1 + weight * size)) - np.log((n - n1_ + weight * n) / (size0 + weight * size))
     low = own < model.background
     by = np.argsort(per_word["key"].to_numpy()[low].view(np.uint64))
     model.words, model.below = per_word["key"].to_numpy()[low].view(np.uint64)[by], own[low][by]
