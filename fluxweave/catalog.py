@@ -7,6 +7,7 @@ decimals because sums of doubles depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ def _r(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def _shifted(df: DataFrame, *values: str, digits: int = 4, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Rounded after a shift of 0.3 of the last digit: binary fractions can be exact halves, but not shifted ones."""
+    return df.select(*keys, *[F.round(F.col(v) + float(f"3e-{digits + 1}"), digits).alias(v) for v in values])
+
+
 def _rounded(df: DataFrame, *values: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     return df.select(*keys, *[_r(F.col(v)).alias(v) for v in values])
 
@@ -203,10 +209,13 @@ def gradients_limited(spark, sf_dir):
     return _rounded(gradient.gradients(s, _near(s, N), ["price"], 2, limiter="barth_jespersen"), "g_price_x", "g_price_y")
 
 
-@query()
+_FIT = ", ".join(f"(round({c}, 3) + 0.0)" for c in ("gx", "gy", "hxx", "hxy", "hyy"))
+
+
+@query(f"WITH {S}, {q.quadratics('price')} SELECT id, [{_FIT}] AS q FROM f")
 def quadratic_fit(spark, sf_dir):
     s = _source(spark, sf_dir)
-    return gradient.quadratic_fit(s, _near(s, N), "price", 2).select("id", F.transform("q", lambda v: F.round(v, 6)).alias("q"))
+    return gradient.quadratic_fit(s, _near(s, N), "price", 2).select("id", F.transform("q", lambda v: F.round(v, 3) + F.lit(0.0)).alias("q"))
 
 
 # ---- interpolate ----
@@ -232,10 +241,14 @@ def remap_2d_order2_limited(spark, sf_dir):
     return _order2(spark, sf_dir, "barth_jespersen", ["price", "qty"])
 
 
-@query()
+@query(
+    f"""WITH {S}, {T}, {W}, {q.quadratics("price")}, d AS (SELECT tgt_id, src_id, m0, m1x / m0 - cx AS dx, m1y / m0 - cy AS dy, price FROM w JOIN s ON s.id = src_id WHERE m0 > 2.220446049250313e-16),
+    v AS (SELECT tgt_id, sum(m0 * (price + gx * dx + gy * dy + hxx * dx * dx + hxy * dx * dy + hyy * dy * dy)) AS m FROM d JOIN f ON f.id = src_id GROUP BY tgt_id)
+    SELECT t.id, {q.shifted('coalesce(m / vol, 0.0)')} AS price FROM t LEFT JOIN v ON tgt_id = t.id"""
+)
 def remap_2d_order3(spark, sf_dir):
     s = _source(spark, sf_dir)
-    return _rounded(remap(s, _target(spark), ["price"], 2, source_adjacency=_near(s, N), options=Options(order=3, limiter="nolimiter", check_mismatch=False)), "price")
+    return _shifted(remap(s, _target(spark), ["price"], 2, source_adjacency=_near(s, N), options=Options(order=3, limiter="nolimiter", check_mismatch=False)), "price")
 
 
 @query(
@@ -324,9 +337,9 @@ def empty_layers(spark, sf_dir):
     return _rounded(repair.empty_layers(t, intersect.intersect_boxes(t, s, 2), _near(t, M)), "covered", keys=("id", "layer"))
 
 
-def _repaired(spark, sf_dir, **options):
+def _repaired(spark, sf_dir, shown=_rounded, **options):
     s, t = _source(spark, sf_dir), _target(spark, OFFSET)
-    return _rounded(remap(s, t, ["price"], 2, source_adjacency=_near(s, N), target_adjacency=_near(t, M), options=Options(order=1, **options)), "price")
+    return shown(remap(s, t, ["price"], 2, source_adjacency=_near(s, N), target_adjacency=_near(t, M), options=Options(order=1, **options)), "price")
 
 
 _FIRST = f"{S}, {T_OFF}, {W}, {q.first_order(['price'])}, {_COVER}"
@@ -354,14 +367,14 @@ def repair_extrapolate(spark, sf_dir):
     return _repaired(spark, sf_dir, partial="constant", empty="extrapolate")
 
 
-@query()
+@query(f"WITH {S}, {T_OFF}, {W}, {q.first_order(['price'])}, {_LAYERS}, {_extrapolated(3)}, {q.conserved('SELECT v3.id, price, vol, true AS o FROM v3 JOIN t USING (id)')} SELECT id, {q.shifted('price', 6)} AS price FROM p5")
 def repair_globally_conservative(spark, sf_dir):
-    return _repaired(spark, sf_dir)
+    return _repaired(spark, sf_dir, partial(_shifted, digits=6))
 
 
-@query()
+@query(f"WITH {_FIRST}, {q.conserved('SELECT o.id, price, vol, covered >= 2.220446049250313e-16 AS o FROM o JOIN c USING (id) JOIN t USING (id)')} SELECT id, {q.shifted('price', 6)} AS price FROM p5")
 def repair_globally_conservative_covered_only(spark, sf_dir):
-    return _repaired(spark, sf_dir, empty="leave_empty")
+    return _repaired(spark, sf_dir, partial(_shifted, digits=6), empty="leave_empty")
 
 
 # ---- parts, materials, momentum ----
@@ -412,7 +425,13 @@ def momentum_cell_centred(spark, sf_dir):
     return _rounded(momentum.remap_cch(s, _target(spark), _near(s, N), 2), "density", "mass", "ux", "uy")
 
 
-@query()
+_STAG = f"""{S}, {T}, sm AS (SELECT *, qty + 1 AS density, (qty + 1) * cx AS px, (qty + 1) * (cx - cy) AS py FROM s), {q.weights(s="sm")}, {q.gradients(["density", "px", "py"], True, "sm")}, {q.second_order(["density", "px", "py"], s="sm")},
+    tc AS (SELECT t.*, density, px, py FROM t JOIN o USING (id)), {q.gradients(["density", "px", "py"], True, "tc", "h")},
+    cr AS (SELECT tc.id, (ix + a + (iy + b) * {M + 1})::BIGINT AS node, vol / 4 AS part, (CASE a WHEN 1 THEN xhi ELSE xlo END - cx) / 2 AS dx, (CASE b WHEN 1 THEN yhi ELSE ylo END - cy) / 2 AS dy, density, px, py FROM tc, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+    nd AS (SELECT node, {", ".join(f"sum(part * ({f} + gx_{f} * dx + gy_{f} * dy)) AS {f}" for f in ("density", "px", "py"))} FROM cr JOIN h USING (id) GROUP BY node)"""
+
+
+@query(f"WITH {_STAG} SELECT node, {q.r('density')} AS mass, {q.r('px / density')} AS ux, {q.r('py / density')} AS uy FROM nd")
 def momentum_staggered(spark, sf_dir):
     s, t = _source(spark, sf_dir), _target(spark)
     corners = momentum.box_corners(s, [N, N])
@@ -500,16 +519,16 @@ def swarm_unitary(spark, sf_dir):
     return _rounded(swarm_remap(s, t, ["v"], 2), "v")
 
 
-@query()
+@query(f"WITH {_PAIRS}, {q.regression('pw', ['1.0', '-dx', '-dy'])} SELECT su.id, {q.shifted('coalesce(x0, 0.0)')} AS v FROM su LEFT JOIN lr ON tgt_id = su.id")
 def swarm_linear(spark, sf_dir):
     s, t = _swarms(spark, sf_dir)
-    return _rounded(swarm_remap(s, t, ["v"], 2, basis="linear"), "v")
+    return _shifted(swarm_remap(s, t, ["v"], 2, basis="linear"), "v")
 
 
-@query()
+@query(f"WITH {_PAIRS}, {q.regression('pw', ['1.0', '-dx', '-dy', '0.5 * dx * dx', 'dx * dy', '0.5 * dy * dy'])} SELECT su.id, (round(coalesce(x1, 0.0), 2) + 0.0) AS v FROM su LEFT JOIN lr ON tgt_id = su.id")
 def swarm_quadratic_gradient(spark, sf_dir):
     s, t = _swarms(spark, sf_dir)
-    return _rounded(swarm_remap(s, t, ["v"], 2, basis="quadratic", derivative=1), "v")
+    return swarm_remap(s, t, ["v"], 2, basis="quadratic", derivative=1).select("id", (F.round("v", 2) + F.lit(0.0)).alias("v"))
 
 
 @query(
@@ -539,7 +558,15 @@ def remap_through_particles(spark, sf_dir):
 
 
 
-@query()
+def _ramp(z: str) -> str:
+    return f"(CASE WHEN {z} < 0 THEN 1.0 WHEN {z} <= 1 THEN (1.5::DOUBLE - {z}) / 1.5::DOUBLE WHEN {z} < 2 THEN (2 - 2 * {z} + 0.5::DOUBLE * {z} * {z}) / 1.5::DOUBLE ELSE 0.0 END)"
+
+
+@query(
+    f"""WITH {S}, {T}, d AS (SELECT t.id AS tgt_id, price, (t.cx - s.cx) / (s.xhi - s.xlo) AS a, (t.cy - s.cy) / (s.yhi - s.ylo) AS b FROM t JOIN s ON abs(t.cx - s.cx) < 4 * (s.xhi - s.xlo) AND abs(t.cy - s.cy) < 4 * (s.yhi - s.ylo)),
+    pw AS (SELECT tgt_id, price, {_ramp("a")} * {_ramp("(-a)")} * {_ramp("b")} * {_ramp("(-b)")} AS w FROM d)
+    SELECT t.id, {q.r("coalesce(CASE WHEN sum(w) <> 0 THEN sum(w * price) / sum(w) ELSE 0.0 END, 0.0)")} AS price FROM t LEFT JOIN pw ON tgt_id = t.id GROUP BY t.id"""
+)
 def swarm_faceted(spark, sf_dir):
     """Cells as faceted particles of polynomial ramps, scattered to the target's centroids."""
     s = _source(spark, sf_dir)
@@ -548,7 +575,10 @@ def swarm_faceted(spark, sf_dir):
     return _rounded(swarm_remap(swarm, t, ["price"], 2, kernel="polyramp", geometry="faceted", center="scatter"), "price")
 
 
-@query()
+@query(
+    f"""WITH {S}, {T}, d AS (SELECT t.id AS tgt_id, s.price AS v, s.cx - t.cx AS dx, s.cy - t.cy AS dy, sqrt(pow((t.cx - s.cx) / 0.1::DOUBLE, 2) + pow((t.cy - s.cy) / 0.1::DOUBLE, 2)) AS k FROM t JOIN s ON abs(t.cx - s.cx) < 2 * 0.1::DOUBLE AND abs(t.cy - s.cy) < 2 * 0.1::DOUBLE),
+    pw AS (SELECT *, {q.b4("k")} AS w FROM d), {q.regression("pw", ["1.0", "dx", "dy"])} SELECT t.id, {q.r("coalesce(x0 * vol, 0.0)")} AS price FROM t LEFT JOIN lr ON tgt_id = t.id"""
+)
 def swarm_volume_integral(spark, sf_dir):
     """Integrals of the price over the target's cells, by linear regression and the integral operator."""
     t, s = _target(spark), _source(spark, sf_dir)

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,20 +117,25 @@ def quadratic_fit(cells: DataFrame, adjacency: DataFrame, field: str, dim: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = []
-            for edge, s in zip(batch.column("edge").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                d, v = np.array([[p[f"d{i}"] for i in range(dim)] for p in s]), np.array([p["dv"] for p in s])
-                full = np.concatenate([d, np.stack([d[:, i] * d[:, j] for i in range(dim) for j in range(i, dim)], 1)], 1)
-                use = n_lin if edge or len(s) < n_all else n_all
-                c = np.zeros(n_all)
-                c[:use] = np.linalg.lstsq(full[:, :use], v, rcond=None)[0]
-                if limiter == "barth_jespersen":
-                    lo, hi = min(0.0, v.min()), max(0.0, v.max())
-                    p = full @ c / 2 if len(full) else np.zeros(0)
-                    ratio = [hi / x if x > 0 else lo / x for x in p if x != 0]
-                    c *= min([1.0, *ratio])
-                q.append(c.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(q, pa.list_(pa.float64()))], ["id", "q"])
+            rows, s = batch.num_rows, batch.column("s")
+            size, flat = pc.list_value_length(s).to_numpy(), s.flatten()
+            row = np.repeat(np.arange(rows), size)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            full, v = np.zeros((rows, int(size.max(initial=0)), n_all)), np.zeros((rows, int(size.max(initial=0))))
+            d = [flat.field(f"d{i}").to_numpy() for i in range(dim)]
+            for k, x in enumerate([*d, *[d[i] * d[j] for i in range(dim) for j in range(i, dim)]]):
+                full[row, at, k] = x
+            v[row, at] = flat.field("dv").to_numpy()
+            c, line = np.zeros((rows, n_all)), batch.column("edge").to_numpy(zero_copy_only=False).astype(bool) | (size < n_all)
+            for part, use in ((np.flatnonzero(line), n_lin), (np.flatnonzero(~line), n_all)):
+                if len(part):  # rows of zeros change no least-squares solution
+                    c[part, :use] = (np.linalg.pinv(full[part, :, :use], rcond=np.finfo(float).eps * max(full.shape[1], use)) @ v[part][:, :, None])[:, :, 0]
+            if limiter == "barth_jespersen" and rows:
+                p = (full @ c[:, :, None])[:, :, 0] / 2
+                bound = np.where(p > 0, v.max(1, initial=0.0)[:, None], v.min(1, initial=0.0)[:, None])
+                c *= np.divide(bound, p, out=np.ones_like(p), where=p != 0).min(1, initial=1.0)[:, None]
+            ends = pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(n_all))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(c.ravel()))], ["id", "q"])
 
     fits = grouped.mapInArrow(run, "id long, q array<double>")
     return cells.select("id").join(fits, "id", "left").withColumn("q", F.coalesce("q", F.array_repeat(F.lit(0.0), n_all)))

@@ -39,10 +39,12 @@ def density(pairs: DataFrame, source: DataFrame, fields: Sequence[str]) -> DataF
     return met.groupBy(F.col("tgt_id").alias("id")).agg(*[F.sum(F.col("w") * F.col(f)).alias(f) for f in fields])
 
 
-def shepard(pairs: DataFrame) -> DataFrame:
-    """Unitary local regression in generated code: (tgt_id, src_id, weights [w / sum w])."""
-    total = pairs.groupBy("tgt_id").agg(F.sum("w").alias("_t"))
-    return pairs.join(total, "tgt_id").select("tgt_id", "src_id", F.array(F.when(F.col("_t") != 0, F.col("w") / F.when(F.col("_t") != 0, F.col("_t"))).otherwise(0.0)).alias("weights"))
+def shepard_estimate(pairs: DataFrame, source: DataFrame, targets: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """sum(w v) / sum(w) per target in one aggregation; 0.0 without neighbours or weight."""
+    met = pairs.join(source.select(F.col("id").alias("src_id"), *fields), "src_id")
+    whole = F.sum("w")
+    got = met.groupBy(F.col("tgt_id").alias("id")).agg(*[F.when(whole != 0, F.sum(F.col("w") * F.col(f)) / F.when(whole != 0, whole)).alias(f) for f in fields])
+    return targets.select("id").join(got, "id", "left").fillna(0.0, subset=list(fields))
 
 
 def local_regression(pairs: DataFrame, dim: int, basis_name: str = "unitary", operator: DataFrame | None = None) -> DataFrame:
@@ -61,15 +63,15 @@ def local_regression(pairs: DataFrame, dim: int, basis_name: str = "unitary", op
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, m in zip(batch.column("_k").to_pylist(), batch.column("_m").to_pylist(), strict=True):
-                a = np.array(m).reshape(n, n)
-                if k < n or not np.isfinite(a).all():
-                    out.append([0.0] * (n * n))
-                    continue
-                scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))  # equilibrated, so small supports stay well posed
-                out.append((np.linalg.pinv(a * scale[:, None] * scale, rcond=1e-13, hermitian=True) * scale[:, None] * scale).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("tgt_id"), pa.array(out, pa.list_(pa.float64()))], ["tgt_id", "_inv"])
+            rows = batch.num_rows
+            m = batch.column("_m").flatten().to_numpy().reshape(rows, n, n)
+            good = (batch.column("_k").to_numpy() >= n) & np.isfinite(m).all((1, 2))
+            m = np.where(good[:, None, None], m, 0.0)
+            scale = 1 / np.sqrt(np.maximum(np.diagonal(m, axis1=1, axis2=2), 1e-300))  # equilibrated, so small supports stay well posed
+            scale = np.where(good[:, None], scale, 0.0)[:, :, None] * scale[:, None, :]
+            out = (np.linalg.pinv(m * scale, rcond=1e-13, hermitian=True) * scale).reshape(rows, n * n) if rows else m.reshape(0, n * n)
+            ends = pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(n * n))
+            yield pa.RecordBatch.from_arrays([batch.column("tgt_id"), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], ["tgt_id", "_inv"])
 
     met = pairs.join(flat.mapInArrow(invert, "tgt_id long, _inv array<double>"), "tgt_id")
     rows = [sum((F.element_at("_inv", i * n + j + 1) * b[j] for j in range(n)), F.lit(0.0)) * F.col("w") for i in range(n)]

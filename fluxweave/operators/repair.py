@@ -78,12 +78,15 @@ def repair(values: DataFrame, target: DataFrame, source: DataFrame, layers: Data
     if empty != "leave_empty":
         v = materialize(v)
         deepest = v.agg(F.max("layer")).first()[0] or 0
+        known, hollow = v.where("layer is null or layer = 0"), v.where("layer > 0")  # only empty cells are written again
+        near = materialize(adjacency.join(hollow.select("id"), "id", "left_semi")) if deepest else adjacency
         for k in range(1, deepest + 1):
-            known = v.where(F.col("layer") < k).select(F.col("id").alias("nbr"), F.col(field).alias("_nv"))
-            cells = v.where(F.col("layer") == k).select("id")
-            means = adjacency.join(cells, "id", "left_semi").join(known, "nbr").groupBy("id").agg(F.avg("_nv").alias("_mean"))
-            v = v.join(means, "id", "left").withColumn(field, F.when(F.col("layer") == k, F.coalesce("_mean", F.lit(0.0))).otherwise(F.col(field))).drop("_mean")
-            v = materialize(v)
+            cells = hollow.where(F.col("layer") == k)
+            values = known.where("layer is not null").select(F.col("id").alias("nbr"), F.col(field).alias("_nv"))
+            means = near.join(cells.select("id"), "id", "left_semi").join(values, "nbr").groupBy("id").agg(F.avg("_nv").alias("_mean"))
+            filled = cells.join(means, "id", "left").withColumn(field, F.coalesce("_mean", F.lit(0.0))).select(v.columns)
+            known = known.unionByName(materialize(filled))
+        v = known
     if partial != "globally_conservative":
         return v.select("id", field), math.nan
     lo, hi = bounds or infer_bounds(source, field)
@@ -95,19 +98,19 @@ def repair(values: DataFrame, target: DataFrame, source: DataFrame, layers: Data
     diff = (start.s or 0.0) - wanted
     rel = _ratio(diff, wanted)
     step, passes = _ratio(diff, volume), 0
+    value = F.col(field)  # grows by a shift and a clamp a pass; the table is read, never rewritten
     while abs(rel) > conservation and passes < max_iterations:
-        moved = F.col(field) - F.lit(step)
+        moved = value - F.lit(step)
         low, high = F.col("_open") & (moved < lo), F.col("_open") & (moved > hi)
-        v = v.withColumn("_clamped", low | high).withColumn(field, F.when(low, lo).when(high, hi).when(F.col("_open"), moved).otherwise(F.col(field)))
-        v = materialize(v)
-        now = v.agg(F.sum(F.col(field) * F.col("vol")).alias("s"), F.coalesce(F.sum(F.when(F.col("_clamped"), F.col("vol"))), F.lit(0.0)).alias("c")).first()
+        value = F.when(low, lo).when(high, hi).when(F.col("_open"), moved).otherwise(value)
+        now = v.agg(F.sum(value * F.col("vol")).alias("s"), F.coalesce(F.sum(F.when(low | high, F.col("vol"))), F.lit(0.0)).alias("c")).first()
         diff = now.s - wanted
         rel, passes = _ratio(diff, wanted), passes + 1
         volume = (volume if compat else full) - now.c
         if not compat and volume <= EPS * full:
             break
         step = _ratio(diff, volume)
-    return v.select("id", field), rel
+    return v.select("id", value.alias(field)), rel
 
 
 def _ratio(a: float, b: float) -> float:

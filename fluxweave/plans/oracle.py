@@ -8,6 +8,11 @@ def r(x: str) -> str:
     return f"(round({x}, 6) + 0.0)"
 
 
+def shifted(x: str, digits: int = 4) -> str:
+    """Rounded after a shift of 0.3 of the last digit, off the exact halves."""
+    return f"round({x} + 3e-{digits + 1}::DOUBLE, {digits})"
+
+
 def grid(name: str, n: int, lo: tuple[float, float] = (0.0, 0.0), hi: tuple[float, float] = (1.0, 1.0)) -> str:
     wx, wy = hi[0] - lo[0], hi[1] - lo[1]
     return f"""{name} AS (
@@ -86,3 +91,43 @@ def suppliers(h: float) -> str:
 
 def b4(x: str) -> str:
     return f"CASE WHEN {x} <= 1 THEN 1 - 1.5::DOUBLE * {x} * {x} + 0.75::DOUBLE * {x} * {x} * {x} WHEN {x} < 2 THEN pow(2 - {x}, 3) / 4 ELSE 0.0 END"
+
+
+def quadratics(field: str, s: str = "s", name: str = "f") -> str:
+    """``f``: id and gx, gy, hxx, hxy, hyy; inside, odd sums over the full stencil vanish, at the boundary a line is fitted."""
+    return f"""{name}_sum AS (
+      SELECT c.id, any_value(c.edge) AS edge, sum(dx * dx) AS xx, sum(dx * dy) AS xy, sum(dy * dy) AS yy, sum(dx * dv) AS bx, sum(dy * dv) AS byy0, sum(pow(dx, 4)) AS x4, sum(dx * dx * dy * dy) AS x2y2,
+             sum(pow(dy, 4)) AS y4, sum(dx * dx * dv) AS bxx, sum(dx * dy * dv) AS bxy, sum(dy * dy * dv) AS byy
+      FROM {s} c, LATERAL (SELECT n.cx - c.cx AS dx, n.cy - c.cy AS dy, n.{field} - c.{field} AS dv FROM {s} n WHERE abs(n.ix - c.ix) <= 1 AND abs(n.iy - c.iy) <= 1 AND n.id <> c.id) GROUP BY c.id),
+    {name} AS (SELECT id, (bx * yy - byy0 * xy) / (xx * yy - xy * xy) AS gx, (xx * byy0 - xy * bx) / (xx * yy - xy * xy) AS gy,
+      CASE WHEN edge THEN 0.0 ELSE (bxx * y4 - byy * x2y2) / (x4 * y4 - x2y2 * x2y2) END AS hxx, CASE WHEN edge THEN 0.0 ELSE bxy / x2y2 END AS hxy,
+      CASE WHEN edge THEN 0.0 ELSE (byy * x4 - bxx * x2y2) / (x4 * y4 - x2y2 * x2y2) END AS hyy FROM {name}_sum)"""
+
+
+def regression(pairs: str, terms: list[str], name: str = "lr") -> str:
+    """``lr``: tgt_id and x0.. of the weighted least squares of v over the terms, by elimination; zeros with too few pairs."""
+    n = len(terms)
+    sums = ", ".join([f"sum(w * ({terms[i]}) * ({terms[j]})) AS m{i}_{j}" for i in range(n) for j in range(i, n)] + [f"sum(w * ({terms[i]}) * v) AS r{i}" for i in range(n)])
+    steps = [f"{name}_0 AS (SELECT tgt_id, {sums} FROM {pairs} GROUP BY tgt_id HAVING count(*) >= {n})"]
+    for k in range(n - 1):
+        kept = [f"m{i}_{j}" for i in range(k + 1) for j in range(i, n)] + [f"r{i}" for i in range(k + 1)]
+        less = [f"m{i}_{j} - m{k}_{i} * m{k}_{j} / m{k}_{k} AS m{i}_{j}" for i in range(k + 1, n) for j in range(i, n)] + [f"r{i} - m{k}_{i} * r{k} / m{k}_{k} AS r{i}" for i in range(k + 1, n)]
+        steps.append(f"{name}_{k + 1} AS (SELECT tgt_id, {', '.join(kept + less)} FROM {name}_{k})")
+    last = f"{name}_{n - 1}"
+    for k in reversed(range(n)):
+        taken = "".join(f" - m{k}_{j} * x{j}" for j in range(k + 1, n))
+        steps.append(f"{name}_x{k} AS (SELECT *, (r{k}{taken}) / m{k}_{k} AS x{k} FROM {last})")
+        last = f"{name}_x{k}"
+    steps.append(f"{name} AS (SELECT tgt_id, {', '.join(f'x{k}' for k in range(n))} FROM {last})")
+    return ", ".join(steps)
+
+
+def conserved(values: str, passes: int = 5) -> str:
+    """``p5``: id and price after up to five global shifts, clamped to the source's bounds; ``values`` has id, price, vol, o."""
+    out = [f"p0 AS ({values})", "b AS (SELECT (SELECT min(price) FROM s) AS lo, (SELECT max(price) FROM s) AS hi, (SELECT sum(price * vol) FROM s) AS wanted, (SELECT sum(CASE WHEN o THEN vol END) FROM p0) AS whole)",
+           "a0 AS (SELECT sum(price * vol) - any_value(wanted) AS diff, any_value(whole) AS volume, abs((sum(price * vol) - any_value(wanted)) / any_value(wanted)) > 2.220446049250313e-14 AS live FROM p0, b)"]
+    for k in range(1, passes + 1):
+        out.append(f"""p{k} AS (SELECT id, vol, o, CASE WHEN live AND o THEN least(greatest(price - diff / volume, lo), hi) ELSE price END AS price, live AND o AND (price - diff / volume < lo OR price - diff / volume > hi) AS held FROM p{k - 1}, a{k - 1}, b),
+        a{k} AS (SELECT sum(price * vol) - any_value(wanted) AS diff, any_value(whole) - coalesce(sum(CASE WHEN held THEN vol END), 0.0) AS volume, any_value(a{k - 1}.live) AND abs((sum(price * vol) - any_value(wanted)) / any_value(wanted)) > 2.220446049250313e-14
+          AND any_value(whole) - coalesce(sum(CASE WHEN held THEN vol END), 0.0) > 2.220446049250313e-16 * any_value(whole) AS live FROM p{k}, b, a{k - 1})""")
+    return ", ".join(out)

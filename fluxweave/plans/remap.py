@@ -126,8 +126,10 @@ def swarm_remap(source: DataFrame, target: DataFrame, fields: Sequence[str] | di
     else:
         if estimator == "operator_regression" and operator is None:
             raise ValueError("operator_regression needs an operator table")
-        weights = particles.shepard(pairs) if basis_size(basis, dim) == 1 and operator is None else particles.local_regression(pairs, dim, basis, operator)
-        out = particles.estimate(weights, source, target, names, derivative)
+        if basis_size(basis, dim) == 1 and operator is None and derivative == 0:
+            out = particles.shepard_estimate(pairs, source, target, names)
+        else:
+            out = particles.estimate(particles.local_regression(pairs, dim, basis, operator), source, target, names, derivative)
     return out.withColumnsRenamed(fields) if isinstance(fields, dict) else out
 
 
