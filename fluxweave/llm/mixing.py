@@ -7,7 +7,7 @@ so long texts keep soft memberships.  Document rates r >= 0 then solve a least-s
 totals sum(r * tokens * posterior) to the targets by projected gradient steps.  The first step solves the problem
 without the bound; the others are accelerated projected gradient steps of the least squares (in the metric of the
 tokens, with the largest eigenvalue of the posteriors' Gram matrix as their Lipschitz constant, restarted where the
-distance grows), until the targets are met or no rate moves any more; ``converged`` and ``residual`` say how it ended.
+distance grows), until the targets are met or rates move by less than ``still`` (root mean square by tokens); ``converged`` and ``residual`` say how it ended.
 Each step is one distributed sum of a few numbers.  A document's rate follows from its own posteriors and the list of
 steps, so no state is kept per document.
 
@@ -126,7 +126,7 @@ def memberships(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
 
 
 def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | None = None, total: float | None = None, flatten: float = 0.7, keep_all: bool = True,
-              max_steps: int = 60, tolerance: float = 1e-6) -> Model:
+              max_steps: int = 60, tolerance: float = 1e-6, still: float = 1e-4) -> Model:
     """The model with the steps that bring the expected domain totals to the targets (shares by domain, times total).
 
     A given total sets rates of at least 0, as ``keep_all=False`` does.  A target without a domain is an error.
@@ -187,7 +187,7 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
         model.steps.append(((ahead - goal) / lipschitz, momentum))
         before = reached
         reached, _, moved = gathered()
-        if moved <= tolerance**2 * tokens:  # as near as the bound on the rates lets it come
+        if moved <= still**2 * tokens:  # as near as the bound on the rates lets it come
             model.converged = True
             model.residual = float(np.abs(reached - goal).max() / total)
             break
