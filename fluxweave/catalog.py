@@ -209,6 +209,21 @@ def gradients_limited(spark, sf_dir):
     return _rounded(gradient.gradients(s, _near(s, N), ["price"], 2, limiter="barth_jespersen"), "g_price_x", "g_price_y")
 
 
+def _at_boundary(spark, sf_dir, rule: str) -> DataFrame:
+    s = _source(spark, sf_dir)
+    return _rounded(gradient.gradients(s, _near(s, N), ["price"], 2, limiter="barth_jespersen", boundary_limiter=rule), "g_price_x", "g_price_y")
+
+
+@query(f"WITH {S}, {q.gradients(['price'], True, edge='0.0')} SELECT id, {q.r('gx_price')} AS g_price_x, {q.r('gy_price')} AS g_price_y FROM g")
+def gradients_zero_at_boundary(spark, sf_dir):
+    return _at_boundary(spark, sf_dir, "bnd_zero_gradient")
+
+
+@query(f"WITH {S}, {q.gradients(['price'], True, edge='')} SELECT id, {q.r('gx_price')} AS g_price_x, {q.r('gy_price')} AS g_price_y FROM g")
+def gradients_limited_at_boundary(spark, sf_dir):
+    return _at_boundary(spark, sf_dir, "bnd_barth_jespersen")
+
+
 _FIT = ", ".join(f"(round({c}, 3) + 0.0)" for c in ("gx", "gy", "hxx", "hxy", "hyy"))
 
 
@@ -291,6 +306,39 @@ def remap_nodes(spark, sf_dir):
     return _rounded(remap(s, meshes.node_mesh(spark, [0, 0], [1, 1], [M, M]), ["f"], 2, ref="p", options=Options(order=1, check_mismatch=False)), "f")
 
 
+def _node_grid(name: str, n: int) -> str:
+    """Cells around the nodes of a grid, with the nodes as their reference points."""
+    return f"""{name} AS (SELECT id, ix, iy, ix / {n}::DOUBLE AS cx, iy / {n}::DOUBLE AS cy, greatest(ix / {n}::DOUBLE - 0.5 / {n}, 0.0) AS xlo, least(ix / {n}::DOUBLE + 0.5 / {n}, 1.0) AS xhi,
+      greatest(iy / {n}::DOUBLE - 0.5 / {n}, 0.0) AS ylo, least(iy / {n}::DOUBLE + 0.5 / {n}, 1.0) AS yhi, false AS edge, ((ix * 5 + iy * 3) % 17)::DOUBLE AS f
+      FROM (SELECT id, id % {n + 1} AS ix, id // {n + 1} AS iy FROM (SELECT unnest(range({(n + 1) ** 2})) AS id)))"""
+
+
+@query(f"WITH {_node_grid('ns', N)}, {_node_grid('nt', M)}, {q.weights(t='nt', s='ns')}, {q.gradients(['f'], False, 'ns')}, {q.second_order(['f'], s='ns', t='nt')} SELECT id, {q.shifted('f', 6)} AS f FROM o")
+def remap_nodes_order2(spark, sf_dir):
+    s = meshes.node_mesh(spark, [0, 0], [1, 1], [N, N]).withColumn("f", ((F.col("ix") * 5 + F.col("iy") * 3) % 17).cast("double"))
+    o = Options(order=2, limiter="nolimiter", check_mismatch=False)
+    return _shifted(remap(s, meshes.node_mesh(spark, [0, 0], [1, 1], [M, M]), ["f"], 2, ref="p", source_adjacency=meshes.box_adjacency(s, [N + 1, N + 1]), options=o), "f", digits=6)
+
+
+_GROWING = """WITH z AS (SELECT greatest(4, floor(sqrt(count(*) / 64.0)))::BIGINT AS n, greatest(3, floor(sqrt(count(*) / 64.0) * 0.75::DOUBLE))::BIGINT AS m FROM lineitem),
+    s0 AS (SELECT k AS id, k % n AS ix, k // n AS iy, n FROM (SELECT n, unnest(range(n * n)) AS k FROM z)), t0 AS (SELECT k AS id, k % m AS ix, k // m AS iy, m FROM (SELECT m, unnest(range(m * m)) AS k FROM z)),
+    li AS (SELECT (least(floor((l_quantity - 1) / 49 * n), n - 1) + least(floor(l_discount / 0.1::DOUBLE * n), n - 1) * n)::BIGINT AS id, l_quantity FROM lineitem, z),
+    sv AS (SELECT id, sum(l_quantity) AS qty FROM li GROUP BY id),
+    w AS (SELECT t0.id, s0.id AS src, (least((t0.ix + 1) / m::DOUBLE, (s0.ix + 1) / n::DOUBLE) - greatest(t0.ix / m::DOUBLE, s0.ix / n::DOUBLE)) * (least((t0.iy + 1) / m::DOUBLE, (s0.iy + 1) / n::DOUBLE) - greatest(t0.iy / m::DOUBLE, s0.iy / n::DOUBLE)) AS m0
+      FROM t0 JOIN s0 ON t0.ix * n < (s0.ix + 1) * m AND s0.ix * m < (t0.ix + 1) * n AND t0.iy * n < (s0.iy + 1) * m AND s0.iy * m < (t0.iy + 1) * n)"""
+
+
+@query(f"{_GROWING} SELECT w.id, {q.shifted('sum(coalesce(qty, 0.0) * m0) / sum(m0)')} AS qty FROM w LEFT JOIN sv ON sv.id = src GROUP BY w.id")
+def remap_growing_grid(spark, sf_dir):
+    """Grids whose cells grow in number with the table: one source cell for each 64 rows."""
+    import math
+
+    rows = tables.table(spark, sf_dir, "lineitem").count()
+    n, m = max(4, math.floor(math.sqrt(rows / 64))), max(3, math.floor(math.sqrt(rows / 64) * 0.75))
+    target = meshes.box_mesh(spark, [0, 0], [1, 1], [m, m])
+    return _shifted(remap(tables.lineitem_grid(spark, sf_dir, n), target, ["qty"], 2, options=Options(order=1, check_mismatch=False)), "qty")
+
+
 @query(f"WITH {S}, {T}, {W}, {q.first_order(['price', 'qty'])} SELECT id, [{q.r('price')}, {q.r('qty')}] AS both FROM o")
 def remap_array_field(spark, sf_dir):
     s = _source(spark, sf_dir).withColumn("both", F.array("price", "qty"))
@@ -481,7 +529,23 @@ def swept_remap(spark, sf_dir):
     return _rounded(Remapper(s, s.drop("price"), 2, weights=w, options=Options(order=1, check_mismatch=False)).interpolate(["price"]), "price")
 
 
-@query()
+def _vortex_sql(steps: int = 4, dt: float = 0.01) -> str:
+    import math
+
+    out = [f"nd0 AS (SELECT i, j, i / {N}::DOUBLE AS x, j / {N}::DOUBLE AS y, i = 0 OR i = {N} OR j = 0 OR j = {N} AS fixed FROM (SELECT unnest(range({N + 1})) AS i), (SELECT unnest(range({N + 1})) AS j))", "v0 AS (SELECT id, price FROM s)",
+           f"ed AS (SELECT id, CASE e WHEN 0 THEN CASE WHEN iy > 0 THEN id - {N} END WHEN 1 THEN CASE WHEN ix < {N - 1} THEN id + 1 END WHEN 2 THEN CASE WHEN iy < {N - 1} THEN id + {N} END ELSE CASE WHEN ix > 0 THEN id - 1 END END AS nbr, ix + [0, 1, 1, 0][e + 1] AS ai, iy + [0, 0, 1, 1][e + 1] AS aj, ix + [1, 1, 0, 0][e + 1] AS bi, iy + [0, 1, 1, 0][e + 1] AS bj FROM s, (SELECT unnest(range(4)) AS e))"]
+    for k in range(steps):
+        swing = f"{math.cos(math.pi * k * dt / 2.0) * dt!r}::DOUBLE"
+        out.append(f"""nd{k + 1} AS (SELECT i, j, CASE WHEN fixed THEN x ELSE x - 2 * sin(pi() * x) * sin(pi() * x) * sin(pi() * y) * cos(pi() * y) * {swing} END AS x, CASE WHEN fixed THEN y ELSE y + 2 * sin(pi() * x) * cos(pi() * x) * sin(pi() * y) * sin(pi() * y) * {swing} END AS y, fixed FROM nd{k}),
+        ar{k} AS (SELECT id, sum(a.x * b.y - b.x * a.y) / 2 AS m0 FROM ed JOIN nd{k} a ON a.i = ai AND a.j = aj JOIN nd{k} b ON b.i = bi AND b.j = bj GROUP BY id),
+        sw{k} AS (SELECT id, nbr, ((b.x * a.y - a.x * b.y) + (a.x * ta.y - ta.x * a.y) + (ta.x * tb.y - tb.x * ta.y) + (tb.x * b.y - b.x * tb.y)) / 2 AS m0 FROM ed JOIN nd{k} a ON a.i = ai AND a.j = aj JOIN nd{k} b ON b.i = bi AND b.j = bj
+          JOIN nd{k + 1} ta ON ta.i = ai AND ta.j = aj JOIN nd{k + 1} tb ON tb.i = bi AND tb.j = bj WHERE nbr IS NOT NULL),
+        w{k} AS (SELECT id AS tgt_id, id AS src_id, m0 FROM ar{k} UNION ALL SELECT id, CASE WHEN m0 > 0 THEN nbr ELSE id END, m0 FROM sw{k} WHERE abs(m0) >= 2.220446049250313e-16),
+        v{k + 1} AS (SELECT tgt_id AS id, sum(price * m0) / sum(m0) AS price FROM w{k} JOIN v{k} ON v{k}.id = src_id GROUP BY tgt_id)""")
+    return ", ".join(out)
+
+
+@query(f"WITH {S}, {_vortex_sql()} SELECT id, {q.shifted('price', 5)} AS price FROM v4")
 def swept_vortex_steps(spark, sf_dir):
     """Four steps of a periodic vortex; each remaps what the step before left."""
     from .plans.storage import materialize
@@ -495,7 +559,36 @@ def swept_vortex_steps(spark, sf_dir):
         w = swept.swept_weights_2d(rings.select("id", "ring"), moved.select("id", "ring"), meshes_neighbour())
         value = materialize(Remapper(rings, moved, 2, weights=w, options=Options(order=1, check_mismatch=False)).interpolate(["price"]))
         nodes = after
-    return _rounded(value, "price")
+    return _shifted(value, "price", digits=5)
+
+
+_SLABS, _TALL = 6, 3
+
+
+@query(
+    f"""WITH c AS (SELECT id, id % {_SLABS} AS i FROM (SELECT unnest(range({_SLABS * _TALL * _TALL})) AS id)), m AS (SELECT i, CASE WHEN i IN (0, {_SLABS}) THEN 0.0 ELSE ((i * 7) % 5 - 2) / 64::DOUBLE END AS d FROM (SELECT unnest(range({_SLABS + 1})) AS i)),
+    a AS (SELECT 1 / {_TALL * _TALL}::DOUBLE AS face), w AS (
+      SELECT c.id AS tgt_id, c.id AS src_id, face / {_SLABS} AS m0 FROM c, a
+      UNION ALL SELECT c.id, CASE WHEN d > 0 THEN c.id + 1 ELSE c.id END, d * face FROM c JOIN m ON m.i = c.i + 1, a WHERE c.i < {_SLABS - 1} AND d <> 0
+      UNION ALL SELECT c.id, CASE WHEN d < 0 THEN c.id - 1 ELSE c.id END, -d * face FROM c JOIN m ON m.i = c.i, a WHERE c.i > 0 AND d <> 0)
+    SELECT tgt_id, src_id, count(*) AS n, round(sum(m0), 9) AS m0 FROM w GROUP BY tgt_id, src_id"""
+)
+def swept_weights_3d(spark, sf_dir):
+    """Slabs whose inner faces move along x, some forward and some back."""
+    mesh = meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [_SLABS, _TALL, _TALL])
+    cells = mesh.select("id", F.col("vol").alias("m0"), *[(F.col("vol") * F.col("c" + a)).alias("m1" + a) for a in "xyz"])
+    shift = lambda i: F.when((i == 0) | (i == _SLABS), 0.0).otherwise(((i * 7) % 5 - 2) / 64.0)
+
+    def ring(x: Column, forward: bool) -> Column:
+        """The corners of an x face, counter-clockwise as seen from outside."""
+        order = [("lo", "lo"), ("hi", "lo"), ("hi", "hi"), ("lo", "hi")] if forward else [("lo", "lo"), ("lo", "hi"), ("hi", "hi"), ("hi", "lo")]
+        return F.array(*[F.array(x, F.col("y" + b), F.col("z" + c)) for b, c in order])
+
+    ahead = F.struct(F.when(F.col("ix") < _SLABS - 1, F.col("id") + 1).alias("nbr"), ring(F.col("xhi"), True).alias("before"), ring(F.col("xhi") + shift(F.col("ix") + 1), True).alias("after"))
+    behind = F.struct(F.when(F.col("ix") > 0, F.col("id") - 1).alias("nbr"), ring(F.col("xlo"), False).alias("before"), ring(F.col("xlo") + shift(F.col("ix")), False).alias("after"))
+    faces = mesh.select("id", F.explode(F.array(ahead, behind)).alias("f")).select("id", "f.*")
+    w = swept.swept_weights_3d(cells, faces)
+    return w.groupBy("tgt_id", "src_id").agg(F.count("*").alias("n"), F.round(F.sum("m0"), 9).alias("m0"))
 
 
 # ---- particles ----
@@ -600,3 +693,26 @@ def _kernel_sql() -> str:
 def kernel_values(spark, sf_dir):
     p = spark.range(-40, 41).withColumn("x", F.col("id") / 16.0)
     return p.select("id", *[_r(kernels.kernel(k, F.col("x"))).alias(k) for k in ("b4", "epanechnikov", "square", "polyramp", "step")])
+
+
+def _slope_sql() -> str:
+    a, sign = "abs(x)", "sign(x)"
+    return f"""WITH p AS (SELECT k AS id, (k + 0.5::DOUBLE) / 16 AS x FROM (SELECT unnest(range(-40, 40)) AS k))
+    SELECT id, {q.r(f"CASE WHEN {a} <= 1 THEN -3 * x + 2.25::DOUBLE * x * {a} WHEN {a} < 2 THEN -0.75::DOUBLE * pow(2 - {a}, 2) * {sign} ELSE 0.0 END")} AS b4,
+      {q.r(f"CASE WHEN {a} < 2 THEN -0.1875::DOUBLE * x ELSE 0.0 END")} AS epanechnikov,
+      {q.r(f"CASE WHEN {a} < 2 THEN {sign} * (1.5::DOUBLE * {a} * {a} - {a} - 2) / pow({a}, 1.5::DOUBLE) ELSE 0.0 END")} AS invsqrt, {q.r(f"-{sign} / (x * x)")} AS coulomb FROM p"""
+
+
+@query(_slope_sql())
+def kernel_slopes(spark, sf_dir):
+    p = spark.range(-40, 40).withColumn("x", (F.col("id") + 0.5) / 16.0)
+    return p.select("id", *[_r(kernels.kernel(k, F.col("x"), 1)).alias(k) for k in ("b4", "epanechnikov", "invsqrt", "coulomb")])
+
+
+@query(
+    f"""WITH p AS (SELECT k AS id, k / 16::DOUBLE AS x FROM (SELECT unnest(range(-40, 41)) AS k)), e AS (SELECT id, greatest(x, -2.0) AS x FROM p)
+    SELECT id, round(CASE WHEN x >= 2 THEN 1.0 ELSE (CASE WHEN x <= -1 THEN pow(2 + x, 4) / 16 WHEN x <= 0 THEN 0.75::DOUBLE + x - pow(x, 3) / 2 - 3 * pow(x, 4) / 16 WHEN x <= 1 THEN 0.75::DOUBLE + x - pow(x, 3) / 2 + 3 * pow(x, 4) / 16 ELSE 1.5::DOUBLE - pow(2 - x, 4) / 16 END) / 1.5::DOUBLE END, 9) AS share FROM e"""
+)
+def kernel_integral(spark, sf_dir):
+    p = spark.range(-40, 41).withColumn("x", F.col("id") / 16.0)
+    return p.select("id", F.round(kernels.b4_integral(F.col("x")), 9).alias("share"))

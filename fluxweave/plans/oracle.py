@@ -42,8 +42,8 @@ def weights(name: str = "w", t: str = "t", s: str = "s", extra: str = "") -> str
         FROM {t} t JOIN {s} s ON greatest(t.xlo, s.xlo) < least(t.xhi, s.xhi) AND greatest(t.ylo, s.ylo) < least(t.yhi, s.yhi) {extra}) WHERE m0 > 0)"""
 
 
-def gradients(fields: list[str], limited: bool, s: str = "s", name: str = "g") -> str:
-    """``g``: id and gx_f, gy_f, limited inside, unlimited at the boundary; stencils of up to eight neighbours."""
+def gradients(fields: list[str], limited: bool, s: str = "s", name: str = "g", edge: str = "1.0") -> str:
+    """``g``: id and gx_f, gy_f, limited inside, times ``edge`` (or limited too, if empty) at the boundary; stencils of up to eight neighbours."""
     sums = ", ".join(
         f"sum((n.cx - c.cx) * (n.{f} - c.{f})) AS bx_{f}, sum((n.cy - c.cy) * (n.{f} - c.{f})) AS by_{f}, least(min(n.{f}), min(c.{f})) AS lo_{f}, greatest(max(n.{f}), max(c.{f})) AS hi_{f}" for f in fields
     )
@@ -57,7 +57,8 @@ def gradients(fields: list[str], limited: bool, s: str = "s", name: str = "g") -
             for ey in ("ylo", "yhi"):
                 d = f"(rx_{f} * ({ex} - cx) + ry_{f} * ({ey} - cy))"
                 slopes.append(f"CASE WHEN {d} = 0 THEN 1.0 WHEN {d} > 0 THEN (hi_{f} - {f}) / {d} ELSE (lo_{f} - {f}) / {d} END")
-        return f"CASE WHEN edge THEN 1.0 ELSE least(1.0, {', '.join(slopes)}) END"
+        inside = f"least(1.0, {', '.join(slopes)})"
+        return f"CASE WHEN edge THEN {edge} ELSE {inside} END" if edge else inside
 
     out = ", ".join(f"rx_{f} * ({phi(f)}) AS gx_{f}, ry_{f} * ({phi(f)}) AS gy_{f}" for f in fields)
     return f"""{name}_sum AS (
