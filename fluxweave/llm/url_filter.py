@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +54,17 @@ def _bit(key: Column, level: int, k: int, bits: int) -> Column:
 class Level:
     def __init__(self, number: int, keys: DataFrame, count: int, fp: float, max_bytes: int):
         self.number, self.hashes = number, max(1, round(-math.log2(fp)))
-        self.bits = 8 * max(1, math.ceil(count * -math.log(fp) / math.log(2) ** 2 / 8))
+        self.bits = 64 * max(1, math.ceil(count * -math.log(fp) / math.log(2) ** 2 / 64))
         if self.bits > 8 * max_bytes:
             raise ValueError(f"level {number} needs {self.bits // 8} bytes; raise max_level_bytes or split the list")
         at = keys.select(F.explode(F.array(*[_bit(F.col("key"), number, k, self.bits) for k in range(self.hashes)])).alias("bit"))
-        per_byte = at.groupBy(F.floor(F.col("bit") / 8).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("v"))
-        self.data = bytearray(self.bits // 8)
-        for r in per_byte.toLocalIterator():
-            self.data[r.i] = r.v
+        words = at.groupBy(F.floor(F.col("bit") / 64).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("v")).toArrow()  # max_bytes / 8 rows at most
+        data = np.zeros(self.bits // 64, "<i8")
+        data[words["i"].to_numpy()] = words["v"].to_numpy()
+        self.data = data.tobytes()
 
     def contains(self, key: Column) -> Column:
-        held = F.lit(bytes(self.data))
+        held = F.lit(self.data)
         found = F.lit(True)
         for k in range(self.hashes):
             bit = _bit(key, self.number, k, self.bits)
