@@ -122,6 +122,12 @@ def locate_points(spark, sf_dir):
     return search.locate_points(tables.customer_swarm(spark, sf_dir, 0.0).select("id", "x", "y"), meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]), 2)
 
 
+@query(f"WITH {q.grid('s', N)}, p AS (SELECT c.id AS tgt_id, n.id AS src_id FROM s c JOIN s n ON abs(n.ix - c.ix) + abs(n.iy - c.iy) <= 1) {_COUNT}")
+def search_swept_faces(spark, sf_dir):
+    mesh = meshes.box_mesh(spark, [0, 0], [1, 1], [N, N])
+    return _counted(search.adjacent_pairs(_near(mesh, N, "face"), mesh))
+
+
 def _near_points(side: str, op: str, k: str = "2") -> str:
     return f"p AS (SELECT su.id AS tgt_id, cu.id AS src_id FROM su JOIN cu ON abs(su.x - cu.x) {op} {k} * {side}.h AND abs(su.y - cu.y) {op} {k} * {side}.h)"
 
@@ -668,6 +674,20 @@ def swarm_faceted(spark, sf_dir):
     return _rounded(swarm_remap(swarm, t, ["price"], 2, kernel="polyramp", geometry="faceted", center="scatter"), "price")
 
 
+@query(
+    f"""WITH {S}, j AS (SELECT c.id, count(*) AS k FROM s c JOIN s n ON abs(n.ix - c.ix) + abs(n.iy - c.iy) = 1 AND abs(c.price - n.price) > 2000 GROUP BY c.id)
+    SELECT s.id, {q.r(f"(4 - 0.5::DOUBLE * coalesce(k, 0)) / {N}")} AS reach FROM s LEFT JOIN j USING (id)"""
+)
+def facets_at_jumps(spark, sf_dir):
+    """Supports that reach half as far towards neighbours of another price."""
+    s = _source(spark, sf_dir)
+    swarm = particles.facets_of_cells(s, particles.box_faces(s, [N, N]), 2).join(s.select("id", "price"), "id")
+    step = F.col("nbr") - F.col("id")  # facets are sorted by their normals: left, down, up, right
+    near = _near(s, N, "face").withColumn("facet", F.when(step == -1, 1).when(step == -N, 2).when(step == N, 3).otherwise(4))
+    scaled = particles.scale_facets_at_jumps(swarm, near, "price", 2000.0, 0.5)
+    return scaled.select("id", _r(F.aggregate("facets", F.lit(0.0), lambda a, f: a + F.element_at(f, -1))).alias("reach"))
+
+
 @query(
     f"""WITH {S}, {T}, d AS (SELECT t.id AS tgt_id, s.price AS v, s.cx - t.cx AS dx, s.cy - t.cy AS dy, sqrt(pow((t.cx - s.cx) / 0.1::DOUBLE, 2) + pow((t.cy - s.cy) / 0.1::DOUBLE, 2)) AS k FROM t JOIN s ON abs(t.cx - s.cx) < 2 * 0.1::DOUBLE AND abs(t.cy - s.cy) < 2 * 0.1::DOUBLE),
     pw AS (SELECT *, {q.b4("k")} AS w FROM d), {q.regression("pw", ["1.0", "dx", "dy"])} SELECT t.id, {q.r("coalesce(x0 * vol, 0.0)")} AS price FROM t LEFT JOIN lr ON tgt_id = t.id"""

@@ -1,6 +1,7 @@
 """Per-pair geometry: overlap moments as rows (tgt_id, src_id, m0, m1x[, m1y[, m1z]]), the weights relation.
 
-Boxes are plain column arithmetic.  Polygons and polyhedra are clipped in Arrow batches with numpy.
+Boxes are plain column arithmetic.  Convex polygons clip a whole Arrow batch at once, one half-plane after the other;
+other polygons, and polyhedra, are clipped pair by pair.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +139,79 @@ def intersect_rings(source: np.ndarray, target: np.ndarray, system: str = "carte
     return total
 
 
-def _rings(column: pa.Array) -> list[np.ndarray]:
-    flat = column.flatten()
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rings as (rows, most vertices, 2), and their lengths; places past the end hold the first vertex."""
+    size, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
     xy = np.stack([flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False)], 1)
-    ends = np.cumsum([0, *(len(x) for x in column)])
-    return [xy[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    start = np.cumsum(size) - size
+    at = np.arange(int(size.max(initial=0)))
+    return xy[start[:, None] + np.where(at < size[:, None], at, 0)], size
+
+
+def _convex_rows(p: np.ndarray, n: np.ndarray, tolerance: float) -> np.ndarray:
+    at = np.arange(p.shape[1])
+    step = lambda k: np.take_along_axis(p, ((at + k) % np.maximum(n[:, None], 1))[:, :, None], 1)
+    ab, bc = step(1) - step(0), step(2) - step(1)
+    cross = ab[:, :, 0] * bc[:, :, 1] - ab[:, :, 1] * bc[:, :, 0]
+    return ((cross >= -tolerance * np.sqrt((ab**2).sum(2))) | (at >= n[:, None])).all(1)
+
+
+def _clip_rows(p: np.ndarray, n: np.ndarray, normal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each ring's part with normal . x >= offset."""
+    rows, most = p.shape[:2]
+    at = np.arange(most)
+    d = p[:, :, 0] * normal[:, None, 0] + p[:, :, 1] * normal[:, None, 1] - offset[:, None]
+    valid = at < n[:, None]
+    inside = d >= 0
+    if (inside | ~valid).all():
+        return p, n
+    after = np.where(at + 1 < n[:, None], at + 1, 0)
+    q, e = np.take_along_axis(p, after[:, :, None], 1), np.take_along_axis(d, after, 1)
+    crosses = valid & (inside != (e >= 0))
+    met = p + (q - p) * np.divide(d, d - e, out=np.zeros_like(d), where=crosses)[:, :, None]
+    points = np.stack([p, met], 2).reshape(rows, 2 * most, 2)
+    sent = np.stack([valid & inside, crosses], 2).reshape(rows, 2 * most)
+    count = sent.sum(1)
+    out = np.zeros((rows, max(int(count.max(initial=0)), 1), 2))
+    row, col = np.nonzero(sent)
+    out[row, (np.cumsum(sent, 1) - 1)[row, col]] = points[row, col]
+    first = np.arange(out.shape[1]) >= count[:, None]
+    return np.where(first[:, :, None], out[:, :1], out), count
+
+
+def _ring_moments(p: np.ndarray, n: np.ndarray, system: str) -> np.ndarray:
+    """[m0, m1x, m1y] of each ring; places past the end repeat the first vertex and add nothing."""
+    q = np.concatenate([p[:, 1:], p[:, :1]], 1)
+    x, y, u, v = p[:, :, 0], p[:, :, 1], q[:, :, 0], q[:, :, 1]
+    c = x * v - u * y
+    area, mx, my = c.sum(1) / 2, ((x + u) * c).sum(1) / 6, ((y + v) * c).sum(1) / 6
+    if system == "cylindrical_axisymmetric":  # x is the radius: weights 2 pi r
+        xx, xy = (c * (x * x + x * u + u * u)).sum(1) / 12, (c * (x * v + 2 * x * y + 2 * u * v + u * y)).sum(1) / 24
+        area, mx, my = 2 * np.pi * mx, 2 * np.pi * xx, 2 * np.pi * xy
+    elif system != "cartesian":
+        raise ValueError(system)
+    return np.where((n >= 3)[:, None], np.stack([area, mx, my], 1), 0.0)
+
+
+def intersect_ring_rows(source: tuple[np.ndarray, np.ndarray], target: tuple[np.ndarray, np.ndarray], system: str = "cartesian") -> np.ndarray:
+    """[m0, m1x, m1y] of each pair of rings (padded rows and their lengths)."""
+    tolerance = Tolerances.min_absolute_distance(2)
+    rows = len(source[1])
+    total, left = np.zeros((rows, 3)), np.ones(rows, bool)
+    for (window, w), (p, n) in ((target, source), (source, target)):
+        at = np.flatnonzero(left & _convex_rows(window, w, tolerance)) if rows else np.zeros(0, np.int64)
+        if not len(at):
+            continue
+        left[at] = False
+        cut, size, window, w = p[at], n[at], window[at], w[at]
+        for k in range(window.shape[1]):
+            a, b = window[:, k], window[np.arange(len(at)), np.where(k + 1 < w, k + 1, 0)]
+            normal = np.where((k < w)[:, None], np.stack([a[:, 1] - b[:, 1], b[:, 0] - a[:, 0]], 1), 0.0)  # to the left of a counter-clockwise edge; no edge cuts nothing
+            cut, size = _clip_rows(cut, size, normal, (normal * a).sum(1))
+        total[at] = _ring_moments(cut, size, system)
+    for i in np.flatnonzero(left):
+        total[i] = intersect_rings(source[0][i, : source[1][i]], target[0][i, : target[1][i]], system, tolerance)
+    return total
 
 
 def intersect_polygons(target: DataFrame, source: DataFrame, *, system: str = "cartesian", equal: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -154,7 +224,7 @@ def intersect_polygons(target: DataFrame, source: DataFrame, *, system: str = "c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = np.array([intersect_rings(s, t, system) for s, t in zip(_rings(batch.column("s_ring")), _rings(batch.column("t_ring")), strict=True)]).reshape(-1, 3)
+            m = intersect_ring_rows(_padded(batch.column("s_ring")), _padded(batch.column("t_ring")), system)
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(3))], [*names, "m0", "m1x", "m1y"])
             yield out.filter(pa.array(m[:, 0] > 0))
 

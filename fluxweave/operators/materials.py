@@ -68,8 +68,10 @@ def reconstruct(mesh: DataFrame, fractions: DataFrame, adjacency: DataFrame) ->
     In each mixed cell materials are cut off one after the other, in order of their id, by a line whose normal is the
     least-squares gradient of the material's fraction and whose offset gives the right area.
     """
-    mats = fractions.select("mat").distinct()
-    dense = mesh.select("id", "cx", "cy", *[a + e for a in "xy" for e in ("lo", "hi")]).join(F.broadcast(mats)).join(fractions.select("id", "mat", "volfrac"), ["id", "mat"], "left").fillna(0.0, subset=["volfrac"])
+    held = fractions.select("id", "mat")  # a cell needs a material's fraction where it or a neighbour holds some of it
+    around = held.unionByName(adjacency.join(held, "id").select(F.col("nbr").alias("id"), "mat")).distinct()
+    cells = mesh.select("id", "cx", "cy", *[a + e for a in "xy" for e in ("lo", "hi")])
+    dense = cells.join(around, "id").join(fractions.select("id", "mat", "volfrac"), ["id", "mat"], "left").fillna(0.0, subset=["volfrac"])
     slopes = gradients(dense, adjacency, ["volfrac"], 2, material="mat")
     rows = fractions.where(F.col("volfrac") > EPS).join(slopes, ["id", "mat"])
     grouped = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("mat", "volfrac", F.col("g_volfrac_x").alias("gx"), F.col("g_volfrac_y").alias("gy")))).alias("parts")).join(mesh.select("id", "ring"), "id")

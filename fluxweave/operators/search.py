@@ -7,12 +7,15 @@ lower corner of the overlap, so there is neither a theta join, nor an explosion
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, col, overlaps
+from ..functions.tolerances import EPS
 
 
 def _mean_width(df: DataFrame, dim: int) -> list[float]:
@@ -74,32 +77,33 @@ def direct_product_pairs(target: DataFrame, points: Sequence[Sequence[float]]) -
 
     The target is shrunk by ten rounding errors of its width on each side, so touching cells do not pair.
     """
-    from ..functions.tolerances import EPS
+    dim = len(points)
+    held = [np.array(p, float) for p in points]
+    reach = [f"_{e}{a}" for a in axes(dim) for e in ("f", "l")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last interval that a target meets on each axis, by binary search; none: last < first."""
+        for batch in batches:
+            found = []
+            for a, p in zip(axes(dim), held, strict=True):
+                lo, hi = batch.column(a + "lo").to_numpy(), batch.column(a + "hi").to_numpy()
+                shrink = 10 * EPS * (hi - lo)
+                lo, hi = lo + shrink, hi - shrink
+                first, last = np.maximum(np.searchsorted(p, lo, "right") - 1, 0), np.minimum(np.searchsorted(p, hi, "left"), len(p) - 1) - 1
+                last = np.where((lo >= p[-1]) | (hi <= p[0]), -1, last)
+                found += [first, last]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x.astype(np.int64)) for x in found)], ["tgt_id", *reach])
 
-    dim, df, outside = len(points), target, F.lit(False)
+    box = [a + e for a in axes(dim) for e in ("lo", "hi")]
+    df = target.select("id", *box).mapInArrow(run, ", ".join(["tgt_id long", *(f"{c} long" for c in reach)]))
     stride, cell = 1, F.lit(0).cast("long")
-    for a, p in zip(axes(dim), points, strict=True):
-        held = F.array(*[F.lit(float(v)) for v in p])
-        shrink = 10 * EPS * (F.col(a + "hi") - F.col(a + "lo"))
-        lo, hi = F.col(a + "lo") + shrink, F.col(a + "hi") - shrink
-        outside = outside | (lo >= float(p[-1])) | (hi <= float(p[0]))
-        first = F.greatest(F.size(F.filter(held, _at_most(lo))) - 1, F.lit(0))
-        last = F.least(F.size(F.filter(held, _below(hi))), F.lit(len(p) - 1)) - 1
-        df = df.withColumn("_r" + a, F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
-    df = df.where(~outside)
-    for a, p in zip(axes(dim), points, strict=True):
-        df = df.withColumn("_i" + a, F.explode("_r" + a))
+    for a in axes(dim):
+        df = df.where(F.col("_f" + a) <= F.col("_l" + a))
+    for a, p in zip(axes(dim), held, strict=True):
+        df = df.withColumn("_i" + a, F.explode(F.sequence("_f" + a, "_l" + a)))
         cell = cell + F.col("_i" + a) * stride
         stride *= len(p) - 1
-    return df.select(F.col("id").alias("tgt_id"), cell.alias("src_id"))
-
-
-def _at_most(bound: Column):
-    return lambda v: v <= bound
-
-
-def _below(bound: Column):
-    return lambda v: v < bound
+    return df.select("tgt_id", cell.alias("src_id"))
 
 
 def adjacent_pairs(adjacency: DataFrame, targets: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.kernels import basis_size
 from ..functions.tolerances import Tolerances
 from ..operators import gradient, interpolate, intersect, particles, repair
 from .storage import materialize
+from .timing import Phases
 
 
 @dataclass(frozen=True)
@@ -43,10 +44,12 @@ class Remapper:
     """
 
     def __init__(self, source: DataFrame, target: DataFrame, dim: int, *, source_adjacency: DataFrame | None = None, target_adjacency: DataFrame | None = None,
-                 system: str = "cartesian", part: str | None = None, ref: str = "c", weights: DataFrame | None = None, options: Options = STAGED):
+                 system: str = "cartesian", part: str | None = None, ref: str = "c", weights: DataFrame | None = None, options: Options = STAGED,
+                 phases: Phases | None = None):
         self.source, self.target, self.dim, self.part, self.ref, self.options = source, target, dim, part, ref, options
         self.source_adjacency, self.target_adjacency, self.system = source_adjacency, target_adjacency, system
         self._weights, self._layers, self._mismatch = weights, None, None
+        self.phases = phases or Phases()
 
     def weights(self) -> DataFrame:
         """The weights relation, written once."""
@@ -54,19 +57,24 @@ class Remapper:
             extra = {"equal": (self.part,)} if self.part else {}
             if self.system != "cartesian":
                 extra["system"] = self.system
-            self._weights = materialize(intersect.intersect(self.target, self.source, self.dim, **extra))
+            with self.phases("intersect"):  # with its search
+                self._weights = materialize(intersect.intersect(self.target, self.source, self.dim, **extra))
         return self._weights
 
     def mismatch(self) -> repair.Mismatch:
         if self._mismatch is None:
-            self._mismatch = repair.check_mismatch(self.weights(), self.source, self.target, self.options.tolerances.volume_difference)
+            weights = self.weights()
+            with self.phases("mismatch"):
+                self._mismatch = repair.check_mismatch(weights, self.source, self.target, self.options.tolerances.volume_difference)
         return self._mismatch
 
     def layers(self) -> DataFrame:
         if self._layers is None:
             if self.target_adjacency is None:
                 raise ValueError("repair needs the target's adjacency")
-            self._layers = materialize(repair.empty_layers(self.target, self.weights(), self.target_adjacency))
+            weights = self.weights()
+            with self.phases("layers"):
+                self._layers = materialize(repair.empty_layers(self.target, weights, self.target_adjacency))
         return self._layers
 
     def interpolate(self, fields: Sequence[str] | dict[str, str], options: Options | None = None, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -87,9 +95,11 @@ class Remapper:
         else:
             raise ValueError(f"order {o.order}")
         if o.check_mismatch and self.mismatch().found:
-            done = None
+            done, layers = None, self.layers()
+            with self.phases("interpolate"):  # once for all fields, whatever their repair reads
+                out = materialize(out)
             for f in names:
-                fixed, _ = repair.repair(out, self.target, self.source, self.layers(), self.target_adjacency, f, partial=o.partial, empty=o.empty, bounds=(bounds or {}).get(f),
+                fixed, _ = repair.repair(out, self.target, self.source, layers, self.target_adjacency, f, partial=o.partial, empty=o.empty, bounds=(bounds or {}).get(f),
                                          max_iterations=o.max_iterations, conservation=o.tolerances.conservation, compat=o.compat)
                 done = fixed if done is None else done.join(fixed, "id")
             out = done

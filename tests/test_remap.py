@@ -286,3 +286,51 @@ def test_partitioning_does_not_change_results(spark):
     b = remap(s.repartition(7), t.repartition(3), ["v"], 2, options=o).orderBy("id").collect()
     assert [r.v for r in a] == pytest.approx([r.v for r in b])
     assert ONE_CALL.partial == "globally_conservative"
+
+
+def test_batched_clipping_against_single_pairs():
+    """Convex and other rings of different lengths, batch against pair by pair."""
+    import numpy as np
+
+    from fluxweave.operators import intersect
+
+    rng, rings = np.random.default_rng(5), []
+    for k in range(120):
+        n = int(rng.integers(3, 9))
+        angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+        radius = 1.0 if k % 3 else rng.uniform(0.4, 1.2, n)  # every third one is a star
+        rings.append(rng.uniform(0, 1.5, 2) + np.stack([radius * np.cos(angle), radius * np.sin(angle)], 1))
+
+    def padded(each):
+        most = max(map(len, each))
+        return np.stack([np.concatenate([r, np.repeat(r[:1], most - len(r), 0)]) for r in each]), np.array([len(r) for r in each])
+
+    def single(s, t, system):
+        try:
+            return intersect.intersect_rings(s, t, system)
+        except ValueError:  # the angles of a star may leave its centre outside
+            return None
+
+    for system in ("cartesian", "cylindrical_axisymmetric"):
+        pairs = [(s, t, m) for s, t in zip(rings, rings[1:] + rings[:1], strict=True) if (m := single(s, t, system)) is not None]
+        assert len(pairs) > 100
+        got = intersect.intersect_ring_rows(padded([p[0] for p in pairs]), padded([p[1] for p in pairs]), system)
+        assert np.abs(got - np.array([p[2] for p in pairs])).max() < 1e-12
+
+
+def test_phases_are_timed(spark, tmp_path):
+    import json
+
+    from fluxweave.plans.remap import Options, Remapper
+    from fluxweave.plans.timing import Phases
+    from fluxweave.sources import meshes
+
+    phases = Phases()
+    s = meshes.with_field(meshes.box_mesh(spark, [0, 0], [1, 1], [5, 5]), "f", "1 + x", 2)
+    t = meshes.box_mesh(spark, [0.2, 0.2], [1.2, 1.2], [4, 4])
+    Remapper(s, t, 2, target_adjacency=meshes.box_adjacency(t, [4, 4]), options=Options(order=1), phases=phases).interpolate(["f"]).count()
+    assert {"intersect", "mismatch", "layers", "interpolate"} <= set(phases.seconds)
+    assert sum(phases.shares().values()) == pytest.approx(100)
+    assert [r.phase for r in phases.frame(spark).collect()] == list(phases.seconds)
+    phases.append(str(tmp_path / "t.dat"), cells=25)
+    assert json.loads((tmp_path / "t.dat").read_text())["cells"] == 25
