@@ -1,14 +1,18 @@
 """Mismatch check and repair: global constraints as a few scalar aggregates and column updates.
 
-With ``group`` (a part column) every rule works per part on the part's own totals.
+With ``group`` (a part column) every rule works per part on the part's own totals.  Layers of empty cells depend on each
+other one by one: the neighbours of up to ONE_TASK rows go through them in one task, more in a distributed step a layer
+that reads the layer before only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ from ..functions.tolerances import EMPTY_FIXUPS, EPS, PARTIAL_FIXUPS, Tolerances
 from ..plans.storage import materialize
 
 
+#: Neighbour pairs of empty cells that one task takes.
+ONE_TASK = 1_000_000
+
+
 @dataclass(frozen=True)
 class Mismatch:
     source_volume: float
@@ -32,27 +40,98 @@ def check_mismatch(weights: DataFrame, source: DataFrame, target: DataFrame, tol
     return Mismatch(vs, vt, vx, off(vx, vs) or off(vx, vt))
 
 
-def empty_layers(target: DataFrame, weights: DataFrame, adjacency: DataFrame) -> DataFrame:
+def _all(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> list[np.ndarray]:
+    held = [[b.column(c).to_numpy(zero_copy_only=False) for c in columns] for b in batches if b.num_rows]
+    return [np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(len(columns))]
+
+
+def _layers_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, nbr, known) of empty cells and whether the neighbour is covered: the layer of each cell within reach."""
+    cell, nbr, known = _all(batches, ("id", "nbr", "known"))
+    ids, a = np.unique(cell, return_inverse=True)
+    layer, k = np.zeros(len(ids), np.int32), 1
+    if len(ids):
+        layer[a[known.astype(bool)]] = 1
+        b = np.minimum(np.searchsorted(ids, nbr), len(ids) - 1)
+        inner = ids[b] == nbr
+        a, b = a[inner], b[inner]
+        while True:
+            a, b = a[open_ := layer[a] == 0], b[open_]
+            new = a[layer[b] == k]
+            if not len(new):
+                break
+            k += 1
+            layer[new] = k
+    yield pa.RecordBatch.from_arrays([pa.array(ids[layer > 0].astype(np.int64)), pa.array(layer[layer > 0])], ["id", "layer"])
+
+
+def empty_layers(target: DataFrame, weights: DataFrame, adjacency: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """id, covered, layer: 0 for covered cells, 1.. for empty ones by distance from them, null where out of reach."""
     covered = weights.groupBy(F.col("tgt_id").alias("id")).agg(F.sum("m0").alias("covered"))
     cells = materialize(target.select("id", "vol").join(covered, "id", "left").withColumn("covered", F.coalesce("covered", F.lit(0.0))))
     done = cells.where(F.abs("covered") >= EPS).select("id", F.lit(0).alias("layer"))
     left = materialize(cells.where(F.abs("covered") < EPS).select("id"))
     n_left, layer = left.count(), 0
+    if not n_left:
+        return cells.select("id", "covered").join(done, "id", "left")
     # neighbours of empty cells only: as small as the gap, however large the mesh
-    near = materialize(adjacency.join(left, "id", "left_semi")) if n_left else adjacency
+    known = done.select(F.col("id").alias("nbr"), F.lit(True).alias("known"))
+    near = materialize(adjacency.join(left, "id", "left_semi").select("id", "nbr").join(known, "nbr", "left").select("id", "nbr", F.coalesce("known", F.lit(False)).alias("known")))
+    if near.count() <= one_task:
+        found = near.coalesce(1).mapInArrow(_layers_at_once, "id long, layer int")
+        return cells.select("id", "covered").join(done.unionByName(found), "id", "left")
+    front = near.where("known").select("id").distinct()
     while n_left:
         layer += 1
-        new = materialize(near.join(left, "id", "left_semi").join(done.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id").distinct().withColumn("layer", F.lit(layer)))
+        new = materialize(front.join(left, "id", "left_semi").withColumn("layer", F.lit(layer)))
         found = new.count()
         if not found:
             break
         done = done.unionByName(new)
         left = materialize(left.join(new, "id", "left_anti"))
+        front = near.where("not known").join(new.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id").distinct()
         n_left -= found
     return cells.select("id", "covered").join(done, "id", "left")
 
 
+def _fill_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, layer, nbr, of, value) of empty cells, with their neighbours' layers and values: the means, layer by layer."""
+    cell, layer, nbr, of, value = _all(batches, ("id", "layer", "nbr", "of", "value"))
+    ids, a = np.unique(cell, return_inverse=True)
+    mean = np.zeros(len(ids))
+    for k in range(1, int(layer.max(initial=0)) + 1):
+        row = np.flatnonzero((layer == k) & (of < k))
+        got = value[row].astype(float)
+        if k > 1:
+            got = np.where(of[row] > 0, mean[np.minimum(np.searchsorted(ids, nbr[row]), len(ids) - 1)], got)
+        count = np.bincount(a[row], minlength=len(ids))
+        total = np.bincount(a[row], weights=got, minlength=len(ids))
+        mean = np.where(count > 0, total / np.maximum(count, 1), mean)
+    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(mean)], ["id", "_mean"])
+
+
+def extrapolate(v: DataFrame, adjacency: DataFrame, field: str, one_task: int = ONE_TASK) -> DataFrame:
+    """``v`` (id, layer, field, ..) with empty cells set to the mean of their neighbours in the layers before; only those
+    cells are written again."""
+    known, hollow = v.where("layer is null or layer = 0"), v.where("layer > 0")
+    deepest = hollow.agg(F.max("layer")).first()[0] or 0
+    if not deepest:
+        return v
+    near = materialize(adjacency.join(hollow.select("id", "layer"), "id").select("id", "layer", "nbr"))
+    if near.count() <= one_task:
+        beside = v.where("layer is not null").select(F.col("id").alias("nbr"), F.col("layer").alias("of"), F.col(field).cast("double").alias("value"))
+        means = near.join(beside, "nbr").select("id", "layer", "nbr", "of", "value").coalesce(1).mapInArrow(_fill_at_once, "id long, _mean double")
+        filled = hollow.join(means, "id", "left").withColumn(field, F.coalesce("_mean", F.lit(0.0))).select(v.columns)
+        return known.unionByName(filled)
+    front = known.where("layer = 0")
+    for k in range(1, deepest + 1):
+        cells = hollow.where(F.col("layer") == k)
+        means = near.where(F.col("layer") == k).select("id", "nbr").join(front.select(F.col("id").alias("nbr"), F.col(field).alias("_nv")), "nbr").groupBy("id").agg(F.avg("_nv").alias("_mean"))
+        front = materialize(cells.join(means, "id", "left").withColumn(field, F.coalesce("_mean", F.lit(0.0))).select(v.columns))
+        known = known.unionByName(front)
+    return known
+
+
 def infer_bounds(source: DataFrame, field: str, tolerance: float = 100 * EPS) -> tuple[float, float]:
     """Source minimum and maximum; half the value on either side of a constant field."""
     lo, hi = source.agg(F.min(field), F.max(field)).first()
@@ -76,17 +155,7 @@ def repair(values: DataFrame, target: DataFrame, source: DataFrame, layers: Data
         gap = F.abs(F.col("covered") - F.col("vol")) / F.col("vol") > Tolerances.volume_difference
         v = v.withColumn(field, F.when((F.abs("covered") >= EPS) & gap, F.col(field) * F.col("covered") / F.col("vol")).otherwise(F.col(field)))
     if empty != "leave_empty":
-        v = materialize(v)
-        deepest = v.agg(F.max("layer")).first()[0] or 0
-        known, hollow = v.where("layer is null or layer = 0"), v.where("layer > 0")  # only empty cells are written again
-        near = materialize(adjacency.join(hollow.select("id"), "id", "left_semi")) if deepest else adjacency
-        for k in range(1, deepest + 1):
-            cells = hollow.where(F.col("layer") == k)
-            values = known.where("layer is not null").select(F.col("id").alias("nbr"), F.col(field).alias("_nv"))
-            means = near.join(cells.select("id"), "id", "left_semi").join(values, "nbr").groupBy("id").agg(F.avg("_nv").alias("_mean"))
-            filled = cells.join(means, "id", "left").withColumn(field, F.coalesce("_mean", F.lit(0.0))).select(v.columns)
-            known = known.unionByName(materialize(filled))
-        v = known
+        v = extrapolate(materialize(v), adjacency, field)
     if partial != "globally_conservative":
         return v.select("id", field), math.nan
     lo, hi = bounds or infer_bounds(source, field)

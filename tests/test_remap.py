@@ -334,3 +334,23 @@ def test_phases_are_timed(spark, tmp_path):
     assert [r.phase for r in phases.frame(spark).collect()] == list(phases.seconds)
     phases.append(str(tmp_path / "t.dat"), cells=25)
     assert json.loads((tmp_path / "t.dat").read_text())["cells"] == 25
+
+
+def test_layers_in_one_task_and_step_by_step(spark):
+    """Both ways through the layers of empty cells agree, cells out of reach included."""
+    from pyspark.sql import functions as F
+
+    from fluxweave.operators import intersect, repair
+    from fluxweave.sources import meshes
+
+    s = meshes.box_mesh(spark, [0, 0], [1, 1], [9, 9])
+    t = meshes.box_mesh(spark, [0.5, 0.4], [2.0, 1.6], [12, 10])
+    near = meshes.box_adjacency(t, [12, 10]).where("id < 110 and nbr < 110")  # the last row is cut off
+    w = intersect.intersect_boxes(t, s, 2)
+    found = [sorted(tuple(r) for r in repair.empty_layers(t, w, near, k).select("id", F.coalesce("layer", F.lit(-1))).collect()) for k in (0, 10**6)]
+    assert found[0] == found[1]
+    assert {x for _, x in found[0]} >= {-1, 0, 1, 2, 5}
+    v = repair.empty_layers(t, w, near).withColumn("f", F.when(F.col("layer") == 0, F.sin(F.col("id"))).otherwise(0.0))
+    filled = [sorted((r.id, round(r.f, 9)) for r in repair.extrapolate(v, near, "f", k).collect()) for k in (0, 10**6)]
+    assert filled[0] == filled[1]
+    assert len(filled[0]) == 120
