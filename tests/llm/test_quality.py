@@ -63,3 +63,11 @@ def test_odd_inputs(clashing, empty):
     got = quality.line_frequency(clashing)
     assert got.count() == clashing.count()
     assert {r.kept for r in got.where("text is null").collect()} == {False}
+
+
+def test_many_documents_are_enough_at_any_share(spark):
+    """A line of a small share of its host goes once it stands in many_docs documents."""
+    rows = [(i, f"own line number {i} of this text\n" + ("a line that some share\n" if i < 12 else "") + "x " * 60, "one") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = lambda **o: quality.line_frequency(docs, min_share=0.9, **o).where("lost_chars > 0 and doc_id < 12 and clean_text not like '%some share%'").count()
+    assert (lost(many_docs=13), lost(many_docs=12)) == (0, 12)
