@@ -2,10 +2,10 @@
 
 Lines are normalised (A-Z lower-cased, runs of white space as one space, trimmed) and hashed; for each host (here the
 ``source``) the distinct documents that hold a line are counted.  A line of at least ``min_docs`` documents is above the
-limit and is removed where it stands in ``min_share`` of its host's documents or in ``many_docs`` of them, however many
-there are; a document that loses more than ``max_loss`` of its word characters is depleted and is rejected.  Documents of one host with the same text count as
-one document, so a whole-document copy does not turn its own lines into boilerplate (near-duplicate removal is
-another operator).
+limit and is removed where it stands in ``min_share`` of its host's documents or, if ``many_docs`` is given, in that many
+of them, however many there are; a document that loses more than ``max_loss`` of its word characters is depleted and is
+rejected.  Documents of one host with the same text count as one document, so a whole-document copy does not turn its own
+lines into boilerplate (near-duplicate removal is another operator).
 
 Scale: line counts are combined map-side before the shuffle, and the distinct count is two-staged, so that a line
 held by a third of all rows costs one row a task.  Lines above the limits are broadcast only when their counted number is
@@ -76,16 +76,17 @@ def _line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), SEP, " ")))
 
 
-def lines_above_limits(rows: DataFrame, text: Column, host: Column, min_docs: int, min_share: float, many_docs: int) -> DataFrame:
+def lines_above_limits(rows: DataFrame, text: Column, host: Column, min_docs: int, min_share: float, many_docs: int | None) -> DataFrame:
     """(_host, _line) of the lines above the limits; each row sends each of its distinct lines once."""
     doc = F.xxhash64(text).alias("_doc")
     lines = rows.select(host.alias("_host"), doc, F.explode(F.array_distinct(F.transform(_lines(text), _line_key))).alias("_line"))
     counts = lines.groupBy("_host", "_line").agg(F.countDistinct("_doc").alias("_df")).where(F.col("_df") >= min_docs)
     hosts = rows.select(host.alias("_host"), doc).groupBy("_host").agg(F.countDistinct("_doc").alias("_n"))
-    return counts.join(hosts, "_host").where(F.col("_df") >= F.least(min_share * F.col("_n"), F.lit(many_docs))).select("_host", "_line")
+    limit = min_share * F.col("_n") if many_docs is None else F.least(min_share * F.col("_n"), F.lit(many_docs))
+    return counts.join(hosts, "_host").where(F.col("_df") >= limit).select("_host", "_line")
 
 
-def line_frequency(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 5, min_share: float = 0.01, many_docs: int = 1000,
+def line_frequency(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 5, min_share: float = 0.01, many_docs: int | None = None,
                    max_loss: float = 0.5, broadcast_rows: int = 200_000) -> DataFrame:
     """All rows and columns of ``docs`` with the base columns, lost_chars (word characters in lines above the limits),
     clean_text (the text without those lines) and kept.
