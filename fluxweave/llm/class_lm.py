@@ -3,8 +3,9 @@
 Counts come from all training documents, and every word of them is a type with a class of its own.  Exchange
 clustering finds the classes from the most frequent words (those of at least ``type_share`` of all tokens, at most
 1/type_share of them, with one of ``SUFFIXES`` endings in the place of each other word): it moves one type at a time
-to the class that most raises the class-bigram likelihood.  Each other word then goes to the class that is likeliest
-by its own counts of the classes before and after it, which are gathered for all words in one shuffle.  The class
+to the class that most raises the class-bigram likelihood.  Two sweeps over the distributed text then move words at
+once, each to the class that is likeliest by its own counts of the classes before and after it: first the words of at
+least ``sweep_share`` of the tokens, then, next to those words' new classes, every word but the first ones.  The class
 bigrams are counted anew with the classes of all words.  Only words that no training document holds are known by
 their ending alone.
 
@@ -93,43 +94,54 @@ def word_keys(w: K.Words) -> np.ndarray:
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     """The class of each type; bigrams[i, j] counts j after i."""
-    t = len(bigrams)
-    k = min(classes, t)
-    weight = bigrams.sum(0) + bigrams.sum(1)
-    ranked = np.argsort(-weight, kind="stable")
-    cls = np.empty(t, np.int64)
-    cls[ranked] = np.arange(t) % k
-    cc = np.zeros((k, k))
-    np.add.at(cc, (cls[:, None].repeat(t, 1), cls[None, :].repeat(t, 0)), bigrams)
+    left, right = np.nonzero(bigrams)
+    return exchange_pairs(left, right, bigrams[left, right].astype(float), len(bigrams), classes, sweeps)
+
+
+def exchange_pairs(left: np.ndarray, right: np.ndarray, counts: np.ndarray, types: int, classes: int, sweeps: int = 12) -> np.ndarray:
+    """The class of each type; counts[x] says how often right[x] comes after left[x], each pair once.
+
+    A move costs as much as the type has neighbours and its neighbours have classes, so rare types are cheap.
+    """
+    k = min(classes, types)
+    out_n, in_n = (np.bincount(x, weights=counts, minlength=types) for x in (left, right))
+    ranked = np.argsort(-(out_n + in_n), kind="stable")
+    ranked, cls = ranked[(out_n + in_n)[ranked] > 0], np.empty(types, np.int64)
+    cls[np.argsort(-(out_n + in_n), kind="stable")] = np.arange(types) % k
+    cc = np.bincount(cls[left] * k + cls[right], weights=counts, minlength=k * k).reshape(k, k)
+    after, before = np.bincount(cls, weights=out_n, minlength=k), np.bincount(cls, weights=in_n, minlength=k)
+    same, other = left == right, left != right
+    own = np.bincount(left[same], weights=counts[same], minlength=types)
+    near = []  # the neighbours of each type but itself: (types, counts) after it, then before it
+    for this, that in ((left[other], right[other]), (right[other], left[other])):
+        order = np.argsort(this, kind="stable")
+        near.append((np.searchsorted(this[order], np.arange(types + 1)), that[order], counts[other][order]))
     f = lambda x: x * np.log(np.maximum(x, 1.0))
-    out_n, in_n, every = bigrams.sum(1), bigrams.sum(0), np.arange(k)
+    every = np.arange(k)
     for _ in range(sweeps):
         moved = 0
         for w in ranked:
-            if not weight[w]:
-                continue
-            own, a = bigrams[w, w], cls[w]
-            cls[w] = -1
-            others = cls >= 0
-            right = np.bincount(cls[others], weights=bigrams[w, others], minlength=k)
-            left = np.bincount(cls[others], weights=bigrams[others, w], minlength=k)
-            cc[a] -= right
-            cc[:, a] -= left
-            cc[a, a] -= own
-            after, before = np.bincount(cls[others], weights=out_n[others], minlength=k), np.bincount(cls[others], weights=in_n[others], minlength=k)
-            rows = f(cc + right[None, :]) - f(cc)  # [class, next class]
-            cols = f(cc + left[:, None]) - f(cc)  # [previous class, class]
-            gain = rows.sum(1) + cols.sum(0) - rows[every, every] - cols[every, every]
-            diag = cc[every, every]
-            gain += f(diag + right + left + own) - f(diag)
+            a = cls[w]
+            to, of = (np.bincount(cls[t[i[w] : i[w + 1]]], weights=c[i[w] : i[w + 1]], minlength=k) for i, t, c in near)
+            cc[a] -= to
+            cc[:, a] -= of
+            cc[a, a] -= own[w]
+            after[a] -= out_n[w]
+            before[a] -= in_n[w]
+            diag, t, o = cc[every, every], np.flatnonzero(to), np.flatnonzero(of)
+            was_t, was_o = cc[:, t], cc[o]
+            gain = (f(was_t + to[t]) - f(was_t)).sum(1) + (f(was_o + of[o][:, None]) - f(was_o)).sum(0)
+            gain -= f(diag + to) + f(diag + of) - f(diag + to + of + own[w]) - f(diag)
             gain -= f(after + out_n[w]) - f(after) + f(before + in_n[w]) - f(before)
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
             cls[w] = b
-            cc[b] += right
-            cc[:, b] += left
-            cc[b, b] += own
+            cc[b] += to
+            cc[:, b] += of
+            cc[b, b] += own[w]
+            after[b] += out_n[w]
+            before[b] += in_n[w]
             moved += b != a
         if not moved:
             break
@@ -201,45 +213,19 @@ def _packed(classes: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(classes.astype(np.int16).tobytes())])
 
 
-def word_classes(train: DataFrame, vocab: DataFrame, n: int, classes: int, type_share: float, alpha: float) -> tuple[DataFrame, np.ndarray]:
-    """(key, n, cls) of every counted word, and the classes of the end and the endings."""
-    seeds = vocab.where((F.col("key") != int(END)) & (F.col("n") >= type_share * n)).toArrow()  # at most 1 / type_share rows
-    order = np.argsort(seeds["key"].to_numpy())
-    keys, counts = seeds["key"].to_numpy()[order], seeds["n"].to_numpy()[order]
-    end, size = len(keys), len(keys) + 1 + SUFFIXES
-    bc_keys = train.sparkSession.sparkContext.broadcast(keys)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(batch):
-            for w in K.words(batch.column("_text"), K.SPACE):
-                now = _with_ends(w, _look_up(w, bc_keys.value)[1], end)
-                yield _before(now, end) * size + now
-
-        for key, c in _summed(batches, parts):
-            yield from _rows(key, c)
-
-    got = train.transform(map_arrow, pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
-    bigrams = np.zeros(size * size)
-    bigrams[got["key"].to_numpy()] = got["n"].to_numpy()
-    bigrams = bigrams.reshape(size, size)
-    cls = exchange(bigrams, classes)
-    k = int(cls.max()) + 1
-    member = np.zeros((size, k))
-    member[np.arange(size), cls] = 1
-    cc = member.T @ bigrams @ member
-    share = (cc.sum(0) + 1e-9) / (cc.sum(0) + 1e-9).sum()
-    gain = np.log((cc + alpha * share) / (cc.sum(1, keepdims=True) + alpha) / share)  # [class, next class]
-    gain = np.concatenate([gain, gain.T])  # [class before, or k + class after; own class]
-    shared = train.sparkSession.sparkContext.broadcast((keys, cls, gain))
+def _contexts(train: DataFrame, keys: np.ndarray, of: np.ndarray, moves: np.ndarray, k: int) -> DataFrame:
+    """(key, code, n): how often each word that moves follows (code below k) and precedes each class; ``of`` and
+    ``moves`` go by the places in ``keys``, then the end, then the endings."""
+    shared = train.sparkSession.sparkContext.broadcast((keys, of, moves))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How often each other word follows and precedes each class."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size_held = [], 0
-        known, of, _ = shared.value
+        known, of, moves = shared.value
+        end = len(known)
 
         def flush():
-            words, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            pair, c = np.unique(np.concatenate([at * (2 * k) + x for x, at in zip([y[1] for y in held], np.split(at, np.cumsum([len(y[0]) for y in held])[:-1]), strict=True)]), return_counts=True)
+            words, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            pair, c = np.unique(at * (2 * k) + np.concatenate([x for _, x in held]), return_counts=True)
             for i in range(0, len(pair), 200_000):
                 p = pair[i : i + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(words[p // (2 * k)]), pa.array((p % (2 * k)).astype(np.int32)), pa.array(c[i : i + 200_000].astype(np.int64))], ["key", "code", "n"])
@@ -247,9 +233,8 @@ def word_classes(train: DataFrame, vocab: DataFrame, n: int, classes: int, type_
         for batch in batches:
             for w in K.words(batch.column("_text"), K.SPACE):
                 word, types = _look_up(w, known)
-                chain = of[_with_ends(w, types, end)]
-                at = (np.arange(len(types)) + K.row_of(w.off))[types > end]
-                word = word[types > end]
+                chain, moving = of[_with_ends(w, types, end)], moves[types]
+                at, word = (np.arange(len(types)) + K.row_of(w.off))[moving], word[moving]
                 held += [(word, _before(chain, of[end])[at]), (word, k + chain[at + 1])]
                 size_held += 2 * len(word)
                 if size_held >= BUFFER // 2:
@@ -258,27 +243,74 @@ def word_classes(train: DataFrame, vocab: DataFrame, n: int, classes: int, type_
         if size_held:
             yield from flush()
 
+    return train.transform(map_arrow, count, "key long, code int, n long").repartition("key").groupBy("key", "code").agg(F.sum("n").alias("n"))
+
+
+def _gain(cc: np.ndarray, alpha: float) -> np.ndarray:
+    """[class before, or k + class after; own class]: what a neighbour says for a class, from the class bigrams."""
+    share = (cc.sum(0) + 1e-9) / (cc.sum(0) + 1e-9).sum()
+    gain = np.log((cc + alpha * share) / (cc.sum(1, keepdims=True) + alpha) / share)
+    return np.concatenate([gain, gain.T])
+
+
+def word_classes(train: DataFrame, vocab: DataFrame, n: int, classes: int, type_share: float, sweep_share: float, alpha: float) -> tuple[DataFrame, np.ndarray]:
+    """(key, n, cls) of every counted word, and the classes of the end and the endings."""
+    met = vocab.where((F.col("key") != int(END)) & (F.col("n") >= min(type_share, sweep_share) * n)).toArrow()  # at most 1 / sweep_share rows
+    order = np.argsort(met["key"].to_numpy())
+    keys, counts = met["key"].to_numpy()[order], met["n"].to_numpy()[order]
+    seed = counts >= type_share * n
+    types = len(keys[seed])  # at most 1 / type_share
+    end, size = types, types + 1 + SUFFIXES
+    bc_keys = train.sparkSession.sparkContext.broadcast(keys[seed])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(batch):
+            for w in K.words(batch.column("_text"), K.SPACE):
+                now = _with_ends(w, _look_up(w, bc_keys.value)[1], end)
+                yield _before(now, end) * size + now
+
+        for key, c in _summed(batches, parts):
+            yield from _rows(key, c)
+
+    got = train.transform(map_arrow, pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")  # at most size * size rows
+    pair, times = got["key"].to_numpy(), got["n"].to_numpy().astype(float)
+    cls = exchange_pairs(pair // size, pair % size, times, size, classes)
+    k = int(cls.max()) + 1
+    gain = _gain(np.bincount(cls[pair // size] * k + cls[pair % size], weights=times, minlength=k * k).reshape(k, k), alpha)
+
+    # a sweep of the frequent words against all classes at once, then one of all words but the seeds
+    of = np.concatenate([cls[end + 1 :][keys & (SUFFIXES - 1)], cls[end:]])
+    of[: len(keys)][seed] = cls[:end]
+    moves = np.concatenate([~seed, np.zeros(1 + SUFFIXES, bool)])
+    if moves.any():
+        near = _contexts(train, keys, of, moves, k).toArrow()  # at most 2k / sweep_share rows
+        count = np.zeros((len(keys), 2 * k), np.float32)
+        count[np.searchsorted(keys, near["key"].to_numpy()), near["code"].to_numpy()] = near["n"].to_numpy()
+        of[: len(keys)][~seed] = np.argmax(np.round(count[~seed] @ gain, 6), 1)
+    moves[len(keys) + 1 :] = True
+    best = train.sparkSession.sparkContext.broadcast(gain)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near, rows = batch.column("near"), batch.num_rows
             at, flat = np.repeat(np.arange(rows), pc.list_value_length(near).to_numpy()), near.flatten()
             count = np.zeros((rows, 2 * k))
             count[at, flat.field("code").to_numpy()] = flat.field("n").to_numpy()
-            best = np.argmax(np.round(count @ shared.value[2], 6), 1) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(count[:, :k].sum(1).astype(np.int64)), pa.array(best.astype(np.int32))], ["key", "n", "cls"])
+            cls = np.argmax(np.round(count @ best.value, 6), 1) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(count[:, :k].sum(1).astype(np.int64)), pa.array(cls.astype(np.int32))], ["key", "n", "cls"])
 
-    counted = train.transform(map_arrow, contexts, "key long, code int, n long").repartition("key").groupBy("key", "code").agg(F.sum("n").alias("n"))
+    counted = _contexts(train, keys, of, moves, k)
     rest = counted.groupBy("key").agg(F.collect_list(F.struct("code", "n")).alias("near")).transform(map_arrow, assign, "key long, n long, cls int")  # 2k codes a word at most
-    own = train.sparkSession.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64()), "cls": pa.array(cls[:end].astype(np.int32))}))
+    own = train.sparkSession.createDataFrame(pa.table({"key": pa.array(keys[seed], pa.int64()), "n": pa.array(counts[seed], pa.int64()), "cls": pa.array(cls[:end].astype(np.int32))}))
     return materialize(rest.unionByName(own)), cls[end:]
 
 
-def _fit(train: DataFrame, vocab: DataFrame, classes: int, type_share: float, head_share: float, alpha: float) -> tuple[Model, DataFrame]:
+def _fit(train: DataFrame, vocab: DataFrame, classes: int, type_share: float, sweep_share: float, head_share: float, alpha: float) -> tuple[Model, DataFrame]:
     """The model but for its transitions, and (key, n, cls) of the words that are not in its head."""
     total = vocab.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
     ends = vocab.where(F.col("key") == int(END)).agg(F.sum("n")).first()[0] or 0
-    known, (end_cls, *ending_cls) = word_classes(train, vocab, n, classes, type_share, alpha)
+    known, (end_cls, *ending_cls) = word_classes(train, vocab, n, classes, type_share, sweep_share, alpha)
     of = np.bincount([end_cls, *ending_cls], minlength=classes).astype(float)
     of[end_cls] += ends
     for r in known.groupBy("cls").agg(F.sum(F.col("n") + 1).alias("n")).collect():  # a row a class
@@ -289,8 +321,8 @@ def _fit(train: DataFrame, vocab: DataFrame, classes: int, type_share: float, he
     return model, known.where(F.col("n") < head_share * n)
 
 
-def fit(train: DataFrame, vocab: DataFrame, *, classes: int = 64, type_share: float = 5e-4, head_share: float = 1e-6, alpha: float = 2.0) -> Model:
-    model, rare = _fit(train, vocab, classes, type_share, head_share, alpha)
+def fit(train: DataFrame, vocab: DataFrame, *, classes: int = 64, type_share: float = 2e-4, sweep_share: float = 1e-5, head_share: float = 1e-6, alpha: float = 2.0) -> Model:
+    model, rare = _fit(train, vocab, classes, type_share, sweep_share, head_share, alpha)
     model.learn(class_sequences(train.select(F.lit(None).cast("long").alias("_id"), "_text", F.lit(False).alias("_held")), model, rare), alpha)
     return model
 
@@ -353,12 +385,12 @@ def class_sequences(rows: DataFrame, model: Model, rare: DataFrame) -> DataFrame
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held: Callable[[Column], Column] = held_out, classes: int = 64,
-          head_share: float = 1e-6) -> DataFrame:
+          type_share: float = 2e-4, sweep_share: float = 1e-5, head_share: float = 1e-6) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held(F.col(id_col)).alias("_held"))
     train = rows.where(~F.col("_held")).select("_text")
     vocab = materialize(vocabulary(train))
-    model, rare = _fit(train, vocab, classes, 5e-4, head_share, 2.0)
+    model, rare = _fit(train, vocab, classes, type_share, sweep_share, head_share, 2.0)
     made = materialize(class_sequences(rows, model, rare))
     model.learn(made.where(~F.col("_held")), 2.0)
     step, end, id_kind = model.step, int(model.cls[model.end]), docs.schema[id_col].dataType.simpleString()

@@ -68,6 +68,43 @@ def test_exchange_finds_blocks():
     assert cls[0] != cls[10]
 
 
+def likelihood(b, cls):
+    """The class-bigram log likelihood of counts, by definition and without the part that classes do not touch."""
+    cc, out, into = Counter(), Counter(), Counter()
+    for i, j in zip(*np.nonzero(b), strict=True):
+        cc[cls[i], cls[j]] += b[i, j]
+        out[cls[i]] += b[i, j]
+        into[cls[j]] += b[i, j]
+    f = lambda c: sum(x * math.log(x) for x in c.values())
+    return f(cc) - f(out) - f(into)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exchange_equals_brute_force(seed):
+    """Each move goes to the best class by the likelihood of the whole, computed anew; at the end no single move helps."""
+    rng = np.random.default_rng(seed)
+    b = rng.poisson(rng.gamma(0.4, 6.0, (14, 14))).astype(float)
+    k, weight = 4, b.sum(0) + b.sum(1)
+    ranked = np.argsort(-weight, kind="stable")
+    cls = np.empty(14, int)
+    cls[ranked] = np.arange(14) % k
+    for _ in range(12):
+        before = cls.copy()
+        for w in ranked:
+            values = []
+            for c in range(k):
+                now = cls.copy()
+                now[w] = c
+                values.append(likelihood(b, now))
+            if max(values) > values[cls[w]] + 1e-9:
+                cls[w] = int(np.argmax(values))
+        if (before == cls).all():
+            break
+    got = class_lm.exchange(b, k)
+    assert likelihood(b, got) == pytest.approx(likelihood(b, cls))
+    assert got.tolist() == cls.tolist()
+
+
 def test_learns_order(spark):
     rows = [(i, "ein haus und ein baum " * 20 if i % 2 else "the house and the tree " * 20) for i in range(40)]
     got = class_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=4).agg(F.sum("score"), F.sum("base_score")).first()
