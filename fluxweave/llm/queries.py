@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, html_text, mixing, ngram_join, pii, quality, sharding, sql, toxicity, url_filter
+from . import class_lm, decontaminate, fill_in_middle, html_text, mixing, ngram_join, pii, quality, sharding, sql, toxicity, url_filter
 from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,10 +71,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_lm_scoring, op3_ngram_jaccard_join, op4_decontamination, op5_source_mixing, op6_toxicity, op7_pii, op8_sharding, op9_url_filter, op10_html_extraction,
+        op13_fill_in_middle,
     )
 }
 
@@ -83,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op4_decontamination": sql.DECONTAMINATION,
     "op9_url_filter": sql.URL_FILTER,
+    "op13_fill_in_middle": sql.FILL_IN_MIDDLE,
 }
