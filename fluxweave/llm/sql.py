@@ -90,3 +90,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(t) AS restored_sha256
 FROM c
 """
+
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, CASE WHEN doc_id IS NULL OR 1 - (crc & 1) = 0 THEN replace(text, chr(10), '') ELSE text END AS other
+  -- crc32 before its last inversion: a byte at a time, eight shifts each
+  FROM (SELECT *, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, b: list_reduce(list_concat([xor(x, b)], range(8)), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))) AS crc FROM documents)),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER () AS num
+  FROM (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS given FROM t)),
+up AS (
+  SELECT tree, 0 AS lvl, i, leaf AS v, count(*) OVER (PARTITION BY tree) AS n FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, i // 3, sha256(string_agg(v, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, lvl, i // 3),
+sub AS (SELECT tree, v FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, tree AS i, v, (SELECT count(*) FROM sub) AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(v, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, i // 3),
+met AS (
+  SELECT num, lvl AS step, up.i AS k, v, l.i // (3 ** lvl)::BIGINT AS own FROM l JOIN up ON up.tree = l.tree AND up.n > 1 AND up.i // 3 = l.i // (3 ** (lvl + 1))::BIGINT
+  UNION ALL
+  SELECT num, 1000 + lvl, top.i, v, l.tree // (3 ** lvl)::BIGINT FROM l JOIN top ON top.n > 1 AND top.i // 3 = l.tree // (3 ** (lvl + 1))::BIGINT),
+steps AS (
+  SELECT num, step, coalesce(string_agg(v, '' ORDER BY k) FILTER (k < own), '') AS lefts, coalesce(string_agg(v, '' ORDER BY k) FILTER (k > own), '') AS rights, count(*) - 1 AS others FROM met GROUP BY num, step),
+ways AS (SELECT num, string_agg(lefts || rights, '' ORDER BY step) AS proof, list(lefts || '|' || rights ORDER BY step) AS way, sum(others) AS n_siblings FROM steps GROUP BY num),
+folded AS (
+  SELECT l.*, coalesce(proof, '') AS proof, coalesce(n_siblings, 0)::INTEGER AS n_siblings,
+         list_reduce(list_concat([given], coalesce(way, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM l LEFT JOIN ways USING (num))
+SELECT doc_id, leaf, sub.v AS subroot, r.v AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = r.v AS verified, n_siblings
+FROM folded JOIN sub USING (tree), (SELECT v FROM top WHERE n = 1) AS r
+"""
