@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, fill_in_middle, html_text, merkle, mixing, ngram_join, pii, quality, sharding, sql, toxicity, url_filter
+from . import bottom_k, class_lm, decontaminate, fill_in_middle, html_text, merkle, mixing, ngram_join, pii, quality, sharding, sql, toxicity, url_filter
 from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     given = merkle.leaf(*[merkle.tampered(F.col(c), F.col("doc_id")) if c == "text" else F.col(c) for c in merkle.FIELDS])
@@ -87,7 +91,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_lm_scoring, op3_ngram_jaccard_join, op4_decontamination, op5_source_mixing, op6_toxicity, op7_pii, op8_sharding, op9_url_filter, op10_html_extraction,
-        op12_merkle_manifest, op13_fill_in_middle,
+        op11_minhash_near_dedup, op12_merkle_manifest, op13_fill_in_middle,
     )
 }
 
@@ -96,6 +100,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op4_decontamination": sql.DECONTAMINATION,
     "op9_url_filter": sql.URL_FILTER,
+    "op11_minhash_near_dedup": sql.MINHASH_NEAR_DEDUP,
     "op12_merkle_manifest": sql.MERKLE_MANIFEST,
     "op13_fill_in_middle": sql.FILL_IN_MIDDLE,
 }

@@ -124,3 +124,22 @@ folded AS (
 SELECT doc_id, leaf, sub.v AS subroot, r.v AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = r.v AS verified, n_siblings
 FROM folded JOIN sub USING (tree), (SELECT v FROM top WHERE n = 1) AS r
 """
+
+MINHASH_NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 2)) AS i) WHERE len(w) >= 4
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+df AS (SELECT g, count(*) AS c FROM s GROUP BY g),
+-- of n shingles, rarest first, the first n - ceil(0.8 n) + 1 must meet those of any linked document
+pre AS (SELECT doc_id, g FROM (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r FROM s JOIN df USING (g) JOIN n USING (doc_id)) WHERE r <= n - (80 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM pre a JOIN pre b USING (g) WHERE a.doc_id < b.doc_id),
+pair AS (SELECT x, y, count(*) AS c FROM cand JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND b.g = a.g GROUP BY x, y),
+e AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT b.y, r.m FROM reach r JOIN both_ways b ON b.x = r.doc_id WHERE r.m < b.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(m) AS component_id, d.doc_id = min(m) AS kept FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, n.n
+"""
