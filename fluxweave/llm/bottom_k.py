@@ -167,11 +167,12 @@ def estimate(pairs: DataFrame, nodes: DataFrame, k: int, percent: int, share: in
     """(a, b, sure) of the pairs that may be linked: surely where both sketches are full sets."""
     held = nodes.select("node", "n", "kept")
     met = _with(_with(pairs, held, "a", share, broadcast_rows), held, "b", share, broadcast_rows)
-    common, union = F.array_intersect("kept_a", "kept_b"), F.array_sort(F.array_union("kept_a", "kept_b"))
-    last = F.element_at(F.slice(union, 1, k), -1)
-    met = met.withColumns({"common": F.size(F.filter(common, lambda x: x <= last)), "whole": F.size(common), "full": (F.col("n_a") <= k) & (F.col("n_b") <= k)})
-    linked = 100 * F.col("whole") >= percent * (F.col("n_a") + F.col("n_b") - F.col("whole"))
-    return materialize(met.where(F.when(F.col("full"), linked).otherwise(F.col("common") >= least_shared(k, percent))).select("a", "b", F.col("full").alias("sure")))
+    whole = F.size(F.array_intersect("kept_a", "kept_b"))
+    least = F.slice(F.sort_array(F.array_union("kept_a", "kept_b")), 1, k)
+    common = F.size(F.array_intersect(F.array_intersect(least, "kept_a"), "kept_b"))
+    full = (F.col("n_a") <= k) & (F.col("n_b") <= k)
+    linked = (100 + percent) * whole >= percent * (F.col("n_a") + F.col("n_b"))
+    return materialize(met.where(F.when(full, linked).otherwise(common >= least_shared(k, percent))).select("a", "b", full.alias("sure")))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int, broadcast_rows: int) -> DataFrame:
