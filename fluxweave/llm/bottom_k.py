@@ -5,16 +5,17 @@ an empty set and no links).  Its sketch is the ``k`` least values of the set; eq
 
 Of the k least values of a union, those in both sets are a sample without replacement whose share estimates the Jaccard
 similarity, and all of them stand in both sketches.  So two linked sets have at least ``least_shared`` retained values in
-common: exactly where their union is no larger than a sketch, else but for a chance of under ``RISK`` (1e-12).
+common: exactly where their union is no larger than a sketch, else but for a chance of under ``RISK`` a pair.
 
 1. ``sketches``: one scan gives each row its node, set size and retained values; ``levels`` counts retained values in a
    sketch of fixed size, which orders them from rare to frequent.
 2. ``inverted``: the inverted lists.  A node that must share c of its s values with a partner is listed under its
    s - c + 1 rarest ones, so that linked nodes meet in at least one list.  Values that are counted often are dealt by node
-   over several salts, and lists of one node go.
+   over several salts, and nodes without a partner of a fitting size in their list go.
 3. Nodes of a list meet through hubs: each is paired with the one of its size class, then (while many pairs are left) with
    hubs of the largest component; at last every pair across components that shares a list is taken.
-4. ``estimate`` holds both sketches against each other: pairs whose union a sketch covers are settled by it exactly, of the
+4. ``alike`` drops pairs whose sets differ in too many of 256 parities (an exact bound, good for short texts).
+   ``estimate`` holds both sketches against each other: pairs whose union a sketch covers are settled by it exactly, of the
    others those go whose union sketch has fewer than ``least_shared`` values in both.
 5. ``verify`` computes the exact Jaccard similarity of the pairs that are left on full sets.  Sketches and sets of a node
    with many pairs are sent to as many salts as those need.
@@ -39,13 +40,14 @@ from .ngram_join import FEW, HUBS, ONE_TASK, components, hub_pairs, least_ids, n
 
 WORDS = 4
 PERCENT = 80
-RETAINED = 128
-RISK = 1e-12
+RETAINED = 256
+RISK = 1e-9
 #: Cells of the count sketch, and cells that travel as one row.
 CELLS_LOG2 = 22
 BLOCK = 1 << 16
 #: Values that are counted more often than the mean cell, times this power of two, are dealt over salts.
 HOT_LOG2 = 10
+FOLD = ("b0", "b1", "b2", "b3")
 #: Pairs of a node that meet its sketch or set in one task.
 SHARE = 500
 
@@ -61,22 +63,25 @@ def least_shared(k: int, percent: int, risk: float = RISK) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """(_id, node, n, kept) of every row; ``kept`` are the k least hashes, as signed numbers in the same order."""
+    """(_id, node, n, kept, fold) of every row; ``kept`` are the k least hashes, as signed numbers in the same order, and
+    ``fold`` the parities of the set's counts in 256 buckets."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, kept = [], [], []
-            for _, s in sets_of(batch.column("_text"), size):
+            nodes, sizes, kept, folds = [], [], [], np.zeros((batch.num_rows, 4), np.int64)
+            for row, s in sets_of(batch.column("_text"), size):
+                folds[row] = np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8), bitorder="little").view(np.int64)
                 nodes.append(node_of(s))
                 sizes.append(len(s))
                 kept.append((s[:k] ^ np.uint64(1 << 63)).view(np.int64))
             off = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["_id", "node", "n", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(np.ascontiguousarray(folds[:, i])) for i in range(4))], ["_id", "node", "n", "kept", *FOLD])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return materialize(rows.transform(map_arrow, scan, f"_id {id_type}, node long, n long, kept array<long>"))
+    made = rows.transform(map_arrow, scan, f"_id {id_type}, node long, n long, kept array<long>, " + ", ".join(f"{b} long" for b in FOLD))
+    return materialize(made.select("_id", "node", "n", "kept", F.struct(*FOLD).alias("fold")))
 
 
 def _cells(values: np.ndarray) -> np.ndarray:
@@ -118,8 +123,11 @@ def levels(nodes: DataFrame) -> np.ndarray:
 
 
 def inverted(nodes: DataFrame, level: np.ndarray, k: int, percent: int, hot_log2: int) -> DataFrame:
-    """(token, salt, node, n, pos, cls): the lists of at least two nodes.  ``pos`` is 0, since a place in a sketch bounds
-    nothing."""
+    """(token, salt, node, n, pos, cls): the lists of nodes with a partner of a fitting size.
+
+    ``pos`` is the token's place among the values of a set whose partners' sketches all are full sets, where it bounds how
+    much both can share; else 0, which bounds nothing.
+    """
     spark = nodes.sparkSession
     shared, order = least_shared(k, percent), spark.sparkContext.broadcast(level)
     hot = hot_log2 + int(np.ceil(np.log2(np.exp2(level.astype(float)).mean())))
@@ -136,17 +144,22 @@ def inverted(nodes: DataFrame, level: np.ndarray, k: int, percent: int, hot_log2
             lv = by_cell[_cells(values)]
             by = np.lexsort((values, lv, row))
             first = np.repeat(np.cumsum(counts) - counts, counts)
-            by = by[np.arange(len(by)) - first < np.repeat(counts - must + 1, counts)]
+            place = np.arange(len(by)) - first
+            listed = place < np.repeat(counts - must + 1, counts)
+            by, place = by[listed], place[listed]
             row, lv, values = row[by], lv[by], values[by]
+            place = np.where(100 * n[row] <= percent * k, place, 0)
             salts = np.uint64(1) << np.maximum(lv.astype(np.int64) - hot, 0).astype(np.uint64)
             salt = (K.mix(node.view(np.uint64))[row] % salts).astype(np.int32)
             cls = np.floor(np.log(n) / math.log(100 / percent)).astype(np.int32)
-            cols = [values, salt, node[row], n[row].astype(np.int32), np.zeros(len(row), np.int32), cls[row], salts > 1]
+            cols = [values, salt, node[row], n[row].astype(np.int32), place.astype(np.int32), cls[row], salts > 1]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "salt", "node", "n", "pos", "cls", "dealt"])
 
     posted = nodes.where("n > 0").select("node", "n", "kept").transform(map_arrow, emit, "token long, salt int, node long, n int, pos int, cls int, dealt boolean")
-    met = posted.withColumn("c", F.count("*").over(Window.partitionBy("token", "salt")))
-    return materialize(met.where("c > 1 or dealt").drop("c", "dealt"))
+    beside = Window.partitionBy("token", "salt").orderBy("n", "node")
+    fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
+    met = posted.withColumns({"_less": F.lag("n").over(beside), "_more": F.lead("n").over(beside)})
+    return materialize(met.where(F.col("dealt") | fits(F.col("_less"), F.col("n")) | fits(F.col("n"), F.col("_more"))).drop("_less", "_more", "dealt"))
 
 
 def _with(pairs: DataFrame, values: DataFrame, end: str, share: int, broadcast_rows: int) -> DataFrame:
@@ -163,6 +176,14 @@ def _with(pairs: DataFrame, values: DataFrame, end: str, share: int, broadcast_r
     return dealt.join(copies, [end, "_salt"]).drop("_salt")
 
 
+def alike(pairs: DataFrame, nodes: DataFrame, percent: int, share: int, broadcast_rows: int) -> DataFrame:
+    """The pairs whose sets do not differ in more parities than sets of the wanted similarity can."""
+    held = nodes.select("node", "n", "fold")
+    met = _with(_with(pairs, held, "a", share, broadcast_rows), held, "b", share, broadcast_rows)
+    differ = sum((F.bit_count(F.col(f"fold_a.{b}").bitwiseXOR(F.col(f"fold_b.{b}"))) for b in FOLD), F.lit(0))
+    return materialize(met.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+
+
 def estimate(pairs: DataFrame, nodes: DataFrame, k: int, percent: int, share: int, broadcast_rows: int) -> DataFrame:
     """(a, b, sure) of the pairs that may be linked: surely where both sketches are full sets."""
     held = nodes.select("node", "n", "kept")
@@ -200,11 +221,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that is the row's own)."""
     made = sketches(docs, id_col, text_col, size, k)
     prof = made.select("_id", "node", "n")
-    nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("kept").alias("kept")).where("_id is not null"))
+    nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("fold").alias("fold")).where("_id is not null"))
+    folds = materialize(nodes.select("node", "fold"))
     lists = inverted(nodes, levels(nodes), k, percent, hot_log2)
 
     def tried(pairs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-        likely = estimate(pairs, nodes, k, percent, share, broadcast_rows)
+        near = alike(pairs, nodes, percent, share, broadcast_rows)
+        likely = estimate(near, nodes, k, percent, share, broadcast_rows)
         links, unsure = likely.where("sure").select("a", "b"), likely.where("not sure")
         sets = None
         if not unsure.isEmpty():
@@ -214,22 +237,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = materialize(links)
         if not found.isEmpty():
             labels = components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))), one_task)
-        discard(pairs, likely, found, sets)
+        discard(pairs, near, likely, found, sets)
         return labels
 
     labels, posted, step = None, lists.withColumn("comp", F.col("node")), 0
-    nothing = F.struct(*[F.lit(0).cast("long").alias(f"b{i}") for i in range(4)])  # no parities: sketches decide
     while step < len(hubs):
         if step:
             if labels is not None:
                 posted = open_postings(lists, labels, broadcast_rows)
-            if pairs_left(posted.withColumn("fold", nothing), percent) <= FEW * posted.select("node").distinct().count():
+            if pairs_left(posted.join(folds, "node"), percent) <= FEW * posted.select("node").distinct().count():
                 break
         labels = tried(materialize(hub_pairs(posted, percent, hubs[step], step)), labels)
         step += 1
     else:
         posted = open_postings(lists, labels, broadcast_rows) if labels is not None else posted
-    labels = tried(materialize(rest_pairs(posted.withColumn("fold", nothing), percent)), labels)
+    labels = tried(materialize(rest_pairs(posted.join(folds, "node"), percent)), labels)
     heavy, light = least_ids(prof, labels, broadcast_rows)
     rows = prof.where("n > 0").join(F.broadcast(heavy.withColumnRenamed("component_id", "_heavy").withColumn("_known", F.lit(True))), "node", "left")
     linked = rows.where("_known").select("_id", "n", F.col("_heavy").alias("component_id")).unionByName(rows.where("_known is null").select("_id", "n", "node").join(light, "node").select("_id", "n", "component_id"))

@@ -78,7 +78,7 @@ def test_other_sizes_and_similarities(spark):
 
 def test_least_shared_is_a_tail_of_the_binomial():
     rng = random.Random(5)
-    assert B.least_shared(128, 80) == 67 and B.least_shared(10, 100) == 10
+    assert B.least_shared(128, 80, 1e-12) == 67 and B.least_shared(10, 100) == 10
     c = B.least_shared(64, 80, 0.01)
     low = sum(sum(rng.random() < 0.8 for _ in range(64)) < c for _ in range(4000)) / 4000
     assert low < 0.02 and c > 35
