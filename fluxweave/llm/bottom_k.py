@@ -7,8 +7,8 @@ Of the k least values of a union, those in both sets are a sample without replac
 similarity, and all of them stand in both sketches.  So two linked sets have at least ``least_shared`` retained values in
 common: exactly where their union is no larger than a sketch, else but for a chance of under ``RISK`` a pair.
 
-1. ``sketches``: one scan gives each row its node, set size and retained values; ``levels`` counts retained values in a
-   sketch of fixed size, which orders them from rare to frequent.
+1. ``profile`` gives each row its node and set size, ``sketches`` each node its retained values; ``levels`` counts those in
+   a sketch of fixed size, which orders them from rare to frequent.
 2. ``inverted``: the inverted lists.  A node that must share c of its s values with a partner is listed under its
    s - c + 1 rarest ones, so that linked nodes meet in at least one list.  Values that are counted often are dealt by node
    over several salts, and nodes without a partner of a fitting size in their list go.
@@ -62,11 +62,28 @@ def least_shared(k: int, percent: int, risk: float = RISK) -> int:
     return k
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """(_id, node, n, kept, fold) of every row; ``kept`` are the k least hashes, as signed numbers in the same order, and
-    ``fold`` the parities of the set's counts in 256 buckets."""
+def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(_id, node, n) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(node_of(s), len(s)) for _, s in sets_of(batch.column("_text"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], ["_id", "node", "n"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return materialize(rows.transform(map_arrow, scan, f"_id {id_type}, node long, n long"))
+
+
+def sketches(docs: DataFrame, prof: DataFrame, id_col: str, text_col: str, size: int, k: int, broadcast_rows: int) -> DataFrame:
+    """(_id, node, n, kept, fold), one row a node: ``kept`` are the k least hashes, as signed numbers in the same order, and
+    ``fold`` the parities of the set's counts in 256 buckets.
+
+    The text is scanned again, so that no sketch is shuffled to find one row a node.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    first = materialize(prof.where("n > 0").groupBy("node").agg(F.min("_id").alias("_id")).where("_id is not null"))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, kept, folds = [], [], [], np.zeros((batch.num_rows, 4), np.int64)
@@ -79,9 +96,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(np.ascontiguousarray(folds[:, i])) for i in range(4))], ["_id", "node", "n", "kept", *FOLD])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(side(first.select("_id").distinct(), broadcast_rows), "_id", "left_semi")
     made = rows.transform(map_arrow, scan, f"_id {id_type}, node long, n long, kept array<long>, " + ", ".join(f"{b} long" for b in FOLD))
-    return materialize(made.select("_id", "node", "n", "kept", F.struct(*FOLD).alias("fold")))
+    made = materialize(made.select("_id", "node", "n", "kept", F.struct(*FOLD).alias("fold")))
+    wanted = first.count()
+    if made.count() == wanted:
+        return made
+    # ids of several rows: only the texts that they stand for, once each
+    own = made.join(side(first, broadcast_rows), ["node", "_id"], "left_semi")
+    out = materialize(own.dropDuplicates(["node"]))
+    discard(made)
+    return out
 
 
 def _cells(values: np.ndarray) -> np.ndarray:
@@ -151,15 +176,15 @@ def inverted(nodes: DataFrame, level: np.ndarray, k: int, percent: int, hot_log2
             place = np.where(100 * n[row] <= percent * k, place, 0)
             salts = np.uint64(1) << np.maximum(lv.astype(np.int64) - hot, 0).astype(np.uint64)
             salt = (K.mix(node.view(np.uint64))[row] % salts).astype(np.int32)
-            cls = np.floor(np.log(n) / math.log(100 / percent)).astype(np.int32)
-            cols = [values, salt, node[row], n[row].astype(np.int32), place.astype(np.int32), cls[row], salts > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "salt", "node", "n", "pos", "cls", "dealt"])
+            cols = [values, salt, node[row], n[row].astype(np.int32), place.astype(np.int32), salts > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "salt", "node", "n", "pos", "dealt"])
 
-    posted = nodes.where("n > 0").select("node", "n", "kept").transform(map_arrow, emit, "token long, salt int, node long, n int, pos int, cls int, dealt boolean")
+    posted = nodes.where("n > 0").select("node", "n", "kept").transform(map_arrow, emit, "token long, salt int, node long, n int, pos int, dealt boolean")
     beside = Window.partitionBy("token", "salt").orderBy("n", "node")
     fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
     met = posted.withColumns({"_less": F.lag("n").over(beside), "_more": F.lead("n").over(beside)})
-    return materialize(met.where(F.col("dealt") | fits(F.col("_less"), F.col("n")) | fits(F.col("n"), F.col("_more"))).drop("_less", "_more", "dealt"))
+    cls = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    return materialize(met.withColumn("cls", cls.cast("int")).where(F.col("dealt") | fits(F.col("_less"), F.col("n")) | fits(F.col("n"), F.col("_more"))).drop("_less", "_more", "dealt"))
 
 
 def _with(pairs: DataFrame, values: DataFrame, end: str, share: int, broadcast_rows: int) -> DataFrame:
@@ -186,7 +211,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int, share: int, broadcas
 
 def estimate(pairs: DataFrame, nodes: DataFrame, k: int, percent: int, share: int, broadcast_rows: int) -> DataFrame:
     """(a, b, sure) of the pairs that may be linked: surely where both sketches are full sets."""
-    held = nodes.select("node", "n", "kept")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = nodes.select("node", "n", "kept").join(side(ends, broadcast_rows), "node", "left_semi")
     met = _with(_with(pairs, held, "a", share, broadcast_rows), held, "b", share, broadcast_rows)
     whole = F.size(F.array_intersect("kept_a", "kept_b"))
     least = F.slice(F.sort_array(F.array_union("kept_a", "kept_b")), 1, k)
@@ -219,9 +245,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     broadcast_rows: int = 500_000, hot_log2: int = HOT_LOG2, share: int = SHARE, one_task: int = ONE_TASK) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links) and kept (whether
     that is the row's own)."""
-    made = sketches(docs, id_col, text_col, size, k)
-    prof = made.select("_id", "node", "n")
-    nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("fold").alias("fold")).where("_id is not null"))
+    prof = profile(docs, id_col, text_col, size)
+    nodes = sketches(docs, prof, id_col, text_col, size, k, broadcast_rows)
     folds = materialize(nodes.select("node", "fold"))
     lists = inverted(nodes, levels(nodes), k, percent, hot_log2)
 

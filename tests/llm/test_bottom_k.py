@@ -86,11 +86,11 @@ def test_least_shared_is_a_tail_of_the_binomial():
 
 def test_union_sketch_estimates(spark):
     rng = random.Random(8)
-    words = [f"v{i}" for i in range(900)]
-    pairs = [(2 * i + j, " ".join(words[j * shift : j * shift + 700])) for i, shift in enumerate((10, 60, 200, 400)) for j in (0, 1)]
+    words = [f"v{i}" for i in range(1200)]
+    pairs = [(2 * i + j, " ".join(words[i + j * shift : i + j * shift + 700])) for i, shift in enumerate((10, 60, 200, 400)) for j in (0, 1)]
     rng.shuffle(pairs)
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
-    made = B.sketches(docs, "doc_id", "text", 4, 128)
+    made = B.sketches(docs, B.profile(docs, "doc_id", "text", 4), "doc_id", "text", 4, 128, 1000)
     assert made.where(F.size("kept") > 128).count() == 0
     got = {r._id: set(r.kept) for r in made.collect()}
     for i, shift in enumerate((10, 60, 200, 400)):
