@@ -6,6 +6,7 @@ decimals because sums of doubles depend on their order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 
@@ -16,7 +17,8 @@ from .functions import kernels
 from .operators import gradient, interpolate, intersect, materials, momentum, particles, repair, search, swept
 from .plans import oracle as q
 from .plans.remap import Options, Remapper, mesh_swarm_mesh, remap, swarm_remap
-from .sources import meshes, tables
+from .plans.storage import materialize
+from .sources import meshes, tables, topology
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,6 +328,62 @@ def remap_nodes_order2(spark, sf_dir):
     return _shifted(remap(s, meshes.node_mesh(spark, [0, 0], [1, 1], [M, M]), ["f"], 2, ref="p", source_adjacency=meshes.box_adjacency(s, [N + 1, N + 1]), options=o), "f", digits=6)
 
 
+def _polygons(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
+    """(nodes, polygon mesh) of source and target: one source cell for each 256 rows of lineitem."""
+    rows = tables.table(spark, sf_dir, "lineitem").count()
+    n, m = max(4, math.floor(math.sqrt(rows / 256))), max(3, math.floor(math.sqrt(rows / 256) * 0.75))
+    made = (tables.lineitem_polygons(spark, sf_dir, k) for k in (n, m))
+    return [(nodes := materialize(a), materialize(topology.polygon_cells(nodes, materialize(b)))) for a, b in made]
+
+
+def _node_remapper(spark: SparkSession, sf_dir: str, options: Options) -> Remapper:
+    (nodes, source), (_, target) = _polygons(spark, sf_dir)
+    values = topology.dual_cells(source).join(nodes.select("id", "v"), "id")
+    return Remapper(values, topology.dual_cells(target), 2, source_adjacency=topology.node_neighbours(source), ref="p", options=options)
+
+
+_POLYGONS = f"{q.polygon_sizes()}, {q.polygon_mesh('s', 'n')}, {q.polygon_mesh('t', 'm')}"
+
+
+@query(f"""WITH {q.polygon_sizes()}, {q.polygon_mesh('s', 'n')}, {q.duals('s')}, near AS (SELECT a.node, count(DISTINCT b.node) - 1 AS n_near FROM s_wedge a JOIN s_wedge b USING (cell) GROUP BY a.node)
+    SELECT d.id, edge AS is_boundary, n_near, {q.shifted('vol', 9)} AS vol, {q.shifted('cx', 8)} AS cx, {q.shifted('cy', 8)} AS cy FROM s_dual d JOIN s_node n USING (id) JOIN near ON near.node = d.id""")
+def polygon_duals(spark, sf_dir):
+    """Cells around the nodes of a polygon mesh, and how many nodes share a cell with each."""
+    (_, source), _ = _polygons(spark, sf_dir)
+    near = topology.node_neighbours(source).groupBy("id").agg(F.count("*").alias("n_near"))
+    d = topology.dual_cells(source).join(near, "id")
+    vol, rest = _shifted(d, "vol", digits=9, keys=("id", "is_boundary", "n_near")), _shifted(d, "cx", "cy", digits=8)
+    return vol.join(rest, "id")
+
+
+@query(f"""WITH {q.polygon_sizes()}, {q.polygon_mesh('s', 'n')}
+    SELECT least(na, nb) AS lo, greatest(na, nb) AS hi, count(*) AS n_cells, min(id) AS least_cell, {q.shifted('any_value(sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)))', 8)} AS length FROM s_side GROUP BY ALL""")
+def polygon_faces(spark, sf_dir):
+    (_, source), _ = _polygons(spark, sf_dir)
+    f = topology.faces(source).withColumns({"n_cells": F.when(F.col("right").isNull(), 1).otherwise(2).cast("long"), "least_cell": F.least("left", "right")})
+    return _shifted(f, "length", digits=8, keys=("lo", "hi", "n_cells", "least_cell"))
+
+
+@query(f"""WITH {_POLYGONS}, {q.wedge_overlaps()} SELECT tgt_cell AS id, {q.shifted('sum(m0 * (src_cell % 17)) / sum(m0)', 7)} AS f FROM ov GROUP BY tgt_cell""")
+def remap_polygon_cells(spark, sf_dir):
+    (_, source), (_, target) = _polygons(spark, sf_dir)
+    o = Options(order=1, check_mismatch=False)
+    return _shifted(remap(source.withColumn("f", (F.col("id") % 17).cast("double")), target, ["f"], 2, options=o), "f", digits=7)
+
+
+@query(f"""WITH {_POLYGONS}, {q.wedge_overlaps()} SELECT tgt_node AS id, {q.shifted('sum(m0 * v) / sum(m0)', 3)} AS v FROM ov JOIN s_node ON s_node.id = src_node GROUP BY tgt_node""")
+def remap_polygon_nodes(spark, sf_dir):
+    """Node fields between two polygon meshes with triangles and moved nodes, first order."""
+    return _shifted(_node_remapper(spark, sf_dir, Options(order=1, check_mismatch=False)).interpolate(["v"]), "v", digits=3)
+
+
+@query(f"""WITH {_POLYGONS}, {q.wedge_overlaps()}, {q.node_slopes()}, w AS (SELECT tgt_node AS id, src_node, sum(m0) AS m0, sum(m1x) AS m1x, sum(m1y) AS m1y FROM ov GROUP BY tgt_node, src_node)
+    SELECT w.id, {q.shifted('sum(v * m0 + gx * (m1x - x * m0) + gy * (m1y - y * m0)) / sum(m0)', 3)} AS v FROM w JOIN g ON g.id = src_node GROUP BY w.id""")
+def remap_polygon_nodes_limited(spark, sf_dir):
+    """The same at second order with limited slopes."""
+    return _shifted(_node_remapper(spark, sf_dir, Options(order=2, check_mismatch=False)).interpolate(["v"]), "v", digits=3)
+
+
 _GROWING = """WITH z AS (SELECT greatest(4, floor(sqrt(count(*) / 64.0)))::BIGINT AS n, greatest(3, floor(sqrt(count(*) / 64.0) * 0.75::DOUBLE))::BIGINT AS m FROM lineitem),
     s0 AS (SELECT k AS id, k % n AS ix, k // n AS iy, n FROM (SELECT n, unnest(range(n * n)) AS k FROM z)), t0 AS (SELECT k AS id, k % m AS ix, k // m AS iy, m FROM (SELECT m, unnest(range(m * m)) AS k FROM z)),
     li AS (SELECT (least(floor((l_quantity - 1) / 49 * n), n - 1) + least(floor(l_discount / 0.1::DOUBLE * n), n - 1) * n)::BIGINT AS id, l_quantity FROM lineitem, z),
@@ -554,8 +612,6 @@ def _vortex_sql(steps: int = 4, dt: float = 0.01) -> str:
 @query(f"WITH {S}, {_vortex_sql()} SELECT id, {q.shifted('price', 5)} AS price FROM v4")
 def swept_vortex_steps(spark, sf_dir):
     """Four steps of a periodic vortex; each remaps what the step before left."""
-    from .plans.storage import materialize
-
     nodes, s = meshes.box_nodes(spark, [0, 0], [1, 1], [N, N]), _source(spark, sf_dir)
     value = s.select("id", "price")
     for k in range(4):

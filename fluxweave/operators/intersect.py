@@ -209,8 +209,22 @@ def intersect_ring_rows(source: tuple[np.ndarray, np.ndarray], target: tuple[np.
             normal = np.where((k < w)[:, None], np.stack([a[:, 1] - b[:, 1], b[:, 0] - a[:, 0]], 1), 0.0)  # to the left of a counter-clockwise edge; no edge cuts nothing
             cut, size = _clip_rows(cut, size, normal, (normal * a).sum(1))
         total[at] = _ring_moments(cut, size, system)
-    for i in np.flatnonzero(left):
-        total[i] = intersect_rings(source[0][i, : source[1][i]], target[0][i, : target[1][i]], system, tolerance)
+    # a window that is not convex is the signed sum of its triangles from the first vertex, whatever their order
+    at = np.flatnonzero(left)
+    if len(at):
+        p, n, window, w = source[0][at], source[1][at], target[0][at], target[1][at]
+        for k in range(1, int(w.max()) - 1):
+            a, b, c = window[:, 0], window[:, k], window[np.arange(len(at)), np.where(k + 1 < w, k + 1, k)]
+            sign = np.sign((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (c[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]))
+            some = np.flatnonzero(sign)
+            turned = (sign < 0)[:, None]
+            tri = np.stack([a, np.where(turned, c, b), np.where(turned, b, c)], 1)[some]
+            cut, size = p[some], n[some]
+            for e in range(3):
+                u, v = tri[:, e], tri[:, (e + 1) % 3]
+                normal = np.stack([u[:, 1] - v[:, 1], v[:, 0] - u[:, 0]], 1)
+                cut, size = _clip_rows(cut, size, normal, (normal * u).sum(1))
+            total[at[some]] += sign[some, None] * _ring_moments(cut, size, system)
     return total
 
 

@@ -167,18 +167,28 @@ def repair(values: DataFrame, target: DataFrame, source: DataFrame, layers: Data
     diff = (start.s or 0.0) - wanted
     rel = _ratio(diff, wanted)
     step, passes = _ratio(diff, volume), 0
-    value = F.col(field)  # grows by a shift and a clamp a pass; the table is read, never rewritten
+    shifts: list[float] = []
+
+    def after(passes_: list[float]) -> Column:
+        """The value after so many shifts and clamps: a fold over their array, so the plan grows by a number a pass."""
+        held = F.lit(float(lo)), F.lit(float(hi))
+        clamped = lambda x: F.when(x < held[0], held[0]).when(x > held[1], held[1]).otherwise(x)
+        moved = F.aggregate(F.lit(passes_), F.col(field).cast("double"), lambda x, by: clamped(x - by))
+        return F.when(F.col("_open"), moved).otherwise(F.col(field)) if passes_ else F.col(field)
+
     while abs(rel) > conservation and passes < max_iterations:
-        moved = value - F.lit(step)
-        low, high = F.col("_open") & (moved < lo), F.col("_open") & (moved > hi)
-        value = F.when(low, lo).when(high, hi).when(F.col("_open"), moved).otherwise(value)
-        now = v.agg(F.sum(value * F.col("vol")).alias("s"), F.coalesce(F.sum(F.when(low | high, F.col("vol"))), F.lit(0.0)).alias("c")).first()
+        seen = v.select("vol", "_open", after(shifts).alias("_was")).withColumn("_moved", F.col("_was") - F.lit(step))
+        low, high = F.col("_open") & (F.col("_moved") < lo), F.col("_open") & (F.col("_moved") > hi)
+        value = F.when(low, lo).when(high, hi).when(F.col("_open"), F.col("_moved")).otherwise(F.col("_was"))
+        now = seen.agg(F.sum(value * F.col("vol")).alias("s"), F.coalesce(F.sum(F.when(low | high, F.col("vol"))), F.lit(0.0)).alias("c")).first()
+        shifts.append(float(step))
         diff = now.s - wanted
         rel, passes = _ratio(diff, wanted), passes + 1
         volume = (volume if compat else full) - now.c
         if not compat and volume <= EPS * full:
             break
         step = _ratio(diff, volume)
+    value = after(shifts)
     return v.select("id", value.alias(field)), rel
 
 

@@ -132,3 +132,71 @@ def conserved(values: str, passes: int = 5) -> str:
         a{k} AS (SELECT sum(price * vol) - any_value(wanted) AS diff, any_value(whole) - coalesce(sum(CASE WHEN held THEN vol END), 0.0) AS volume, any_value(a{k - 1}.live) AND abs((sum(price * vol) - any_value(wanted)) / any_value(wanted)) > 2.220446049250313e-14
           AND any_value(whole) - coalesce(sum(CASE WHEN held THEN vol END), 0.0) > 2.220446049250313e-16 * any_value(whole) AS live FROM p{k}, b, a{k - 1})""")
     return ", ".join(out)
+
+
+def polygon_sizes(share: float = 0.75) -> str:
+    """``z``: n and m, one source cell for each 256 rows of lineitem."""
+    return f"z AS (SELECT greatest(4, floor(sqrt(count(*) / 256.0)))::BIGINT AS n, greatest(3, floor(sqrt(count(*) / 256.0) * {share}::DOUBLE))::BIGINT AS m FROM lineitem)"
+
+
+def polygon_mesh(p: str, size: str) -> str:
+    """``{p}_node``, ``{p}_side`` and ``{p}_wedge`` of the polygon mesh derived from lineitem; ``size`` is a column of ``z``."""
+    return f"""{p}_rows AS (SELECT (least(floor((l_quantity - 1) / 49 * {size}), {size} - 1) + least(floor(l_discount / 0.1::DOUBLE * {size}), {size} - 1) * {size})::BIGINT AS cell, count(*) AS k, sum(l_quantity) AS q, floor(avg(l_extendedprice))::DOUBLE AS v
+      FROM lineitem, z GROUP BY 1),
+    {p}_grid AS (SELECT id, id % (n + 1) AS i, id // (n + 1) AS j, n FROM (SELECT {size} AS n, unnest(range(({size} + 1) * ({size} + 1))) AS id FROM z)),
+    {p}_node AS (
+      SELECT id, i = 0 OR i = n OR j = 0 OR j = n AS edge, coalesce(v, 0.0) AS v,
+             (i + CASE WHEN i > 0 AND i < n AND j > 0 AND j < n THEN (coalesce(k, 0) % 7 - 3) / 20::DOUBLE ELSE 0.0 END) / n AS x,
+             (j + CASE WHEN i > 0 AND i < n AND j > 0 AND j < n THEN (floor(coalesce(q, 0.0)) % 5 - 2) / 20::DOUBLE ELSE 0.0 END) / n AS y
+      FROM {p}_grid LEFT JOIN {p}_rows ON cell = least(i, n - 1) + least(j, n - 1) * n),
+    {p}_square AS (SELECT c.cell, n, c.cell % n + (c.cell // n) * (n + 1) AS low, coalesce(k, 0) AS k FROM (SELECT {size} AS n, unnest(range({size} * {size})) AS cell FROM z) c LEFT JOIN {p}_rows r ON r.cell = c.cell),
+    {p}_cell AS (
+      SELECT cell * 2 AS id, CASE WHEN k % 3 = 0 THEN [low, low + 1, low + n + 2] ELSE [low, low + 1, low + n + 2, low + n + 1] END AS ns FROM {p}_square
+      UNION ALL SELECT cell * 2 + 1, [low, low + n + 2, low + n + 1] FROM {p}_square WHERE k % 3 = 0),
+    {p}_edge AS (
+      SELECT e.id, na, nb, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM (SELECT id, ns[s] AS na, ns[s % len(ns) + 1] AS nb FROM {p}_cell, LATERAL (SELECT unnest(range(1, len(ns) + 1)) AS s)) e
+      JOIN {p}_node a ON a.id = na JOIN {p}_node b ON b.id = nb),
+    {p}_middle AS (SELECT id, sum(ax * ey - ex * ay) / 2 AS vol, sum((ax + ex) * (ax * ey - ex * ay)) / (3 * sum(ax * ey - ex * ay)) AS cx, sum((ay + ey) * (ax * ey - ex * ay)) / (3 * sum(ax * ey - ex * ay)) AS cy FROM {p}_edge GROUP BY id),
+    {p}_side AS (SELECT * FROM {p}_edge JOIN {p}_middle USING (id)),
+    {p}_wedge AS (
+      SELECT id AS cell, na AS node, ax AS x1, ay AS y1, (ax + ex) / 2 AS x2, (ay + ey) / 2 AS y2, cx AS x3, cy AS y3 FROM {p}_side
+      UNION ALL SELECT id, nb, (ax + ex) / 2, (ay + ey) / 2, ex, ey, cx, cy FROM {p}_side)"""
+
+
+def wedge_overlaps() -> str:
+    """``ov``: tgt_cell, tgt_node, src_cell, src_node, m0, m1x, m1y of the wedges of ``t`` and ``s``: each triangle of one cut by
+    the three edges of the other."""
+
+    def cut(k: int, ux: str, uy: str, vx: str, vy: str) -> str:
+        far = "q[i % len(q) + 1]"
+        return f"""d{k} AS (SELECT * EXCLUDE (p), list_transform(p, lambda c: {{'x': c.x, 'y': c.y, 'd': ({vx} - {ux}) * (c.y - {uy}) - ({vy} - {uy}) * (c.x - {ux})}}) AS q FROM c{k}),
+    c{k + 1} AS (SELECT * EXCLUDE (q), flatten(list_transform(range(1, len(q) + 1), lambda i: list_concat(
+        CASE WHEN q[i].d >= 0 THEN [{{'x': q[i].x, 'y': q[i].y}}] ELSE [] END,
+        CASE WHEN (q[i].d >= 0) <> ({far}.d >= 0) THEN [{{'x': q[i].x + ({far}.x - q[i].x) * q[i].d / (q[i].d - {far}.d), 'y': q[i].y + ({far}.y - q[i].y) * q[i].d / (q[i].d - {far}.d)}}] ELSE [] END))) AS p FROM d{k})"""
+
+    cross = "(p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y)"
+    total = lambda e: f"coalesce(list_sum(list_transform(range(1, len(p) + 1), lambda i: {e})), 0.0)"
+    return f"""c0 AS (
+      SELECT t.cell AS tgt_cell, t.node AS tgt_node, s.cell AS src_cell, s.node AS src_node, t.x1, t.y1, t.x2, t.y2, t.x3, t.y3, [{{'x': s.x1, 'y': s.y1}}, {{'x': s.x2, 'y': s.y2}}, {{'x': s.x3, 'y': s.y3}}] AS p
+      FROM t_wedge t JOIN s_wedge s ON greatest(least(t.x1, t.x2, t.x3), least(s.x1, s.x2, s.x3)) < least(greatest(t.x1, t.x2, t.x3), greatest(s.x1, s.x2, s.x3))
+        AND greatest(least(t.y1, t.y2, t.y3), least(s.y1, s.y2, s.y3)) < least(greatest(t.y1, t.y2, t.y3), greatest(s.y1, s.y2, s.y3))),
+    {cut(0, "x1", "y1", "x2", "y2")}, {cut(1, "x2", "y2", "x3", "y3")}, {cut(2, "x3", "y3", "x1", "y1")},
+    ov AS (SELECT * FROM (SELECT tgt_cell, tgt_node, src_cell, src_node, {total(cross)} / 2 AS m0, {total(f"(p[i].x + p[i % len(p) + 1].x) * {cross}")} / 6 AS m1x, {total(f"(p[i].y + p[i % len(p) + 1].y) * {cross}")} / 6 AS m1y FROM c3 WHERE len(p) > 2) WHERE m0 > 0)"""
+
+
+def duals(p: str) -> str:
+    """``{p}_dual``: id, vol, centroid of the cells around the nodes, from their wedges."""
+    area = "((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2"
+    return f"{p}_dual AS (SELECT node AS id, sum({area}) AS vol, sum({area} * (x1 + x2 + x3) / 3) / sum({area}) AS cx, sum({area} * (y1 + y2 + y3) / 3) / sum({area}) AS cy FROM {p}_wedge GROUP BY node)"
+
+
+def node_slopes() -> str:
+    """``g``: gradients of ``s_node.v`` over the nodes that share a cell, limited at the points of the dual cells inside."""
+    slope = "(rx * (qx - x) + ry * (qy - y))"
+    return f"""near AS (SELECT DISTINCT a.node AS id, b.node AS nbr FROM (SELECT DISTINCT cell, node FROM s_wedge) a JOIN (SELECT DISTINCT cell, node FROM s_wedge) b USING (cell) WHERE a.node <> b.node),
+    sums AS (SELECT c.id, sum((n.x - c.x) * (n.x - c.x)) AS xx, sum((n.x - c.x) * (n.y - c.y)) AS xy, sum((n.y - c.y) * (n.y - c.y)) AS yy, sum((n.x - c.x) * (n.v - c.v)) AS ex, sum((n.y - c.y) * (n.v - c.v)) AS ey,
+             least(min(n.v), min(c.v)) AS lo, greatest(max(n.v), max(c.v)) AS hi FROM near JOIN s_node c USING (id) JOIN s_node n ON n.id = nbr GROUP BY c.id),
+    raw AS (SELECT id, x, y, v, edge, lo, hi, (ex * yy - ey * xy) / (xx * yy - xy * xy) AS rx, (xx * ey - xy * ex) / (xx * yy - xy * xy) AS ry FROM sums JOIN s_node USING (id)),
+    ends AS (SELECT node AS id, unnest([x1, x2, x3]) AS qx, unnest([y1, y2, y3]) AS qy FROM s_wedge),
+    g AS (SELECT id, any_value(v) AS v, any_value(x) AS x, any_value(y) AS y, any_value(rx) * min(phi) AS gx, any_value(ry) * min(phi) AS gy FROM (
+      SELECT raw.*, CASE WHEN edge OR {slope} = 0 THEN 1.0 WHEN {slope} > 0 THEN least(1.0, (hi - v) / {slope}) ELSE least(1.0, (lo - v) / {slope}) END AS phi FROM raw JOIN ends USING (id)) GROUP BY id)"""

@@ -27,6 +27,25 @@ def lineitem_grid(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return box_mesh(spark, [0, 0], [1, 1], [n, n]).join(sums, "id", "left").fillna(0.0, subset=["qty", "price"])
 
 
+def lineitem_polygons(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """A polygon mesh of the unit square from lineitem: nodes (id, x, y, v) and cells (id, nodes).
+
+    The nodes of the n x n grid move by the count and the summed quantity of their cell's rows, those at the boundary stay;
+    ``v`` is the whole mean price there.  Every cell whose count is a multiple of three is two triangles.
+    """
+    rows = lineitem_cells(spark, sf_dir, n).groupBy("id").agg(F.count("*").alias("k"), F.sum("l_quantity").alias("q"), F.floor(F.avg("l_extendedprice")).cast("double").alias("v"))
+    grid = spark.range((n + 1) * (n + 1)).select(F.col("id"), (F.col("id") % (n + 1)).alias("i"), F.floor(F.col("id") / (n + 1)).alias("j"))
+    own = grid.withColumn("cell", F.least("i", F.lit(n - 1)) + F.least("j", F.lit(n - 1)) * n).join(rows.withColumnRenamed("id", "cell"), "cell", "left").fillna(0, subset=["k", "q", "v"])
+    inner = (F.col("i") > 0) & (F.col("i") < n) & (F.col("j") > 0) & (F.col("j") < n)
+    moved = lambda at, by: (F.col(at) + F.when(inner, by).otherwise(0.0)) / n
+    nodes = own.select("id", moved("i", (F.col("k") % 7 - 3) / 20).alias("x"), moved("j", (F.floor("q") % 5 - 2) / 20).alias("y"), F.col("v").cast("double").alias("v"))
+    low = F.col("cell") % n + F.floor(F.col("cell") / n) * (n + 1)
+    square = spark.range(n * n).withColumnRenamed("id", "cell").join(rows.select(F.col("id").alias("cell"), "k"), "cell", "left").fillna(0, subset=["k"]).withColumn("low", low.cast("long"))
+    ring = lambda *steps: F.array(*[F.col("low") + s for s in steps])
+    parts = F.when(F.col("k") % 3 == 0, F.array(ring(0, 1, n + 2), ring(0, n + 2, n + 1))).otherwise(F.array(ring(0, 1, n + 2, n + 1)))
+    return nodes, square.select("cell", F.posexplode(parts).alias("p", "nodes")).select((F.col("cell") * 2 + F.col("p")).alias("id"), "nodes")
+
+
 def material_cells(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """(id, mat, volfrac, price): the return flags of each cell's rows as materials."""
     rows = lineitem_cells(spark, sf_dir, n).withColumn("mat", F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3))
