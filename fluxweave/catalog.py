@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import kernels
 from .operators import gradient, interpolate, intersect, materials, momentum, particles, repair, search, swept
 from .plans import oracle as q
+from .plans.multi import MultiRemapper, Side
 from .plans.remap import Options, Remapper, mesh_swarm_mesh, remap, swarm_remap
 from .plans.storage import materialize
 from .sources import meshes, tables, topology
@@ -515,11 +516,51 @@ def remap_materials(spark, sf_dir):
     return got.select("id", "mat", F.round("volfrac", 10).alias("volfrac"), _r(F.col("price")).alias("price"))
 
 
-@query()
+@query(f"""WITH {q.lineitem_cells(N)}, e AS (SELECT id, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END::INTEGER AS mat, count(*) AS k FROM li GROUP BY 1, 2), w AS (SELECT id, sum(k) AS t FROM e GROUP BY id)
+    SELECT id, mat, {q.shifted(f'k / (t * {N * N}::DOUBLE)', 9)} AS area FROM e JOIN w USING (id)""")
 def interface_reconstruction(spark, sf_dir):
+    """Areas of the pieces that interfaces cut out of the cells: each material's share of its cell."""
     s = meshes.box_rings(meshes.box_mesh(spark, [0, 0], [1, 1], [N, N]))
     pieces = materials.reconstruct(s, tables.material_cells(spark, sf_dir, N).select("id", "mat", "volfrac"), _near(s, N))
-    return pieces.withColumn("m", intersect_area(F.col("ring"))).select("id", "mat", _r(F.col("m")).alias("area"))
+    return _shifted(pieces.withColumn("area", intersect_area(F.col("ring"))), "area", digits=9, keys=("id", "mat"))
+
+
+NM, MM = 32, 24
+
+
+def _layout_sql() -> str:
+    edge = f"ix = 0 OR ix = {NM - 1} OR iy = 0 OR iy = {NM - 1}"
+    slope = lambda ex, ey: f"(rx * ({ex} - cx) + ry * ({ey} - cy))"
+    phi = ", ".join(f"CASE WHEN {slope(x, y)} = 0 THEN 1.0 WHEN {slope(x, y)} > 0 THEN (hi - f) / {slope(x, y)} ELSE (lo - f) / {slope(x, y)} END" for x in ("gxlo", "gxhi") for y in ("gylo", "gyhi"))
+    return f"""{q.source(NM)}, {q.grid("t", MM)}, {q.weights()}, {q.gradients(["price"], True)}, {q.second_order(["price"])},
+    ab AS (SELECT (sum(l_linenumber)::BIGINT % 7 + 5) / 16.0::DOUBLE + 1 / 96.0::DOUBLE AS a, (count(*) % 5 + 5) / 16.0::DOUBLE + 1 / 96.0::DOUBLE AS b FROM lineitem),
+    cuts AS (SELECT 1 AS mat, 0.0 AS x0, a AS x1, 0.0 AS y0, 1.0 AS y1 FROM ab UNION ALL SELECT 2, a, 1.0, b, 1.0 FROM ab UNION ALL SELECT 3, a, 1.0, 0.0, b FROM ab),
+    pc AS (SELECT id, mat, ix, iy, {edge} AS bnd, xlo AS gxlo, xhi AS gxhi, ylo AS gylo, yhi AS gyhi, greatest(xlo, x0) AS pxlo, least(xhi, x1) AS pxhi, greatest(ylo, y0) AS pylo, least(yhi, y1) AS pyhi, price + 1000 * mat AS f
+      FROM s, cuts WHERE greatest(xlo, x0) < least(xhi, x1) AND greatest(ylo, y0) < least(yhi, y1)),
+    mp AS (SELECT *, (pxlo + pxhi) / 2 AS cx, (pylo + pyhi) / 2 AS cy FROM pc),
+    ms AS (SELECT c.id, c.mat, sum((n.cx - c.cx) * (n.cx - c.cx)) AS xx, sum((n.cx - c.cx) * (n.cy - c.cy)) AS xy, sum((n.cy - c.cy) * (n.cy - c.cy)) AS yy, sum((n.cx - c.cx) * (n.f - c.f)) AS sx, sum((n.cy - c.cy) * (n.f - c.f)) AS sy,
+             least(min(n.f), min(c.f)) AS lo, greatest(max(n.f), max(c.f)) AS hi FROM mp c JOIN mp n ON n.mat = c.mat AND abs(n.ix - c.ix) <= 1 AND abs(n.iy - c.iy) <= 1 AND n.id <> c.id GROUP BY c.id, c.mat),
+    mr AS (SELECT mp.*, lo, hi, (sx * yy - sy * xy) / (xx * yy - xy * xy) AS rx, (xx * sy - xy * sx) / (xx * yy - xy * xy) AS ry FROM mp JOIN ms USING (id, mat)),
+    mg AS (SELECT *, CASE WHEN bnd THEN 1.0 ELSE least(1.0, {phi}) END AS phi FROM mr),
+    mw AS (SELECT t.id, vol, mat, f, phi, rx, ry, cx, cy, (least(t.xhi, pxhi) - greatest(t.xlo, pxlo)) * (least(t.yhi, pyhi) - greatest(t.ylo, pylo)) AS m0, (least(t.xhi, pxhi) + greatest(t.xlo, pxlo)) / 2 AS ox, (least(t.yhi, pyhi) + greatest(t.ylo, pylo)) / 2 AS oy
+      FROM (SELECT id, xlo, xhi, ylo, yhi, vol FROM t) t JOIN mg ON greatest(t.xlo, pxlo) < least(t.xhi, pxhi) AND greatest(t.ylo, pylo) < least(t.yhi, pyhi))"""
+
+
+@query(f"""WITH {_layout_sql()}
+    SELECT 'material' AS kind, id, mat, {q.shifted('sum(m0) / any_value(vol)', 8)} AS volfrac, {q.shifted('sum((f + phi * (rx * (ox - cx) + ry * (oy - cy))) * m0) / sum(m0)', 3)} AS value FROM mw GROUP BY id, mat
+    UNION ALL SELECT 'cell', id, NULL, NULL, {q.shifted('price', 3)} FROM o""")
+def remap_multimaterial(spark, sf_dir):
+    """Cell prices and material values in one call, second order: three materials in a T whose places follow from lineitem."""
+    a, b = tables.table(spark, sf_dir, "lineitem").agg(F.sum(F.col("l_linenumber").cast("long")) % 7, F.count("*") % 5).first()
+    a, b = (a + 5) / 16 + 1 / 96, (b + 5) / 16 + 1 / 96
+    s, t = materialize(meshes.box_rings(_source(spark, sf_dir, NM))), meshes.box_rings(meshes.box_mesh(spark, [0, 0], [1, 1], [MM, MM]))
+    pieces = materialize(materials.half_plane_polygons(s, [(1, [(-1, 0, -a)]), (2, [(1, 0, a), (0, 1, b)]), (3, [(1, 0, a), (0, -1, -b)])]))
+    held = materials.piece_centroids(pieces).join(s.select("id", "vol", "price"), "id").select("id", "mat", (F.col("volume") / F.col("vol")).alias("volfrac"), (F.col("price") + 1000 * F.col("mat")).alias("f"))
+    r = MultiRemapper(Side(s, _near(s, NM)), Side(t), material=held, pieces=pieces, options=Options(check_mismatch=False))
+    got = r.interpolate(cell=["price"], material=["f"])
+    both = got["material"].select(F.lit("material").alias("kind"), "id", "mat", (F.round(F.col("volfrac") + 3e-9, 8)).alias("volfrac"), F.col("f").alias("value"))
+    both = both.unionByName(got["cell"].select(F.lit("cell").alias("kind"), "id", F.lit(None).cast("int").alias("mat"), F.lit(None).cast("double").alias("volfrac"), F.col("price").alias("value")))
+    return _shifted(both, "value", digits=3, keys=("kind", "id", "mat", "volfrac"))
 
 
 def intersect_area(ring: Column) -> Column:

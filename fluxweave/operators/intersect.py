@@ -148,6 +148,33 @@ def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return xy[start[:, None] + np.where(at < size[:, None], at, 0)], size
 
 
+def ring_column(p: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Padded rings as a column of lists of points."""
+    held = np.arange(p.shape[1]) < n[:, None]
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    xy = p[held]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"]))
+
+
+def offsets_of_area(p: np.ndarray, n: np.ndarray, normal: np.ndarray, area: np.ndarray) -> np.ndarray:
+    """For each ring the offset whose half-plane normal . x >= offset holds the given area of it.
+
+    Between the heights of two vertices the area is a quadratic, which three cuts fix: the root has a closed form.
+    """
+    rows = np.arange(len(n))
+    height = np.sort(p[:, :, 0] * normal[:, None, 0] + p[:, :, 1] * normal[:, None, 1], 1)[:, ::-1]  # padding repeats a vertex
+    held = lambda offset: _ring_moments(*_clip_rows(p, n, normal, offset), "cartesian")[:, 0]
+    at = np.stack([held(height[:, k]) for k in range(height.shape[1])], 1)
+    k = np.minimum((at < area[:, None]).sum(1), height.shape[1] - 1)
+    k = np.maximum(k, 1) if height.shape[1] > 1 else k
+    top, bottom, a0, a1 = height[rows, k - 1], height[rows, k], at[rows, k - 1], at[rows, k]
+    half = held((top + bottom) / 2)
+    two, one, none = 2 * (a1 + a0 - 2 * half), 4 * half - 3 * a0 - a1, a0 - area
+    root = one + np.sqrt(np.maximum(one * one - 4 * two * none, 0.0))
+    t = np.clip(np.divide(-2 * none, root, out=np.zeros_like(root), where=root > 0), 0.0, 1.0)
+    return top + (bottom - top) * t
+
+
 def _convex_rows(p: np.ndarray, n: np.ndarray, tolerance: float) -> np.ndarray:
     at = np.arange(p.shape[1])
     step = lambda k: np.take_along_axis(p, ((at + k) % np.maximum(n[:, None], 1))[:, :, None], 1)

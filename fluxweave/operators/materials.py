@@ -6,13 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import axes
+from ..functions.geometry import axes, polygon_moments
 from ..functions.tolerances import EPS
 from .gradient import gradients
-from .intersect import area_moments, clip, intersect_boxes, intersect_polygons
+from .intersect import _clip_rows, _padded, _ring_moments, intersect_boxes, intersect_polygons, offsets_of_area, ring_column
 
 
 def pure_cells(cells: DataFrame, material: str) -> DataFrame:
@@ -46,18 +47,12 @@ def half_plane_polygons(mesh: DataFrame, cuts: Sequence[tuple[int, Sequence[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, mats, rings = [], [], []
-            for i, ring in zip(batch.column("id").to_pylist(), batch.column("ring").to_pylist(), strict=True):
-                p = np.array([[v["x"], v["y"]] for v in ring])
-                for mat, planes in cuts:
-                    q = p
-                    for a, b, c in planes:
-                        q = clip(q, np.array([a, b]), c)
-                    if len(q) >= 3 and area_moments(q)[0] > EPS:
-                        ids.append(i)
-                        mats.append(mat)
-                        rings.append([{"x": x, "y": y} for x, y in q.tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(mats, pa.int32()), pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], ["id", "mat", "ring"])
+            whole = _padded(batch.column("ring"))
+            for mat, planes in cuts:
+                p, n = whole
+                for a, b, c in planes:
+                    p, n = _clip_rows(p, n, np.tile([float(a), float(b)], (len(n), 1)), np.full(len(n), float(c)))
+                yield _pieces(batch.column("id"), np.full(len(n), mat), p, n)
 
     return mesh.select("id", "ring").mapInArrow(run, "id long, mat int, ring array<struct<x:double,y:double>>")
 
@@ -78,37 +73,43 @@ def reconstruct(mesh: DataFrame, fractions: DataFrame, adjacency: DataFrame) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, mats_, rings = [], [], []
-            for i, parts, ring in zip(*(batch.column(c).to_pylist() for c in ("id", "parts", "ring")), strict=True):
-                left = np.array([[v["x"], v["y"]] for v in ring])
-                whole = area_moments(left)[0]
-                for k, m in enumerate(parts):
-                    if k == len(parts) - 1:
-                        own, left = left, left[:0]
-                    else:
-                        own, left = _cut(left, np.array([m["gx"], m["gy"]]), m["volfrac"] * whole)
-                    if len(own) >= 3:
-                        ids.append(i)
-                        mats_.append(m["mat"])
-                        rings.append([{"x": x, "y": y} for x, y in own.tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(mats_, pa.int32()), pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], ["id", "mat", "ring"])
+            p, n = _padded(batch.column("ring"))
+            size, flat = pc.list_value_length(batch.column("parts")).to_numpy(zero_copy_only=False).astype(np.int64), batch.column("parts").flatten()
+            start, whole = np.cumsum(size) - size, _ring_moments(p, n, "cartesian")[:, 0]
+            mat, frac, gx, gy = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("mat", "volfrac", "gx", "gy"))
+            for k in range(int(size.max(initial=0))):
+                live = np.flatnonzero(size > k)
+                at, last = start[live] + k, size[live] == k + 1
+                own, m = p[live], n[live]
+                cut = np.flatnonzero(~last)
+                if len(cut):
+                    normal = np.stack([gx[at[cut]], gy[at[cut]]], 1)
+                    length = np.linalg.norm(normal, axis=1)
+                    normal = np.where((length > 1e-14)[:, None], normal / np.maximum(length, 1e-300)[:, None], [1.0, 0.0])
+                    q, c = own[cut], m[cut]
+                    offset = offsets_of_area(q, c, normal, frac[at[cut]] * whole[live[cut]])
+                    p, (rest, left) = p.copy(), _clip_rows(q, c, -normal, -offset)
+                    q, c = _clip_rows(q, c, normal, offset)
+                    own, m = _put(own, m, cut, q, c)
+                    p, n = _put(p, n, live[cut], rest, left)
+                yield _pieces(batch.column("id").take(pa.array(live)), mat[at], own, m)
 
     return grouped.mapInArrow(run, "id long, mat int, ring array<struct<x:double,y:double>>")
 
 
-def _cut(p: np.ndarray, normal: np.ndarray, area: float) -> tuple[np.ndarray, np.ndarray]:
-    """A ring in two: the part of the given area towards the normal, and the rest."""
-    size = np.linalg.norm(normal)
-    normal = normal / size if size > 1e-14 else np.array([1.0, 0.0])
-    lo, hi = float((p @ normal).min()), float((p @ normal).max())
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        got = clip(p, normal, mid)
-        if len(got) >= 3 and area_moments(got)[0] > area:
-            lo = mid
-        else:
-            hi = mid
-    return clip(p, normal, (lo + hi) / 2), clip(p, -normal, -(lo + hi) / 2)
+def _put(p: np.ndarray, n: np.ndarray, at: np.ndarray, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Padded rings with those at ``at`` replaced."""
+    width = max(p.shape[1], q.shape[1])
+    wide = lambda r: np.concatenate([r, np.repeat(r[:, :1], width - r.shape[1], 1)], 1) if r.shape[1] < width else r
+    p, n = wide(p).copy(), n.copy()
+    p[at], n[at] = wide(q), c
+    return p, n
+
+
+def _pieces(ids: pa.Array, mat: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(id, mat, ring) of the rings that hold an area."""
+    some = np.flatnonzero((n >= 3) & (_ring_moments(p, n, "cartesian")[:, 0] > EPS))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(mat[some].astype(np.int32)), ring_column(p[some], n[some])], ["id", "mat", "ring"])
 
 
 def material_weights(target: DataFrame, pieces: DataFrame, dim: int = 2) -> DataFrame:
@@ -149,3 +150,16 @@ def remap_materials(weights: DataFrame, values: DataFrame, target: DataFrame, fi
         out.append((F.sum(v * F.col("m0")) / F.sum("m0")).alias(f))
     got = met.groupBy(F.col("tgt_id").alias("id"), "mat").agg(*out)
     return material_cells(weights, target, dim, min_volume).join(got, ["id", "mat"])
+
+
+def piece_centroids(pieces: DataFrame) -> DataFrame:
+    """(id, mat, volume, cx, cy) of ring pieces; a material may have several in a cell."""
+    each = pieces.withColumn("_m", polygon_moments(F.col("ring"))).groupBy("id", "mat").agg(*[F.sum(f"_m.{c}").alias(f"_{c}") for c in ("m0", "m1x", "m1y")])
+    return each.where("_m0 > 0").select("id", "mat", F.col("_m0").alias("volume"), (F.col("_m1x") / F.col("_m0")).alias("cx"), (F.col("_m1y") / F.col("_m0")).alias("cy"))
+
+
+def material_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, mat, change) where a cell gained (``added``) or lost (``removed``) a material."""
+    a, b = before.select("id", "mat", F.lit(True).alias("_a")), after.select("id", "mat", F.lit(True).alias("_b"))
+    met = a.join(b, ["id", "mat"], "full").where("_a is null or _b is null")
+    return met.select("id", "mat", F.when(F.col("_a").isNull(), "added").otherwise("removed").alias("change"))
