@@ -178,10 +178,7 @@ def intersect_polygons(spark, sf_dir):
 )
 def intersect_polyhedra(spark, sf_dir):
     def solid(n):
-        m = meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [n, n, n])
-        p = F.array(*[F.struct(F.col("x" + a).alias("x"), F.col("y" + b).alias("y"), F.col("z" + c).alias("z")) for c in ("lo", "hi") for b in ("lo", "hi") for a in ("lo", "hi")])
-        facets = F.array(*[F.array(*[F.lit(k) for k in f]) for f in intersect.BOX_FACETS])
-        return m.withColumns({"points": p, "facets": facets})
+        return meshes.box_solids(meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [n, n, n]))
 
     return _shown(intersect.intersect_polyhedral_meshes(solid(3), solid(4)))
 
@@ -329,6 +326,48 @@ def remap_nodes_order2(spark, sf_dir):
     return _shifted(remap(s, meshes.node_mesh(spark, [0, 0], [1, 1], [M, M]), ["f"], 2, ref="p", source_adjacency=meshes.box_adjacency(s, [N + 1, N + 1]), options=o), "f", digits=6)
 
 
+_MAP = [[1.0, 0.3, 0.0], [0.0, 1.0, 0.2], [0.1, 0.0, 1.0]]
+
+
+def _blocks_sql() -> str:
+    at = lambda c, k: f"least(floor({c} * {k}), {k} - 1)"
+    grid = lambda t, k: f"{t} AS (SELECT id, id % k AS ix, id // k % k AS iy, id // (k * k) AS iz, 1.0::DOUBLE / k AS h, k FROM (SELECT {k} AS k, unnest(range({k} * {k} * {k})) AS id FROM z))"
+    d = {a: f"(n.i{a} - c.i{a}) * c.h" for a in "xyz"}
+    sums = ", ".join([f"sum({d[a]} * {d[b]}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")] + [f"sum({d[a]} * (n.v - c.v)) AS b{a}" for a in "xz"] + [f"sum({d['y']} * (n.v - c.v)) AS b_y"])
+    top = {"x": "bx * c0 + b_y * c1 + bz * c2", "y": "bx * c1 + b_y * c3 + bz * c4", "z": "bx * c2 + b_y * c4 + bz * c5"}
+    slope = lambda u, v, w: f"(gx * {u} + gy * {v} + gz * {w}) * h / 2"
+    each = [slope(u, v, w) for u in (-1, 1) for v in (-1, 1) for w in (-1, 1)]
+    phi = ", ".join(f"CASE WHEN {e} = 0 THEN 1.0 WHEN {e} > 0 THEN (hi - v) / ({e}) ELSE (lo - v) / ({e}) END" for e in each)
+    lo, hi = (lambda a: f"greatest(t.i{a} * t.h, s.i{a} * s.h)"), (lambda a: f"least((t.i{a} + 1) * t.h, (s.i{a} + 1) * s.h)")
+    meet = " AND ".join(f"t.i{a} * s.k < (s.i{a} + 1) * t.k AND s.i{a} * t.k < (t.i{a} + 1) * s.k" for a in "xyz")
+    return f"""z AS (SELECT greatest(3, floor(pow(count(*) / 256.0, 1 / 3.0::DOUBLE)))::BIGINT AS n, greatest(2, floor(pow(count(*) / 256.0, 1 / 3.0::DOUBLE) * 0.75::DOUBLE))::BIGINT AS m FROM lineitem),
+    {grid('s0', 'n')}, {grid('t', 'm')},
+    sv AS (SELECT ({at('(l_quantity - 1) / 49', 'n')} + {at('l_discount / 0.1::DOUBLE', 'n')} * n + {at('l_tax / 0.08::DOUBLE', 'n')} * n * n)::BIGINT AS id, floor(avg(l_extendedprice))::DOUBLE AS v FROM lineitem, z GROUP BY 1),
+    s AS (SELECT s0.*, coalesce(v, 0.0) AS v, least(ix, iy, iz) = 0 OR greatest(ix, iy, iz) = k - 1 AS edge FROM s0 LEFT JOIN sv USING (id)),
+    gs AS (SELECT c.id, {sums}, least(min(n.v), min(c.v)) AS lo, greatest(max(n.v), max(c.v)) AS hi FROM s c JOIN s n ON abs(n.ix - c.ix) <= 1 AND abs(n.iy - c.iy) <= 1 AND abs(n.iz - c.iz) <= 1 AND n.id <> c.id GROUP BY c.id),
+    cf AS (SELECT id, lo, hi, bx, b_y, bz, xx, xy, xz, yy * zz - yz * yz AS c0, xz * yz - xy * zz AS c1, xy * yz - xz * yy AS c2, xx * zz - xz * xz AS c3, xy * xz - xx * yz AS c4, xx * yy - xy * xy AS c5 FROM gs),
+    gr AS (SELECT id, lo, hi, {', '.join(f'({top[a]}) / (xx * c0 + xy * c1 + xz * c2) AS g{a}' for a in 'xyz')} FROM cf),
+    g AS (SELECT s.*, gx, gy, gz, CASE WHEN edge THEN 1.0 ELSE least(1.0, {phi}) END AS phi FROM s JOIN gr USING (id)),
+    w AS (SELECT t.id, s.v, s.phi * (gx * (ox - (s.ix + 0.5) * s.h) + gy * (oy - (s.iy + 0.5) * s.h) + gz * (oz - (s.iz + 0.5) * s.h)) AS more, m0, ox, oy, oz FROM (
+      SELECT t.id, s.id AS src, {' * '.join(f'({hi(a)} - {lo(a)})' for a in 'xyz')} AS m0, {', '.join(f'({hi(a)} + {lo(a)}) / 2 AS o{a}' for a in 'xyz')} FROM t JOIN s ON {meet}) t JOIN g s ON s.id = src)"""
+
+
+@query(f"""WITH {_blocks_sql()} SELECT id, count(*) AS n, {q.shifted('sum(m0 * v) / sum(m0)', 3)} AS price, {q.shifted('sum(m0 * (v + more)) / sum(m0)', 3)} AS limited, {q.shifted('sum(m0 * (ox + 0.3::DOUBLE * oy)) / sum(m0)', 8)} AS cx FROM w GROUP BY id""")
+def remap_polyhedra(spark, sf_dir):
+    """Polyhedra that no axis is parallel to, first and second order: the cells of lineitem's cube under a linear map, which
+    leaves shares of volume and limited lines as they are."""
+    rows = tables.table(spark, sf_dir, "lineitem").count()
+    n, m = max(3, math.floor(math.pow(rows / 256, 1 / 3))), max(2, math.floor(math.pow(rows / 256, 1 / 3) * 0.75))
+    boxes = materialize(tables.lineitem_blocks(spark, sf_dir, n))
+    s = materialize(meshes.mapped_solids(meshes.box_solids(boxes), _MAP))
+    t = meshes.mapped_solids(meshes.box_solids(meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [m, m, m])), _MAP)
+    r = Remapper(s, t, 3, source_adjacency=meshes.box_adjacency(boxes, [n, n, n]), options=Options(check_mismatch=False))
+    first, second = r.interpolate(["price"], Options(order=1, check_mismatch=False)), r.interpolate({"price": "limited"})
+    w = r.weights().where("m0 > 1e-14").groupBy(F.col("tgt_id").alias("id")).agg(F.count("*").alias("n"), (F.sum("m1x") / F.sum("m0")).alias("cx"))
+    both = first.join(second, "id").join(w, "id")
+    return _shifted(both, "price", "limited", digits=3, keys=("id", "n", "cx")).withColumn("cx", F.round(F.col("cx") + 3e-9, 8))
+
+
 def _polygons(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
     """(nodes, polygon mesh) of source and target: one source cell for each 256 rows of lineitem."""
     rows = tables.table(spark, sf_dir, "lineitem").count()

@@ -72,7 +72,8 @@ def gradients(cells: DataFrame, adjacency: DataFrame, fields: Sequence[str], dim
         sums += [F.sum(dx[i] * dv).alias(f"_b{i}_{f}") for i in range(dim)] + [F.min("_n_" + f).alias("_lo_" + f), F.max("_n_" + f).alias("_hi_" + f)]
     keys = ["id", *([material] if material else [])]
     stencil = met.groupBy(*keys).agg(*sums)
-    shape = ["ring"] if "ring" in cells.columns else [a + e for a in axes(dim) for e in ("lo", "hi")]
+    vertices = "points" if dim == 3 else "ring"
+    shape = [vertices] if vertices in cells.columns else [a + e for a in axes(dim) for e in ("lo", "hi")]
     df = cells.select(*keys, *points, *fields, *[c for c in shape if c in cells.columns], *(["is_boundary"] if "is_boundary" in cells.columns else [])).join(stencil, keys, "left")
     a = {(i, j): F.col(f"_a{i}{j}") for i in range(dim) for j in range(i, dim)}
     edge = F.col("is_boundary") if "is_boundary" in cells.columns else F.lit(False)
@@ -85,8 +86,8 @@ def gradients(cells: DataFrame, adjacency: DataFrame, fields: Sequence[str], dim
         def slope(d: Column, f=f, low=low, high=high) -> Column:
             return F.when(d == 0, 1.0).otherwise((F.when(d > 0, high).otherwise(low) - F.col(f)) / F.when(d != 0, d))
 
-        if shape == ["ring"]:
-            phi = F.aggregate("ring", F.lit(1.0), _ring_step(slope, g, points))
+        if shape == [vertices]:
+            phi = F.aggregate(vertices, F.lit(1.0), _vertex_step(slope, g, points, axes(dim)))
         else:
             phi = F.least(F.lit(1.0), *[slope(sum((gi * c for gi, c in zip(g, corner, strict=True)), F.lit(0.0))) for corner in _corners(df, dim, points)])
         limited = F.coalesce(phi, F.lit(1.0))
@@ -97,8 +98,8 @@ def gradients(cells: DataFrame, adjacency: DataFrame, fields: Sequence[str], dim
     return df.select(*keys, *[f"g_{f}_{x}" for f in fields for x in axes(dim)])
 
 
-def _ring_step(slope, g, points):
-    return lambda acc, v: F.least(acc, slope(g[0] * (v["x"] - F.col(points[0])) + g[1] * (v["y"] - F.col(points[1]))))
+def _vertex_step(slope, g, points, names):
+    return lambda acc, v: F.least(acc, slope(sum((gi * (v[a] - F.col(p)) for gi, a, p in zip(g, names, points, strict=True)), F.lit(0.0))))
 
 
 def quadratic_fit(cells: DataFrame, adjacency: DataFrame, field: str, dim: int, *, limiter: str = "nolimiter", ref: str = "c") -> DataFrame:

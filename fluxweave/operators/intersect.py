@@ -1,7 +1,7 @@
 """Per-pair geometry: overlap moments as rows (tgt_id, src_id, m0, m1x[, m1y[, m1z]]), the weights relation.
 
 Boxes are plain column arithmetic.  Convex polygons clip a whole Arrow batch at once, one half-plane after the other;
-other polygons, and polyhedra, are clipped pair by pair.
+other polygons are signed sums of triangles.  Polyhedra are clipped in batches too (see ``polyhedra``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, moments
 from ..functions.tolerances import Tolerances
+from . import polyhedra
 from .search import box_pairs
 
 
@@ -275,129 +276,33 @@ def intersect_polygons(target: DataFrame, source: DataFrame, *, system: str = "c
 # ---- polyhedra ----
 
 
-def tetrahedra(points: np.ndarray, facets: list[list[int]]) -> list[np.ndarray]:
-    """Tetrahedra from the centroid over triangulated facets (facets counter-clockwise from outside)."""
-    middle, out = points.mean(0), []
-    for f in facets:
-        face = points[f]
-        normal = np.cross(face[1] - face[0], face[2] - face[0])
-        if np.abs((face - face[0]) @ normal).max() <= 1e-12 * max(np.linalg.norm(normal), 1e-300) ** 1.5:  # flat: a fan needs no hub
-            out += [np.array([face[0], face[i], face[i + 1], middle]) for i in range(1, len(f) - 1)]
-        else:
-            hub = face.mean(0)
-            out += [np.array([face[i], face[(i + 1) % len(f)], hub, middle]) for i in range(len(f))]
-    return out
-
-
-def polyhedron_moments(points: np.ndarray, facets: list[list[int]]) -> np.ndarray:
-    total = np.zeros(4)
-    for t in tetrahedra(points, facets):
-        v = np.dot(np.cross(t[1] - t[0], t[2] - t[0]), t[0] - t[3]) / 6  # positive where facets point outwards
-        total += np.array([v, *(v * t.mean(0))])
-    return total
-
-
-def _clip_faces(faces: list[np.ndarray], normal: np.ndarray, offset: float, flat: float) -> list[np.ndarray]:
-    """A convex polyhedron given by its faces (rings in space), cut to normal . x >= offset; within ``flat`` is on the plane."""
-    out, cut = [], []
-    for f in faces:
-        d = f @ normal - offset
-        d[np.abs(d) <= flat] = 0.0
-        inside = d >= 0
-        if inside.all():
-            out.append(f)
-            continue
-        if not inside.any():
-            continue
-        ring = []
-        for i in range(len(f)):
-            j = (i + 1) % len(f)
-            if inside[i]:
-                ring.append(f[i])
-            if inside[i] != inside[j]:
-                p = f[i] + (f[j] - f[i]) * (d[i] / (d[i] - d[j]))
-                ring.append(p)
-                cut.append(p)
-        if len(ring) >= 3:
-            out.append(np.array(ring))
-    if len(cut) >= 3 and out:
-        p = np.array(cut)
-        middle = p.mean(0)
-        u = p[np.argmax(np.linalg.norm(p - middle, axis=1))] - middle
-        v = np.cross(normal, u)
-        angle = np.arctan2((p - middle) @ v / max(np.linalg.norm(v), 1e-300), (p - middle) @ u / max(np.linalg.norm(u), 1e-300))
-        out.append(p[np.argsort(-angle)])
-    return out
-
-
-def _faces_moments(faces: list[np.ndarray]) -> np.ndarray:
-    if not faces:
-        return np.zeros(4)
-    middle, total = np.concatenate(faces).mean(0), np.zeros(4)
-    for f in faces:
-        for i in range(1, len(f) - 1):
-            t = np.array([f[0], f[i], f[i + 1], middle])
-            v = abs(np.dot(np.cross(t[1] - t[0], t[2] - t[0]), t[3] - t[0])) / 6
-            total += np.array([v, *(v * t.mean(0))])
-    return total
-
-
-def _tet_faces(t: np.ndarray) -> list[np.ndarray]:
-    return [t[[0, 1, 2]], t[[0, 1, 3]], t[[1, 2, 3]], t[[0, 2, 3]]]
-
-
-def intersect_polyhedra(source: tuple[np.ndarray, list[list[int]]], target: tuple[np.ndarray, list[list[int]]]) -> np.ndarray:
-    """[m0, m1x, m1y, m1z] of the overlap: the tetrahedra of both, cut against each other."""
-    total, tolerance = np.zeros(4), Tolerances.min_absolute_distance(3)
-    own = tetrahedra(*source)
-    for t in tetrahedra(*target):
-        middle, planes = t.mean(0), []
-        for f in _tet_faces(t):
-            n = np.cross(f[1] - f[0], f[2] - f[0])
-            size = np.linalg.norm(n)
-            if size == 0:
-                continue
-            n = n / (size if n @ (middle - f[0]) >= 0 else -size)
-            planes.append((n, float(n @ f[0])))
-        lo, hi = t.min(0), t.max(0)
-        flat = 1e-12 * float((hi - lo).max())
-        for s in own:
-            if (s.max(0) < lo + tolerance).any() or (s.min(0) > hi - tolerance).any():
-                continue
-            faces = _tet_faces(s)
-            for n, o in planes:
-                faces = _clip_faces(faces, n, o, flat)
-                if not faces:
-                    break
-            total += _faces_moments(faces)
-    return total
-
-
 #: Corner order and outward facets of a box cell (fixed by the x-fastest corner numbering).
 BOX_FACETS = [[0, 2, 3, 1], [4, 5, 7, 6], [0, 1, 5, 4], [2, 6, 7, 3], [0, 4, 6, 2], [1, 3, 7, 5]]
 
 
-def intersect_polyhedral_meshes(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Weights of 3-D meshes with ``points`` array<struct<x,y,z>> and ``facets`` array<array<int>>."""
-    met = box_pairs(target, source, 3, closed=False, keep_target=["points", "facets"], keep_source=["points", "facets"])
-
-    def solid(points, facets):
-        return np.array([[p["x"], p["y"], p["z"]] for p in points]), facets
+def intersect_polyhedral_meshes(target: DataFrame, source: DataFrame, *, equal: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Weights of 3-D meshes with ``points`` array<struct<x,y,z>> and ``facets`` array<array<int>> (counter-clockwise from
+    outside); ``carry`` keeps source columns such as a material."""
+    met = box_pairs(target, source, 3, closed=False, equal=equal, keep_target=["points", "facets", *equal], keep_source=["points", "facets", *carry])
+    met = met.select("tgt_id", "src_id", *[F.col("t_" + c).alias(c) for c in equal], *[F.col("s_" + c).alias(c) for c in carry], "t_points", "t_facets", "s_points", "s_facets")
+    names = [c for c in met.columns if not c.endswith(("_points", "_facets"))]
+    schema = ", ".join([f"{c} {met.schema[c].dataType.simpleString()}" for c in names] + ["m0 double", "m1x double", "m1y double", "m1z double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            m = np.array([intersect_polyhedra(solid(r["s_points"], r["s_facets"]), solid(r["t_points"], r["t_facets"])) for r in rows]).reshape(-1, 4)
-            out = pa.RecordBatch.from_arrays([batch.column("tgt_id"), batch.column("src_id"), *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(4))], ["tgt_id", "src_id", "m0", "m1x", "m1y", "m1z"])
-            yield out.filter(pa.array(m[:, 0] > 0))
+            for at in range(0, batch.num_rows, polyhedra.PAIRS):
+                part = batch.slice(at, polyhedra.PAIRS)
+                m = polyhedra.overlaps(polyhedra.load(part.column("s_points"), part.column("s_facets")), polyhedra.load(part.column("t_points"), part.column("t_facets")))
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(4))], [*names, "m0", "m1x", "m1y", "m1z"])
+                yield out.filter(pa.array(m[:, 0] > 0))
 
-    return met.mapInArrow(run, "tgt_id long, src_id long, m0 double, m1x double, m1y double, m1z double")
+    return met.mapInArrow(run, schema)
 
 
 def intersect(target: DataFrame, source: DataFrame, dim: int, **options) -> DataFrame:
     """Weights of any mesh: polyhedra or polygons where such columns exist, else boxes."""
     if dim == 3 and "points" in target.columns:
-        return intersect_polyhedral_meshes(target, source)
+        return intersect_polyhedral_meshes(target, source, **options)
     if dim == 2 and "ring" in target.columns and "ring" in source.columns:
         return intersect_polygons(target, source, **options)
     return intersect_boxes(target, source, dim, **options)

@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import polygon_moments
 from ..functions.tolerances import EPS
-from .intersect import polyhedron_moments
+from . import polyhedra
 
 
 def edges_of_rings(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -62,6 +63,23 @@ def _axis(a: str):
     return lambda p: p[a]
 
 
+def _between(before: pa.Array, after: pa.Array) -> polyhedra.Solids:
+    """The bodies between two rings each: both rings and a side for each of their edges."""
+    n = pc.list_value_length(before).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows, most = len(n), int(n.max(initial=3))
+    k, start = np.arange(most), np.cumsum(n) - n
+    padded = lambda c, at: c.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)[start[:, None] + np.where(k < n[:, None], at, 0)]
+    back = np.maximum(n[:, None] - 1 - k, 0)
+    after_k = np.where(k + 1 < n[:, None], k + 1, 0)
+    p, q = padded(before, k), padded(after, k)
+    faces, size = np.zeros((rows, 2 + most, max(most, 4), 3)), np.zeros((rows, 2 + most), np.int64)
+    faces[:, 0, :most], faces[:, 1, :most], size[:, :2] = padded(before, back), q, n[:, None]
+    size[:, 2:] = np.where(k < n[:, None], 4, 0)
+    for v, ring in enumerate((p, np.take_along_axis(p, after_k[:, :, None], 1), np.take_along_axis(q, after_k[:, :, None], 1), q)):
+        faces[:, 2:, v] = ring
+    return polyhedra.Solids(np.where((np.arange(faces.shape[2]) < size[:, :, None])[..., None], faces, faces[:, :, :1]), size)
+
+
 def swept_weights_3d(cells: DataFrame, faces: DataFrame, *, min_volume: float = EPS, check: bool = False) -> DataFrame:
     """cells: id, m0, m1x, m1y, m1z; faces: id, nbr, before, after (outward counter-clockwise rings of [x, y, z]).
 
@@ -70,22 +88,13 @@ def swept_weights_3d(cells: DataFrame, faces: DataFrame, *, min_volume: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            tgt, src, out = [], [], []
-            for r in rows:
-                n = len(r["before"])
-                points = np.array(r["before"] + r["after"])
-                facets = [list(range(n))[::-1], list(range(n, 2 * n)), *[[i, (i + 1) % n, n + (i + 1) % n, n + i] for i in range(n)]]
-                m = polyhedron_moments(points, facets)
-                if abs(m[0]) < min_volume:
-                    continue
-                if check and abs(m[0]) > 1.5 * r["vol"]:
-                    raise ValueError(f"the displacement of cell {r['id']} is too large")
-                tgt.append(r["id"])
-                src.append(r["nbr"] if m[0] > 0 else r["id"])
-                out.append(m)
-            m = np.array(out).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(tgt, pa.int64()), pa.array(src, pa.int64()), *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(4))], ["tgt_id", "src_id", "m0", "m1x", "m1y", "m1z"])
+            m = polyhedra.body_moments(_between(batch.column("before"), batch.column("after")))
+            id_, vol = batch.column("id"), batch.column("vol").to_numpy(zero_copy_only=False)
+            if check and (far := np.flatnonzero(np.abs(m[:, 0]) > 1.5 * vol)).size:
+                raise ValueError(f"the displacement of cell {id_[int(far[0])].as_py()} is too large")
+            src = pc.if_else(pa.array(m[:, 0] > 0), batch.column("nbr"), id_)
+            out = pa.RecordBatch.from_arrays([id_, src, *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(4))], ["tgt_id", "src_id", "m0", "m1x", "m1y", "m1z"])
+            yield out.filter(pa.array(np.abs(m[:, 0]) >= min_volume))
 
     moved = faces.where("nbr is not null").join(cells.select("id", F.col("m0").alias("vol")), "id")
     rows = moved.mapInArrow(run, "tgt_id long, src_id long, m0 double, m1x double, m1y double, m1z double")

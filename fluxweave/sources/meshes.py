@@ -103,6 +103,27 @@ def box_rings(mesh: DataFrame) -> DataFrame:
     return mesh.withColumn("ring", F.array(corner("xlo", "ylo"), corner("xhi", "ylo"), corner("xhi", "yhi"), corner("xlo", "yhi")))
 
 
+def box_solids(mesh: DataFrame) -> DataFrame:
+    """3-D boxes with their ``points`` (x fastest) and outward ``facets``."""
+    from ..operators.intersect import BOX_FACETS
+
+    corner = lambda a, b, c: F.struct(F.col("x" + a).alias("x"), F.col("y" + b).alias("y"), F.col("z" + c).alias("z"))
+    points = F.array(*[corner(a, b, c) for c in ("lo", "hi") for b in ("lo", "hi") for a in ("lo", "hi")])
+    return mesh.withColumns({"points": points, "facets": F.array(*[F.array(*[F.lit(k) for k in f]) for f in BOX_FACETS])})
+
+
+def mapped_solids(mesh: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:
+    """Polyhedra under a linear map: points, bounds, volume and centroid follow it."""
+    row = lambda k, of: sum((F.lit(float(m)) * of(a) for m, a in zip(matrix[k], AXES, strict=True)), F.lit(0.0))
+    points = F.transform("points", lambda p: F.struct(*[row(k, lambda a: p[a]).alias(x) for k, x in enumerate(AXES)]))
+    a, b, c = matrix
+    det = a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    centroid = {"c" + x: row(k, lambda s: F.col("c" + s)) for k, x in enumerate(AXES)}
+    out = mesh.withColumns({"points": points, "vol": F.col("vol") * abs(det), **centroid})
+    of = lambda x: F.transform("points", lambda p: p[x])
+    return out.withColumns({x + e: f(of(x)) for x in AXES for e, f in (("lo", F.array_min), ("hi", F.array_max))})
+
+
 def polygon_mesh(cells: DataFrame) -> DataFrame:
     """id and ring (counter-clockwise array<struct<x, y>>) with box bounds, volume and centroid."""
     from ..functions.geometry import polygon_moments

@@ -27,6 +27,14 @@ def lineitem_grid(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return box_mesh(spark, [0, 0], [1, 1], [n, n]).join(sums, "id", "left").fillna(0.0, subset=["qty", "price"])
 
 
+def lineitem_blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Unit cube of n^3 cells over quantity, discount and tax [0, 0.08], with the whole mean price."""
+    at = lambda c: F.least(F.floor(c * n), F.lit(n - 1))
+    cell = at((F.col("l_quantity") - 1) / 49) + at(F.col("l_discount") / 0.1) * n + at(F.col("l_tax") / 0.08) * n * n
+    sums = table(spark, sf_dir, "lineitem").groupBy(cell.cast("long").alias("id")).agg(F.floor(F.avg("l_extendedprice")).cast("double").alias("price"))
+    return box_mesh(spark, [0, 0, 0], [1, 1, 1], [n, n, n]).join(sums, "id", "left").fillna(0.0, subset=["price"])
+
+
 def lineitem_polygons(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
     """A polygon mesh of the unit square from lineitem: nodes (id, x, y, v) and cells (id, nodes).
 
