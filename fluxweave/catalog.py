@@ -368,6 +368,29 @@ def remap_polyhedra(spark, sf_dir):
     return _shifted(both, "price", "limited", digits=3, keys=("id", "n", "cx")).withColumn("cx", F.round(F.col("cx") + 3e-9, 8))
 
 
+@query(f"""WITH {_blocks_sql()}, cuts AS (SELECT 1 AS mat, 0.0 AS a0, 0.40625 AS a1, 0.0 AS b0, 1.0 AS b1 UNION ALL SELECT 2, 0.40625, 1.0, 0.59375, 1.0 UNION ALL SELECT 3, 0.40625, 1.0, 0.0, 0.59375),
+    p AS (SELECT s.*, mat, greatest(ix * h, a0) AS px0, least((ix + 1) * h, a1) AS px1, greatest(iz * h, b0) AS pz0, least((iz + 1) * h, b1) AS pz1 FROM s, cuts WHERE greatest(ix * h, a0) < least((ix + 1) * h, a1) AND greatest(iz * h, b0) < least((iz + 1) * h, b1)),
+    o AS (SELECT t.id, t.h AS th, p.mat, p.v + 1000 * p.mat AS f, (least((t.ix + 1) * t.h, px1) - greatest(t.ix * t.h, px0)) * (least((t.iy + 1) * t.h, (p.iy + 1) * p.h) - greatest(t.iy * t.h, p.iy * p.h)) * (least((t.iz + 1) * t.h, pz1) - greatest(t.iz * t.h, pz0)) AS m0
+      FROM t JOIN p ON greatest(t.ix * t.h, px0) < least((t.ix + 1) * t.h, px1) AND t.iy * p.k < (p.iy + 1) * t.k AND p.iy * t.k < (t.iy + 1) * p.k AND greatest(t.iz * t.h, pz0) < least((t.iz + 1) * t.h, pz1))
+    SELECT id, mat, {q.shifted('sum(m0) / any_value(th * th * th)', 8)} AS volfrac, {q.shifted('sum(m0 * f) / sum(m0)', 3)} AS value FROM o GROUP BY id, mat HAVING sum(m0) > 1e-14""")
+def remap_multimaterial_3d(spark, sf_dir):
+    """Three materials with plane borders in slanted cells: polyhedral pieces onto another such mesh."""
+    rows = tables.table(spark, sf_dir, "lineitem").count()
+    n, m = max(3, math.floor(math.pow(rows / 256, 1 / 3))), max(2, math.floor(math.pow(rows / 256, 1 / 3) * 0.75))
+    boxes = materialize(tables.lineitem_blocks(spark, sf_dir, n))
+    s = materialize(meshes.mapped_solids(meshes.box_solids(boxes), _MAP))
+    t = materialize(meshes.mapped_solids(meshes.box_solids(meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [m, m, m])), _MAP))
+    det = 1.006  # of _MAP; the rows of its inverse are the normals of x = a and z = b
+    x, z = [1 / det, -0.3 / det, 0.06 / det], [-0.1 / det, 0.03 / det, 1 / det]
+    back = lambda v: [-c for c in v]
+    a, b = 0.40625, 0.59375
+    pieces = materialize(materials.half_space_polyhedra(s, [(1, [(*back(x), -a)]), (2, [(*x, a), (*z, b)]), (3, [(*x, a), (*back(z), -b)])]))
+    held = materials.piece_centroids(pieces).join(s.select("id", "vol", "price"), "id").select("id", "mat", (F.col("volume") / F.col("vol")).alias("volfrac"), (F.col("price") + 1000 * F.col("mat")).alias("f"))
+    r = MultiRemapper(Side(s, meshes.box_adjacency(boxes, [n, n, n])), Side(t), 3, material=held, pieces=pieces, options=Options(order=1, check_mismatch=False))
+    got = r.interpolate(material=["f"])["material"].where("volfrac > 1e-12").withColumnRenamed("f", "value")
+    return _shifted(got, "value", digits=3, keys=("id", "mat", "volfrac")).withColumn("volfrac", F.round(F.col("volfrac") + 3e-9, 8))
+
+
 def _polygons(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
     """(nodes, polygon mesh) of source and target: one source cell for each 256 rows of lineitem."""
     rows = tables.table(spark, sf_dir, "lineitem").count()
@@ -564,6 +587,20 @@ def interface_reconstruction(spark, sf_dir):
     return _shifted(pieces.withColumn("area", intersect_area(F.col("ring"))), "area", digits=9, keys=("id", "mat"))
 
 
+@query(f"""WITH z AS (SELECT greatest(3, floor(pow(count(*) / 256.0, 1 / 3.0::DOUBLE)))::BIGINT AS n FROM lineitem),
+    e AS (SELECT (least(floor((l_quantity - 1) / 49 * n), n - 1) + least(floor(l_discount / 0.1::DOUBLE * n), n - 1) * n + least(floor(l_tax / 0.08::DOUBLE * n), n - 1) * n * n)::BIGINT AS id,
+      CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END::INTEGER AS mat, count(*) AS k FROM lineitem, z GROUP BY 1, 2), w AS (SELECT id, sum(k) AS t FROM e GROUP BY id)
+    SELECT id, mat, {q.shifted('k / (t * (n * n * n)::DOUBLE) * 1.006::DOUBLE', 9)} AS volume FROM e JOIN w USING (id), z""")
+def interface_reconstruction_3d(spark, sf_dir):
+    """Volumes of the polyhedra that interfaces cut out of slanted cells."""
+    rows = tables.table(spark, sf_dir, "lineitem").count()
+    n = max(3, math.floor(math.pow(rows / 256, 1 / 3)))
+    boxes = tables.lineitem_blocks(spark, sf_dir, n)
+    s = materialize(meshes.mapped_solids(meshes.box_solids(boxes), _MAP))
+    pieces = materials.reconstruct_solids(s, tables.material_blocks(spark, sf_dir, n), meshes.box_adjacency(boxes, [n, n, n]))
+    return _shifted(materials.piece_centroids(pieces), "volume", digits=9, keys=("id", "mat"))
+
+
 NM, MM = 32, 24
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, polygon_moments
 from ..functions.tolerances import EPS
+from . import polyhedra
 from .gradient import gradients
-from .intersect import _clip_rows, _padded, _ring_moments, intersect_boxes, intersect_polygons, offsets_of_area, ring_column
+from .intersect import _clip_rows, _padded, _ring_moments, intersect_boxes, intersect_polygons, intersect_polyhedral_meshes, offsets_of_area, ring_column
 
 
 def pure_cells(cells: DataFrame, material: str) -> DataFrame:
@@ -42,6 +43,38 @@ LAYOUTS = {
 }
 
 
+_SOLID = "id long, mat int, points array<struct<x:double,y:double,z:double>>, facets array<array<int>>"
+
+
+def half_space_polyhedra(mesh: DataFrame, cuts: Sequence[tuple[int, Sequence[tuple[float, float, float, float]]]]) -> DataFrame:
+    """(id, mat, points, facets) exactly, of convex cells: a material is where a x + b y + c z >= d for all its (a, b, c, d)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = _convex_cells(batch)
+            for mat, spaces in cuts:
+                body = whole
+                for a, b, c, d in spaces:
+                    length = float(np.sqrt(a * a + b * b + c * c))
+                    body = polyhedra.cut(body, np.tile([-a / length, -b / length, -c / length], (batch.num_rows, 1)), np.full(batch.num_rows, -d / length))
+                yield _solid_pieces(batch.column("id"), np.full(batch.num_rows, mat), body)
+
+    return mesh.select("id", "points", "facets").mapInArrow(run, _SOLID)
+
+
+def _convex_cells(batch: pa.RecordBatch) -> polyhedra.Solids:
+    whole = polyhedra.load(batch.column("points"), batch.column("facets"))
+    if (bent := np.flatnonzero(~polyhedra.convex(whole))).size:
+        raise ValueError(f"cell {batch.column('id')[int(bent[0])].as_py()} is not convex with flat faces: cut it into such cells first")
+    return whole
+
+
+def _solid_pieces(ids: pa.Array, mat: np.ndarray, body: polyhedra.Solids) -> pa.RecordBatch:
+    some = np.flatnonzero(polyhedra.moments(body.faces, body.faces[:, 0, 0])[:, 0] > EPS)
+    points, facets = polyhedra.column(body.take(some))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(mat[some].astype(np.int32)), points, facets], ["id", "mat", "points", "facets"])
+
+
 def half_plane_polygons(mesh: DataFrame, cuts: Sequence[tuple[int, Sequence[tuple[float, float, float]]]]) -> DataFrame:
     """(id, mat, ring) exactly: a material is where a x + b y >= c for all its (a, b, c)."""
 
@@ -57,19 +90,24 @@ def half_plane_polygons(mesh: DataFrame, cuts: Sequence[tuple[int, Sequence[tupl
     return mesh.select("id", "ring").mapInArrow(run, "id long, mat int, ring array<struct<x:double,y:double>>")
 
 
+def _with_slopes(mesh: DataFrame, fractions: DataFrame, adjacency: DataFrame, dim: int) -> DataFrame:
+    """(id, parts): each cell's materials in order, with their fractions and the gradients of these."""
+    held = fractions.select("id", "mat")  # a cell needs a material's fraction where it or a neighbour holds some of it
+    around = held.unionByName(adjacency.join(held, "id").select(F.col("nbr").alias("id"), "mat")).distinct()
+    cells = mesh.select("id", *["c" + a for a in axes(dim)], *[a + e for a in axes(dim) for e in ("lo", "hi")])
+    dense = cells.join(around, "id").join(fractions.select("id", "mat", "volfrac"), ["id", "mat"], "left").fillna(0.0, subset=["volfrac"])
+    slopes = gradients(dense, adjacency, ["volfrac"], dim, material="mat")
+    rows = fractions.where(F.col("volfrac") > EPS).join(slopes, ["id", "mat"])
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("mat", "volfrac", *[F.col(f"g_volfrac_{a}").alias(f"g{a}") for a in axes(dim)]))).alias("parts"))
+
+
 def reconstruct(mesh: DataFrame, fractions: DataFrame, adjacency: DataFrame) -> DataFrame:
     """(id, mat, ring) by piecewise-linear interfaces from volume fractions (2-D).
 
     In each mixed cell materials are cut off one after the other, in order of their id, by a line whose normal is the
     least-squares gradient of the material's fraction and whose offset gives the right area.
     """
-    held = fractions.select("id", "mat")  # a cell needs a material's fraction where it or a neighbour holds some of it
-    around = held.unionByName(adjacency.join(held, "id").select(F.col("nbr").alias("id"), "mat")).distinct()
-    cells = mesh.select("id", "cx", "cy", *[a + e for a in "xy" for e in ("lo", "hi")])
-    dense = cells.join(around, "id").join(fractions.select("id", "mat", "volfrac"), ["id", "mat"], "left").fillna(0.0, subset=["volfrac"])
-    slopes = gradients(dense, adjacency, ["volfrac"], 2, material="mat")
-    rows = fractions.where(F.col("volfrac") > EPS).join(slopes, ["id", "mat"])
-    grouped = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("mat", "volfrac", F.col("g_volfrac_x").alias("gx"), F.col("g_volfrac_y").alias("gy")))).alias("parts")).join(mesh.select("id", "ring"), "id")
+    grouped = _with_slopes(mesh, fractions, adjacency, 2).join(mesh.select("id", "ring"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,6 +135,34 @@ def reconstruct(mesh: DataFrame, fractions: DataFrame, adjacency: DataFrame) ->
     return grouped.mapInArrow(run, "id long, mat int, ring array<struct<x:double,y:double>>")
 
 
+def reconstruct_solids(mesh: DataFrame, fractions: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """(id, mat, points, facets) by planar interfaces from volume fractions in convex 3-D cells: the same order and normals as
+    in the plane, and the offset that gives the right volume."""
+    grouped = _with_slopes(mesh, fractions, adjacency, 3).join(mesh.select("id", "points", "facets"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = _convex_cells(batch)
+            size, flat = pc.list_value_length(batch.column("parts")).to_numpy(zero_copy_only=False).astype(np.int64), batch.column("parts").flatten()
+            start, whole, live = np.cumsum(size) - size, polyhedra.moments(rest.faces, rest.faces[:, 0, 0])[:, 0], np.arange(batch.num_rows)
+            mat, frac, *g = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("mat", "volfrac", "gx", "gy", "gz"))
+            for k in range(int(size.max(initial=0))):
+                last = size[live] == k + 1
+                yield _solid_pieces(batch.column("id").take(pa.array(live[last])), mat[start[live[last]] + k], rest.take(np.flatnonzero(last)))
+                rest, live = rest.take(np.flatnonzero(~last)), live[~last]
+                if not len(live):
+                    break
+                at = start[live] + k
+                normal = -np.stack([x[at] for x in g], 1)  # the material lies up its gradient
+                length = np.linalg.norm(normal, axis=1)
+                normal = np.where((length > 1e-14)[:, None], normal / np.maximum(length, 1e-300)[:, None], [-1.0, 0.0, 0.0])
+                offset = polyhedra.offsets_of_volume(rest, normal, frac[at] * whole[live])
+                yield _solid_pieces(batch.column("id").take(pa.array(live)), mat[at], polyhedra.cut(rest, normal, offset))
+                rest = polyhedra.cut(rest, -normal, -offset)
+
+    return grouped.mapInArrow(run, _SOLID)
+
+
 def _put(p: np.ndarray, n: np.ndarray, at: np.ndarray, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Padded rings with those at ``at`` replaced."""
     width = max(p.shape[1], q.shape[1])
@@ -114,6 +180,10 @@ def _pieces(ids: pa.Array, mat: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.
 
 def material_weights(target: DataFrame, pieces: DataFrame, dim: int = 2) -> DataFrame:
     """(tgt_id, src_id, mat, moments): material pieces against target cells; boxes where there are no rings."""
+    if "points" in pieces.columns:
+        of = lambda a: F.transform("points", lambda p: p[a])
+        boxed = pieces.withColumns({a + e: f(of(a)) for a in axes(3) for e, f in (("lo", F.array_min), ("hi", F.array_max))})
+        return intersect_polyhedral_meshes(target, boxed, carry=("mat",))
     if "ring" in pieces.columns:
         boxed = pieces
         for a in ("x", "y"):
@@ -153,9 +223,21 @@ def remap_materials(weights: DataFrame, values: DataFrame, target: DataFrame, fi
 
 
 def piece_centroids(pieces: DataFrame) -> DataFrame:
-    """(id, mat, volume, cx, cy) of ring pieces; a material may have several in a cell."""
-    each = pieces.withColumn("_m", polygon_moments(F.col("ring"))).groupBy("id", "mat").agg(*[F.sum(f"_m.{c}").alias(f"_{c}") for c in ("m0", "m1x", "m1y")])
-    return each.where("_m0 > 0").select("id", "mat", F.col("_m0").alias("volume"), (F.col("_m1x") / F.col("_m0")).alias("cx"), (F.col("_m1y") / F.col("_m0")).alias("cy"))
+    """(id, mat, volume, c..) of ring or polyhedral pieces; a material may have several in a cell."""
+    dim = 3 if "points" in pieces.columns else 2
+    names = ["m0", *["m1" + a for a in axes(dim)]]
+    if dim == 3:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = polyhedra.body_moments(polyhedra.load(batch.column("points"), batch.column("facets")))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mat"), *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(4))], ["id", "mat", *names])
+
+        each = pieces.select("id", "mat", "points", "facets").mapInArrow(run, "id long, mat int, m0 double, m1x double, m1y double, m1z double")
+    else:
+        each = pieces.withColumn("_m", polygon_moments(F.col("ring"))).select("id", "mat", "_m.*")
+    total = each.groupBy("id", "mat").agg(*[F.sum(c).alias("_" + c) for c in names]).where("_m0 > 0")
+    return total.select("id", "mat", F.col("_m0").alias("volume"), *[(F.col("_m1" + a) / F.col("_m0")).alias("c" + a) for a in axes(dim)])
 
 
 def material_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -219,3 +219,98 @@ def body_moments(s: Solids) -> np.ndarray:
     out = np.zeros((len(s.size), 4))
     np.add.at(out, row, sign[:, None] * moments(tets.faces, tets.faces[:, 0, 0]))
     return out
+
+
+def column(s: Solids) -> tuple[pa.Array, pa.Array]:
+    """Solids as ``points`` and ``facets`` columns; equal vertices of several faces are one point each where exactly equal."""
+    points, facets = [], []
+    for faces, size in zip(s.faces, s.size, strict=True):
+        rings = [faces[k, :n] for k, n in enumerate(size) if n >= 3]
+        flat = np.concatenate(rings) if rings else np.zeros((0, 3))
+        each, at = np.unique(flat, axis=0, return_inverse=True)
+        points.append(each)
+        facets.append(np.split(at.reshape(-1), np.cumsum([len(r) for r in rings])[:-1]) if rings else [])
+    n = np.cumsum([0] + [len(p) for p in points]).astype(np.int32)
+    xyz = np.concatenate(points) if points else np.zeros((0, 3))
+    held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xyz[:, k])) for k in range(3)], ["x", "y", "z"])
+    return pa.ListArray.from_arrays(pa.array(n), held), pa.array([[f.tolist() for f in fs] for fs in facets], pa.list_(pa.list_(pa.int32())))
+
+
+def _side(s: Solids, normal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The faces of each body where normal . x <= offset, without the cut's own: (rows, faces, vertices, 3), their sizes, and
+    how far a vertex may be off the plane."""
+    rows, n_faces = s.size.shape
+    lo, hi = s.bounds()
+    flat = FLAT * (hi - lo).max(1)
+    own, _ = planes(s)
+    many = lambda x: np.repeat(x, n_faces, 0)
+    p, n = _cut(s.faces.reshape(rows * n_faces, -1, 3), s.size.reshape(-1), many(normal), many(offset), many(flat), _dot(own.reshape(-1, 3), many(normal)) > 0)
+    p = np.where((n > 0)[:, None, None], p, p[:, :1])
+    return p.reshape(rows, n_faces, -1, 3), n.reshape(rows, n_faces), flat
+
+
+def volume_below(s: Solids, normal: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Volume where normal . x <= offset; about a point of the plane the cut's own face adds nothing."""
+    faces, _, _ = _side(s, normal, offset)
+    return moments(faces, normal * offset[:, None])[:, 0]
+
+
+def cut(s: Solids, normal: np.ndarray, offset: np.ndarray) -> Solids:
+    """Convex bodies where normal . x <= offset, closed by the face in the plane: its corners are those of the cut faces,
+    sorted by angle round their middle."""
+    faces, size, flat = _side(s, normal, offset)
+    rows, n_faces, most = faces.shape[:3]
+    p = faces.reshape(rows, -1, 3)
+    held = (np.arange(most) < size[:, :, None]).reshape(rows, -1)
+    d = _dot(p, normal[:, None]) - offset[:, None]
+    before = _dot(s.faces.reshape(rows, -1, 3), normal[:, None]) - offset[:, None]
+    parted = ((before > flat[:, None]) & s.held.reshape(rows, -1)).any(1)
+    on = held & (np.abs(d) <= 4 * flat[:, None]) & parted[:, None]
+    count = np.maximum(on.sum(1), 1)[:, None]
+    middle = (p * on[..., None]).sum(1) / count
+    u = np.cross(normal, np.eye(3)[np.abs(normal).argmin(1)])
+    u /= np.maximum(np.linalg.norm(u, axis=1), 1e-300)[:, None]
+    v, rel = np.cross(normal, u), p - middle[:, None]
+    angle = np.where(on, np.arctan2(_dot(rel, v[:, None]), _dot(rel, u[:, None])), np.inf)
+    by = np.argsort(angle, 1, kind="stable")
+    ring, there = np.take_along_axis(p, by[..., None], 1), np.take_along_axis(on, by, 1)
+    gap = np.sqrt(((ring - np.roll(ring, 1, 1)) ** 2).sum(2))
+    last = np.maximum(there.sum(1) - 1, 0)
+    gap[:, 0] = np.sqrt(((ring[:, 0] - ring[np.arange(rows), last]) ** 2).sum(1))  # the first after the last one
+    new = there & (gap > 8 * flat[:, None])
+    n_cap = new.sum(1)
+    width = max(most, int(n_cap.max(initial=3)))
+    out = np.zeros((rows, n_faces + 1, width, 3))
+    out[:, :n_faces, :most], out[:, :n_faces, most:] = faces, faces[:, :, :1]
+    row, at = np.nonzero(new)
+    cap = np.repeat(ring[:, :1], width, 1)
+    cap[row, (np.cumsum(new, 1) - 1)[row, at]] = ring[row, at]
+    first = cap[:, :1]
+    out[:, n_faces] = np.where((np.arange(width) < n_cap[:, None])[..., None], cap, first)
+    return Solids(out, np.concatenate([size, np.where(n_cap >= 3, n_cap, 0)[:, None]], 1))
+
+
+def offsets_of_volume(s: Solids, normal: np.ndarray, volume: np.ndarray) -> np.ndarray:
+    """For each convex body the offset below which the given volume lies.
+
+    Between the heights of two vertices the volume is a cubic, which four cuts fix; its root is found on the cubic alone.
+    """
+    rows = np.arange(len(volume))
+    height = _dot(s.faces.reshape(len(rows), -1, 3), normal[:, None])
+    height = np.sort(np.where(s.held.reshape(len(rows), -1), height, height[:, :1]), 1)
+    at = np.zeros_like(height)
+    for k in range(1, height.shape[1]):
+        some = np.flatnonzero(height[:, k] > height[:, k - 1])
+        at[:, k] = at[:, k - 1]
+        if len(some):
+            at[some, k] = volume_below(s.take(some), normal[some], height[some, k])
+    k = np.clip((at < volume[:, None]).sum(1), 1, height.shape[1] - 1)
+    low, high, v0, v3 = height[rows, k - 1], height[rows, k], at[rows, k - 1], at[rows, k]
+    v1, v2 = (volume_below(s, normal, low + (high - low) * t) for t in (1 / 3, 2 / 3))
+    c3, c2, c1 = (9 * (v3 - 3 * v2 + 3 * v1 - v0) / 2, 9 * (2 * v0 - 5 * v1 + 4 * v2 - v3) / 2, (-11 * v0 + 18 * v1 - 9 * v2 + 2 * v3) / 2)
+    a, b = np.zeros(len(rows)), np.ones(len(rows))
+    for _ in range(60):
+        t = (a + b) / 2
+        below = ((c3 * t + c2) * t + c1) * t + v0 < volume
+        a, b = np.where(below, t, a), np.where(below, b, t)
+    return low + (high - low) * (a + b) / 2

@@ -14,7 +14,7 @@ from ..operators import gradient, materials
 from .remap import STAGED, Options, Remapper
 from .storage import materialize
 
-#: (mesh, fractions, adjacency) -> pieces (id, mat, ring): how material interfaces are found.
+#: (mesh, fractions, adjacency) -> pieces (id, mat, and ring or points and facets): how material interfaces are found.
 Reconstructor = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
@@ -32,14 +32,15 @@ class MultiRemapper:
     """Mesh and material fields from one side to another.
 
     ``material`` has a row (id, mat, volfrac, fields..) for each material of a cell: sparse, so that a material is a key in
-    every join and never a loop.  Its shapes are ``pieces`` (id, mat, ring), or follow from the fractions by
+    every join and never a loop.  Its shapes are ``pieces`` (id, mat, and ring or points and facets), or follow from the fractions by
     ``reconstructor``; a material's value stands at the centroid of its pieces, and its slopes are taken over the
     neighbours that hold it too.  The materials of the target follow from the overlaps alone.
     """
 
-    def __init__(self, source: Side, target: Side, dim: int = 2, *, material: DataFrame | None = None, pieces: DataFrame | None = None, reconstructor: Reconstructor = materials.reconstruct, options: Options = STAGED):
+    def __init__(self, source: Side, target: Side, dim: int = 2, *, material: DataFrame | None = None, pieces: DataFrame | None = None, reconstructor: Reconstructor | None = None, options: Options = STAGED):
         self.source, self.target, self.dim, self.options = source, target, dim, options
-        self.material, self._given, self.reconstructor = material, pieces, reconstructor
+        self.material, self._given = material, pieces
+        self.reconstructor = reconstructor or (materials.reconstruct_solids if dim == 3 else materials.reconstruct)
         self._kinds: dict[str, Remapper] = {}
         self._pieces = self._material_weights = None
 
@@ -79,7 +80,8 @@ class MultiRemapper:
 
     def material_slopes(self, fields: Sequence[str], options: Options) -> tuple[DataFrame, DataFrame]:
         """Values at the centroids of their pieces, and their limited slopes."""
-        cells, shape = self.source.cells, ["ring"] if "ring" in self.source.cells.columns else [a + e for a in axes(self.dim) for e in ("lo", "hi")]
+        cells, vertices = self.source.cells, "points" if self.dim == 3 else "ring"
+        shape = [vertices] if vertices in cells.columns else [a + e for a in axes(self.dim) for e in ("lo", "hi")]
         edge = ["is_boundary"] if "is_boundary" in cells.columns else []
         held = materialize(self.material.select("id", "mat", *fields).join(materials.piece_centroids(self.pieces()).drop("volume"), ["id", "mat"]).join(cells.select("id", *shape, *edge), "id"))
         return held, gradient.gradients(held, self.source.near, list(fields), self.dim, limiter=options.limiter, boundary_limiter=options.boundary_limiter, material="mat")

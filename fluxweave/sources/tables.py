@@ -27,11 +27,22 @@ def lineitem_grid(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return box_mesh(spark, [0, 0], [1, 1], [n, n]).join(sums, "id", "left").fillna(0.0, subset=["qty", "price"])
 
 
-def lineitem_blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Unit cube of n^3 cells over quantity, discount and tax [0, 0.08], with the whole mean price."""
+def _in_blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     at = lambda c: F.least(F.floor(c * n), F.lit(n - 1))
     cell = at((F.col("l_quantity") - 1) / 49) + at(F.col("l_discount") / 0.1) * n + at(F.col("l_tax") / 0.08) * n * n
-    sums = table(spark, sf_dir, "lineitem").groupBy(cell.cast("long").alias("id")).agg(F.floor(F.avg("l_extendedprice")).cast("double").alias("price"))
+    return table(spark, sf_dir, "lineitem").withColumn("id", cell.cast("long"))
+
+
+def material_blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(id, mat, volfrac) of the same cells: the return flags of each cell's rows as materials."""
+    rows = _in_blocks(spark, sf_dir, n).withColumn("mat", F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3))
+    each, whole = rows.groupBy("id", "mat").agg(F.count("*").alias("k")), rows.groupBy("id").agg(F.count("*").alias("t"))
+    return each.join(whole, "id").select("id", "mat", (F.col("k") / F.col("t")).alias("volfrac"))
+
+
+def lineitem_blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Unit cube of n^3 cells over quantity, discount and tax [0, 0.08], with the whole mean price."""
+    sums = _in_blocks(spark, sf_dir, n).groupBy("id").agg(F.floor(F.avg("l_extendedprice")).cast("double").alias("price"))
     return box_mesh(spark, [0, 0, 0], [1, 1, 1], [n, n, n]).join(sums, "id", "left").fillna(0.0, subset=["price"])
 
 

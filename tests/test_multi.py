@@ -123,3 +123,65 @@ def test_repair_of_many_passes_keeps_its_plan_small(spark):
         values, step_volume = np.clip(moved, -0.5, 1.9), 1.0 - held.sum() * vol
     assert np.allclose([r.f for r in out.orderBy("id").collect()], values, atol=1e-12) and abs(rel) < 1e-12
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+MAP = [[1.0, 0.3, 0.0], [0.0, 1.0, 0.2], [0.1, 0.0, 1.0]]
+SPACES = [(1, [(-1.0, 0.2, 0.1, -0.5)]), (2, [(1.0, -0.2, -0.1, 0.5), (0.1, 0.3, 1.0, 0.7)]), (3, [(1.0, -0.2, -0.1, 0.5), (-0.1, -0.3, -1.0, -0.7)])]
+
+
+@pytest.fixture(scope="module")
+def solid_sides(spark):
+    made = []
+    for n in (4, 3):
+        boxes = meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [n, n, n])
+        made.append(Side(meshes.mapped_solids(meshes.box_solids(boxes), MAP).cache(), meshes.box_adjacency(boxes, [n, n, n]).cache()))
+    return made
+
+
+def test_material_fields_in_three_dimensions(spark, solid_sides):
+    source, target = solid_sides
+    pieces = materials.half_space_polyhedra(source.cells, SPACES).cache()
+    held = materials.piece_centroids(pieces).join(source.cells.select("id", "vol"), "id")
+    assert held.groupBy("id").agg(F.sum("volume").alias("v"), F.first("vol").alias("vol")).agg(F.max(F.abs(F.col("v") - F.col("vol")))).first()[0] < 1e-14
+    held = held.select("id", "mat", (F.col("volume") / F.col("vol")).alias("volfrac"), (F.col("mat") + F.col("cx") - 2 * F.col("cz")).alias("line")).cache()
+    r = MultiRemapper(source, target, 3, material=held, pieces=pieces, options=Options(limiter="nolimiter", check_mismatch=False))
+    got = r.interpolate(material=["line"])["material"].join(target.cells.select("id", "vol"), "id").cache()
+    mass = lambda df: {x.mat: x.s for x in df.groupBy("mat").agg(F.sum(F.col("line") * F.col("volfrac") * F.col("vol")).alias("s")).collect()}
+    assert mass(got) == pytest.approx(mass(held.join(source.cells.select("id", "vol"), "id")))
+    exact = materials.piece_centroids(materials.half_space_polyhedra(target.cells, SPACES)).join(target.cells.select("id", "vol"), "id")
+    both = got.join(exact.select("id", "mat", (F.col("volume") / F.col("vol")).alias("want")), ["id", "mat"], "full")
+    assert both.agg(F.max(F.abs(F.coalesce("volfrac", F.lit(0.0)) - F.coalesce("want", F.lit(0.0))))).first()[0] < 1e-11
+    far = got.where(F.abs(F.col("line") - F.col("mat") - F.col("cx") + 2 * F.col("cz")) > 1e-9).count()
+    assert far <= 0.2 * got.count()
+
+
+def test_interfaces_in_three_dimensions_keep_fractions(spark, solid_sides):
+    source, _ = solid_sides
+    held = materials.piece_centroids(materials.half_space_polyhedra(source.cells, SPACES)).join(source.cells.select("id", "vol"), "id").select("id", "mat", (F.col("volume") / F.col("vol")).alias("volfrac")).cache()
+    pieces = materials.reconstruct_solids(source.cells, held, source.near)
+    area = materials.piece_centroids(pieces).join(source.cells.select("id", "vol"), "id").join(held, ["id", "mat"], "full")
+    assert area.agg(F.max(F.abs(F.coalesce(F.col("volume") / F.col("vol"), F.lit(0.0)) - F.col("volfrac")))).first()[0] < 1e-12
+
+
+def test_cells_that_are_bent_are_named(spark):
+    boxes = meshes.box_solids(meshes.box_mesh(spark, [0, 0, 0], [1, 1, 1], [1, 1, 1]))
+    bent = boxes.withColumn("points", F.transform("points", lambda p: F.when((p["x"] == 1) & (p["y"] == 1) & (p["z"] == 1), F.struct((p["x"] + 0.2).alias("x"), p["y"].alias("y"), p["z"].alias("z"))).otherwise(p)))
+    with pytest.raises(Exception, match="not convex"):
+        materials.half_space_polyhedra(bent, SPACES).count()
+
+
+def test_cuts_and_volumes_of_random_bodies():
+    from fluxweave.operators import polyhedra
+    from tests.test_polyhedra import BOX, CUBE, TET, WEDGE, shaped, solids
+
+    rng = np.random.default_rng(6)
+    s = solids([shaped(rng, [(CUBE, BOX), TET, WEDGE][k % 3]) for k in range(120)])
+    normal = rng.normal(size=(120, 3))
+    normal[:30] = polyhedra.planes(s)[0][:30, 0]  # along a face
+    normal /= np.linalg.norm(normal, axis=1)[:, None]
+    whole = polyhedra.body_moments(s)
+    for share in (1e-6, 0.2, 0.5, 0.9):
+        offset = polyhedra.offsets_of_volume(s, normal, share * whole[:, 0])
+        below, above = polyhedra.body_moments(polyhedra.cut(s, normal, offset)), polyhedra.body_moments(polyhedra.cut(s, -normal, -offset))
+        assert np.abs(below[:, 0] - share * whole[:, 0]).max() < 1e-12
+        assert np.abs(below + above - whole).max() < 1e-12
