@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import discard, map_arrow, materialize, side
-from .ngram_join import FEW, HUBS, ONE_TASK, components, hub_pairs, least_ids, node_of, open_postings, pairs_left, rest_pairs, sets_of
+from .ngram_join import FEW, ONE_TASK, components, hub_pairs, least_ids, node_of, open_postings, pairs_left, rest_pairs, sets_of
 
 WORDS = 4
 PERCENT = 80
@@ -48,6 +48,8 @@ BLOCK = 1 << 16
 #: Values that are counted more often than the mean cell, times this power of two, are dealt over salts.
 HOT_LOG2 = 10
 FOLD = ("b0", "b1", "b2", "b3")
+#: Hubs of a value's size class in each round; rounds after the first are made only while many pairs are left.
+HUBS = (1, 4, 16, 64)
 #: Pairs of a node that meet its sketch or set in one task.
 SHARE = 500
 
@@ -201,6 +203,11 @@ def _with(pairs: DataFrame, values: DataFrame, end: str, share: int, broadcast_r
     return dealt.join(copies, [end, "_salt"]).drop("_salt")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of the pairs, once each."""
+    return pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, percent: int, share: int, broadcast_rows: int) -> DataFrame:
     """The pairs whose sets do not differ in more parities than sets of the wanted similarity can."""
     held = nodes.select("node", "n", "fold")
@@ -211,7 +218,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int, share: int, broadcas
 
 def estimate(pairs: DataFrame, nodes: DataFrame, k: int, percent: int, share: int, broadcast_rows: int) -> DataFrame:
     """(a, b, sure) of the pairs that may be linked: surely where both sketches are full sets."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    ends = materialize(_ends(pairs))
     held = nodes.select("node", "n", "kept").join(side(ends, broadcast_rows), "node", "left_semi")
     met = _with(_with(pairs, held, "a", share, broadcast_rows), held, "b", share, broadcast_rows)
     whole = F.size(F.array_intersect("kept_a", "kept_b"))
@@ -256,8 +263,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links, unsure = likely.where("sure").select("a", "b"), likely.where("not sure")
         sets = None
         if not unsure.isEmpty():
-            ends = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            sets = full_sets(docs, materialize(nodes.join(side(materialize(ends), broadcast_rows), "node", "left_semi").select("_id")), id_col, text_col, size, broadcast_rows)
+            sets = full_sets(docs, materialize(nodes.join(side(materialize(_ends(unsure)), broadcast_rows), "node", "left_semi").select("_id")), id_col, text_col, size, broadcast_rows)
             links = links.unionByName(verify(unsure, sets, percent, share, broadcast_rows))
         found = materialize(links)
         if not found.isEmpty():
