@@ -552,6 +552,20 @@ def repair_globally_conservative_covered_only(spark, sf_dir):
     return _repaired(spark, sf_dir, partial(_shifted, digits=6), empty="leave_empty")
 
 
+_PARTS_SQL = f"""{q.source(N)}, {T}, {q.weights(extra="AND (t.ix < 7) = (s.ix < 8)")}, {q.first_order(["price"])}, sp AS (SELECT *, CASE WHEN ix < 8 THEN 1 ELSE 2 END AS part FROM s), cov AS (SELECT tgt_id AS id, sum(m0) AS covered FROM w GROUP BY tgt_id),
+    {q.conserved_by_part("SELECT t.id, CASE WHEN t.ix < 7 THEN 1 ELSE 2 END AS part, o.price, t.vol, coalesce(covered, 0.0) >= 2.220446049250313e-16 AS o FROM t JOIN o ON o.id = t.id LEFT JOIN cov ON cov.id = t.id").replace("FROM s GROUP BY part", "FROM sp GROUP BY part")}"""
+
+
+@query(f"WITH {_PARTS_SQL} SELECT id, part, {q.shifted('price', 3)} AS price FROM p5")
+def repair_by_part(spark, sf_dir):
+    """Two parts whose borders differ between the meshes, each repaired to its own total and bounds in one plan."""
+    s = materialize(_source(spark, sf_dir).withColumn("part", F.when(F.col("ix") < 8, 1).otherwise(2)))
+    t = _target(spark).withColumn("part", F.when(F.col("ix") < 7, 1).otherwise(2))
+    r = Remapper(s, t, 2, part="part", options=Options(order=1, check_mismatch=False))
+    fixed, _ = repair.repair_parts(r.interpolate(["price"]), t, s, r.weights(), _near(t, M), "price", empty="leave_empty")
+    return _shifted(fixed.join(t.select("id", "part"), "id"), "price", digits=3, keys=("id", "part"))
+
+
 # ---- parts, materials, momentum ----
 
 _PARTS = f"{S}, {T}, sp AS (SELECT *, (cx < 0.5)::INTEGER AS part FROM s), tp AS (SELECT *, (cx < 0.5)::INTEGER AS part FROM t), {q.weights(t='tp', s='sp', extra='AND t.part = s.part')}, {q.first_order(['price'], s='sp')}"

@@ -207,3 +207,67 @@ def part_repair(parts: Sequence[tuple[DataFrame, DataFrame, DataFrame, DataFrame
             values, _ = repair(values, target, source, empty_layers(target, weights, inside), inside, field, **options)
         out = values.select("id", field) if out is None else out.unionByName(values.select("id", field))
     return out
+
+
+def _over(a: Column, b: Column) -> Column:
+    """a / b; nothing over nothing is 0, else infinite."""
+    return F.when(b != 0, a / F.when(b != 0, b)).when(a == 0, 0.0).otherwise(F.signum(a) * F.lit(math.inf))
+
+
+def part_state(target: DataFrame, source: DataFrame, weights: DataFrame, field: str, part: str, tolerance: float = 100 * EPS) -> DataFrame:
+    """A row a part: whether its overlaps miss volume (``found``), the source's bounds (lo, hi) and its total (wanted)."""
+    vt = target.groupBy(part).agg(F.sum("vol").alias("vt"))
+    vs = source.groupBy(part).agg(F.sum("vol").alias("vs"), F.min(field).alias("lo"), F.max(field).alias("hi"), F.sum(F.col(field) * F.col("vol")).alias("wanted"))
+    vx = weights.groupBy(part).agg(F.sum("m0").alias("vx"))
+    all_ = vt.join(vs, part, "left").join(vx, part, "left").fillna(0.0, subset=["vs", "vx", "wanted"])
+    off = lambda a, b: F.abs(F.col(a) - F.col(b)) > tolerance * F.abs(F.col(b))
+    lo, hi = F.coalesce("lo", F.lit(-math.inf)), F.coalesce("hi", F.lit(math.inf))
+    flat = F.when(F.col("lo") == 0, F.col("hi") == 0).otherwise(F.abs(_over(F.col("hi") - F.col("lo"), F.col("lo"))) < tolerance)
+    return all_.select(part, (off("vx", "vs") | off("vx", "vt")).alias("found"), F.when(flat, lo - 0.5 * lo).otherwise(lo).alias("lo"), F.when(flat, hi + 0.5 * hi).otherwise(hi).alias("hi"), "wanted")
+
+
+def repair_parts(values: DataFrame, target: DataFrame, source: DataFrame, weights: DataFrame, adjacency: DataFrame, field: str, *, part: str = "part", partial: str = "globally_conservative",
+                 empty: str = "extrapolate", max_iterations: int = 5, conservation: float = 100 * EPS) -> tuple[DataFrame, DataFrame]:
+    """Repair of all parts in one plan: (id, field) of every target cell, and (part, found, rel): the error that each part
+    that needed repair keeps.
+
+    Target, source and weights have the ``part`` column.  What a part needs to know is a row of a small table (bounds,
+    total, shifts so far); a pass is one aggregation by part, however many parts there are.  Neighbours in another part
+    don't count.
+    """
+    partial, empty = one_of(partial, PARTIAL_FIXUPS), one_of(empty, EMPTY_FIXUPS)
+    state = materialize(part_state(target, source, weights, field, part))
+    cells = target.select("id", part, "vol")
+    inside = adjacency.join(cells.select("id", F.col(part).alias("_p")), "id").join(cells.select(F.col("id").alias("nbr"), F.col(part).alias("_q")), "nbr").where("_p = _q").select("id", "nbr")
+    layers = empty_layers(target, weights, inside)
+    v = values.select("id", field).join(cells, "id").join(layers, "id").join(state.select(part, "found"), part)
+    if partial == "locally_conservative":
+        gap = F.abs(F.col("covered") - F.col("vol")) / F.col("vol") > Tolerances.volume_difference
+        v = v.withColumn(field, F.when(F.col("found") & (F.abs("covered") >= EPS) & gap, F.col(field) * F.col("covered") / F.col("vol")).otherwise(F.col(field)))
+    if empty != "leave_empty":
+        v = extrapolate(materialize(v), inside, field)
+    if partial != "globally_conservative":
+        return v.select("id", field), state.select(part, "found", F.lit(None).cast("double").alias("rel"))
+    open_cell: Column = F.col("found") if empty != "leave_empty" else F.col("found") & (F.abs("covered") >= EPS)
+    v = materialize(v.withColumn("_open", open_cell).select("id", part, "vol", field, "_open"))
+    start = v.groupBy(part).agg(F.sum(F.col(field) * F.col("vol")).alias("s"), F.coalesce(F.sum(F.when(F.col("_open"), F.col("vol"))), F.lit(0.0)).alias("full"))
+    diff = F.col("s") - F.col("wanted")
+    rel = _over(diff, F.col("wanted"))
+    known = ["found", "lo", "hi", "wanted", "full"]
+    now = state.join(start, part).withColumns({"shifts": F.array().cast("array<double>"), "step": _over(diff, F.col("full")), "rel": rel})
+    now = materialize(now.select(part, *known, "shifts", "step", "rel", (F.col("found") & (F.abs(rel) > conservation) & (F.col("full") > 0)).alias("live")))
+    clamped = lambda x: F.when(x < F.col("lo"), F.col("lo")).when(x > F.col("hi"), F.col("hi")).otherwise(x)
+    after = F.when(F.col("_open"), F.aggregate("shifts", F.col(field).cast("double"), lambda x, by: clamped(x - by))).otherwise(F.col(field))
+    for _ in range(max_iterations):
+        if now.where("live").isEmpty():
+            break
+        seen = v.join(now.where("live"), part).withColumn("_was", after).withColumn("_moved", F.col("_was") - F.col("step"))
+        held = F.col("_open") & ((F.col("_moved") < F.col("lo")) | (F.col("_moved") > F.col("hi")))
+        value = F.when(F.col("_open"), clamped(F.col("_moved"))).otherwise(F.col("_was"))
+        sums = seen.groupBy(part).agg(F.sum(value * F.col("vol")).alias("s"), F.coalesce(F.sum(F.when(held, F.col("vol"))), F.lit(0.0)).alias("c"))
+        free = F.col("full") - F.col("c")
+        told = now.join(sums, part, "left").withColumn("_more", F.col("live"))
+        pick = lambda new, old: F.when(F.col("_more"), new).otherwise(F.col(old))
+        now = materialize(told.select(part, *known, pick(F.concat("shifts", F.array("step")), "shifts").alias("shifts"), pick(_over(diff, free), "step").alias("step"), pick(rel, "rel").alias("rel"), F.coalesce(F.col("_more") & (F.abs(rel) > conservation) & (free > EPS * F.col("full")), F.lit(False)).alias("live")))
+    done = v.join(now.select(part, "lo", "hi", "shifts"), part).select("id", after.alias(field))
+    return done, now.select(part, "found", "rel")

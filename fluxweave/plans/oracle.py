@@ -200,3 +200,15 @@ def node_slopes() -> str:
     ends AS (SELECT node AS id, unnest([x1, x2, x3]) AS qx, unnest([y1, y2, y3]) AS qy FROM s_wedge),
     g AS (SELECT id, any_value(v) AS v, any_value(x) AS x, any_value(y) AS y, any_value(rx) * min(phi) AS gx, any_value(ry) * min(phi) AS gy FROM (
       SELECT raw.*, CASE WHEN edge OR {slope} = 0 THEN 1.0 WHEN {slope} > 0 THEN least(1.0, (hi - v) / {slope}) ELSE least(1.0, (lo - v) / {slope}) END AS phi FROM raw JOIN ends USING (id)) GROUP BY id)"""
+
+
+def conserved_by_part(values: str, passes: int = 5) -> str:
+    """``p5``: as ``conserved``, for each part by its own bounds and totals; ``values`` has id, part, price, vol, o, ``s`` a part."""
+    off = "abs(diff / wanted) > 2.220446049250313e-14"
+    out = [f"p0 AS ({values})", "b AS (SELECT part, min(price) AS lo, max(price) AS hi, sum(price * vol) AS wanted FROM s GROUP BY part)",
+           f"a0 AS (SELECT *, diff / whole AS step, {off} AS live FROM (SELECT part, sum(price * vol) - any_value(wanted) AS diff, sum(CASE WHEN o THEN vol END) AS whole, any_value(wanted) AS wanted, any_value(lo) AS lo, any_value(hi) AS hi FROM p0 JOIN b USING (part) GROUP BY part))"]
+    for k in range(1, passes + 1):
+        out.append(f"""p{k} AS (SELECT id, part, vol, o, CASE WHEN live AND o THEN least(greatest(price - step, lo), hi) ELSE price END AS price, live AND o AND (price - step < lo OR price - step > hi) AS held FROM p{k - 1} JOIN a{k - 1} USING (part)),
+        a{k} AS (SELECT *, CASE WHEN whole - c > 0 THEN diff / (whole - c) ELSE 0.0 END AS step, was AND {off} AND whole - c > 2.220446049250313e-16 * whole AS live FROM (
+          SELECT part, sum(price * vol) - any_value(a.wanted) AS diff, coalesce(sum(CASE WHEN held THEN vol END), 0.0) AS c, any_value(a.live) AS was, any_value(whole) AS whole, any_value(a.wanted) AS wanted, any_value(a.lo) AS lo, any_value(a.hi) AS hi FROM p{k} JOIN a{k - 1} a USING (part) GROUP BY part))""")
+    return ", ".join(out)
