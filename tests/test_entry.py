@@ -13,8 +13,8 @@ from fluxweave import catalog
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     rng, d = random.Random(9), str(tmp_path_factory.mktemp("tables"))
-    lineitem = [(i, float(rng.randint(1, 50)), rng.randint(0, 10) / 100, float(rng.randint(900, 90000)), rng.choice("ANR")) for i in range(1500)]
-    spark.createDataFrame(lineitem, "l_orderkey long, l_quantity double, l_discount double, l_extendedprice double, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
+    lineitem = [(i, float(rng.randint(1, 50)), rng.randint(0, 10) / 100, float(rng.randint(900, 90000)), rng.choice("ANR"), i * 7 % 9 / 100, i % 7 + 1) for i in range(1500)]
+    spark.createDataFrame(lineitem, "l_orderkey long, l_quantity double, l_discount double, l_extendedprice double, l_returnflag string, l_tax double, l_linenumber int").write.parquet(f"{d}/lineitem.parquet")
     for name, p, n in (("customer", "c", 150), ("supplier", "s", 12)):
         rows = [(i, rng.randint(-99999, 999999) / 100) for i in range(1, n)]
         spark.createDataFrame(rows, f"{p}_{'cust' if p == 'c' else 'supp'}key long, {p}_acctbal double").write.parquet(f"{d}/{name}.parquet")
