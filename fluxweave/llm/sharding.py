@@ -6,8 +6,10 @@ The map has ``slots`` rows whatever the data, so it is planned on the driver and
 
 Law: ``bytes``.  Slots go, largest first, to the shard with the fewest bytes, so shard sizes differ by less than the
 largest slot; ``rebalance`` moves the fewest slots that bring the shards within a tolerance.  A slot that holds over
-1 / (HEAVY * shards) of all bytes in over FEW rows (rows of one id, or without one) is split: its rows are dealt over all slots, row by row,
-and the map names it.  At most HEAVY * shards slots are.
+1 / (HEAVY * shards) of all bytes in two rows or more (rows of one id, or without one) is split: each of its rows goes to
+the slot that the hash of its id, its text's hash and its number among equal rows names.  The map lists split slots, at
+most HEAVY * shards, so that records and a stored map give the same places again (``place``).  Only a single row can't be
+split.
 
 Defined results: null text: size 1; null ids hash as the empty string; repeated rows share a slot, unless it is split,
 and count each; ties in a slot are numbered in any order; extra columns are ignored.
@@ -30,8 +32,8 @@ SHARDS = 8
 PARTS = 16
 #: Of the mean shard, the share that a slot may hold before it is split.
 HEAVY = 32
-#: A slot of at most so many rows is never split.
-FEW = 64
+#: Equal rows of a split slot are written out in blocks of this many.
+BLOCK = 10_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,15 @@ class SlotMap:
     split: tuple[int, ...] = ()  # slots whose rows are dealt over all slots
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, s, o) for s, o in enumerate(self.owner)], "version int, vslot int, shard int")
+        """The map as a table, a row a slot; ``read`` takes it back."""
+        held = set(self.split)
+        rows = [(self.version, self.shards, s, o, s in held) for s, o in enumerate(self.owner)]
+        return spark.createDataFrame(rows, "version int, shards int, vslot int, shard int, split boolean")
+
+    @staticmethod
+    def read(table: DataFrame) -> SlotMap:
+        rows = sorted(table.collect(), key=lambda r: r.vslot)  # one row a slot
+        return SlotMap(rows[0].version, rows[0].shards, tuple(r.shard for r in rows), tuple(r.vslot for r in rows if r.split))
 
 
 def build(sizes: dict[int, int], slots: int = SLOTS, shards: int = SHARDS) -> SlotMap:
@@ -83,28 +93,41 @@ def rebalance(held: SlotMap, sizes: dict[int, int], shards: int | None = None, t
     return replace(held, version=held.version + 1, shards=shards, owner=tuple(owner))
 
 
+def _vslot(part):
+    return F.floor(part / PARTS).cast("int")
+
+
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """id, size, text_crc32, _part, _deal and vslot of every row, written once: all later steps read these few bytes a row."""
+    """id, size, text_crc32, _hash, _part and vslot of every row, written once: all later steps read these few bytes a row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(slots * PARTS)).cast("int")
-    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots * PARTS)).cast("int")
-    rows = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), part.alias("_part"), deal.alias("_deal"))
-    return materialize(rows.withColumn("vslot", F.floor(F.col("_part") / PARTS).cast("int")))
+    rows = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_hash"), part.alias("_part"))
+    return materialize(rows.withColumn("vslot", _vslot(F.col("_part"))))
 
 
 def heavy_slots(rows: DataFrame, shards: int) -> tuple[int, ...]:
-    """Slots of many rows and bytes, at most HEAVY * shards of them."""
+    """Slots of two rows or more and many bytes, at most HEAVY * shards of them."""
     per = rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # one row a slot
     limit = sum(r.b for r in per) / (HEAVY * shards)
-    return tuple(sorted(r.vslot for r in per if r.b > limit and r.n > FEW))
+    return tuple(sorted(r.vslot for r in per if r.b > limit and r.n > 1))
+
 
+def dealt(rows: DataFrame, split: tuple[int, ...], *, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """The rows with those of split slots in slots of their own.
 
-def dealt(rows: DataFrame, split: tuple[int, ...]) -> DataFrame:
-    """The rows with those of split slots in slots of their own."""
+    Equal rows can't be told apart, so they are counted (map-side first) and written out again with their numbers, in
+    blocks that spread over tasks: no group is sorted or held as a whole.
+    """
     if not split:
         return rows
-    rows = rows.withColumn("_part", F.when(F.col("vslot").isin(list(split)), F.col("_deal")).otherwise(F.col("_part")))
-    return rows.withColumn("vslot", F.floor(F.col("_part") / PARTS).cast("int"))
+    here = F.col("vslot").isin(list(split))
+    each = rows.where(here).groupBy(id_col, "size", "text_crc32", "_hash").agg(F.count("*").alias("_n"))
+    blocks = each.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK))))
+    first = F.col("_b") * BLOCK
+    spread = blocks.repartition(id_col, "_hash", "_b").withColumn("_k", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("_n")) - 1)))
+    deal = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_hash"), F.col("_k")), F.lit(slots * PARTS)).cast("int")
+    moved = spread.withColumn("_part", deal).withColumn("vslot", _vslot(F.col("_part"))).select(rows.columns)
+    return materialize(rows.where(~here).unionByName(moved))
 
 
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
@@ -126,9 +149,16 @@ def assign(rows: DataFrame, slot_map: SlotMap, *, id_col: str = "doc_id") -> Dat
     return numbered.select(id_col, "size", "text_crc32", "vslot", "shard", "map_version", (F.col("_first") + F.col("_at") - 1).cast("long").alias("slot"))
 
 
+def place(docs: DataFrame, slot_map: SlotMap, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``assign`` of records by a map that exists, such as a stored one."""
+    slots = len(slot_map.owner)
+    rows = dealt(digest(docs, id_col=id_col, text_col=text_col, slots=slots), slot_map.split, id_col=id_col, slots=slots)
+    return assign(rows, slot_map, id_col=id_col)
+
+
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, shards: int = SHARDS) -> tuple[DataFrame, SlotMap]:
     rows = digest(docs, id_col=id_col, text_col=text_col, slots=slots)
     split = heavy_slots(rows, shards)
-    rows = dealt(rows, split)
+    rows = dealt(rows, split, id_col=id_col, slots=slots)
     slot_map = replace(build(slot_bytes(rows), slots, shards), split=split)
     return assign(rows, slot_map, id_col=id_col), slot_map

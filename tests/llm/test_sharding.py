@@ -58,10 +58,35 @@ def test_rebalancing_follows_changed_sizes():
 
 
 def test_the_map_round_trips_as_a_table(spark, tmp_path):
-    m = sharding.build({1: 5}, 64, 8)
+    rows = [(5 if i < 900 else i, f"text {i % 40}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, m = sharding.shard(docs, slots=64)
+    assert m.split
     m.frame(spark).write.parquet(str(tmp_path / "map"))
-    rows = spark.read.parquet(str(tmp_path / "map")).orderBy("vslot").collect()
-    assert tuple(r.shard for r in rows) == m.owner
+    held = sharding.SlotMap.read(spark.read.parquet(str(tmp_path / "map")))
+    assert held == m
+    where = lambda df: sorted(map(tuple, df.select("doc_id", "size", "text_crc32", "vslot", "shard").collect()))
+    assert where(sharding.place(docs.repartition(7), held)) == where(found)
+
+
+def test_few_large_rows_of_one_id_are_spread(spark):
+    """Rows without an id that hold most bytes are split, however few they are."""
+    for n in (60, 70, 3):
+        rows = [(i, "s" * 1000) for i in range(2000)] + [(None, "b" * 99_999)] * n
+        found, m = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+        load = {r.shard: r.b for r in found.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+        assert len(m.split) == 1
+        assert sum(load.values()) == 2000 * 1001 + n * 100_000
+        assert max(load.values()) <= 1.01 * min(load.values())
+
+
+def test_equal_rows_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 7)
+    found, m = sharding.shard(spark.createDataFrame([(1, "x")] * 200, "doc_id long, text string"))
+    rows = found.collect()
+    assert len(rows) == 200
+    assert len({r.vslot for r in rows}) > 150
+    assert len(m.split) == 1
 
 
 def test_empty(empty):
