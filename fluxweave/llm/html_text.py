@@ -3,10 +3,16 @@
 A tolerant one-pass parser keeps a stack of open block elements and hashes every element subtree bottom-up (tags and
 text), menus, forms and adverts included.  Spark counts each (host, subtree) once a page; subtrees on at least
 ``min_pages`` pages and ``min_share`` of their host's pages are template and are deleted in a second scan, inside the
-article and outside it.  What does not recur but names its role (navigation, forms, adverts, comments, ...) goes after
-that; all other text stays.  ``n_template`` and ``n_role`` say how many elements went for either reason.  Inside an
-<article>, paragraphs, headings and table parts are never template, nor is an element that holds most of the article's
-text, so that copies of an article, or paragraphs that many articles share, stay.
+article and outside it.  What does not recur but names its role goes after that; all other text stays.  ``n_template``
+and ``n_role`` say how many elements went for either reason.  Inside an <article>, paragraphs, headings and table parts
+are never template, nor is an element that holds most of the article's text, so that copies of an article, or paragraphs
+that many articles share, stay.
+
+Roles: a tag (nav, aside, footer, script ..), a role attribute or being hidden decides outright.  A class or id counts
+where the name as a whole says the role (``site-menu`` does, ``has-sidebar`` and ``no-menu`` do not), and a form counts,
+but neither removes the page's content: where every article (or main element) that has text stands in such elements, the
+largest is freed (not from adverts, consent or reader comments); within it, or on a page without any, so is the largest
+such element where what would stay is under a quarter of it.  Inside an article, ``alert`` and ``notice`` are no roles.
 
 Scale: counts are combined map-side; templates are few by construction (each takes ``min_share`` of its host's pages)
 and reach the pages by a join on the host that is broadcast under ``broadcast_rows`` and otherwise left to AQE.
@@ -21,6 +27,7 @@ import html as entities
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -41,25 +48,33 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 SILENT = INLINE | {"script", "style", "template", "noscript"}  # no block of their own
-DROPPED = frozenset("script style noscript template iframe object embed svg canvas math form button select option textarea input label fieldset nav aside footer head title menu dialog audio video map datalist".split())
+DROPPED = frozenset("script style noscript template iframe object embed svg canvas math button select option textarea input label nav aside footer head title menu dialog audio video map datalist".split())
+FORMS = frozenset({"form", "fieldset"})
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social comment comments "
-    "disqus reply replies respond footer masthead toolbar pagination pager skip copyright".split()
+    "sponsor sponsored promo promotion banner popup modal overlay newsletter subscribe "
+    "signup menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social footer masthead toolbar pagination pager skip copyright".split()
+)
+NOTICE_WORDS = frozenset("alert alerts notice notices".split())
+FOREIGN_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense cookie cookies consent gdpr comment comments disqus reply replies respond feedback".split())
+#: Words that leave a role as it is where they stand beside its name.
+PLACE_WORDS = frozenset(
+    "site page main primary secondary global local top bottom left right upper lower inner outer box bar area block section wrapper wrap container content list item items unit slot "
+    "module panel region zone group row col column reader readers user users visitor visitors post article blog footer header links link buttons button text form thread".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th tr figcaption".split())
 
 
 class Node:
-    __slots__ = ("child_hashes", "content", "digest", "dropped", "end", "in_article", "parent", "size", "start", "tag")
+    __slots__ = ("child_hashes", "content", "digest", "dropped", "end", "in_article", "named", "own", "parent", "raw", "size", "start", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, start: int, dropped: bool, content: int):
-        self.tag, self.parent, self.start, self.end, self.dropped, self.content = tag, parent, start, start, dropped, content
-        self.child_hashes, self.size, self.digest = [], 0, 0
+    def __init__(self, tag: str, parent: Node | None, start: int, named: int, content: int):
+        self.tag, self.parent, self.start, self.end, self.named, self.content = tag, parent, start, start, named, content
+        self.child_hashes, self.own, self.raw, self.size, self.digest = [], 0, 0, 0, 0
+        self.dropped = bool(named or (parent and parent.dropped))
         self.in_article = bool(parent and (parent.in_article or parent.content == 3))
 
 
@@ -67,19 +82,39 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)}
 
 
-def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, int]:
-    """(dropped by its role, how strongly it claims to be the content: 3 an article, 2 the main element)"""
-    dropped, content = tag in DROPPED or (tag == "header" and not in_article), {"article": 3, "main": 2}.get(tag, 0)
-    if raw and "=" in raw or "hidden" in raw:
+#: How firmly an element is named: by a class or as a form, as what is never content (adverts, consent, reader comments),
+#: by tag, role or being hidden; 0 where it isn't.
+SOFT, FOREIGN, HARD = 1, 2, 3
+
+
+@lru_cache(maxsize=65536)
+def _name_role(name: str, in_article: bool, paragraph: bool) -> int:
+    """What one class or id says: all its words name a role or a place, and at least one a role."""
+    words = [w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()]
+    roles = ROLE_WORDS if in_article else ROLE_WORDS | NOTICE_WORDS
+    if not in_article and not paragraph:
+        roles = roles | {"header"}
+    if not all(w in roles | NOTICE_WORDS | FOREIGN_WORDS | PLACE_WORDS for w in words):
+        return 0
+    return FOREIGN if any(w in FOREIGN_WORDS for w in words) else SOFT if any(w in roles for w in words) else 0
+
+
+def _role(tag: str, raw: str, in_article: bool) -> tuple[int, int]:
+    """(how firmly it is named, how strongly it claims to be the content: 3 an article, 2 the main element)"""
+    content = {"article": 3, "main": 2}.get(tag, 0)
+    named = SOFT if tag in FORMS else HARD if tag in DROPPED or (tag == "header" and not in_article) else 0
+    if raw and ("=" in raw or "hidden" in raw):
         at = _attributes(raw)
-        names = set(re.split(r"[^a-z0-9]+", f"{at.get('class', '')} {at.get('id', '')}".lower()))
         role = at.get("role", "").lower()
-        hidden = "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "").lower())
         if tag not in ("html", "body"):
-            dropped = dropped or bool(names & ROLE_WORDS) or role in ROLES or bool(hidden) or ("header" in names and not in_article and tag not in PARAGRAPHS)
+            if "hidden" in at or at.get("aria-hidden") == "true" or (role in ROLES and role != "form") or re.search(r"display\s*:\s*none", at.get("style", "").lower()):
+                named = HARD
+            else:
+                names = f"{at.get('class', '')} {at.get('id', '')}".split()
+                named = max([named, SOFT if role == "form" else 0, *(_name_role(x, in_article, tag in PARAGRAPHS) for x in names)])
         if not content:
             content = 3 if role == "article" else 2 if role == "main" else 0
-    return dropped, content
+    return named, content
 
 
 class Page:
@@ -88,7 +123,7 @@ class Page:
     def __init__(self, source: str):
         self.pieces: list[str] = []
         self.nodes: list[Node] = []
-        self.root = self.top = Node("#root", None, 0, False, 0)
+        self.root = self.top = Node("#root", None, 0, 0, 0)
         at, end = 0, len(source)
         while (m := TOKEN.search(source, at)) is not None:
             if m.start() > at:
@@ -114,13 +149,14 @@ class Page:
         while self.top is not self.root:
             self._pop()
         self.root.end = len(self.pieces)
+        self._settle()
 
     def _text(self, s: str) -> None:
         s = entities.unescape(s) if "&" in s else s
         self.pieces.append(s)
         n = len(s) - s.count(" ")
         if n and not s.isspace():
-            self.top.size += n
+            self.top.own += n
             self.top.child_hashes.append(" ".join(s.split()))
 
     def _open(self, tag: str, raw: str) -> None:
@@ -133,12 +169,12 @@ class Page:
         if tag in VOID:
             return
         inside = self.top.in_article or self.top.content == 3
-        dropped, content = _role(tag, raw, inside)
-        if tag in INLINE and not dropped:
+        named, content = _role(tag, raw, inside)
+        if tag in INLINE and not named:
             return
         if tag not in SILENT:
             self.pieces.append(" ")
-        self.top = Node(tag, self.top, len(self.pieces), dropped or self.top.dropped, content)
+        self.top = Node(tag, self.top, len(self.pieces), named, content)
         if raw.endswith("/") and tag in ("svg", "path"):
             self._pop()
 
@@ -150,7 +186,6 @@ class Page:
             up.child_hashes.append(f"<{n.tag}>")
         else:
             up.child_hashes.append(f"{n.digest:x}")
-            up.size += n.size
         n.child_hashes = []
         self.nodes.append(n)
         self.top = up
@@ -181,6 +216,45 @@ class Page:
                 self._pop()
             self._pop()
 
+    def _measure(self) -> None:
+        """What is dropped, by parents first, and each element's text without and (``raw``) with what names a role softly."""
+        every = [*self.nodes, self.root]
+        for n in reversed(every):
+            n.dropped = bool(n.named or (n.parent and n.parent.dropped))
+        for n in every:
+            n.size = n.raw = n.own
+        for n in self.nodes:  # children come before their parents
+            if n.named != HARD:
+                n.parent.raw += n.raw
+            if not n.dropped or n.parent.dropped:
+                n.parent.size += n.size
+
+    def _settle(self) -> None:
+        """Sizes, and the content freed from elements that name a role softly where all of it stands in such."""
+        self._measure()
+        if not any(n.named in (SOFT, FOREIGN) for n in self.nodes):
+            return
+        firm: dict[Node, int] = {self.root: 0}
+        for n in reversed(self.nodes):
+            firm[n] = max(n.named, firm[n.parent])
+        claims = [n for n in self.nodes if n.content and n.raw and firm[n] != HARD]
+        if any(n.size and not n.dropped for n in claims):
+            return
+        best = max((n for n in claims if firm[n] <= SOFT), key=lambda n: (n.content, n.raw), default=None)
+        if best:
+            self._free(best)
+        around = best or (None if claims else self.root)
+        if around and 4 * around.size < around.raw:  # all but a little of it stands in one more such element
+            within = (n for n in self.nodes if n.named == SOFT and not n.parent.dropped and around.start <= n.start and n.end <= around.end)
+            inner = max(within, key=lambda n: n.raw, default=None)
+            if inner and 4 * around.size < inner.raw:
+                self._free(inner)
+
+    def _free(self, n: Node | None) -> None:
+        while n is not None:
+            n.named, n = 0, n.parent
+        self._measure()
+
     def articles(self) -> list[Node]:
         """The outermost articles, or else the outermost main elements, in page order; nothing is kept or deleted for being
         outside them."""

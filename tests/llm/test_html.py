@@ -27,6 +27,21 @@ def test_pages(source, expected):
     assert text(source) == expected
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<div class='has-sidebar'><article><p>body</p></article></div>", "body"), ("<main class='no-menu'><p>body</p></main>", "body"), ("<article class='post comments-open'><p>body</p></article>", "body"),
+        ("<article><p>x</p><div class=alert>mind this</div><div class='reader-feedback'>first!</div></article>", "x mind this"), ("<div class=alert>mind this</div><p>body</p>", "body"), ("<div class='cookie-notice'>we use these and those</div><p>x</p>", "x"),
+        ("<form action=x><main class=menu><p>body</p></main><div class=ad>buy</div></form>", "body"), ("<div class=sidebar><p>all there is</p></div>", "all there is"),
+        ("<div class=sidebar>aside, and at some length</div><p>enough of a body</p>", "enough of a body"), ("<article><p>a</p></article><section class=comments><article><p>no</p></article></section>", "a"),
+        ("<main><div class=widget><p>a</p></div></main><section id=comments><article>no</article></section>", "a"), ("<div class=siteMenu>m</div><div class='site-footer'>f</div><div class='sidebar-2'>s</div><p>q</p>", "q"),
+        ("<div class='comments'><p>only readers speak here</p></div>", ""), ("<nav><article>links</article></nav><p>q</p>", "q"), ("<article class=widget><p>short</p></article><article class=promo><p>the longer one</p></article>", "the longer one"),
+    ],
+)
+def test_roles_never_take_the_content(source, expected):
+    assert text(source) == expected
+
+
 def test_hostile_input_takes_linear_time():
     for s in ("<" * 50_000, "<a " * 20_000, "<div>" * 20_000 + "x", '<p a="' * 5_000, "<!--" * 20_000, "&" * 50_000, "</p>" * 20_000):
         Page(s).text(frozenset())
