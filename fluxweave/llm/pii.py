@@ -11,10 +11,11 @@ The trees are trained in the driver on ``examples()``, a fixed number of generat
 the same DataFrame feature code; only a histogram of bit patterns (at most 2**len(BITS) rows, a few hundred in practice)
 is gathered.  The model becomes a SQL expression, so the corpus is read once, without a shuffle.
 
-Offsets count code points.  Patterns match whole runs (look-behinds stop restarts inside a run, possessive groups
-never recurse), so long texts take linear time.
+Offsets count code points.  Patterns match whole runs however long (no upper bound cuts a secret or an address;
+look-behinds stop restarts inside a run, possessive groups never recurse), so long texts take linear time.
 
-Defined results: null text has no span; repeated rows are judged one by one.
+Defined results: null text has no span; repeated rows are judged one by one; of candidates that tie, the first and then the
+longest stays; input columns ``base`` and ``found`` are replaced by the results.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[{]\x20?at\x20?[)\]}]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,4}",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[{]\x20?at\x20?[)\]}]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?:\x20?[(\[]\.[)\]]\x20?[0-9]{1,3}){3}|[0-9]{1,3}(?:\x20\.\x20?[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{4}[._/][0-9]{6}[._/][0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[1-9][0-9\x20()./-]{7,18}[0-9]|\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5})(?![0-9])",
-    "secret": r"(?i)(?<=(?:token|secret|key|password|passwd|pwd|passphrase)[\x22']?\x20{0,2}[=:]\x20{0,2}[\x22']?)[A-Za-z0-9_+/.!$%-]{6,200}+=*|(?-i:\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abpr]-[A-Za-z0-9-]{10,80})\b)|\b[0-9a-f]{32,64}+\b",
+    "secret": r"(?i)(?<=(?:token|secret|key|password|passwd|pwd|passphrase)[\x22']?\x20{0,2}[=:]\x20{0,2}[\x22']?)[A-Za-z0-9_+/.!$%-]{6,}+=*|(?-i:\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+|xox[abpr]-[A-Za-z0-9-]{10,}+)\b)|\b[0-9a-f]{32,}+\b",
     "id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])",
 }
 #: What a text must contain for any pattern of a kind to match; plain scans that spare most texts the patterns.
@@ -296,15 +297,15 @@ def _train(spark: SparkSession, precision: float) -> Model:
 def detect(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """Adds ``base`` and ``found`` (all spans): array<struct<start, end, kind, match>>."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("_t", text).withColumn("base", base_spans(F.col("_t"))).withColumn("_c", candidates(F.col("_t")))
+    d = docs.withColumn("_pii_text", text).withColumn("base", base_spans(F.col("_pii_text"))).withColumn("_pii_near", candidates(F.col("_pii_text")))
     meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
     holds = lambda x, b: (x["start"] <= b["start"]) & (b["end"] <= x["end"]) & (x["end"] - x["start"] > b["end"] - b["start"])
-    picked = F.filter("_c", lambda x: model.select(x) & ~F.exists("base", lambda b: meets(x, b) & ~(x["kind"].isin("secret", "id") & holds(x, b))))
-    d = d.withColumn("_p", F.transform(picked, lambda x: F.struct(model.score(x["bits"]).alias("score"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    picked = F.filter("_pii_near", lambda x: model.select(x) & ~F.exists("base", lambda b: meets(x, b) & ~(x["kind"].isin("secret", "id") & holds(x, b))))
+    d = d.withColumn("_pii_kept", F.transform(picked, lambda x: F.struct(model.score(x["bits"]).alias("score"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     better = lambda y, x: (y["score"] > x["score"]) | ((y["score"] == x["score"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["end"] > x["end"]))))
-    kept = F.filter("_p", lambda x: ~F.exists("_p", lambda y: meets(x, y) & better(y, x)))
-    extra = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.substr(F.col("_t"), x["start"] + 1, x["end"] - x["start"]).alias("match")))
-    return d.withColumn("found", ordered(F.concat(F.col("base"), extra))).drop("_t", "_c", "_p")
+    kept = F.filter("_pii_kept", lambda x: ~F.exists("_pii_kept", lambda y: meets(x, y) & better(y, x)))
+    extra = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.substr(F.col("_pii_text"), x["start"] + 1, x["end"] - x["start"]).alias("match")))
+    return d.withColumn("found", ordered(F.concat(F.col("base"), extra))).drop("_pii_text", "_pii_near", "_pii_kept")
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -101,3 +102,21 @@ def test_further_kinds_and_short_addresses(spark, model):
     got = {r.doc_id: {x.kind for x in r.found} for r in pii.detect(df, model).collect()}
     assert got == {i: kinds for i, _, kinds in rows}
     assert [r.match for r in pii.detect(df.where("doc_id = 0"), model).select(F.explode("found.match").alias("match")).collect()] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+
+
+def test_long_secrets_and_addresses_are_taken_whole(spark, model):
+    rng = random.Random(3)
+    run = lambda n: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(n))
+    spans = [("token = \"", run(300), "\" end"), ("password: ", run(10_000), " end"), ("use ", "sk-" + run(90), " end"), ("use ", "xoxb-" + run(400), " end"), ("use ", "ghp_" + run(80), " end"),
+             ("hash ", f"{rng.getrandbits(512) | 1 << 511:0128x}", " end"), ("mail ", f"{run(90)}(at){run(70)}[dot]" + "a[dot]" * 6 + "com", " end")]
+    rows = [(i, "".join(s), i, i, i) for i, s in enumerate(spans)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _t long, _c long, _p long")
+    got = {r.doc_id: [x.match for x in r.found] for r in pii.detect(df, model).collect()}
+    assert got == {i: [s[1]] for i, s in enumerate(spans)}
+    out = {r.doc_id: (r.text, r._t) for r in pii.redact(df, model).collect()}
+    assert out == {i: (s[0] + ("[EMAIL]" if i == 6 else "[SECRET]") + s[2], i) for i, s in enumerate(spans)}
+
+
+def test_long_runs_take_linear_time(spark, model):
+    rows = [(i, t) for i, t in enumerate(["a" * 200_000 + " at b.", "x@" + "y" * 200_000, "a at " + "b dot " * 20_000, "0" * 200_000, "key=" + "k" * 200_000, "sk-" * 60_000])]
+    assert pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).select(F.sum(F.size("found"))).first()[0] is not None
