@@ -889,37 +889,92 @@ def swarm_volume_integral(spark, sf_dir):
     return _rounded(swarm_remap(swarm, goal, ["price"], 2, basis="linear", estimator="operator_regression", operator=particles.integral_operator(domain, 2, "linear")), "price")
 
 
+def _ramps(pairs: list[str]) -> str:
+    return " * ".join(_ramp(f"({z})") for z in pairs)
+
+
+@query(
+    f"""WITH {q.customers(0.0625)}, {q.suppliers(0.0625)}, c AS (SELECT id, x, y, v, id % 3 AS kind, CASE WHEN id % 2 = 0 THEN h ELSE 1.5::DOUBLE * h END AS h FROM cu),
+    d AS (SELECT su.id AS tgt_id, c.v, kind, (su.x - c.x) / c.h AS a, (su.y - c.y) / c.h AS b, (su.x - c.x) / 0.05::DOUBLE AS fa, (su.y - c.y) / 0.05::DOUBLE AS fb FROM su JOIN c ON abs(su.x - c.x) < 2 * c.h AND abs(su.y - c.y) < 2 * c.h),
+    k AS (SELECT *, sqrt(a * a + b * b) AS r FROM d),
+    pw AS (SELECT tgt_id, v, CASE kind WHEN 0 THEN {q.b4("r")} WHEN 1 THEN (1 - a * a * 0.25::DOUBLE) * (1 - b * b * 0.25::DOUBLE) ELSE {_ramps(["fa", "-fa", "fb", "-fb"])} END AS w FROM k)
+    SELECT su.id, {q.r("coalesce(CASE WHEN sum(w) <> 0 THEN sum(w * pw.v) / sum(w) ELSE 0.0 END, 0.0)")} AS v FROM su LEFT JOIN pw ON tgt_id = su.id GROUP BY su.id"""
+)
+def swarm_mixed_kernels(spark, sf_dir):
+    """One swarm of three kernels, three geometries and two lengths, scattered in one plan."""
+    s, t = _swarms(spark, sf_dir)
+    kind = F.col("id") % 3
+    facets = F.array(*[F.array(F.lit(a), F.lit(b), F.lit(0.05)) for a, b in ((-1.0, 0.0), (0.0, -1.0), (0.0, 1.0), (1.0, 0.0))])
+    length = {h: F.when(F.col("id") % 2 == 0, F.col(h)).otherwise(1.5 * F.col(h)) for h in ("hx", "hy")}
+    kernel = F.when(kind == 0, "b4").when(kind == 1, "epanechnikov").otherwise("polyramp")
+    geometry = F.when(kind == 0, "elliptic").when(kind == 1, "tensor").otherwise("faceted")
+    return _rounded(swarm_remap(s.withColumns({**length, "kernel": kernel, "geometry": geometry, "facets": facets}), t, ["v"], 2, geometry="own", center="scatter"), "v")
+
+
+@query(
+    f"""WITH {q.polygon_sizes()}, {q.polygon_mesh('s', 'n')}, {q.suppliers(0.0625)}, once AS (SELECT least(na, nb) AS lo, greatest(na, nb) AS hi, count(*) AS cells FROM s_side GROUP BY 1, 2),
+    f AS (SELECT s.id, cx, cy, (ey - ay) / sqrt(pow(ex - ax, 2) + pow(ey - ay, 2)) AS nx, (ax - ex) / sqrt(pow(ex - ax, 2) + pow(ey - ay, 2)) AS ny, (ax + ex) / 2 AS fx, (ay + ey) / 2 AS fy, CASE WHEN cells = 1 THEN 0.75::DOUBLE ELSE 1.0 END AS share
+      FROM s_side s JOIN once ON lo = least(na, nb) AND hi = greatest(na, nb)),
+    h AS (SELECT *, share * 2 * ((fx - cx) * nx + (fy - cy) * ny) AS h FROM f),
+    box AS (SELECT id, any_value(cx) AS cx, any_value(cy) AS cy, max(ax) - min(ax) AS wide, max(ay) - min(ay) AS high FROM s_side GROUP BY id),
+    near AS (SELECT su.id AS tgt_id, su.x, su.y, box.id FROM su JOIN box ON abs(su.x - cx) < 4 * wide AND abs(su.y - cy) < 4 * high),
+    along AS (SELECT tgt_id, id, ((x - cx) * nx + (y - cy) * ny) / h AS z FROM near JOIN h USING (id)), pw AS (SELECT tgt_id, id, product({_ramp("z")}) AS w FROM along GROUP BY tgt_id, id),
+    cv AS (SELECT c.id, v FROM s_cell c JOIN s_node n ON n.id = ns[1])
+    SELECT su.id, {q.shifted("coalesce(CASE WHEN sum(w) <> 0 THEN sum(w * cv.v) / sum(w) ELSE 0.0 END, 0.0)")} AS v FROM su LEFT JOIN pw ON tgt_id = su.id LEFT JOIN cv ON cv.id = pw.id GROUP BY su.id"""
+)
+def swarm_polygon_facets(spark, sf_dir):
+    """Polygon cells as faceted particles, with shorter supports across the mesh's boundary, scattered to the suppliers."""
+    (nodes, mesh), _ = _polygons(spark, sf_dir)
+    value = mesh.select("id", F.element_at("nodes", 1).alias("node")).join(nodes.select(F.col("id").alias("node"), "v"), "node").select("id", "v")
+    swarm = particles.facets_of_cells(mesh, particles.polygon_faces(mesh), 2, boundary_factor=0.75).join(value, "id")
+    t = tables.supplier_swarm(spark, sf_dir, 0.0625)
+    return _shifted(swarm_remap(swarm, t, ["v"], 2, kernel="polyramp", geometry="faceted", center="scatter"), "v")
+
+
+#: Arguments of kernels: the quantities of lineitem, from -2.4 to 2.5 (or off those by half a step), in groups by line number.
+_ARGUMENTS = "SELECT l_linenumber AS id, (l_quantity - {}) / 10 AS x FROM lineitem"
+
+
+def _arguments(spark: SparkSession, sf_dir: str, middle: float) -> DataFrame:
+    return tables.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("id"), ((F.col("l_quantity") - middle) / 10).alias("x"))
+
+
+def _kernel_sums(df: DataFrame, values: dict[str, Column], digits: int) -> DataFrame:
+    return _shifted(df.groupBy("id").agg(*[F.sum(v).alias(k) for k, v in values.items()]), *values, digits=digits)
+
+
 def _kernel_sql() -> str:
     a = "abs(x)"
-    return f"""WITH p AS (SELECT k AS id, k / 16::DOUBLE AS x FROM (SELECT unnest(range(-40, 41)) AS k))
-    SELECT id, {q.r(q.b4(a))} AS b4, {q.r(f"CASE WHEN {a} < 2 THEN 0.375::DOUBLE * (1 - x * x * 0.25::DOUBLE) ELSE 0.0 END")} AS epanechnikov, {q.r(f"CASE WHEN {a} <= 2 THEN 1.0 ELSE 0.0 END")} AS square,
-      {q.r("CASE WHEN x < 0 THEN 1.0 WHEN x <= 1 THEN (1.5::DOUBLE - x) / 1.5::DOUBLE WHEN x < 2 THEN (2 - 2 * x + 0.5::DOUBLE * x * x) / 1.5::DOUBLE ELSE 0.0 END")} AS polyramp, {q.r("CASE WHEN x <= 2 THEN 1.0 ELSE 0.0 END")} AS step FROM p"""
+    total = lambda e: q.shifted(f"sum({e})", 6)
+    return f"""WITH p AS ({_ARGUMENTS.format("25")})
+    SELECT id, {total(q.b4(a))} AS b4, {total(f"CASE WHEN {a} < 2 THEN 0.375::DOUBLE * (1 - x * x * 0.25::DOUBLE) ELSE 0.0 END")} AS epanechnikov, {total(f"CASE WHEN {a} <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")} AS square,
+      {total(_ramp("x"))} AS polyramp, {total("CASE WHEN x <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")} AS step FROM p GROUP BY id"""
 
 
 @query(_kernel_sql())
 def kernel_values(spark, sf_dir):
-    p = spark.range(-40, 41).withColumn("x", F.col("id") / 16.0)
-    return p.select("id", *[_r(kernels.kernel(k, F.col("x"))).alias(k) for k in ("b4", "epanechnikov", "square", "polyramp", "step")])
+    return _kernel_sums(_arguments(spark, sf_dir, 25.0), {k: kernels.kernel(k, F.col("x")) for k in ("b4", "epanechnikov", "square", "polyramp", "step")}, 6)
 
 
 def _slope_sql() -> str:
     a, sign = "abs(x)", "sign(x)"
-    return f"""WITH p AS (SELECT k AS id, (k + 0.5::DOUBLE) / 16 AS x FROM (SELECT unnest(range(-40, 40)) AS k))
-    SELECT id, {q.r(f"CASE WHEN {a} <= 1 THEN -3 * x + 2.25::DOUBLE * x * {a} WHEN {a} < 2 THEN -0.75::DOUBLE * pow(2 - {a}, 2) * {sign} ELSE 0.0 END")} AS b4,
-      {q.r(f"CASE WHEN {a} < 2 THEN -0.1875::DOUBLE * x ELSE 0.0 END")} AS epanechnikov,
-      {q.r(f"CASE WHEN {a} < 2 THEN {sign} * (1.5::DOUBLE * {a} * {a} - {a} - 2) / pow({a}, 1.5::DOUBLE) ELSE 0.0 END")} AS invsqrt, {q.r(f"-{sign} / (x * x)")} AS coulomb FROM p"""
+    total = lambda e: q.shifted(f"sum({e})", 6)
+    return f"""WITH p AS ({_ARGUMENTS.format("25.5::DOUBLE")})
+    SELECT id, {total(f"CASE WHEN {a} <= 1 THEN -3 * x + 2.25::DOUBLE * x * {a} WHEN {a} < 2 THEN -0.75::DOUBLE * pow(2 - {a}, 2) * {sign} ELSE 0.0 END")} AS b4,
+      {total(f"CASE WHEN {a} < 2 THEN -0.1875::DOUBLE * x ELSE 0.0 END")} AS epanechnikov,
+      {total(f"CASE WHEN {a} < 2 THEN {sign} * (1.5::DOUBLE * {a} * {a} - {a} - 2) / pow({a}, 1.5::DOUBLE) ELSE 0.0 END")} AS invsqrt, {total(f"-{sign} / (x * x)")} AS coulomb FROM p GROUP BY id"""
 
 
 @query(_slope_sql())
 def kernel_slopes(spark, sf_dir):
-    p = spark.range(-40, 40).withColumn("x", (F.col("id") + 0.5) / 16.0)
-    return p.select("id", *[_r(kernels.kernel(k, F.col("x"), 1)).alias(k) for k in ("b4", "epanechnikov", "invsqrt", "coulomb")])
+    return _kernel_sums(_arguments(spark, sf_dir, 25.5), {k: kernels.kernel(k, F.col("x"), 1) for k in ("b4", "epanechnikov", "invsqrt", "coulomb")}, 6)
 
 
 @query(
-    f"""WITH p AS (SELECT k AS id, k / 16::DOUBLE AS x FROM (SELECT unnest(range(-40, 41)) AS k)), e AS (SELECT id, greatest(x, -2.0) AS x FROM p)
-    SELECT id, round(CASE WHEN x >= 2 THEN 1.0 ELSE (CASE WHEN x <= -1 THEN pow(2 + x, 4) / 16 WHEN x <= 0 THEN 0.75::DOUBLE + x - pow(x, 3) / 2 - 3 * pow(x, 4) / 16 WHEN x <= 1 THEN 0.75::DOUBLE + x - pow(x, 3) / 2 + 3 * pow(x, 4) / 16 ELSE 1.5::DOUBLE - pow(2 - x, 4) / 16 END) / 1.5::DOUBLE END, 9) AS share FROM e"""
+    f"""WITH p AS ({_ARGUMENTS.format("25")}), each AS (SELECT DISTINCT x FROM p), piece AS (SELECT x, k::DOUBLE AS a, least(x, k + 1) AS b FROM each, (SELECT unnest([-2, -1, 0, 1]) AS k) WHERE x > k),
+    simpson AS (SELECT x, sum((b - a) / 6 * (({q.b4("abs(a)")}) + 4 * ({q.b4("abs((a + b) / 2)")}) + ({q.b4("abs(b)")}))) / 1.5::DOUBLE AS share FROM piece GROUP BY x)
+    SELECT id, {q.shifted("sum(coalesce(share, 0.0))", 8)} AS share FROM p LEFT JOIN simpson USING (x) GROUP BY id"""
 )
 def kernel_integral(spark, sf_dir):
-    p = spark.range(-40, 41).withColumn("x", F.col("id") / 16.0)
-    return p.select("id", F.round(kernels.b4_integral(F.col("x")), 9).alias("share"))
+    """Shares of the cubic B-spline below each argument; the SQL integrates the kernel by Simpson's rule, exact for cubics."""
+    return _kernel_sums(_arguments(spark, sf_dir, 25.0), {"share": kernels.b4_integral(F.col("x"))}, 8)

@@ -10,23 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes
-from ..functions.kernels import basis, basis_size, faceted_weight, weight
+from ..functions.kernels import basis, basis_size, faceted_weight, own_weight, weight
+from ..sources import topology
 from .search import point_pairs
 
 
 def pair_weights(target: DataFrame, source: DataFrame, dim: int, *, kernel_name: str = "b4", geometry: str = "elliptic", center: str = "gather", scale: float = 2.0, closed: bool = False) -> DataFrame:
     """(tgt_id, src_id, w, d{x,y,z}): unnormalised kernel weights of all pairs in reach; d is target minus source.
 
-    Particles have columns x.., hx..; a faceted side also has ``facets``.
+    Particles have columns x.., hx..; a faceted side also has ``facets``.  With geometry ``own``, each particle of the side
+    that the weights are centred on has its kernel, its geometry (columns ``kernel`` and ``geometry``) and its lengths.
     """
     side = "t_" if center == "gather" else "s_"
-    extra = ["facets"] if geometry == "faceted" else []
+    facets = geometry == "faceted" or (geometry == "own" and "facets" in (target if center == "gather" else source).columns)
+    extra = [*(["facets"] if facets else []), *(["kernel", "geometry"] if geometry == "own" else [])]
     keep_t = [*axes(dim), *(["h" + a for a in axes(dim)] if center == "gather" else []), *(extra if center == "gather" else [])]
     keep_s = [*axes(dim), *(["h" + a for a in axes(dim)] if center == "scatter" else []), *(extra if center == "scatter" else [])]
     met = point_pairs(target, source, dim, center=center, scale=scale, closed=closed, keep_target=keep_t, keep_source=keep_s)
     t, s = [F.col("t_" + a) for a in axes(dim)], [F.col("s_" + a) for a in axes(dim)]
-    if geometry == "faceted":
-        mine, other = (t, s) if center == "gather" else (s, t)
+    mine, other = (t, s) if center == "gather" else (s, t)
+    if geometry == "own":
+        w = own_weight(F.col(side + "kernel"), F.col(side + "geometry"), t, s, [F.col(side + "h" + a) for a in axes(dim)], mine, other, F.col(side + "facets") if facets else None)
+    elif geometry == "faceted":
         w = faceted_weight(kernel_name, mine, other, F.col(side + "facets"))
     else:
         w = weight(geometry, kernel_name, t, s, [F.col(side + "h" + a) for a in axes(dim)])
@@ -129,6 +134,14 @@ def box_faces(mesh: DataFrame, n: Sequence[int]) -> DataFrame:
     return mesh.select("id", F.explode(F.array(*rows)).alias("f")).select("id", "f.*")
 
 
+def polygon_faces(mesh: DataFrame) -> DataFrame:
+    """Faces of a polygon mesh (of ``topology.polygon_cells``) for ``facets_of_cells``: each inner face once a side."""
+    f = topology.faces(mesh).withColumn("is_exterior", F.col("right").isNull())
+    side = lambda cell, sign: F.struct(F.col(cell).alias("id"), (sign * F.col("nx")).alias("nx"), (sign * F.col("ny")).alias("ny"))
+    both = F.when(F.col("is_exterior"), F.array(side("left", 1.0))).otherwise(F.array(side("left", 1.0), side("right", -1.0)))
+    return f.select(F.col("x").alias("fx"), F.col("y").alias("fy"), "is_exterior", F.explode(both).alias("s")).select("s.*", "fx", "fy", "is_exterior")
+
+
 def scale_facets_at_jumps(particles: DataFrame, neighbours: DataFrame, field: str, tolerance: float, factor: float) -> DataFrame:
     """Field-aware supports: h of the facet (by position) towards a neighbour whose field differs by more than the tolerance is scaled.
 

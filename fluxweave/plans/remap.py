@@ -120,7 +120,10 @@ def remap(source: DataFrame, target: DataFrame, fields: Sequence[str] | dict[str
 def swarm_remap(source: DataFrame, target: DataFrame, fields: Sequence[str] | dict[str, str], dim: int, *, kernel: str = "b4", geometry: str = "elliptic", center: str = "gather",
                 estimator: str = "local_regression", basis: str = "unitary", operator: DataFrame | None = None, derivative: int = 0, part: str | None = None, part_tolerance: float = 0.0,
                 scale: float = 2.0, closed: bool = False) -> DataFrame:
-    """Particles to particles: kernel pairs, one regression per target, then weighted sums of every field."""
+    """Particles to particles: kernel pairs, one regression per target, then weighted sums of every field.
+
+    Geometry ``own`` takes kernel, geometry, lengths and facets of each particle from its row (``pair_weights``).
+    """
     if geometry == "faceted" and kernel not in ("polyramp", "step"):
         raise ValueError("faceted supports take the polyramp or step kernel")
     names = list(fields)

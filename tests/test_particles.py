@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fluxweave.functions import kernels
 from fluxweave.operators import particles
 from fluxweave.plans.remap import mesh_swarm_mesh, swarm_remap
-from fluxweave.sources import meshes
+from fluxweave.sources import meshes, topology
 from fluxweave.sources import particles as swarms
 
 
@@ -118,3 +118,49 @@ def test_wrong_choices_are_refused(spark):
         swarm_remap(s, s, [], 2, geometry="faceted")
     with pytest.raises(ValueError):
         swarm_remap(s, s, [], 2, part="p")
+
+
+@pytest.mark.parametrize("center", ["gather", "scatter"])
+def test_particles_of_any_kernel_in_one_swarm(spark, center):
+    """Each particle's own kernel and geometry gives what the runs with one kernel give for it."""
+    s = with_h(swarms.cartesian(spark, [0, 0], [1, 1], [7, 7], perturb=0.2), 2, 0.2).withColumn("v", F.col("x") + 2 * F.col("y")).persist()
+    t = with_h(swarms.cartesian(spark, [0.1, 0.1], [0.9, 0.9], [5, 5]), 2, 0.2)
+    kinds = [("b4", "elliptic"), ("epanechnikov", "tensor"), ("polyramp", "faceted"), ("square", "elliptic"), ("step", "faceted")]
+    facets = F.array(*[F.array(F.lit(a), F.lit(b), F.lit(0.15)) for a, b in ((-1.0, 0.0), (0.0, -1.0), (0.0, 1.0), (1.0, 0.0))])
+    pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
+    give = lambda df: df.withColumns({"kernel": pick(0), "geometry": pick(1), "facets": facets})
+    a, b = (give(t), s) if center == "gather" else (t, give(s))
+    got = {(r.tgt_id, r.src_id): r.w for r in particles.pair_weights(a, b, 2, geometry="own", center=center).collect()}
+    want = {}
+    for i, (k, g) in enumerate(kinds):
+        one = particles.pair_weights(*(x.where(f"id % {len(kinds)} = {i}") if x is (a if center == "gather" else b) else x for x in (a, b)), 2, kernel_name=k, geometry=g, center=center)
+        want |= {(r.tgt_id, r.src_id): r.w for r in one.collect()}
+    assert got == want
+    assert len(got) > 100
+
+
+def test_unnamed_kernels_have_defaults_and_unknown_ones_raise(spark):
+    s = with_h(swarms.cartesian(spark, [0, 0], [1, 1], [5, 5]), 2, 0.3).withColumn("v", F.col("x"))
+    t = with_h(swarms.cartesian(spark, [0.2, 0.2], [0.8, 0.8], [3, 3]), 2, 0.3)
+    null = F.lit(None).cast("string")
+    own = swarm_remap(s, t.withColumns({"kernel": null, "geometry": null}), ["v"], 2, basis="linear", geometry="own")
+    assert {r.id: r.v for r in own.collect()} == pytest.approx({r.id: r.v for r in swarm_remap(s, t, ["v"], 2, basis="linear").collect()})
+    with pytest.raises(Exception, match="no weight of kernel and geometry b4 faceted"):
+        swarm_remap(s, t.withColumns({"kernel": F.lit("b4"), "geometry": F.lit("faceted")}), ["v"], 2, geometry="own").collect()
+
+
+def test_facets_of_polygon_cells(spark):
+    """Triangles and a pentagon: unit normals outward, h twice the distance to the face, the boundary factor on outer faces."""
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 2.0, 2.0), (3, 1.0, 3.0), (4, 0.0, 2.0), (5, 4.0, 1.0)], "id long, x double, y double")
+    cells = spark.createDataFrame([(0, [0, 1, 2, 3, 4]), (1, [1, 5, 2])], "id long, nodes array<long>")
+    mesh = topology.polygon_cells(nodes, cells).persist()
+    got = {r.id: r for r in particles.facets_of_cells(mesh, particles.polygon_faces(mesh), 2, factor=1.5, boundary_factor=0.5).collect()}
+    assert [len(got[i].facets) for i in (0, 1)] == [5, 3]
+    rings = {0: [(0, 0), (2, 0), (2, 2), (1, 3), (0, 2)], 1: [(2, 0), (4, 1), (2, 2)]}
+    for i, r in got.items():
+        for nx, ny, h in r.facets:
+            assert nx * nx + ny * ny == pytest.approx(1)
+            ends = max(nx * (x - r.x) + ny * (y - r.y) for x, y in rings[i])
+            inner = (i, round(nx), round(ny)) in {(0, 1, 0), (1, -1, 0)} and abs(ny) < 1e-12
+            assert h == pytest.approx(2 * ends * (1.5 if inner else 0.5))
+    assert (got[0].hx, got[0].hy, got[1].hx) == (6.0, 9.0, 6.0)
