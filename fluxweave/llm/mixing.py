@@ -4,10 +4,12 @@ The domains and their priors are those of all rows.  A multinomial classifier ov
 labelled table (about ``max_train`` of them, chosen by a hash of the id, and at least about ``min_train`` of each domain
 that has them; a domain without labelled rows is learned from rows of its own), predicts each document's domain posteriors; evidence is tempered to ``evidence`` words,
 so long texts keep soft memberships.  Document rates r >= 0 then solve a least-squares fit of the expected domain
-totals sum(r * tokens * posterior) to the targets by projected gradient steps.  The first step solves the problem
-without the bound; the others are accelerated projected gradient steps of the least squares (in the metric of the
-tokens, with the largest eigenvalue of the posteriors' Gram matrix as their Lipschitz constant, restarted where the
-distance grows), until the targets are met or rates move by less than ``still`` (root mean square by tokens); ``converged`` and ``residual`` say how it ended.
+totals sum(r * tokens * posterior) to the targets by accelerated projected gradient steps from rates of 1 (in the metric of
+the tokens, with the largest eigenvalue of the posteriors' Gram matrix as their Lipschitz constant, restarted where the
+distance grows), until the targets are met or rates move by less than ``still`` (root mean square by tokens).  With
+``relative`` a domain's distance counts relative to the root of its tokens, so that rare domains are met in as few steps
+as frequent ones.  ``converged`` and ``residual`` say how it ended, and ``optimality`` is how far (root mean square by
+tokens) one more plain projected step would move the rates: 0 at the best ones.
 Each step is one distributed sum of a few numbers.  A document's rate follows from its own posteriors and the list of
 steps, so no state is kept per document.
 
@@ -46,6 +48,8 @@ class Model:
     steps: list[tuple[np.ndarray, float]] = field(default_factory=list)  # what posteriors are multiplied with, and the momentum
     converged: bool = True
     residual: float = 0.0  # the largest distance to a target, of the total
+    optimality: float = 0.0  # how far a projected step still moves the rates
+    slope: np.ndarray | None = None  # that step: what posteriors are multiplied with
 
     def posteriors(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
         """(words, posteriors) of each row."""
@@ -126,7 +130,7 @@ def memberships(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
 
 
 def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | None = None, total: float | None = None, flatten: float = 0.7, keep_all: bool = True,
-              max_steps: int = 60, tolerance: float = 1e-6, still: float = 1e-4) -> Model:
+              relative: bool = False, max_steps: int = 60, tolerance: float = 1e-6, still: float = 1e-4) -> Model:
     """The model with the steps that bring the expected domain totals to the targets (shares by domain, times total).
 
     A given total sets rates of at least 0, as ``keep_all=False`` does.  A target without a domain is an error.
@@ -138,7 +142,7 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
     model.floor = 1.0 if keep_all and total is None else 0.0
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, gram, moved = np.zeros(k), np.zeros((k, k)), 0.0
+        reached, gram, moved, left = np.zeros(k), np.zeros((k, k)), 0.0, 0.0
         for batch in batches:
             n = batch.column("n").to_numpy().astype(float)
             p = batch.column("p").flatten().to_numpy().reshape(len(n), k)
@@ -146,17 +150,19 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
             reached += (r * n) @ p
             gram += (p * n[:, None]).T @ p
             moved += float(n @ (r - before) ** 2)
-        yield pa.RecordBatch.from_arrays([pa.array([[*reached, *gram.ravel(), moved]], pa.list_(pa.float64()))], ["v"])
+            if model.slope is not None:
+                left += float(n @ (r - np.maximum(model.floor, r - p @ model.slope)) ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array([[*reached, *gram.ravel(), moved, left]], pa.list_(pa.float64()))], ["v"])
 
-    def gathered() -> tuple[np.ndarray, np.ndarray, float]:
+    def gathered() -> tuple[np.ndarray, np.ndarray, float, float]:
         each = F.posexplode("v").alias("i", "x")
-        v = np.zeros(k + k * k + 1)
+        v = np.zeros(k + k * k + 2)
         for r in members.transform(map_arrow, sums, "v array<double>").select(each).groupBy("i").agg(F.sum("x").alias("x")).collect():
             v[r.i] = r.x
-        return v[:k], v[k:-1].reshape(k, k), v[-1]
+        return v[:k], v[k:-2].reshape(k, k), v[-2], v[-1]
 
-    model.steps = []
-    reached, gram, _ = gathered()
+    model.steps, model.slope = [], None
+    reached, gram, _, _ = gathered()
     if reached.sum() <= 0:
         return model
     tokens = reached.sum()
@@ -168,14 +174,14 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
     if total is None:
         total = max(reached[i] / share[i] for i in range(k) if share[i] > 0) if keep_all else tokens
     goal = share * total
-    lipschitz = np.linalg.eigvalsh(gram)[-1]
-    model.steps.append((np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k)) @ (reached - goal), 0.0))
-    reached, _, _ = gathered()
-    before, pace, best = reached, 1.0, np.inf
+    weight = 1 / np.maximum(reached, 1e-9 * tokens) if relative else np.ones(k)
+    lipschitz = np.linalg.eigvalsh(gram * np.sqrt(np.outer(weight, weight)))[-1]
+    before, pace, best, moved = reached, 1.0, np.inf, np.inf
     for step in range(max_steps + 1):
-        distance = np.linalg.norm(reached - goal)
+        distance = np.linalg.norm((reached - goal) * np.sqrt(weight))
         model.residual = float(np.abs(reached - goal).max() / total)
-        model.converged = model.residual <= tolerance
+        # the targets are met, or the rates are as near as their bound lets them come
+        model.converged = model.residual <= tolerance or moved <= still**2 * tokens
         if model.converged or step == max_steps:
             break
         if distance > best:
@@ -184,13 +190,11 @@ def fit_rates(members: DataFrame, model: Model, *, targets: dict[str, float] | N
         momentum = (pace - 1) / faster
         best, pace = distance, faster
         ahead = reached + momentum * (reached - before)
-        model.steps.append(((ahead - goal) / lipschitz, momentum))
+        model.steps.append((weight * (ahead - goal) / lipschitz, momentum))
         before = reached
-        reached, _, moved = gathered()
-        if moved <= still**2 * tokens:  # as near as the bound on the rates lets it come
-            model.converged = True
-            model.residual = float(np.abs(reached - goal).max() / total)
-            break
+        reached, _, moved, _ = gathered()
+    model.slope = weight * (reached - goal) / lipschitz
+    model.optimality = math.sqrt(gathered()[3] / tokens)
     return model
 
 

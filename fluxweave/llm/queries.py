@@ -38,8 +38,8 @@ def mixing_model(docs: DataFrame, labels: DataFrame, **options) -> mixing.Model:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = mixing_model(docs, table(spark, sf_dir, "labels"), keep_all=False)
-    return mixing.mix(docs, model).withColumns({"converged": F.lit(model.converged), "residual": F.lit(model.residual)})
+    model = mixing_model(docs, table(spark, sf_dir, "labels"), keep_all=False, flatten=0.0, relative=True)  # each domain the same share
+    return mixing.mix(docs, model).withColumns({"converged": F.lit(model.converged), "residual": F.lit(model.residual), "optimality": F.lit(model.optimality), "n_steps": F.lit(len(model.steps))})
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:

@@ -135,3 +135,40 @@ def test_targets_out_of_reach_end_at_the_bound(tables):
     free = (n > 0) & ((slope < 0) | (r > 0))
     assert np.abs(slope[free] * n[free]).max() < 0.02 * 500 * n.max()
     assert model.residual > 0
+
+
+def best_rates(p, n, goal, weight, steps=200_000):
+    """A long plain projected descent of the weighted least squares, in the metric of the tokens."""
+    r, length = np.ones(len(n)), np.linalg.eigvalsh((p * n[:, None]).T @ p * np.sqrt(np.outer(weight, weight))).max()
+    for _ in range(steps):
+        new = np.maximum(0, r - p @ (weight * ((r * n) @ p - goal)) / length)
+        if np.abs(new - r).max() < 1e-12:
+            break
+        r = new
+    return r
+
+
+def test_uniform_targets_take_projected_steps(tables):
+    docs, labels = tables
+    model = fitted(docs, labels, keep_all=False, flatten=0.0, relative=True)
+    rows = mixing.mix(docs, model).collect()
+    got = totals(rows, np.array([r.rate for r in rows]))
+    assert got == pytest.approx(np.full(3, sum(r.n_tokens for r in rows) / 3), rel=1e-3)
+    assert len(model.steps) > 1
+    assert model.converged
+    assert model.optimality < 1e-3
+
+
+def test_some_rates_end_at_zero(tables):
+    """A target of nothing for a domain puts its documents at 0; a long plain descent comes no nearer."""
+    docs, labels = tables
+    model = fitted(docs, labels, targets={"en": 0.0, "de": 1.0, "fr": 1.0}, keep_all=False, relative=True)
+    rows = [r for r in mixing.mix(docs, model).collect() if r.n_tokens]
+    p, n, rate = np.array([r.posteriors for r in rows]), np.array([r.n_tokens for r in rows], float), np.array([r.rate for r in rows])
+    start = n @ p
+    goal = np.array([0.5 * n.sum() * (d != "en") for d in model.domains])
+    want = best_rates(p, n, goal, 1 / start)
+    distance = lambda r: np.linalg.norm(((r * n) @ p - goal) / np.sqrt(start))
+    assert distance(rate) <= distance(want) + 1e-2 * distance(np.ones(len(n)))
+    assert (rate == 0).sum() > len(rows) / 4
+    assert model.optimality < 1e-3
