@@ -683,6 +683,54 @@ def momentum_staggered(spark, sf_dir):
     return _rounded(momentum.remap_sgh(s, mass, nodes, t, _near(s, N), _near(t, M), momentum.box_corners(t, [M, M]), 2), "mass", "ux", "uy", keys=("node",))
 
 
+_CORNER_MOM = f"""{_POLYGONS}, {q.wedge_overlaps()}, {q.corners("s")}, {q.corners("t")},
+    sm AS (SELECT m.id, cx, cy, vol, any_value(m.id % 7 + 1)::DOUBLE AS density, sum((m.id % 7 + 1) * part * n.x) / vol AS px, sum((m.id % 7 + 1) * part * (n.x - n.y)) / vol AS py
+      FROM s_middle m JOIN s_corner c ON c.cell = m.id JOIN s_node n ON n.id = c.node GROUP BY m.id, cx, cy, vol)"""
+
+
+def _corner_mass(spark, sf_dir):
+    """(source, target, corners with a mass, node velocities) of the polygon meshes from lineitem."""
+    (nodes, source), (_, target) = _polygons(spark, sf_dir)
+    mass = momentum.polygon_corners(source).withColumn("mass", (F.col("id") % 7 + 1) * F.col("vol"))
+    return source, target, mass, nodes.select(F.col("id").alias("node"), F.col("x").alias("ux"), (F.col("x") - F.col("y")).alias("uy"))
+
+
+_MOMENTA = ["density", "px", "py"]
+
+
+@query(f"""WITH {_CORNER_MOM}, {q.cell_slopes("s", "sm", _MOMENTA, "g")},
+    tm AS (SELECT m.id, m.cx, m.cy, {", ".join(f"sum(m0 * {f} + gx_{f} * (m1x - sm.cx * m0) + gy_{f} * (m1y - sm.cy * m0)) / sum(m0) AS {f}" for f in _MOMENTA)} FROM ov JOIN sm ON sm.id = src_cell JOIN g ON g.id = src_cell JOIN t_middle m ON m.id = tgt_cell GROUP BY m.id, m.cx, m.cy),
+    {q.cell_slopes("t", "tm", _MOMENTA, "h")},
+    nd AS (SELECT node, {", ".join(f"sum(part * ({f} + gx_{f} * (x - cx) + gy_{f} * (y - cy))) AS {f}" for f in _MOMENTA)} FROM t_corner c JOIN tm ON tm.id = c.cell JOIN h ON h.id = c.cell GROUP BY node)
+    SELECT node, {q.shifted("density", 7)} AS mass, {q.shifted("px / density", 6)} AS ux, {q.shifted("py / density", 6)} AS uy FROM nd""")
+def momentum_polygon_staggered(spark, sf_dir):
+    """Corner masses and node velocities between two polygon meshes, second order on both sides."""
+    s, t, mass, velocity = _corner_mass(spark, sf_dir)
+    got = momentum.remap_sgh(s, mass, velocity, t, materialize(topology.cell_neighbours(s)), materialize(topology.cell_neighbours(t)), momentum.polygon_corners(t), 2, limiter="nolimiter")
+    return _shifted(got, "mass", digits=7, keys=("node",)).join(_shifted(got, "ux", "uy", digits=6, keys=("node",)), "node")
+
+
+@query(f"""WITH {_CORNER_MOM} SELECT tgt_node AS node, src_cell % 3 AS mat, {q.shifted("sum(m0)", 9)} AS volume, {q.shifted("sum(m0 * density)", 8)} AS mass, {q.shifted("sum(m0 * px)", 8)} AS momentum_x, {q.shifted("sum(m0 * py)", 8)} AS momentum_y
+    FROM ov JOIN sm ON sm.id = src_cell GROUP BY ALL""")
+def momentum_corner_materials(spark, sf_dir):
+    """Masses and momenta a material at the nodes of a polygon mesh, from corners a material; first order."""
+    s, t, mass, velocity = _corner_mass(spark, sf_dir)
+    held = s.withColumn("mat", F.col("id") % 3)
+    corners, _ = momentum.remap_sgh_materials(mass.withColumn("mat", F.col("id") % 3), velocity, held.withColumnRenamed("vol", "volume"), held, t)
+    got = corners.groupBy("node", "mat").agg(*[F.sum(c).alias(c) for c in ("volume", "mass", "momentum_x", "momentum_y")])
+    return _shifted(got, "volume", digits=9, keys=("node", "mat")).join(_shifted(got, "mass", "momentum_x", "momentum_y", digits=8, keys=("node", "mat")), ["node", "mat"])
+
+
+@query(f"""WITH {_CORNER_MOM} SELECT tgt_cell AS id, {q.shifted("sum(m0 * density)", 8)} AS mass, {q.shifted("sum(m0 * density * (src_cell % 5)) / sum(m0 * density)", 6)} AS ux, {q.shifted("sum(m0 * density * cx) / sum(m0 * density)", 6)} AS uy
+    FROM ov JOIN sm ON sm.id = src_cell GROUP BY tgt_cell""")
+def momentum_cell_materials(spark, sf_dir):
+    """The velocity of cells that keeps the momentum of all their materials."""
+    (_, s), (_, t) = _polygons(spark, sf_dir)
+    held = s.withColumns({"mat": F.col("id") % 3, "density": (F.col("id") % 7 + 1).cast("double"), "ux": (F.col("id") % 5).cast("double"), "uy": F.col("cx")})
+    _, got = momentum.remap_cch_materials(held, held, t, 2)
+    return _shifted(got, "mass", digits=8).join(_shifted(got, "ux", "uy", digits=6), "id")
+
+
 # ---- swept regions ----
 
 _DX = 0.015625

@@ -212,3 +212,18 @@ def conserved_by_part(values: str, passes: int = 5) -> str:
         a{k} AS (SELECT *, CASE WHEN whole - c > 0 THEN diff / (whole - c) ELSE 0.0 END AS step, was AND {off} AND whole - c > 2.220446049250313e-16 * whole AS live FROM (
           SELECT part, sum(price * vol) - any_value(a.wanted) AS diff, coalesce(sum(CASE WHEN held THEN vol END), 0.0) AS c, any_value(a.live) AS was, any_value(whole) AS whole, any_value(a.wanted) AS wanted, any_value(a.lo) AS lo, any_value(a.hi) AS hi FROM p{k} JOIN a{k - 1} a USING (part) GROUP BY part))""")
     return ", ".join(out)
+
+
+def corners(p: str) -> str:
+    """``{p}_corner``: cell, node, part, x, y: the wedges of a cell at one of its nodes."""
+    area = "((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2"
+    return f"{p}_corner AS (SELECT cell, node, sum({area}) AS part, sum({area} * (x1 + x2 + x3) / 3) / sum({area}) AS x, sum({area} * (y1 + y2 + y3) / 3) / sum({area}) AS y FROM {p}_wedge GROUP BY cell, node)"
+
+
+def cell_slopes(p: str, cells: str, fields: list[str], name: str) -> str:
+    """``name``: least-squares gradients of ``cells`` (id, cx, cy, fields) of the polygon mesh over cells that share a node."""
+    sums = ", ".join(f"sum((n.cx - c.cx) * (n.{f} - c.{f})) AS ex_{f}, sum((n.cy - c.cy) * (n.{f} - c.{f})) AS ey_{f}" for f in fields)
+    solved = ", ".join(f"(ex_{f} * yy - ey_{f} * xy) / (xx * yy - xy * xy) AS gx_{f}, (xx * ey_{f} - xy * ex_{f}) / (xx * yy - xy * xy) AS gy_{f}" for f in fields)
+    return f"""{name} AS (SELECT id, {solved} FROM (
+      SELECT c.id, sum((n.cx - c.cx) * (n.cx - c.cx)) AS xx, sum((n.cx - c.cx) * (n.cy - c.cy)) AS xy, sum((n.cy - c.cy) * (n.cy - c.cy)) AS yy, {sums}
+      FROM (SELECT DISTINCT a.cell AS id, b.cell AS nbr FROM {p}_wedge a JOIN {p}_wedge b USING (node) WHERE a.cell <> b.cell) JOIN {cells} c USING (id) JOIN {cells} n ON n.id = nbr GROUP BY c.id))"""

@@ -64,15 +64,20 @@ def wedges(mesh: DataFrame) -> DataFrame:
 
 
 def corners(mesh: DataFrame) -> DataFrame:
-    """(cell, node, vol, cx, cy): the share of each cell that belongs to each of its nodes.  No shuffle: a corner is in its
-    cell's row."""
+    """(cell, node, vol, cx, cy, ring): the share of each cell that belongs to each of its nodes.  No shuffle: a corner is in
+    its cell's row."""
     n = F.size("ring")
     each = mesh.select(F.col("id").alias("cell"), F.col("cx").alias("_x"), F.col("cy").alias("_y"), "nodes", "ring", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     p = lambda d: F.element_at("ring", (F.pmod(F.col("k") + d, F.size("ring")) + 1).cast("int"))
     half = lambda c, d: (p(0)[c] + p(d)[c]) / 2
     ring = _triangle((p(0)["x"], p(0)["y"]), (half("x", 1), half("y", 1)), ("_x", "_y"), (half("x", -1), half("y", -1)))
-    out = each.select("cell", F.element_at("nodes", (F.col("k") + 1).cast("int")).alias("node"), polygon_moments(ring).alias("_m"))
-    return out.select("cell", "node", F.col("_m.m0").alias("vol"), (F.col("_m.m1x") / F.col("_m.m0")).alias("cx"), (F.col("_m.m1y") / F.col("_m.m0")).alias("cy"))
+    out = each.select("cell", F.element_at("nodes", (F.col("k") + 1).cast("int")).alias("node"), polygon_moments(ring).alias("_m"), ring.alias("ring"))
+    return out.select("cell", "node", F.col("_m.m0").alias("vol"), (F.col("_m.m1x") / F.col("_m.m0")).alias("cx"), (F.col("_m.m1y") / F.col("_m.m0")).alias("cy"), "ring")
+
+
+def corner_mesh(mesh: DataFrame) -> DataFrame:
+    """The corners as a polygon mesh of their own; a corner's id is a struct of its cell and its node."""
+    return polygon_mesh(corners(mesh).select(F.struct("cell", "node").alias("id"), "ring"))
 
 
 def dual_cells(mesh: DataFrame) -> DataFrame:
