@@ -137,17 +137,17 @@ def _near_points(side: str, op: str, k: str = "2") -> str:
 
 @query(f"WITH {q.customers(0.03125)}, {q.suppliers(0.0625)}, {_near_points('su', '<')} {_COUNT}")
 def search_points_gather(spark, sf_dir):
-    return _counted(search.point_pairs(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2))
+    return search.point_counts(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2)
 
 
 @query(f"WITH {q.customers(0.03125)}, {q.suppliers(0.0625)}, {_near_points('cu', '<')} {_COUNT}")
 def search_points_scatter(spark, sf_dir):
-    return _counted(search.point_pairs(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2, center="scatter"))
+    return search.point_counts(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2, center="scatter")
 
 
 @query(f"WITH {q.customers(0.03125)}, {q.suppliers(0.0625)}, {_near_points('su', '<=')} {_COUNT}")
 def search_points_bins(spark, sf_dir):
-    return _counted(search.point_pairs(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2, closed=True))
+    return search.point_counts(tables.supplier_swarm(spark, sf_dir, 0.0625), tables.customer_swarm(spark, sf_dir, 0.03125), 2, closed=True)
 
 
 # ---- intersect ----
@@ -878,7 +878,7 @@ def swarm_scatter_tensor(spark, sf_dir):
 @query(f"WITH {_PAIRS}, n AS (SELECT tgt_id, count(*) AS n FROM pw GROUP BY tgt_id) SELECT min(n) AS least, max(n) AS most, {q.r('avg(n)')} AS mean, {q.r('stddev_pop(n)')} AS deviation FROM n")
 def swarm_neighbours(spark, sf_dir):
     s, t = _swarms(spark, sf_dir)
-    out = particles.neighbour_statistics(particles.pair_weights(t, s, 2))
+    out = particles.neighbour_statistics(search.point_counts(t, s, 2))
     return out.select("least", "most", _r(F.col("mean")).alias("mean"), _r(F.col("deviation")).alias("deviation"))
 
 

@@ -15,18 +15,23 @@ from ..sources import topology
 from .search import point_pairs
 
 
+def support(particles: DataFrame, dim: int, geometry: str) -> list[str]:
+    """The columns that a particle's weights depend on: its place, lengths and, where used, facets, kernel and geometry."""
+    facets = geometry == "faceted" or (geometry == "own" and "facets" in particles.columns)
+    return [*axes(dim), *["h" + a for a in axes(dim)], *(["facets"] if facets else []), *(["kernel", "geometry"] if geometry == "own" else [])]
+
+
 def pair_weights(target: DataFrame, source: DataFrame, dim: int, *, kernel_name: str = "b4", geometry: str = "elliptic", center: str = "gather", scale: float = 2.0, closed: bool = False) -> DataFrame:
     """(tgt_id, src_id, w, d{x,y,z}): unnormalised kernel weights of all pairs in reach; d is target minus source.
 
     Particles have columns x.., hx..; a faceted side also has ``facets``.  With geometry ``own``, each particle of the side
     that the weights are centred on has its kernel, its geometry (columns ``kernel`` and ``geometry``) and its lengths.
+    Sources that stand for several particles of one place (``search.places``) give their pairs the number, ``_many``.
     """
-    side = "t_" if center == "gather" else "s_"
-    facets = geometry == "faceted" or (geometry == "own" and "facets" in (target if center == "gather" else source).columns)
-    extra = [*(["facets"] if facets else []), *(["kernel", "geometry"] if geometry == "own" else [])]
-    keep_t = [*axes(dim), *(["h" + a for a in axes(dim)] if center == "gather" else []), *(extra if center == "gather" else [])]
-    keep_s = [*axes(dim), *(["h" + a for a in axes(dim)] if center == "scatter" else []), *(extra if center == "scatter" else [])]
-    met = point_pairs(target, source, dim, center=center, scale=scale, closed=closed, keep_target=keep_t, keep_source=keep_s)
+    side, own = ("t_", target) if center == "gather" else ("s_", source)
+    keep_t, keep_s = (support(own, dim, geometry), list(axes(dim))) if center == "gather" else (list(axes(dim)), support(own, dim, geometry))
+    facets, many = "facets" in (keep_t if center == "gather" else keep_s), [c for c in ("_many",) if c in source.columns]
+    met = point_pairs(target, source, dim, center=center, scale=scale, closed=closed, keep_target=keep_t, keep_source=[*keep_s, *many])
     t, s = [F.col("t_" + a) for a in axes(dim)], [F.col("s_" + a) for a in axes(dim)]
     mine, other = (t, s) if center == "gather" else (s, t)
     if geometry == "own":
@@ -35,7 +40,11 @@ def pair_weights(target: DataFrame, source: DataFrame, dim: int, *, kernel_name:
         w = faceted_weight(kernel_name, mine, other, F.col(side + "facets"))
     else:
         w = weight(geometry, kernel_name, t, s, [F.col(side + "h" + a) for a in axes(dim)])
-    return met.select("tgt_id", "src_id", w.alias("w"), *[(a - b).alias("d" + x) for a, b, x in zip(t, s, axes(dim), strict=True)])
+    return met.select("tgt_id", "src_id", w.alias("w"), *[(a - b).alias("d" + x) for a, b, x in zip(t, s, axes(dim), strict=True)], *[F.col("s_" + c).alias(c) for c in many])
+
+
+def _mass(pairs: DataFrame):
+    return F.col("w") * F.col("_many") if "_many" in pairs.columns else F.col("w")
 
 
 def density(pairs: DataFrame, source: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -47,7 +56,7 @@ def density(pairs: DataFrame, source: DataFrame, fields: Sequence[str]) -> DataF
 def shepard_estimate(pairs: DataFrame, source: DataFrame, targets: DataFrame, fields: Sequence[str]) -> DataFrame:
     """sum(w v) / sum(w) per target in one aggregation; 0.0 without neighbours or weight."""
     met = pairs.join(source.select(F.col("id").alias("src_id"), *fields), "src_id")
-    whole = F.sum("w")
+    whole = F.sum(_mass(pairs))
     got = met.groupBy(F.col("tgt_id").alias("id")).agg(*[F.when(whole != 0, F.sum(F.col("w") * F.col(f)) / F.when(whole != 0, whole)).alias(f) for f in fields])
     return targets.select("id").join(got, "id", "left").fillna(0.0, subset=list(fields))
 
@@ -62,8 +71,8 @@ def local_regression(pairs: DataFrame, dim: int, basis_name: str = "unitary", op
     n = basis_size(basis_name, dim)
     d = [-F.col("d" + a) for a in axes(dim)]  # source minus target
     b = basis(basis_name, d)
-    terms = [F.sum(F.col("w") * b[i] * b[j]).alias(f"_m{i}_{j}") for i in range(n) for j in range(i, n)]
-    sums = pairs.groupBy("tgt_id").agg(F.count("*").alias("_k"), *terms)
+    terms = [F.sum(_mass(pairs) * b[i] * b[j]).alias(f"_m{i}_{j}") for i in range(n) for j in range(i, n)]
+    sums = pairs.groupBy("tgt_id").agg((F.sum("_many") if "_many" in pairs.columns else F.count("*")).alias("_k"), *terms)
     flat = sums.select("tgt_id", "_k", F.array(*[f"_m{min(i, j)}_{max(i, j)}" for i in range(n) for j in range(n)]).alias("_m"))
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +103,9 @@ def estimate(weights: DataFrame, source: DataFrame, targets: DataFrame, fields:
     return targets.select("id").join(got, "id", "left").fillna(0.0, subset=list(fields))
 
 
-def neighbour_statistics(pairs: DataFrame) -> DataFrame:
-    each = pairs.groupBy("tgt_id").agg(F.count("*").alias("n"))
-    return each.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
+def neighbour_statistics(counts: DataFrame) -> DataFrame:
+    """Of (tgt_id, n), as ``search.point_counts`` gives them."""
+    return counts.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
 
 
 def same_part(pairs: DataFrame, source: DataFrame, target: DataFrame, part: str, dim: int, tolerance: float) -> DataFrame:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxweave import catalog
 from fluxweave.functions import kernels
-from fluxweave.operators import particles
+from fluxweave.operators import particles, search
 from fluxweave.plans.remap import mesh_swarm_mesh, swarm_remap
 from fluxweave.sources import meshes, topology
 from fluxweave.sources import particles as swarms
@@ -164,3 +165,75 @@ def test_facets_of_polygon_cells(spark):
             inner = (i, round(nx), round(ny)) in {(0, 1, 0), (1, -1, 0)} and abs(ny) < 1e-12
             assert h == pytest.approx(2 * ends * (1.5 if inner else 0.5))
     assert (got[0].hx, got[0].hy, got[1].hx) == (6.0, 9.0, 6.0)
+
+
+def _crowd(spark, n, places, field=False):
+    """Particles at few places of the unit square, with unlike values and ids."""
+    df = spark.range(n).select("id", ((F.col("id") % places + 0.5) / places).alias("x"), (F.col("id") % 3 / 4.0).alias("y"), F.lit(0.2).alias("hx"), F.lit(0.2).alias("hy"))
+    return df.withColumn("v", (F.col("id") * 7 % 11).cast("double")) if field else df
+
+
+def _met(monkeypatch):
+    """The number of pairs that each search makes."""
+    made, real = [], search.point_pairs
+
+    def counted(*args, **kwargs):
+        made.append(real(*args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(search, "point_pairs", counted)
+    monkeypatch.setattr(particles, "point_pairs", counted)
+    return made
+
+
+@pytest.mark.parametrize("center", ["gather", "scatter"])
+@pytest.mark.parametrize(("estimator", "basis", "derivative"), [("kernel_density", "unitary", 0), ("local_regression", "unitary", 0), ("local_regression", "linear", 1)])
+def test_particles_of_one_place_meet_others_as_one(spark, monkeypatch, center, estimator, basis, derivative):
+    s, t = _crowd(spark, 900, 5, field=True).withColumn("x", F.when(F.col("id") == 8, None).otherwise(F.col("x"))), _crowd(spark, 400, 4).withColumn("x", F.when(F.col("id") == 7, None).otherwise(F.col("x")))
+    made = _met(monkeypatch)
+    got = {r.id: r.v for r in swarm_remap(s, t, ["v"], 2, center=center, estimator=estimator, basis=basis, derivative=derivative).collect()}
+    assert made[0].count() <= 15 * 12  # 900 x 400 particles, but 15 x 12 places
+    pairs = particles.pair_weights(t, s, 2, center=center)
+    if estimator == "kernel_density":
+        want = t.select("id").join(particles.density(pairs, s, ["v"]), "id", "left").fillna(0.0)
+    elif basis == "unitary":
+        want = particles.shepard_estimate(pairs, s, t, ["v"])
+    else:
+        want = particles.estimate(particles.local_regression(pairs, 2, basis), s, t, ["v"], derivative)
+    want = {r.id: r.v for r in want.collect()}
+    assert len(want) == 400 and any(want.values())
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("center", ["gather", "scatter"])
+def test_few_places_are_too_few_neighbours_only_by_their_particles(spark, center):
+    """The count of neighbours is that of particles, as in the SQL: three of one place are enough, two are not."""
+    row = "id long, x double, y double, hx double, hy double, v double"
+    t = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 1.0, 0.0)], row)
+    for n, want in ((3, 5.0), (2, 0.0)):
+        s = spark.createDataFrame([(i, 0.0, 0.0, 1.0, 1.0, 5.0) for i in range(n)], row)
+        assert swarm_remap(s, t, ["v"], 2, basis="linear", center=center).first().v == pytest.approx(want)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("center", ["gather", "scatter"])
+def test_counts_of_pairs_are_those_of_places(spark, monkeypatch, center, closed):
+    s, t = _crowd(spark, 900, 5), _crowd(spark, 400, 4)
+    want = search.point_pairs(t, s, 2, center=center, closed=closed).groupBy("tgt_id").agg(F.count("*").alias("n"), F.sum("src_id").alias("total"))
+    made = _met(monkeypatch)
+    got = search.point_counts(t, s, 2, center=center, closed=closed)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert made[0].count() <= 15 * 12
+
+
+@pytest.mark.parametrize("name", ["search_points_gather", "search_points_bins", "search_points_scatter", "swarm_neighbours", "swarm_density", "swarm_mixed_kernels"])
+def test_pairs_of_queries_stay_when_customers_repeat(spark, monkeypatch, tmp_path, name):
+    made, results = _met(monkeypatch), []
+    for times in (1, 4):
+        for table, p, n in (("customer", "c_cust", 150), ("supplier", "s_supp", 12)):
+            rows = spark.range(n * times).select((F.col("id") % n + F.floor(F.col("id") / n) * 192).alias(f"{p}key"), (F.col("id") % n * 37 % 1009 * 1.0).alias(f"{p[:1]}_acctbal"))
+            rows.write.parquet(f"{tmp_path}/{times}/{table}.parquet")
+        made.clear()
+        assert catalog.QUERIES[name](spark, f"{tmp_path}/{times}").count()
+        results.append(made[0].count())
+    assert results[0] == results[1] > 0
