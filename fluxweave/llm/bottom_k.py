@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import discard, map_arrow, materialize, side
-from .ngram_join import FEW, ONE_TASK, components, hub_pairs, least_ids, node_of, open_postings, pairs_left, rest_pairs, sets_of
+from .ngram_join import FEW, ONE_TASK, components, hub_pairs, least_ids, near_pairs, node_of, open_postings, rest_pairs, sets_of
 
 WORDS = 4
 PERCENT = 80
@@ -276,9 +276,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if step:
             if labels is not None:
                 posted = open_postings(lists, labels, broadcast_rows)
-            if pairs_left(posted.join(folds, "node"), percent) <= FEW * posted.select("node").distinct().count():
+            pairs, left = near_pairs(posted.join(folds, "node"), percent)
+            if left <= FEW * posted.select("node").distinct().count():
                 break
-        labels = tried(materialize(hub_pairs(posted, percent, hubs[step], step)), labels)
+        else:
+            pairs = hub_pairs(posted, percent, hubs[step], step)
+        labels = tried(materialize(pairs), labels)
         step += 1
     else:
         posted = open_postings(lists, labels, broadcast_rows) if labels is not None else posted

@@ -15,7 +15,8 @@ has an empty set and no links).  Equal sets are one node from the start, so copi
    pairs; of more pairs than a few a node, each node's likeliest one goes first, and pairs whose ends are connected by
    then are not counted.
 4. Rounds: links are joined into components, tokens whose nodes are all connected go, and while more pairs are left
-   than a few a node, the nodes of a token are held against a new hub from its largest component.  Then every remaining
+   than a few a node, each node of a token outside its largest component is held against the likeliest of another component
+   (and, where the token is dealt over salts, against a hub from that component).  Then every remaining
    pair across components that shares a prefix token is tried, so no link that could join two components is lost, and
    no group of near copies is ever expanded into all its pairs.
 
@@ -332,21 +333,85 @@ def rest_pairs(posted: DataFrame, percent: int) -> DataFrame:
     """Every pair across components that shares a prefix token and passes the folded bitmaps.
 
     One side of such a pair is outside the token's largest component, so that only the rows outside are held against
-    all; they are sent to each salt of a token that is dealt over several.
+    all; they are sent to each salt of a token that is dealt over several.  Two rows outside meet once, not from both sides.
     """
     row = F.struct("node", "n", "pos", "comp", "fold")
     most = posted.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("salt").alias("salt")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.max("salt").alias("salts"))
     outer = posted.drop("salt").join(most.select("token", F.col("top.comp").alias("top"), "salts"), "token").where("comp <> top")
-    y = outer.select("token", row.alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
+    y = outer.select("token", "top", row.alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
     differ = sum((F.bit_count(F.col(f"x.fold.b{i}").bitwiseXOR(F.col(f"y.fold.b{i}"))) for i in range(4)), F.lit(0))
     alike = (100 + percent) * differ <= (100 - percent) * (F.col("x.n").cast("long") + F.col("y.n"))
-    met = posted.select("token", "salt", row.alias("x")).join(y, ["token", "salt"]).where((F.col("x.comp") != F.col("y.comp")) & _fitting("x", "y", percent) & alike)
-    return _pairs(met)
+    met = posted.select("token", "salt", row.alias("x")).join(y, ["token", "salt"])
+    once = (F.col("x.comp") == F.col("top")) | (F.col("x.node") < F.col("y.node"))
+    return _pairs(met.where((F.col("x.comp") != F.col("y.comp")) & once & _fitting("x", "y", percent) & alike))
 
 
-def pairs_left(posted: DataFrame, percent: int) -> int:
-    """At least so many pairs are left: those that a sixteenth of all tokens shows.  This only decides what is tried first."""
-    return rest_pairs(posted.where(F.pmod(F.xxhash64("token"), F.lit(16)) == 0), percent).count()
+def near_pairs(posted: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """(a, b) of each row outside its token's largest component and the row of another component whose folded bitmap differs
+    least for its size, among those that ``rest_pairs`` would take; and how many pairs those are, counted once a token.
+
+    A token's pairs are compared in its task and never become rows: the result has at most a row for each posting.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _groups(batches):
+            new = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]), [True]]))
+            found, left = [], 0
+            for lo, hi in zip(new[:-1], new[1:], strict=True):
+                if hi - lo > 1:
+                    pairs, more = nearest(*[x[lo:hi] for x in cols[2:]])
+                    left += more
+                    if len(pairs):
+                        found.append(pairs)
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([*pairs[:, 0], None], pa.int64()), pa.array([*pairs[:, 1], None], pa.int64()), pa.array([*[0] * len(pairs), left], pa.int64())], ["a", "b", "pairs"])
+
+    def nearest(node, n, pos, comp, *fold) -> tuple[np.ndarray, int]:
+        comps, at, many = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(comps) < 2:
+            return np.zeros((0, 2), np.int64), 0
+        outer = np.flatnonzero(at != many.argmax())
+        n, pos, found, left = n.astype(np.int64), pos.astype(np.int64), [], 0
+        strip = max(1, 1_000_000 // len(node))
+        for i in range(0, len(outer), strip):
+            x = outer[i : i + strip, None]
+            nx, px = n[x], pos[x]
+            whole = nx + n
+            differ = sum(np.bitwise_count(b[x] ^ b).astype(np.int64) for b in fold)
+            first = (nx < n) | ((nx == n) & (node[x] < node))
+            small, large = np.minimum(nx, n), np.maximum(nx, n)
+            fit = (comp[x] != comp) & (100 * small >= percent * large) & (np.minimum(nx - px, n - pos) >= -(-percent * whole // (100 + percent)))
+            fit &= (np.where(first, px, pos) < _need(small, percent)) & ((100 + percent) * differ <= (100 - percent) * whole)
+            inner = fit & (at == many.argmax())
+            left += 2 * int(inner.sum()) + int((fit & ~inner).sum())  # a pair of two outer rows is seen from both
+            some = np.flatnonzero(fit.any(1))
+            y = np.where(fit, differ / np.maximum(whole, 1), np.inf)[some].argmin(1)
+            x = x[some, 0]
+            swap = ~first[some, y]
+            found.append(np.stack([node[np.where(swap, y, x)], node[np.where(swap, x, y)]], 1))
+        return np.concatenate(found), left // 2
+
+    sent = posted.select("token", "salt", "node", "n", "pos", "comp", *[F.col(f"fold.b{i}").alias(f"b{i}") for i in range(4)])
+    met = materialize(sent.repartition("token", "salt").sortWithinPartitions("token", "salt").transform(map_arrow, meet, "a long, b long, pairs long"))
+    return met.where("a is not null").select("a", "b").distinct(), met.agg(F.sum("pairs")).first()[0] or 0
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole groups of rows that come sorted by their first two; the last group of a batch waits for the next."""
+    rest = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)]
+        token, salt = now[:2]
+        if not len(token):
+            continue
+        last = int(np.flatnonzero((token != token[-1]) | (salt != salt[-1]))[-1]) + 1 if (token[0], salt[0]) != (token[-1], salt[-1]) else 0
+        rest = [x[last:] for x in now]
+        if last:
+            yield [x[:last] for x in now]
+    if rest is not None and len(rest[0]):
+        yield rest
 
 
 def every_pair(shared: DataFrame, percent: int, block: int = 2000) -> DataFrame:
@@ -542,12 +607,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
         if step > 1 and labels is not None:
             posted, done = open_postings(posted.drop("comp"), labels, broadcast_rows), posted
             discard(done)
-        if step < len(hubs) and pairs_left(posted, percent) > FEW * n:
-            pairs = materialize(hub_pairs(posted, percent, hubs[step], step))
-            labels = tried(pairs, labels)
-            discard(pairs)
-            step += 1
-            continue
+        if step < len(hubs):
+            pairs, left = near_pairs(posted, percent)
+            if left > FEW * n:
+                if posted.agg(F.max("salt")).first()[0]:  # near rows of a token that is dealt may be under another salt
+                    pairs = pairs.unionByName(hub_pairs(posted, percent, hubs[step], step)).distinct()
+                pairs = materialize(pairs)
+                labels = tried(pairs, labels)
+                discard(pairs)
+                step += 1
+                continue
         pairs = materialize(rest_pairs(posted, percent))
         labels = tried(pairs, labels)
         discard(pairs)

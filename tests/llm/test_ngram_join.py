@@ -144,3 +144,29 @@ def test_no_link_inside_a_component_is_lost(spark, clashing, monkeypatch, block)
     got = sorted(((r.doc_id, r.n_links) for r in ngram_join.join(df, count_links=True).collect()), key=repr)
     assert got == want
     assert run(df) == sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, count_links=True).collect()), key=repr)
+
+
+def _posted(spark, rows):
+    """Postings (token, salt, node, n, comp, parities) of one size class."""
+    df = spark.createDataFrame(rows, "token long, salt int, node long, n int, comp long, b long")
+    return df.selectExpr("token", "salt", "node", "n", "0 AS pos", "0 AS cls", "comp", "named_struct('b0', b, 'b1', 0L, 'b2', 0L, 'b3', 0L) AS fold")
+
+
+def test_near_rows_of_a_token_are_linear_and_the_likeliest(spark):
+    """Each row outside the largest component comes with one of another component; the rest of the pairs is only counted."""
+    rows = [(7, 0, i, 40, i // 2, (1 << (i % 5)) - 1) for i in range(60)] + [(8, 0, 100, 40, 100, 0), (8, 0, 101, 90, 101, 0), (9, 0, 1, 40, 0, 0)]
+    got, left = ngram_join.near_pairs(_posted(spark, rows), 75)
+    got = sorted(map(tuple, got.collect()))
+    of = {r[2]: (r[4], r[5]) for r in rows[:60]}
+    assert left == 60 * 59 // 2 - 30
+    assert 29 <= len(got) <= 58 and all(a < b for a, b in got)
+    assert all(of[a][0] != of[b][0] and of[a][1] == of[b][1] for a, b in got)
+
+
+def test_rest_pairs_meet_once_a_token(spark, monkeypatch):
+    rows = [(7, i % 2, i, 40, i, 0) for i in range(60)]
+    made, real = [], ngram_join._pairs
+    monkeypatch.setattr(ngram_join, "_pairs", lambda met: made.append(met) or real(met))
+    got = ngram_join.rest_pairs(_posted(spark, rows), 75)
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    assert made[0].count() == 60 * 59 // 2
