@@ -11,11 +11,12 @@ common: exactly where their union is no larger than a sketch, else but for a cha
    a sketch of fixed size, which orders them from rare to frequent.
 2. ``inverted``: the inverted lists.  A node that must share c of its s values with a partner is listed under its
    s - c + 1 rarest ones, so that linked nodes meet in at least one list.  Values that are counted often are dealt by node
-   over several salts, and nodes without a partner of a fitting size in their list go.
-3. Nodes of a list meet through hubs: each is paired with the one of its size class, then (while many pairs are left) with
-   hubs of the largest component; at last every pair across components that shares a list is taken.
-4. ``alike`` drops pairs whose sets differ in too many of 256 parities (an exact bound, good for short texts).
-   ``estimate`` holds both sketches against each other: pairs whose union a sketch covers are settled by it exactly, of the
+   over several salts, and nodes without a partner of a fitting size in their list go.  Lists of the same nodes, of which
+   a few copies have dozens, are one.
+3. Nodes of a list meet through hubs: each is paired with the one of its size class.  Then ``close_pairs`` compares the nodes
+   of a list across components in its task: it gives all pairs that may be linked where they are few, and each node's
+   likeliest one where they are many; such lists come again, at last with all pairs.
+4. Pairs go whose sets differ in too many of 1024 parities (an exact bound).  ``estimate`` holds both sketches against each other: pairs whose union a sketch covers are settled by it exactly, of the
    others those go whose union sketch has fewer than ``least_shared`` values in both.
 5. ``verify`` computes the exact Jaccard similarity of the pairs that are left on full sets.  Sketches and sets of a node
    with many pairs are sent to as many salts as those need.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import discard, map_arrow, materialize, side
-from .ngram_join import FEW, ONE_TASK, components, hub_pairs, least_ids, near_pairs, node_of, open_postings, rest_pairs, sets_of
+from .ngram_join import ONE_TASK, _groups, _need, components, hub_pairs, least_ids, node_of, open_postings, sets_of
 
 WORDS = 4
 PERCENT = 80
@@ -47,9 +48,15 @@ CELLS_LOG2 = 22
 BLOCK = 1 << 16
 #: Values that are counted more often than the mean cell, times this power of two, are dealt over salts.
 HOT_LOG2 = 10
-FOLD = ("b0", "b1", "b2", "b3")
-#: Hubs of a value's size class in each round; rounds after the first are made only while many pairs are left.
+#: Parities of a set's counts in buckets, 64 a word.
+PARITIES = 1024
+FOLD = tuple(f"b{i}" for i in range(PARITIES // 64))
+#: Hubs of a value's size class in the first round; a further round for each further number, while lists have many pairs.
 HUBS = (1, 4, 16, 64)
+#: A list has many pairs beyond this number a node.
+FEW = 8
+#: Lists of at most this many nodes are compared side by side.
+SMALL = 48
 #: Pairs of a node that meet its sketch or set in one task.
 SHARE = 500
 
@@ -79,7 +86,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
 def sketches(docs: DataFrame, prof: DataFrame, id_col: str, text_col: str, size: int, k: int, broadcast_rows: int) -> DataFrame:
     """(_id, node, n, kept, fold), one row a node: ``kept`` are the k least hashes, as signed numbers in the same order, and
-    ``fold`` the parities of the set's counts in 256 buckets.
+    ``fold`` the parities of the set's counts in 1024 buckets.
 
     The text is scanned again, so that no sketch is shuffled to find one row a node.
     """
@@ -88,15 +95,15 @@ def sketches(docs: DataFrame, prof: DataFrame, id_col: str, text_col: str, size:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, kept, folds = [], [], [], np.zeros((batch.num_rows, 4), np.int64)
+            nodes, sizes, kept, folds = [], [], [], np.zeros((batch.num_rows, len(FOLD)), np.int64)
             for row, s in sets_of(batch.column("_text"), size):
-                folds[row] = np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+                folds[row] = np.packbits((np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8), bitorder="little").view(np.int64)
                 nodes.append(node_of(s))
                 sizes.append(len(s))
                 kept.append((s[:k] ^ np.uint64(1 << 63)).view(np.int64))
             off = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(np.ascontiguousarray(folds[:, i])) for i in range(4))], ["_id", "node", "n", "kept", *FOLD])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(np.ascontiguousarray(folds[:, i])) for i in range(len(FOLD)))], ["_id", "node", "n", "kept", *FOLD])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(side(first.select("_id").distinct(), broadcast_rows), "_id", "left_semi")
     made = rows.transform(map_arrow, scan, f"_id {id_type}, node long, n long, kept array<long>, " + ", ".join(f"{b} long" for b in FOLD))
@@ -153,7 +160,8 @@ def inverted(nodes: DataFrame, level: np.ndarray, k: int, percent: int, hot_log2
     """(token, salt, node, n, pos, cls): the lists of nodes with a partner of a fitting size.
 
     ``pos`` is the token's place among the values of a set whose partners' sketches all are full sets, where it bounds how
-    much both can share; else 0, which bounds nothing.
+    much both can share; else 0, which bounds nothing.  Lists of the same nodes are one, under a fingerprint of their nodes
+    and with their first places; places bound what a pair shares where it meets first, and that is the first of such lists.
     """
     spark = nodes.sparkSession
     shared, order = least_shared(k, percent), spark.sparkContext.broadcast(level)
@@ -184,9 +192,113 @@ def inverted(nodes: DataFrame, level: np.ndarray, k: int, percent: int, hot_log2
     posted = nodes.where("n > 0").select("node", "n", "kept").transform(map_arrow, emit, "token long, salt int, node long, n int, pos int, dealt boolean")
     beside = Window.partitionBy("token", "salt").orderBy("n", "node")
     fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
-    met = posted.withColumns({"_less": F.lag("n").over(beside), "_more": F.lead("n").over(beside)})
+    whole = Window.partitionBy("token", "salt")
+    met = posted.withColumns({"_less": F.lag("n").over(beside), "_more": F.lead("n").over(beside), "_same": F.bit_xor(F.xxhash64("node")).over(whole), "_many": F.count("*").over(whole)})
     cls = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
-    return materialize(met.withColumn("cls", cls.cast("int")).where(F.col("dealt") | fits(F.col("_less"), F.col("n")) | fits(F.col("n"), F.col("_more"))).drop("_less", "_more", "dealt"))
+    fitting = met.where(F.col("dealt") | fits(F.col("_less"), F.col("n")) | fits(F.col("n"), F.col("_more")))
+    named = fitting.withColumn("token", F.when(F.col("dealt"), F.col("token")).otherwise(F.xxhash64("_same", "_many")))
+    once = named.groupBy("token", "salt", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    return materialize(once.withColumn("cls", cls.cast("int")))
+
+
+def close_pairs(posted: DataFrame, percent: int, every: bool, few: int = FEW, small: int = SMALL) -> DataFrame:
+    """(a, b, token) of lists with components and parities: the pairs across components that may be linked, by their sizes,
+    places and parities; ``a`` is the smaller set.
+
+    Unless ``every`` is asked for, a list with more than ``few`` pairs a node gives each node's likeliest pair instead, and
+    a row with its token and no pair.  Nodes outside a token's largest component visit its other salts.  Pairs are
+    compared in the list's task and become rows only where they may be linked.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, salt, guest, node, n, pos, comp, *fold in _groups(batches):
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+            start, n, pos, fold = np.flatnonzero(new), n.astype(np.int64), pos.astype(np.int64), np.stack(fold, 1).view(np.uint64)  # bits of signed numbers are counted without their sign
+            size, group, last = np.diff(np.append(start, len(token))), np.cumsum(new) - 1, guest.astype(bool)
+            coarse = np.bitwise_xor.reduce(fold.reshape(len(fold), -1, 4), 1)  # parities in 256 buckets, a lower bound
+
+            def fitting(x, y):
+                """Of rows x and y the pairs that may be linked, and how much their parities differ for their size."""
+                first = (n[x] < n[y]) | ((n[x] == n[y]) & (node[x] < node[y]))
+                low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                fit = (comp[x] != comp[y]) & (100 * low >= percent * high) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= -(-percent * (low + high) // (100 + percent)))
+                fit &= np.where(first, pos[x], pos[y]) < _need(low, percent)
+                x, y = x[fit], y[fit]
+                got = []
+                for i in range(0, len(x), 50_000):
+                    u, v = x[i : i + 50_000], y[i : i + 50_000]
+                    for bits in (coarse, fold):
+                        differ = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64)
+                        near = (100 + percent) * differ <= (100 - percent) * (n[u] + n[v])
+                        u, v, differ = u[near], v[near], differ[near]
+                    got.append((u, v, differ / (n[u] + n[v])))
+                return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [x, y, np.zeros(0)]
+
+            def likeliest(x, y, d):
+                by = np.lexsort((d, x))
+                by = by[np.concatenate([[True], x[by][1:] != x[by][:-1]])] if len(by) else by
+                return x[by], y[by]
+
+            def rows(x, y, tokens):
+                """The pairs of rows x and y, once each, and the tokens that come again."""
+                swap = (n[x] > n[y]) | ((n[x] == n[y]) & (node[x] > node[y]))
+                pairs, none = np.unique(np.stack([node[np.where(swap, y, x)], node[np.where(swap, x, y)]], 1), axis=0), pa.nulls(len(tokens), pa.int64())
+                ends = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), none]) for i in (0, 1)]
+                return pa.RecordBatch.from_arrays([*ends, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(tokens, pa.int64())])], ["a", "b", "token"])
+
+            # short lists: each row with the one that comes d rows later in its list
+            left, x, y = np.flatnonzero((size[group] > 1) & (size[group] <= small)), [], []
+            until = (start + size)[group]
+            for d in range(1, small):
+                left = left[left + d < until[left]]
+                if not len(left):
+                    break
+                some = left[~last[left + d] & (comp[left] != comp[left + d])]  # of two visitors, or of one component: not here
+                x.append(some)
+                y.append(some + d)
+            if x:
+                x, y, d = fitting(np.concatenate(x), np.concatenate(y))
+                many = np.zeros(len(start), bool) if every else np.bincount(group[x], minlength=len(start)) > few * size
+                dense = many[group[x]]
+                u, v = likeliest(np.concatenate([x[dense], y[dense]]), np.concatenate([y[dense], x[dense]]), np.concatenate([d[dense]] * 2))
+                yield rows(np.concatenate([x[~dense], u]), np.concatenate([y[~dense], v]), token[start[many]])
+            # long lists: rows outside the largest component with all, a strip at a time
+            for lo, hi in zip(start[size > small], (start + size)[size > small], strict=True):
+                at = np.arange(lo, hi)
+                here = at[~last[lo:hi]]
+                if not len(here):
+                    continue
+                comps, index, many = np.unique(comp[here], return_inverse=True, return_counts=True)
+                top = comp == comps[many.argmax()]
+                outer = at[last[lo:hi] | ~top[lo:hi]]
+                held, near, found, dense = [], [], 0, False
+                strip = max(1, 1_000_000 // len(here))
+                for i in range(0, len(outer), strip):
+                    part = outer[i : i + strip]
+                    x, y, d = fitting(np.repeat(part, len(here)), np.tile(here, len(part)))
+                    once = top[y] | last[x] | (x < y)  # two outer rows are seen from both
+                    if every:
+                        yield rows(x[once], y[once], token[:0])
+                        continue
+                    found += int(once.sum())
+                    dense = dense or found > few * (hi - lo)
+                    near.append(likeliest(x, y, d))
+                    held = [] if dense else [*held, (x[once], y[once])]
+                taken = near if dense else held
+                if taken:
+                    yield rows(*[np.concatenate(c) for c in zip(*taken, strict=True)], token[lo : lo + int(dense)])
+
+    cols = ["token", "salt", "guest", "node", "n", "pos", "comp"]
+    sent = posted.withColumn("guest", F.lit(0))
+    most = posted.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("salt").alias("salts")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.max("salts").alias("salts")).where("salts > 0")
+    dealt = materialize(most.select("token", F.col("top.comp").alias("top"), "salts"))
+    if not dealt.isEmpty():
+        outer = posted.withColumnRenamed("salt", "own").join(dealt, "token").where("comp <> top")
+        visits = outer.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts")))).where("salt <> own").withColumn("guest", F.lit(1))
+        sent = sent.unionByName(visits.drop("own", "top", "salts"))
+    sent = sent.select(*cols, *[F.col(f"fold.{b}").alias(b) for b in FOLD])
+    met = sent.repartition("token", "salt").sortWithinPartitions("token", "salt", F.desc("guest")).transform(map_arrow, compare, "a long, b long, token long")
+    return materialize(met.distinct())
 
 
 def _with(pairs: DataFrame, values: DataFrame, end: str, share: int, broadcast_rows: int) -> DataFrame:
@@ -254,12 +366,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that is the row's own)."""
     prof = profile(docs, id_col, text_col, size)
     nodes = sketches(docs, prof, id_col, text_col, size, k, broadcast_rows)
-    folds = materialize(nodes.select("node", "fold"))
+    folds = nodes.select("node", "fold")
     lists = inverted(nodes, levels(nodes), k, percent, hot_log2)
 
     def tried(pairs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-        near = alike(pairs, nodes, percent, share, broadcast_rows)
-        likely = estimate(near, nodes, k, percent, share, broadcast_rows)
+        likely = estimate(pairs, nodes, k, percent, share, broadcast_rows)
         links, unsure = likely.where("sure").select("a", "b"), likely.where("not sure")
         sets = None
         if not unsure.isEmpty():
@@ -268,24 +379,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = materialize(links)
         if not found.isEmpty():
             labels = components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))), one_task)
-        discard(pairs, near, likely, found, sets)
+        discard(pairs, likely, found, sets)
         return labels
 
-    labels, posted, step = None, lists.withColumn("comp", F.col("node")), 0
-    while step < len(hubs):
-        if step:
-            if labels is not None:
-                posted = open_postings(lists, labels, broadcast_rows)
-            pairs, left = near_pairs(posted.join(folds, "node"), percent)
-            if left <= FEW * posted.select("node").distinct().count():
-                break
-        else:
-            pairs = hub_pairs(posted, percent, hubs[step], step)
-        labels = tried(materialize(pairs), labels)
-        step += 1
-    else:
-        posted = open_postings(lists, labels, broadcast_rows) if labels is not None else posted
-    labels = tried(materialize(rest_pairs(posted.join(folds, "node"), percent)), labels)
+    labels, posted = None, lists.withColumn("comp", F.col("node"))
+    if hubs:
+        near = materialize(hub_pairs(posted, percent, hubs[0], 0))
+        labels = tried(alike(near, nodes, percent, share, broadcast_rows), labels)
+        discard(near)
+    step = 1
+    while True:
+        if labels is not None:
+            posted = open_postings(lists, labels, broadcast_rows)
+        met = close_pairs(posted.join(folds, "node"), percent, every=step >= len(hubs))
+        pairs, again = met.where("a is not null").select("a", "b"), met.where("a is null").select("token")
+        if not pairs.isEmpty():
+            labels = tried(pairs, labels)
+        if again.isEmpty():
+            break
+        lists, step = materialize(lists.join(side(again, broadcast_rows), "token", "left_semi")), step + 1
+        posted = lists.withColumn("comp", F.col("node"))
+        discard(met)
     heavy, light = least_ids(prof, labels, broadcast_rows)
     rows = prof.where("n > 0").join(F.broadcast(heavy.withColumnRenamed("component_id", "_heavy").withColumn("_known", F.lit(True))), "node", "left")
     linked = rows.where("_known").select("_id", "n", F.col("_heavy").alias("component_id")).unionByName(rows.where("_known is null").select("_id", "n", "node").join(light, "node").select("_id", "n", "component_id"))

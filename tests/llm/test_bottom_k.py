@@ -108,3 +108,39 @@ def test_odd_inputs(spark, clashing, empty, corpus):
     rows = got.collect()
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in rows if r.doc_id is not None)
     assert all(r.component_id is None or r.component_id == 8 for r in rows if r.doc_id is None)
+
+
+def test_lists_of_the_same_nodes_are_one(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = B.sketches(docs, B.profile(docs, "doc_id", "text", 4), "doc_id", "text", 4, 256, 1000)
+    lists = [tuple(sorted(r.nodes)) for r in B.inverted(made, B.levels(made), 256, 80, 10).groupBy("token").agg(F.collect_list("node").alias("nodes")).collect()]
+    assert len(lists) == 1 and len(lists[0]) == len(set(lists[0])) == 2
+
+
+@pytest.mark.parametrize("small", [4, 48])
+def test_close_pairs(spark, small):
+    """All pairs across components within the bound of the parities; many of them as the likeliest of each node, once a pair."""
+    rng = random.Random(6)
+    posted, bits, comp = [], {}, {}
+    for node in range(60):
+        family = node // 20
+        word = (random.Random(family).getrandbits(1024)) ^ sum(1 << b for b in rng.sample(range(1024), rng.randint(5, 9)))
+        bits[node], comp[node] = word, node if node % 4 else 1000 + family
+        fold = [((word >> (64 * i)) & (2**64 - 1)) - (2**64 if (word >> (64 * i + 63)) & 1 else 0) for i in range(16)]
+        posted += [(token, node % 3 if token == 2 else 0, node, 100, 0, comp[node], tuple(fold)) for token in (1, 2, 3)]
+    schema = "token long, salt int, node long, n int, pos int, comp long, fold struct<" + ", ".join(f"b{i}: long" for i in range(16)) + ">"
+    posted = spark.createDataFrame(posted, schema)
+    far = {(a, b): (bits[a] ^ bits[b]).bit_count() for a in range(60) for b in range(a + 1, 60) if comp[a] != comp[b]}
+    want = {p for p, d in far.items() if 180 * d <= 20 * 200}
+    assert 300 < len(want) < len(far)
+    every = B.close_pairs(posted, 80, True, small=small).collect()
+    assert {(r.a, r.b) for r in every} == want and len(every) == len(want)
+    some = B.close_pairs(posted, 80, False, few=2, small=small).collect()
+    pairs = {(r.a, r.b) for r in some if r.a is not None}
+    assert {r.token for r in some if r.a is None} == {1, 2, 3} and pairs < want
+    for node in (x for x in range(60) if comp[x] < 1000):  # the likeliest partner of each is among them
+        least = min(d for p, d in far.items() if node in p)
+        assert any(node in p and far[p] == least for p in pairs)
